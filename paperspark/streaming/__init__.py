@@ -1,0 +1 @@
+"""Structured Streaming adapters for the incremental (memoised) operators."""
