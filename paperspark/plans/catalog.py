@@ -171,3 +171,7 @@ SELECT id, title FROM papers ORDER BY doc_id LIMIT 100
 """)
 def papers_limit(spark, sf_dir):
     return pp.load_papers(_records(spark, sf_dir).records, ["title"], limit=100)
+
+
+# Queries over the summary table, the vector store, retrieval and the feed.
+from . import catalog_store  # noqa: E402,F401  (registers on import)

@@ -84,3 +84,115 @@ def event_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = table(spark, sf_dir, "events")
     return e.select(F.col("event_type").alias("category"), F.col("ts").alias("created"),
                     F.col("event_id").cast("string").alias("id"))
+
+
+# --- Agents, summarisers and vector stores used by the registered queries --
+
+MODEL = "OpenAI:demo-model"
+MODEL_NAME, MODEL_SPEC = "openai", "demo-model"
+FULL_MODEL = f"{MODEL_NAME}:{MODEL_SPEC}"
+SUMMARIZERS = ["DomainExpertSummarizer", "HighSchoolSummarizer"]
+
+AGENT_RECORDS = [
+    {"agent_class": "Summarizer", "agent_name": "DomainExpertSummarizer",
+     "instructions": "Condense the text for a specialist reader.",
+     "agent_link": "ResearchAssistant"},
+    {"agent_class": "Summarizer", "agent_name": "HighSchoolSummarizer",
+     "instructions": "Condense the text for a curious student.",
+     "agent_link": "ResearchAssistant"},
+    {"agent_class": "ResearchAssistant", "agent_name": "ResearchAssistant",
+     "instructions": "Answer using only the given context.",
+     "agent_link": "DomainExpertSummarizer"},
+]
+
+
+def summarizer_fn(agent_name: str, instructions: str | None = None):
+    """Deterministic stand-ins for model calls; each reads the whole text."""
+    if agent_name == "DomainExpertSummarizer":
+        return lambda texts: [None if t is None else t.replace("\n", " ") for t in texts]
+    if agent_name == "HighSchoolSummarizer":
+        return lambda texts: [None if t is None else t.replace("\n", " | ") for t in texts]
+    raise ValueError(f"no summariser for {agent_name}")
+
+
+def earlier_summarizer_fn(texts):
+    """The output of an earlier run, found in the cache."""
+    return [None if t is None else t.replace("\n", "  ") for t in texts]
+
+
+def agents(spark: SparkSession) -> DataFrame:
+    from ..sources.agents import agents_from_records
+
+    return agents_from_records(spark, AGENT_RECORDS)
+
+
+def papers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Typed papers (id, title, abstract) through the real parser."""
+    from ..sources.papers import load_papers, parse_lines
+
+    return load_papers(parse_lines(paper_lines(spark, sf_dir)).records,
+                       ["title", "categories", "abstract"])
+
+
+def embedding_store(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``embeddings`` as a keyed vector store: three vectors per paper
+    (abstract, title, summary) spread over two agents."""
+    e = table(spark, sf_dir, "embeddings")
+    vid = F.col("vec_id")
+    return e.select(
+        F.concat(F.lit("A"), (F.col("label") % 2).cast("string")).alias("agent_name"),
+        F.lit(MODEL_NAME).alias("model_name"),
+        F.lit("emb-64").alias("model_spec"),
+        F.concat(F.lit("p"), F.floor(vid / 3).cast("string")).alias("arxiv_id"),
+        F.when(vid % 3 == 0, "abstract").when(vid % 3 == 1, "title").otherwise("summary").alias("label"),
+        F.col("embedding").cast("array<double>").alias("embedding"),
+    )
+
+
+def embedding_queries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = table(spark, sf_dir, "embeddings")
+    return e.select(F.col("vec_id").alias("query_id"), F.col("embedding").cast("array<double>").alias("embedding"))
+
+
+def document_texts(spark: SparkSession, sf_dir: str, agent: str = "A0") -> DataFrame:
+    """Documents keyed like stored vectors (label ``abstract``)."""
+    d = table(spark, sf_dir, "documents")
+    return d.select(F.lit(agent).alias("agent_name"), F.lit("hash").alias("model_name"),
+                    F.lit("64").alias("model_spec"),
+                    F.concat(F.lit("p"), F.col("doc_id").cast("string")).alias("arxiv_id"),
+                    F.lit("abstract").alias("label"), F.col("text"))
+
+
+def document_store(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Feature-hash vectors of every whole document."""
+    from ..functions.embed import hash_embed
+    from ..schemas import VECTOR_KEY
+
+    return hash_embed(document_texts(spark, sf_dir), list(VECTOR_KEY), "text")
+
+
+def questions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``benchmark`` items as questions with feature-hash vectors."""
+    from ..functions.embed import hash_embed
+
+    b = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("question_id"),
+                                                  F.col("text").alias("question"))
+    return b.join(hash_embed(b, ["question_id"], "question"), "question_id")
+
+
+def raw_feed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """API feed records as fetched: padded titles, multi-line summaries."""
+    d = table(spark, sf_dir, "documents")
+    doc = F.col("doc_id")
+    base = F.lit(BASE_TIME).cast("timestamp_ntz")
+    published = base + F.make_dt_interval(F.lit(0), F.lit(0), doc.cast("int"), F.lit(0))
+    return d.select(
+        F.concat(F.lit("  Document "), doc.cast("string"), F.lit(" \n")).alias("title"),
+        F.array(F.struct(F.concat(F.lit("Author of "), F.col("source")).alias("name")),
+                F.struct(F.concat(F.lit("Editor "), F.col("lang")).alias("name"))).alias("authors"),
+        F.col("text").alias("summary"),
+        published.alias("published"),
+        (published + F.make_dt_interval(F.lit(0), F.lit(0), F.lit(0), F.col("n_chars").cast("decimal(18,6)"))).alias("updated"),
+        F.concat(F.lit("https://papers.example/pdf/p"), doc.cast("string")).alias("pdf_url"),
+        F.concat(F.lit("https://papers.example/abs/p"), doc.cast("string")).alias("entry_id"),
+    )
