@@ -59,11 +59,14 @@ def _exact(X, q):
     return acc
 
 
-def _best_k(X, Q, k, all_rows=False):
+def _best_k(X, Q, k, groups=None):
     """For every query row of ``Q``: (query index, row index, exact dist)
-    of the best ``k`` rows of ``X`` under the order (dist, key). With
-    ``all_rows`` every row is scored (needed when only one row per group
-    counts, since the best k rows may belong to fewer than k groups)."""
+    of the candidate rows of ``X`` that can be among the best ``k``.
+
+    Candidates come from the expansion |x|^2 + |q|^2 - 2xq with a margin
+    well above its rounding error. With ``groups`` (integer group code per
+    row) the candidates are all rows of the groups whose smallest
+    approximate distance can be among the best ``k`` groups."""
     import numpy as np
 
     n = X.shape[0]
@@ -71,19 +74,28 @@ def _best_k(X, Q, k, all_rows=False):
     if n == 0 or Q.shape[0] == 0:
         return out_q, out_r, out_d
     xx = np.einsum("ij,ij->i", X, X)
+    if groups is not None:
+        order = np.argsort(groups, kind="stable")
+        sorted_codes = groups[order]
+        starts = np.flatnonzero(np.r_[True, sorted_codes[1:] != sorted_codes[:-1]])
+        sizes = np.diff(np.r_[starts, n])
     for s in range(0, Q.shape[0], QUERY_CHUNK):
         Qc = Q[s:s + QUERY_CHUNK]
         qq = np.einsum("ij,ij->i", Qc, Qc)
         approx = xx[:, None] + qq[None, :] - 2.0 * (X @ Qc.T)
         for j in range(Qc.shape[0]):
             col = approx[:, j]
-            if not all_rows:
+            margin = 1e-9 * (xx.max() + qq[j]) + 1e-12
+            if groups is None:
                 kk = min(k, n)
                 kth = np.partition(col, kk - 1)[kk - 1]
-                margin = 1e-9 * (xx.max() + qq[j]) + 1e-12
-                cand = np.nonzero(col <= kth + margin)[0]
+                cand = np.flatnonzero(col <= kth + margin)
             else:
-                cand = np.arange(n)
+                gmin = np.minimum.reduceat(col[order], starts)
+                kk = min(k, len(gmin))
+                kth = np.partition(gmin, kk - 1)[kk - 1]
+                keep = np.repeat(gmin <= kth + margin, sizes)
+                cand = order[keep]
             d = _exact(X[cand], Qc[j])
             out_q.append(np.full(len(cand), s + j))
             out_r.append(cand)
@@ -108,7 +120,10 @@ def _kernel(vec_pdf, Q, qkey_pdf, key_names, vec_col, k, group_name=None):
     if X.shape[0] and Q.shape[0] and X.shape[1] != Q.shape[1]:
         raise ValueError(f"vector dimension {X.shape[1]} differs from query dimension {Q.shape[1]}")
     keys = vec_pdf.loc[mask, key_names].reset_index(drop=True)
-    qi, ri, di = _best_k(X, Q, k, all_rows=group_name is not None)
+    codes = None
+    if group_name is not None:
+        codes = pd.factorize(keys[group_name])[0]
+    qi, ri, di = _best_k(X, Q, k, codes)
     if not qi:
         return None
     cands = keys.iloc[np.concatenate(ri)].reset_index(drop=True)

@@ -20,8 +20,16 @@ from ..session import apply_required_conf, work_dir
 ORDER = "_order"
 
 
+def path_exists(spark: SparkSession, path: str) -> bool:
+    """Whether a file or folder exists, on any Hadoop file system."""
+    jvm_path = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return bool(jvm_path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(jvm_path))
+
+
 def read_table(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
     """The table's rows; an absent or empty table reads as no rows."""
+    if not path_exists(spark, path):
+        return spark.createDataFrame([], schema)
     try:
         return spark.read.schema(schema).parquet(path)
     except AnalysisException:
@@ -31,9 +39,7 @@ def read_table(spark: SparkSession, path: str, schema: T.StructType) -> DataFram
 def create_table(spark: SparkSession, path: str, schema: T.StructType,
                  partition_by: list[str]) -> DataFrame:
     """Create the folder if absent (no-op when it exists) and return it."""
-    jvm_path = spark._jvm.org.apache.hadoop.fs.Path(path)
-    fs = jvm_path.getFileSystem(spark._jsc.hadoopConfiguration())
-    if not fs.exists(jvm_path):
+    if not path_exists(spark, path):
         (spark.createDataFrame([], schema).write.partitionBy(*partition_by)
          .mode("overwrite").parquet(path))
     return read_table(spark, path, schema)
