@@ -16,7 +16,7 @@ TOKEN_SPLIT = r"[^\p{L}\p{N}]+"
 
 def tokens(col) -> Column:
     c = F.col(col) if isinstance(col, str) else col
-    return F.filter(F.split(F.lower(c), TOKEN_SPLIT), lambda w: w != "")
+    return F.array_remove(F.split(F.lower(c), TOKEN_SPLIT), "")
 
 
 def token_bucket(word: Column, dims: int) -> Column:
@@ -25,23 +25,27 @@ def token_bucket(word: Column, dims: int) -> Column:
 
 def hash_embed(df: DataFrame, key_cols: list[str], text_col: str, dims: int = 64,
                out_col: str = "embedding") -> DataFrame:
-    """One dense ``array<double>`` of token counts per input row.
-
-    Tokens are exploded and counted per (key, bucket); the partial
-    aggregation before the shuffle bounds what a long text sends to at most
-    ``dims`` rows per task, and the final regrouping holds at most ``dims``
-    entries per key.
+    """``key_cols + [out_col]``: dense ``array<double>`` of token counts per
+    bucket for each row's text.
+
+    Computed inside the row, with no explode and no shuffle: the token
+    buckets plus one copy of every bucket id are sorted natively; the count
+    of bucket ``b`` is then the distance between the first positions of
+    ``b`` and ``b + 1``, minus the added copy. Each intermediate array has
+    its own projection (an array referenced inside a lambda would otherwise
+    be rebuilt for every element).
     """
-    # explode_outer keeps texts without a token (their bucket is NULL and
-    # their vector all zeros), so no join back to the input is needed.
-    counted = (
-        df.select(*key_cols, F.explode_outer(tokens(text_col)).alias("_w"))
-        .select(*key_cols, token_bucket(F.col("_w"), dims).alias("_b"))
-        .groupBy(*key_cols, "_b").agg(F.count(F.lit(1)).alias("_n"))
-    )
-    sparse = counted.groupBy(*key_cols).agg(
-        F.map_from_entries(F.filter(F.collect_list(F.struct("_b", "_n")),
-                                    lambda e: e["_b"].isNotNull())).alias("_m"))
-    dense = F.transform(F.sequence(F.lit(0), F.lit(dims - 1)),
-                        lambda i: F.coalesce(F.element_at(F.col("_m"), i.cast("bigint")), F.lit(0)).cast("double"))
-    return sparse.select(*key_cols, dense.alias(out_col))
+    all_ids = F.sequence(F.lit(0), F.lit(dims - 1)).cast("array<bigint>")
+    buckets = F.transform(tokens(text_col), lambda w: token_bucket(w, dims))
+    srt = df.select(*key_cols, F.sort_array(F.concat(F.coalesce(buckets, F.array().cast("array<bigint>")),
+                                                     all_ids)).alias("_s"))
+    s = F.col("_s")
+    first = srt.select(*key_cols, F.transform(
+        F.sequence(F.lit(0), F.lit(dims)),
+        lambda b: F.when(b == dims, F.size(s) + 1).otherwise(F.array_position(s, b.cast("bigint"))),
+    ).alias("_f"))
+    f = F.col("_f")
+    return first.select(*key_cols, F.transform(
+        F.sequence(F.lit(1), F.lit(dims)),
+        lambda j: (F.element_at(f, j + 1) - F.element_at(f, j) - 1).cast("double"),
+    ).alias(out_col))
