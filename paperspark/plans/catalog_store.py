@@ -637,3 +637,35 @@ def feed_normalise(spark, sf_dir):
 @register("feed_newest", f"WITH {FEED_SQL} SELECT * FROM feed ORDER BY published DESC, entry_id LIMIT 100")
 def feed_newest(spark, sf_dir):
     return fd.newest(_feed(spark, sf_dir), 100)
+
+
+# --- the whole corpus build -------------------------------------------------
+
+@register("corpus_build", f"""
+WITH {TOKENS_SQL},
+sel AS (SELECT doc_id, text FROM documents
+        WHERE contains(source, 'src1')
+          AND TIMESTAMP '2024-01-01 00:00:00' + to_seconds((doc_id % 50) * 3600 + (doc_id % 3 + 1) * 60)
+              BETWEEN TIMESTAMP '2024-01-01 10:00:00' AND TIMESTAMP '2024-01-01 20:02:00'),
+summ AS (SELECT s.name AS agent_name, sel.doc_id,
+                CASE s.name WHEN 'DomainExpertSummarizer' THEN replace(sel.text, chr(10), ' ')
+                            ELSE replace(sel.text, chr(10), ' | ') END AS summary
+         FROM sel CROSS JOIN (VALUES ('DomainExpertSummarizer'), ('HighSchoolSummarizer')) s(name)),
+ok AS (SELECT * FROM summ WHERE regexp_matches(summary, '\\S') AND length(summary) <= 8192),
+grid AS (SELECT ok.agent_name, ok.doc_id, g.b FROM ok CROSS JOIN range(64) g(b))
+SELECT g.agent_name, 'p' || g.doc_id AS arxiv_id, 'abstract' AS label,
+       string_agg(coalesce(v.n, 0)::BIGINT::VARCHAR, ',' ORDER BY g.b) AS vec_text
+FROM grid g LEFT JOIN doc_vec v ON v.doc_id = g.doc_id AND v.b = g.b
+GROUP BY g.agent_name, g.doc_id
+""")
+def corpus_build(spark, sf_dir):
+    """Index, select ('src1', 10:00 to 20:02), summarise with both
+    summarizers, embed the summaries, snapshot. Summaries fold newlines
+    into separators, so each vector equals the hash vector of the text."""
+    from .catalog import RANGE
+    from .corpus import CorpusPaths, build_corpus
+
+    paths = CorpusPaths(*(fresh_path(spark, n) for n in ("index", "summaries", "vectors", "snapshot")))
+    out = build_corpus(spark, v.paper_lines(spark, sf_dir), paths, "src1", RANGE, v.agents(spark),
+                       v.summarizer_fn, (v.MODEL_NAME, v.MODEL_SPEC), ("hash", "64"))
+    return out.snapshot.select("agent_name", "arxiv_id", "label", _vec_text().alias("vec_text"))
