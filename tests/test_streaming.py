@@ -1,0 +1,30 @@
+"""The index stream picks up new files once and only once."""
+
+import os
+
+from paperspark.streaming.incremental import index_stream
+
+LINE = ('{{"id":"{i}","categories":"cs.LG","versions":[{{"created":"Mon, 2 Apr 2007 19:18:{s:02d} GMT"}}]}}')
+
+
+def write_file(folder, name, lines):
+    with open(os.path.join(folder, name), "w") as f:
+        f.write("\n".join(lines) + "\n")
+
+
+def test_index_stream_is_incremental(spark, tmp_path):
+    src = tmp_path / "in"
+    src.mkdir()
+    idx, rej, ckpt = str(tmp_path / "idx"), str(tmp_path / "rej"), str(tmp_path / "ckpt")
+    write_file(src, "a.json", [LINE.format(i="a1", s=1), LINE.format(i="a2", s=2), "{bad"])
+    seen = []
+    q = index_stream(spark, str(src), idx, rej, ckpt, on_batch=lambda df, b: seen.append(df.count()))
+    q.awaitTermination(120)
+    assert sorted(r.id for r in spark.read.parquet(idx).collect()) == ["a1", "a2"]
+    assert [r.reason for r in spark.read.parquet(rej).collect()] == ["malformed JSON"]
+
+    write_file(src, "b.json", [LINE.format(i="b1", s=3)])
+    q = index_stream(spark, str(src), idx, rej, ckpt)
+    q.awaitTermination(120)
+    assert sorted(r.id for r in spark.read.parquet(idx).collect()) == ["a1", "a2", "b1"]
+    assert seen == [2]
