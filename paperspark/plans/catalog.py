@@ -165,6 +165,19 @@ def papers_by_ids(spark, sf_dir):
     return pp.load_papers(recs, ["title", "abstract"], ids=ix.selected_ids(sel))
 
 
+@register("select_counts", f"""
+WITH {PAPERS_SQL}
+SELECT count(DISTINCT (category, created)) AS n_groups, count(DISTINCT id) AS n_papers, count(*) AS n_rows
+FROM papers
+WHERE (contains(category, 'src1') OR contains(category, 'src11'))
+  AND created BETWEEN TIMESTAMP '2024-01-01 10:00:00' AND TIMESTAMP '2024-01-01 20:02:00'
+""")
+def select_counts(spark, sf_dir):
+    """Two overlapping patterns: every group and paper is counted once."""
+    sel = ix.select_papers(_index(spark, sf_dir), ["src1", "src11"], RANGE)
+    return ix.selection_counts(sel)
+
+
 @register("papers_limit", f"""
 WITH {PAPERS_SQL}
 SELECT id, title FROM papers ORDER BY doc_id LIMIT 100

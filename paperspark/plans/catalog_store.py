@@ -669,3 +669,29 @@ def corpus_build(spark, sf_dir):
     out = build_corpus(spark, v.paper_lines(spark, sf_dir), paths, "src1", RANGE, v.agents(spark),
                        v.summarizer_fn, (v.MODEL_NAME, v.MODEL_SPEC), ("hash", "64"))
     return out.snapshot.select("agent_name", "arxiv_id", "label", _vec_text().alias("vec_text"))
+
+
+def _length_answer(contexts):
+    """A user answer function: how much context the question received."""
+    return [f"{len(c)} characters of context" for c in contexts]
+
+
+@register("answers", RETRIEVE_SQL + """,
+ctx AS (
+  SELECT b.item_id AS question_id,
+         'Question: ' || b.text || chr(10) || chr(10) || 'Context:' || chr(10) ||
+         coalesce(string_agg('arXiv:' || h.arxiv_id || chr(10) || 'Abstract: ' || h.abstract || chr(10) || chr(10),
+                             '' ORDER BY h.rank), '') AS context,
+         string_agg('- arXiv:' || h.arxiv_id || ' Title: ' || h.title, chr(10) ORDER BY h.rank) AS sources
+  FROM benchmark b LEFT JOIN hits h ON h.question_id = b.item_id
+  GROUP BY b.item_id, b.text)
+SELECT question_id, length(context) || ' characters of context' AS answer, sources, NULL::VARCHAR AS error
+FROM ctx
+""")
+def answers_q(spark, sf_dir):
+    from .answers import answer_questions
+
+    qs = v.table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("question_id"),
+                                                     F.col("text").alias("question"))
+    out = answer_questions(qs, v.document_store(spark, sf_dir), v.papers(spark, sf_dir), _length_answer)
+    return out.answers.select("question_id", "answer", "sources", "error")
