@@ -72,7 +72,7 @@ def memoised(rows: DataFrame, key_cols: list[str], compute: Callable[[DataFrame]
     fresh = fresh.select(*cols, "error").checkpoint(eager=True)
     good = fresh.filter(F.col("error").isNull()).select(*cols)
     if replace:
-        upsert(good, path, key_cols, partition_by, schema)
+        upsert(good, path, key_cols, partition_by, schema, materialized=True)
     else:
         insert_absent(good, path, key_cols, partition_by, schema)
     # Read back after the write: every requested key that now has a row.

@@ -65,13 +65,19 @@ def _with_order(df: DataFrame, order_col: str | None) -> DataFrame:
 
 def upsert(incoming: DataFrame, path: str, key_cols: list[str], partition_by: list[str],
            schema: T.StructType, order_col: str | None = None,
-           stamp_col: str | None = None) -> int:
+           stamp_col: str | None = None, materialized: bool = False) -> int:
     """Insert or replace rows by key; returns the number of rows offered.
 
     Within the batch the last row per key wins (``order_col`` gives the
     order, default the DataFrame's own order); an incoming row replaces a
     stored one. ``stamp_col`` is set to the current time, whole seconds.
-    Only the partitions named by incoming rows are read and rewritten.
+
+    The batch is checkpointed once into the shared folder (skipped with
+    ``materialized=True`` when the caller already did), so an expensive or
+    non-deterministic producer (a model call) runs once. Only the
+    partitions named by incoming rows are read, merged and rewritten; the
+    rewrite is a dynamic partition overwrite whose reads all finish before
+    its commit swaps the folders.
     """
     spark = incoming.sparkSession
     apply_required_conf(spark)
@@ -79,24 +85,27 @@ def upsert(incoming: DataFrame, path: str, key_cols: list[str], partition_by: li
     inc = _with_order(incoming, order_col)
     if stamp_col:
         inc = inc.withColumn(stamp_col, F.date_trunc("second", F.current_timestamp()))
-    obs = Observation("offered")
-    inc = inc.select(*[F.col(f.name).cast(f.dataType) for f in schema.fields], ORDER).observe(
-        obs, F.count(F.lit(1)).alias("n"))
-    # Bounded collect: one row per touched partition value.
-    touched = [r.asDict() for r in inc.select(*partition_by).distinct().collect()] if partition_by else []
+    inc = inc.select(*[F.col(f.name).cast(f.dataType) for f in schema.fields],
+                     F.col(ORDER).cast("bigint").alias(ORDER))
+    if not materialized:
+        work_dir(spark)
+        inc = inc.checkpoint(eager=True)
+    # Bounded collect: one row per touched partition value, with its count.
+    per_part = inc.groupBy(*partition_by).agg(F.count(F.lit(1)).alias("_n")).collect()
+    touched = [{k: r[k] for k in partition_by} for r in per_part]
+    offered = sum(r["_n"] for r in per_part)
+    if offered == 0:
+        return 0
     existing = read_table(spark, path, schema).filter(_touched_filter(touched, partition_by))
     both = (existing.withColumn("_prio", F.lit(0)).withColumn(ORDER, F.lit(0).cast("bigint"))
-            .unionByName(inc.withColumn("_prio", F.lit(1)).withColumn(ORDER, F.col(ORDER).cast("bigint"))))
+            .unionByName(inc.withColumn("_prio", F.lit(1))))
     merged = (both.groupBy(*key_cols)
               .agg(F.max_by(F.struct(*value_cols), F.struct("_prio", ORDER)).alias("_v"))
               .select(*key_cols, *[F.col(f"_v.{c}").alias(c) for c in value_cols])
               .select(*[f.name for f in schema.fields]))
-    # Cut the lineage from the table folder before overwriting inside it.
-    work_dir(spark)
-    staged = merged.checkpoint(eager=True)
-    (staged.write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+    (merged.write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
      .partitionBy(*partition_by).parquet(path))
-    return int(obs.get.get("n", 0))
+    return offered
 
 
 def insert_absent(incoming: DataFrame, path: str, key_cols: list[str], partition_by: list[str],
@@ -118,4 +127,7 @@ def insert_absent(incoming: DataFrame, path: str, key_cols: list[str], partition
     # Appending needs no staging: the stored keys are listed before the
     # job starts and the new files are committed only at its end.
     new.write.mode("append").partitionBy(*partition_by).parquet(path)
-    return int(obs.get.get("n", 0))
+    try:
+        return int(obs.get.get("n", 0))
+    except Exception:  # noqa: BLE001 - no metrics row when nothing was written
+        return 0
