@@ -4,21 +4,35 @@ from __future__ import annotations
 
 from pyspark.sql import Column, functions as F
 
-from ..schemas import VERSION_DATE_PATTERN
-
 
 def _c(col) -> Column:
     return F.col(col) if isinstance(col, str) else col
 
 
+# English month abbreviations of the version dates, in order.
+MONTHS = ["Jan", "Feb", "Mar", "Apr", "May", "Jun", "Jul", "Aug", "Sep", "Oct", "Nov", "Dec"]
+# Shape of "%a, %d %b %Y %H:%M:%S %Z" with a GMT or UTC zone.
+_VERSION_RE = r"^\s*[A-Za-z]{3}, (\d{1,2}) ([A-Za-z]{3}) (\d{4}) (\d{1,2}):(\d{1,2}):(\d{1,2}) (?:GMT|UTC)\s*$"
+
+
 def parse_version_date(col) -> Column:
     """``'Mon, 2 Apr 2007 19:18:42 GMT'`` to a wall-clock TIMESTAMP_NTZ.
 
-    The weekday and the zone name are dropped before parsing (Spark cannot
-    parse weekday names); anything that does not parse is NULL.
+    The fields are extracted and assembled with ``try_make_timestamp_ntz``,
+    so the result does not depend on the session time zone; the weekday and
+    the zone name are not interpreted. Anything malformed (wrong shape,
+    unknown month, day 31 of a 30-day month) is NULL.
     """
-    core = F.regexp_replace(_c(col), r"^\s*[A-Za-z]{3}, (.*) (GMT|UTC)\s*$", "$1")
-    return F.try_to_timestamp(core, F.lit(VERSION_DATE_PATTERN)).cast("timestamp_ntz")
+    c = _c(col)
+    ok = c.rlike(_VERSION_RE)
+
+    def part(i):
+        return F.regexp_extract(c, _VERSION_RE, i)
+
+    month_no = F.array_position(F.array(*[F.lit(m) for m in MONTHS]), F.initcap(part(2)))
+    ts = F.try_make_timestamp_ntz(part(3).cast("int"), month_no.cast("int"), part(1).cast("int"),
+                                  part(4).cast("int"), part(5).cast("int"), part(6).cast("int"))
+    return F.when(ok & (month_no > 0), ts)
 
 
 def format_version_date(col) -> Column:

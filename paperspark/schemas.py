@@ -12,8 +12,7 @@ METADATA_FIELDS = [
     "update_date", "authors_parsed",
 ]
 # Version timestamps look like "Mon, 2 Apr 2007 19:18:42 GMT"
-# (strptime pattern "%a, %d %b %Y %H:%M:%S %Z").
-VERSION_DATE_PATTERN = "d MMM yyyy HH:mm:ss"
+# (strptime pattern "%a, %d %b %Y %H:%M:%S %Z"); see functions/dates.py.
 # Longest text accepted by the embedder, in characters.
 MAX_TEXT_CHARS = 8192
 # Texts per embedding request.

@@ -126,3 +126,17 @@ def test_written_index_reads_back(spark, tmp_path):
     path = str(tmp_path / "index")
     ix.write_index(idx, path)
     assert sorted(map(tuple, spark.read.parquet(path).collect())) == sorted(map(tuple, idx.collect()))
+
+
+def test_version_time_ignores_session_zone(spark):
+    from paperspark.functions.dates import parse_version_date
+
+    old = spark.conf.get("spark.sql.session.timeZone")
+    spark.conf.set("spark.sql.session.timeZone", "America/New_York")
+    try:
+        df = spark.createDataFrame([("Sun, 11 Mar 2007 02:30:00 GMT",), ("Mon, 31 Apr 2007 1:2:3 GMT",),
+                                    ("Mon, 2 apr 2007 19:18:42 UTC",)], "c string")
+        got = [r.t for r in df.select(parse_version_date("c").alias("t")).collect()]
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", old)
+    assert got == [dt.datetime(2007, 3, 11, 2, 30), None, dt.datetime(2007, 4, 2, 19, 18, 42)]
