@@ -30,6 +30,8 @@ from ..schemas import DEFAULT_TOP_K
 
 BROADCAST_BUDGET_BYTES = 64 * 1024 * 1024
 QUERY_CHUNK = 512
+# Rows scored at once: bounds the distance block to ROW_CHUNK x QUERY_CHUNK.
+ROW_CHUNK = 8192
 CELL_VECTORS = 200_000
 CELL_QUERIES = 20_000
 
@@ -112,7 +114,22 @@ def _select(cands, key_names, k, group_name=None):
     return cands.groupby("_q", sort=False).head(k)
 
 
-def _kernel(vec_pdf, Q, qkey_pdf, key_names, vec_col, k, group_name=None):
+def _kernel(vec_pdf, Q, qkey_pdf, key_names, vec_col, k, group_name=None, row_chunk=ROW_CHUNK):
+    """Best k per query over ``vec_pdf``, scored ``row_chunk`` rows at a time."""
+    import pandas as pd
+
+    held = None
+    for start in range(0, len(vec_pdf), row_chunk):
+        part = _kernel_slice(vec_pdf.iloc[start:start + row_chunk], Q, qkey_pdf, key_names, vec_col, k,
+                             group_name)
+        if part is None:
+            continue
+        held = part if held is None else _reduce(pd.concat([held, part], ignore_index=True),
+                                                 list(qkey_pdf.columns), key_names, k, group_name)
+    return held
+
+
+def _kernel_slice(vec_pdf, Q, qkey_pdf, key_names, vec_col, k, group_name=None):
     import numpy as np
     import pandas as pd
 
@@ -154,7 +171,7 @@ def top_k(queries: DataFrame, vectors: DataFrame, k: int = DEFAULT_TOP_K,
           query_key: list[str] | None = None, vector_key: list[str] | None = None,
           query_col: str = "embedding", vector_col: str = "embedding",
           group_col: str | None = None,
-          broadcast_budget: int = BROADCAST_BUDGET_BYTES) -> DataFrame:
+          broadcast_budget: int = BROADCAST_BUDGET_BYTES, row_chunk: int = ROW_CHUNK) -> DataFrame:
     """``(query_key..., rank, vector_key..., dist)``: for every query its
     ``k`` nearest vectors (fewer if there are fewer), rank 1 = nearest,
     ties broken by the vector key. ``group_col`` (e.g. the paper id) makes
@@ -177,13 +194,13 @@ def top_k(queries: DataFrame, vectors: DataFrame, k: int = DEFAULT_TOP_K,
         return spark.createDataFrame([], _out_schema(queries, vectors, query_key, vector_key)
                                      .add("rank", T.IntegerType())).select(*query_key, "rank", *vector_key, "dist")
     if n_q * max(dim, 1) * 8 <= broadcast_budget:
-        cands = _broadcast_scan(q, v, query_key, vector_key, k, group_col, schema)
+        cands = _broadcast_scan(q, v, query_key, vector_key, k, group_col, schema, row_chunk)
     else:
-        cands = _cogroup_scan(q, v, query_key, vector_key, k, group_col, schema, n_q)
+        cands = _cogroup_scan(q, v, query_key, vector_key, k, group_col, schema, n_q, row_chunk)
     return _final_rank(cands, query_key, vector_key, k, group_col)
 
 
-def _broadcast_scan(q, v, query_key, vector_key, k, group_col, schema):
+def _broadcast_scan(q, v, query_key, vector_key, k, group_col, schema, row_chunk=ROW_CHUNK):
     import numpy as np
 
     spark = v.sparkSession
@@ -201,7 +218,7 @@ def _broadcast_scan(q, v, query_key, vector_key, k, group_col, schema):
         qkey_pdf = pd.DataFrame(keys, columns=query_key)
         held = None
         for pdf in batches:
-            res = _kernel(pdf, Q, qkey_pdf, vector_key, "_vv", k, group_col)
+            res = _kernel(pdf, Q, qkey_pdf, vector_key, "_vv", k, group_col, row_chunk)
             if res is None:
                 continue
             held = res if held is None else _reduce(pd.concat([held, res]), query_key, vector_key,
@@ -220,7 +237,7 @@ def _reduce(df, query_key, vector_key, k, group_col):
     return df.groupby(query_key, sort=False).head(k)
 
 
-def _cogroup_scan(q, v, query_key, vector_key, k, group_col, schema, n_q):
+def _cogroup_scan(q, v, query_key, vector_key, k, group_col, schema, n_q, row_chunk=ROW_CHUNK):
     n_v = v.count()
     vb = max(1, math.ceil(n_v / CELL_VECTORS))
     qb = max(1, math.ceil(n_q / CELL_QUERIES))
@@ -235,7 +252,8 @@ def _cogroup_scan(q, v, query_key, vector_key, k, group_col, schema, n_q):
         if len(vpdf) == 0 or len(qpdf) == 0:
             return qpdf.iloc[0:0][query_key].assign(**{c: [] for c in vector_key}, dist=[])
         Q, _ = _stack(qpdf["_qv"])
-        res = _kernel(vpdf, Q, qpdf[query_key].reset_index(drop=True), vector_key, "_vv", k, group_col)
+        res = _kernel(vpdf, Q, qpdf[query_key].reset_index(drop=True), vector_key, "_vv", k, group_col,
+                      row_chunk)
         if res is None:
             return qpdf.iloc[0:0][query_key].assign(**{c: [] for c in vector_key}, dist=np.array([], float))
         return res[[*query_key, *vector_key, "dist"]]

@@ -36,10 +36,12 @@ def brute(queries, vectors, k, group=None):
     return out
 
 
-def run_topk(spark, queries, vectors, k, group=False, budget=None):
+def run_topk(spark, queries, vectors, k, group=False, budget=None, row_chunk=None):
     qdf = spark.createDataFrame(queries, "query_id long, embedding array<double>")
     vdf = spark.createDataFrame(vectors, "key string, paper string, embedding array<double>").repartition(3)
     kw = {} if budget is None else {"broadcast_budget": budget}
+    if row_chunk is not None:
+        kw["row_chunk"] = row_chunk
     res = top_k(qdf, vdf, k, ["query_id"], ["key", "paper"], group_col="paper" if group else None, **kw)
     got = {}
     for r in res.orderBy("query_id", "rank").collect():
@@ -150,3 +152,13 @@ def test_plans_push_down_and_avoid_pairs(spark, tmp_path):
     p2 = plan_text(top_k(q, vdf, 1, ["query_id"], ["key", "paper"]))
     assert "CartesianProduct" not in p2 and "NestedLoopJoin" not in p2
     assert "WindowGroupLimit" in p2 or "Window" in p2
+
+
+def test_sliced_kernel_and_block_path_agree(spark):
+    rng = np.random.default_rng(3)
+    vecs = [(f"k{i:03d}", f"p{i % 11}", [float(x) for x in rng.integers(-4, 5, 3)]) for i in range(120)]
+    qs = [(j, [float(x) for x in rng.integers(-4, 5, 3)]) for j in range(9)]
+    for group in (False, True):
+        exp = brute(qs, vecs, 4, group)
+        assert run_topk(spark, qs, vecs, 4, group, row_chunk=7) == exp
+        assert run_topk(spark, qs, vecs, 4, group, budget=1, row_chunk=7) == exp
