@@ -20,6 +20,26 @@ REQUIRED_CONF = {
 }
 
 
+# Runtime settings recommended on a cluster. AQE re-plans joins from measured
+# sizes (broadcast only what is measured small), coalesces small shuffle
+# partitions and splits skewed ones; scan splits and shuffle partitions aim
+# at ~256 MB; Arrow batches stay small because rows carry whole texts.
+CLUSTER_CONF = {
+    "spark.sql.adaptive.enabled": "true",
+    "spark.sql.adaptive.coalescePartitions.enabled": "true",
+    "spark.sql.adaptive.skewJoin.enabled": "true",
+    "spark.sql.adaptive.advisoryPartitionSizeInBytes": "256m",
+    "spark.sql.files.maxPartitionBytes": "256m",
+    "spark.sql.execution.arrow.maxRecordsPerBatch": "2000",
+}
+
+
+def apply_cluster_conf(spark: SparkSession) -> None:
+    """Apply :data:`CLUSTER_CONF` and :data:`REQUIRED_CONF` to a session."""
+    for k, v in {**CLUSTER_CONF, **REQUIRED_CONF}.items():
+        spark.conf.set(k, v)
+
+
 def local_session(cores: int | str = "*", shuffle_partitions: int = 8,
                   app_name: str = "paperspark") -> SparkSession:
     """A local session configured like the tests and the bench expect."""
