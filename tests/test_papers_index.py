@@ -140,3 +140,14 @@ def test_version_time_ignores_session_zone(spark):
     finally:
         spark.conf.set("spark.sql.session.timeZone", old)
     assert got == [dt.datetime(2007, 3, 11, 2, 30), None, dt.datetime(2007, 4, 2, 19, 18, 42)]
+
+
+def test_many_patterns_equal_few_patterns(spark):
+    idx = _index(spark)
+    filler = [f"zz{i}" for i in range(100)]
+    for match in ("contains", "prefix"):
+        for pats in (["cs", "ath"], ["c", "s.L"], ["ph"]):
+            few = {r.id for r in ix.select_papers(idx, pats, None, match=match, check_exists=False).collect()}
+            many = {r.id for r in ix.select_papers(idx, pats + filler, None, match=match,
+                                                   check_exists=False).collect()}
+            assert few == many, (match, pats)
