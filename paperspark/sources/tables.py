@@ -18,6 +18,8 @@ from pyspark.sql.utils import AnalysisException
 from ..session import apply_required_conf, work_dir
 
 ORDER = "_order"
+# Most touched partition values turned into a literal partition filter.
+MAX_LITERAL_PARTITIONS = 1000
 
 
 def path_exists(spark: SparkSession, path: str) -> bool:
@@ -91,12 +93,20 @@ def upsert(incoming: DataFrame, path: str, key_cols: list[str], partition_by: li
         work_dir(spark)
         inc = inc.checkpoint(eager=True)
     # Bounded collect: one row per touched partition value, with its count.
-    per_part = inc.groupBy(*partition_by).agg(F.count(F.lit(1)).alias("_n")).collect()
-    touched = [{k: r[k] for k in partition_by} for r in per_part]
-    offered = sum(r["_n"] for r in per_part)
-    if offered == 0:
-        return 0
-    existing = read_table(spark, path, schema).filter(_touched_filter(touched, partition_by))
+    per_part = (inc.groupBy(*partition_by).agg(F.count(F.lit(1)).alias("_n"))
+                .limit(MAX_LITERAL_PARTITIONS + 1).collect())
+    if len(per_part) > MAX_LITERAL_PARTITIONS:
+        # Too many partition values for a literal filter: semi-join on them
+        # (dynamic partition pruning can still skip untouched folders).
+        offered = inc.count()
+        existing = read_table(spark, path, schema).join(
+            inc.select(*partition_by).distinct(), partition_by, "left_semi")
+    else:
+        touched = [{k: r[k] for k in partition_by} for r in per_part]
+        offered = sum(r["_n"] for r in per_part)
+        if offered == 0:
+            return 0
+        existing = read_table(spark, path, schema).filter(_touched_filter(touched, partition_by))
     both = (existing.withColumn("_prio", F.lit(0)).withColumn(ORDER, F.lit(0).cast("bigint"))
             .unionByName(inc.withColumn("_prio", F.lit(1))))
     merged = (both.groupBy(*key_cols)
