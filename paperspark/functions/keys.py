@@ -65,3 +65,15 @@ def model_parts(col) -> Column:
 
 def full_model_name(model_name, model_spec) -> Column:
     return F.concat(_c(model_name), F.lit(KEY_SEPARATOR), _c(model_spec))
+
+
+def decompose_model(text: str) -> tuple[str, str]:
+    """Driver-side check of a "Name:spec" model string: exactly two parts,
+    the name lower-cased and among the supported providers."""
+    parts = text.split(KEY_SEPARATOR) if isinstance(text, str) else []
+    if len(parts) != 2:
+        raise ValueError(f"Model specification '{text}' is invalid. Use the format 'Name:spec'.")
+    name, spec = parts[0].lower(), parts[1]
+    if name not in SUPPORTED_MODELS:
+        raise ValueError(f"Unsupported model: {name}. Supported models: {', '.join(SUPPORTED_MODELS)}")
+    return name, spec

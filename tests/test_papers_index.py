@@ -151,3 +151,11 @@ def test_many_patterns_equal_few_patterns(spark):
             many = {r.id for r in ix.select_papers(idx, pats + filler, None, match=match,
                                                    check_exists=False).collect()}
             assert few == many, (match, pats)
+
+
+def test_index_limit_counts_valid_records_in_order(spark):
+    lines = ["{bad"] + [f'{{"id":"i{i}","categories":"cs","versions":[{{"created":"Mon, 2 Apr 2007 19:18:0{i} GMT"}}]}}'
+                        for i in range(5)]
+    recs = pp.parse_lines(lines_df(spark, lines)).records
+    assert sorted(r.id for r in ix.build_index(recs, limit=3).index.collect()) == ["i0", "i1", "i2"]
+    assert ix.build_index(recs, limit=0).index.count() == 0

@@ -132,3 +132,12 @@ def test_model_parts(spark):
     assert (r.model_name, r.model_spec, r.is_supported) == ("openai", "gpt", True)
     with pytest.raises(Exception):
         spark.createDataFrame([("a:b:c",)], "m string").select(model_parts("m")).collect()
+
+
+def test_decompose_model():
+    from paperspark.functions.keys import decompose_model
+
+    assert decompose_model("OpenAI:gpt-x") == ("openai", "gpt-x")
+    for bad in ("openai", "a:b:c", "other:m", None):
+        with pytest.raises(ValueError):
+            decompose_model(bad)
