@@ -171,7 +171,7 @@ def summary_multi_key(spark, sf_dir):
 WITH {SUMMARIES_SQL}
 SELECT summarizer_name, 0::BIGINT AS part, count(*) AS n_items,
        string_agg(arxiv_id, ',' ORDER BY arxiv_id) AS ids,
-       sum(length(summary_text)) AS total_chars
+       sum(length(summary_text))::BIGINT AS total_chars
 FROM summaries GROUP BY summarizer_name
 """)
 def summary_grouped(spark, sf_dir):
