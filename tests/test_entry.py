@@ -21,6 +21,10 @@ def test_every_query_has_an_oracle():
     assert set(E.queries()) == set(E.oracle_sql())
 
 
+TYPE_NAMES = {"StringType()": "VARCHAR", "LongType()": "BIGINT", "DoubleType()": "DOUBLE",
+              "BooleanType()": "BOOLEAN", "TimestampNTZType()": "TIMESTAMP", "IntegerType()": "INTEGER"}
+
+
 def _norm(cols, rows):
     order = sorted(range(len(cols)), key=lambda i: cols[i])
     return sorted((tuple(r[i] for i in order) for r in rows), key=repr)
@@ -28,7 +32,8 @@ def _norm(cols, rows):
 
 @pytest.mark.parametrize("name", ["scan_project", "last_record_wins", "index_grouped", "select_contains_range",
                                   "papers_by_ids", "summary_upsert", "merged_summaries", "merged_vectors",
-                                  "topk_many", "topk_dedupe", "context_text", "feed_newest"])
+                                  "topk_many", "topk_dedupe", "context_text", "feed_newest",
+                                  "summary_grouped", "answers", "select_counts"])
 def test_oracle_matches_small(spark, name):
     con = duckdb.connect()
     for t in TABLES:
@@ -36,4 +41,6 @@ def test_oracle_matches_small(spark, name):
     df = E.queries()[name](spark, SF_SMALL)
     rel = con.sql(E.oracle_sql()[name])
     assert sorted(df.columns) == sorted(rel.columns)
+    spark_types = {f.name: TYPE_NAMES.get(str(f.dataType), str(f.dataType)) for f in df.schema.fields}
+    assert spark_types == {c: str(t) for c, t in zip(rel.columns, rel.types)}
     assert _norm(df.columns, [tuple(r) for r in df.collect()]) == _norm(rel.columns, rel.fetchall())
