@@ -12,7 +12,7 @@ def _c(col) -> Column:
 # English month abbreviations of the version dates, in order.
 MONTHS = ["Jan", "Feb", "Mar", "Apr", "May", "Jun", "Jul", "Aug", "Sep", "Oct", "Nov", "Dec"]
 # Shape of "%a, %d %b %Y %H:%M:%S %Z" with a GMT or UTC zone.
-_VERSION_RE = r"^\s*[A-Za-z]{3}, (\d{1,2}) ([A-Za-z]{3}) (\d{4}) (\d{1,2}):(\d{1,2}):(\d{1,2}) (?:GMT|UTC)\s*$"
+_VERSION_RE = r"^ *[A-Za-z]{3}, \d{1,2} [A-Za-z]{3} \d{4} \d{1,2}:\d{1,2}:\d{1,2} (?:GMT|UTC) *$"
 
 
 def parse_version_date(col) -> Column:
@@ -25,9 +25,12 @@ def parse_version_date(col) -> Column:
     """
     c = _c(col)
     ok = c.rlike(_VERSION_RE)
+    # After the shape check, the fields are the tokens between separators:
+    # weekday, day, month, year, hour, minute, second, zone.
+    parts = F.split(F.trim(c), "[ ,:]+")
 
     def part(i):
-        return F.regexp_extract(c, _VERSION_RE, i)
+        return parts.getItem(i)
 
     month_no = F.array_position(F.array(*[F.lit(m) for m in MONTHS]), F.initcap(part(2)))
     ts = F.try_make_timestamp_ntz(part(3).cast("int"), month_no.cast("int"), part(1).cast("int"),

@@ -55,10 +55,14 @@ def parse_lines(lines: DataFrame, line_col: str = "value", pos_col: str | None =
         pos_col = POS
     opts = {"columnNameOfCorruptRecord": RAW_CORRUPT_COL, "allowSingleQuotes": "false",
             "mode": "PERMISSIVE"}
+    # The parse sits behind a one-row explode: filters on its result cannot
+    # be pushed below a Generate, so each line is parsed exactly once
+    # (pushed below a plain projection, the filter would carry its own copy
+    # of the parse).
     raw = lines.select(
         F.col(line_col).alias("_line"),
         F.col(pos_col).alias(POS),
-        F.from_json(F.col(line_col), RAW_PAPER_SCHEMA, opts).alias("_r"),
+        F.explode(F.array(F.from_json(F.col(line_col), RAW_PAPER_SCHEMA, opts))).alias("_r"),
     )
     line = F.col("_line")
     reason = (
