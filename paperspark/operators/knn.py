@@ -7,7 +7,9 @@ query (ties broken by the vector key), so a task emits at most
 keeps the global best ``k`` (Spark plans it with a WindowGroupLimit).
 
 * Small query sets (checked: rows x dimension x 8 bytes under a budget) are
-  broadcast once and the vectors are scanned in place, with no shuffle.
+  broadcast once and the vectors are scanned in place, with no shuffle. The
+  candidate rows sent to the final ranking (queries x k x scan tasks) are
+  capped by merging scan partitions when there would be too many.
 * Larger query sets are split into blocks by hash; vectors and queries meet
   in co-grouped (query block, vector block) cells, each holding a bounded
   slice of both sides.
@@ -32,6 +34,8 @@ BROADCAST_BUDGET_BYTES = 64 * 1024 * 1024
 QUERY_CHUNK = 512
 # Rows scored at once: bounds the distance block to ROW_CHUNK x QUERY_CHUNK.
 ROW_CHUNK = 8192
+# Most candidate rows (queries x k x scan tasks) sent to the final ranking.
+MAX_CANDIDATES = 100_000_000
 CELL_VECTORS = 200_000
 CELL_QUERIES = 20_000
 
@@ -194,16 +198,24 @@ def top_k(queries: DataFrame, vectors: DataFrame, k: int = DEFAULT_TOP_K,
         return spark.createDataFrame([], _out_schema(queries, vectors, query_key, vector_key)
                                      .add("rank", T.IntegerType())).select(*query_key, "rank", *vector_key, "dist")
     if n_q * max(dim, 1) * 8 <= broadcast_budget:
-        cands = _broadcast_scan(q, v, query_key, vector_key, k, group_col, schema, row_chunk)
+        cands = _broadcast_scan(q, v, query_key, vector_key, k, group_col, schema, row_chunk, n_q)
     else:
         cands = _cogroup_scan(q, v, query_key, vector_key, k, group_col, schema, n_q, row_chunk)
     return _final_rank(cands, query_key, vector_key, k, group_col)
 
 
-def _broadcast_scan(q, v, query_key, vector_key, k, group_col, schema, row_chunk=ROW_CHUNK):
+def _broadcast_scan(q, v, query_key, vector_key, k, group_col, schema, row_chunk=ROW_CHUNK, n_q=0):
     import numpy as np
 
     spark = v.sparkSession
+    # Each scan task emits up to k rows per query; when queries x k x tasks
+    # would exceed MAX_CANDIDATES, merge input partitions (no shuffle) so
+    # each task scans more vectors, keeping at least the default parallelism.
+    tasks = v.rdd.getNumPartitions()
+    if n_q * k * tasks > MAX_CANDIDATES:
+        fewer = max(spark.sparkContext.defaultParallelism, MAX_CANDIDATES // max(1, n_q * k))
+        if fewer < tasks:
+            v = v.coalesce(fewer)
     rows = q.collect()  # bounded by the budget checked above
     qkeys = [tuple(r[c] for c in query_key) for r in rows]
     qmat = np.asarray([r["_qv"] for r in rows], dtype=np.float64)
