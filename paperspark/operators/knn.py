@@ -28,6 +28,7 @@ import math
 from pyspark.sql import DataFrame, Window, functions as F
 from pyspark.sql import types as T
 
+from ..session import ship_package
 from ..schemas import DEFAULT_TOP_K
 
 BROADCAST_BUDGET_BYTES = 64 * 1024 * 1024
@@ -187,6 +188,7 @@ def top_k(queries: DataFrame, vectors: DataFrame, k: int = DEFAULT_TOP_K,
     if group_col is not None and group_col not in vector_key:
         raise ValueError("group_col must be one of the vector key columns")
     spark = vectors.sparkSession
+    ship_package(spark)
     q = queries.select(*query_key, F.col(query_col).cast("array<double>").alias("_qv")) \
         .filter(F.col("_qv").isNotNull())
     v = vectors.select(*vector_key, F.col(vector_col).alias("_vv"))

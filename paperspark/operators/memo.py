@@ -58,28 +58,42 @@ def memoised(rows: DataFrame, key_cols: list[str], compute: Callable[[DataFrame]
 
     ``compute(missing_rows)`` returns the schema's columns (plus optionally
     ``error``). Fresh rows without error are written to the table
-    (insert-if-absent, or upsert with ``replace=True``). Returns the union
-    with a ``cached`` flag, plus ``error`` for fresh rows that failed.
+    (insert-if-absent, or upsert with ``replace=True``). Returns one row per
+    requested key with a ``cached`` flag, plus ``error`` for fresh rows that
+    failed.
+
+    Keys in ``rows`` must be unique (one request per key, like the keys of a
+    dict); de-duplicate first if they may repeat.
+
+    ``rows`` is read once: each row is tagged hit or miss against the stored
+    keys and the tagged rows are checkpointed, keeping the payload only for
+    misses. On an incremental run (few misses) that is a small write instead
+    of a second full pass over the input.
     """
     spark = rows.sparkSession
-    stored = read_table(spark, path, schema)
-    todo = missing_rows(rows, stored, key_cols)
+    work_dir(spark)
+    stored_keys = read_table(spark, path, schema).select(*key_cols).withColumn("_hit", F.lit(True))
+    payload = [c for c in rows.columns if c not in key_cols]
+    tagged = (rows.join(stored_keys, key_cols, "left")
+              .select(*key_cols,
+                      *[F.when(F.col("_hit").isNull(), F.col(c)).alias(c) for c in payload],
+                      F.coalesce(F.col("_hit"), F.lit(False)).alias("_hit"))
+              .checkpoint(eager=True))
+    todo = tagged.filter(~F.col("_hit")).drop("_hit")
+    hit_keys = tagged.filter(F.col("_hit")).select(*key_cols).distinct()
     fresh = compute(todo)
     if "error" not in fresh.columns:
         fresh = fresh.withColumn("error", F.lit(None).cast("string"))
     cols = [f.name for f in schema.fields]
-    work_dir(spark)
     fresh = fresh.select(*cols, "error").checkpoint(eager=True)
     good = fresh.filter(F.col("error").isNull()).select(*cols)
     if replace:
         upsert(good, path, key_cols, partition_by, schema, materialized=True)
     else:
         insert_absent(good, path, key_cols, partition_by, schema)
-    # Read back after the write: every requested key that now has a row.
-    now = cached_rows(rows, read_table(spark, path, schema), key_cols).select(*cols)
-    fresh_keys = good.select(*key_cols).withColumn("cached", F.lit(False))
-    done = (now.join(fresh_keys, key_cols, "left")
-            .withColumn("cached", F.coalesce(F.col("cached"), F.lit(True)))
-            .withColumn("error", F.lit(None).cast("string")))
-    failed = fresh.filter(F.col("error").isNotNull()).withColumn("cached", F.lit(False))
-    return done.unionByName(failed)
+    # Hit keys were stored before this run and are untouched by its write.
+    hits = (read_table(spark, path, schema).join(hit_keys, key_cols, "left_semi")
+            .withColumn("error", F.lit(None).cast("string")).withColumn("cached", F.lit(True)))
+    return (hits.unionByName(good.withColumn("error", F.lit(None).cast("string"))
+                             .withColumn("cached", F.lit(False)))
+            .unionByName(fresh.filter(F.col("error").isNotNull()).withColumn("cached", F.lit(False))))

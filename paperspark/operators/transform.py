@@ -16,6 +16,7 @@ from pyspark.sql import DataFrame, functions as F
 from pyspark.sql import types as T
 
 from ..functions.text import text_validity
+from ..session import ship_package
 from ..schemas import EMBED_BATCH_SIZE
 
 TextFn = Callable[[list], Sequence]
@@ -28,6 +29,7 @@ def apply_batched(df: DataFrame, fn: TextFn, input_col: str, output_col: str,
                   keep_cols: list[str] | None = None) -> DataFrame:
     """``keep_cols + [output_col, error]`` with ``fn`` applied to ``input_col``."""
     keep = list(keep_cols) if keep_cols is not None else [c for c in df.columns if c != input_col]
+    ship_package(df.sparkSession)
     in_df = df.select(*keep, F.col(input_col).alias("_in"))
     out_schema = T.StructType(
         [in_df.schema[c] for c in keep]
@@ -129,6 +131,7 @@ def run_agent_fns(fanned: DataFrame, fns: dict, key_cols: list[str], text_col: s
     """Apply each row's agent function in batches of ``batch_size``.
 
     Output: key_cols, agent_col, output_col, error."""
+    ship_package(fanned.sparkSession)
     in_schema = fanned.schema
     keep = [c for c in key_cols if c != agent_col]
     out_schema = T.StructType([in_schema[c] for c in keep] + [

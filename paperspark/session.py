@@ -59,12 +59,46 @@ def local_session(cores: int | str = "*", shuffle_partitions: int = 8,
         builder = builder.config(k, v)
     spark = builder.getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
+    ship_package(spark)
     return spark
 
 
 def apply_required_conf(spark: SparkSession) -> None:
     for k, v in REQUIRED_CONF.items():
         spark.conf.set(k, v)
+    ship_package(spark)
+
+
+_shipped: set = set()
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Make this package importable in the Python workers.
+
+    Functions run by ``mapInPandas`` are pickled by reference to their
+    module, so every worker must be able to import ``paperspark`` wherever
+    the driver was started. The package's sources are zipped once per
+    application and handed to ``addPyFile``; Spark serves the file to every
+    executor from the driver.
+    """
+    import zipfile
+
+    sc = spark.sparkContext
+    app = sc.applicationId
+    if app in _shipped:
+        return
+    pkg_dir = os.path.dirname(os.path.abspath(__file__))
+    base = os.path.dirname(pkg_dir)
+    fd, zpath = tempfile.mkstemp(prefix="paperspark-", suffix=".zip")
+    os.close(fd)
+    with zipfile.ZipFile(zpath, "w", zipfile.ZIP_DEFLATED) as z:
+        for dirpath, _, files in os.walk(pkg_dir):
+            for name in files:
+                if name.endswith(".py"):
+                    full = os.path.join(dirpath, name)
+                    z.write(full, os.path.relpath(full, base))
+    sc.addPyFile(zpath)
+    _shipped.add(app)
 
 
 def work_dir(spark: SparkSession) -> str:

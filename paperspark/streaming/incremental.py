@@ -14,6 +14,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from ..operators.index import build_index
+from ..session import ship_package
 from ..sources.papers import POS, parse_lines
 
 
@@ -40,6 +41,7 @@ def index_stream(spark: SparkSession, input_dir: str, index_path: str, rejects_p
     of parsed paper records, e.g. to summarise the new papers with
     :func:`paperspark.plans.corpus.summarise_missing`.
     """
+    ship_package(spark)
     lines = paper_line_stream(spark, input_dir)
 
     def process(batch: DataFrame, batch_id: int) -> None:
