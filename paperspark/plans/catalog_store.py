@@ -38,9 +38,15 @@ _built: dict = {}
 _lock = threading.Lock()
 
 
-def _summaries_of(spark, sf_dir, fn_for_agent=v.summarizer_fn, agent_name=None) -> DataFrame:
-    """Papers x summarizer agents through the batched user functions."""
-    out = tf.apply_agents(v.papers(spark, sf_dir), v.agents(spark), fn_for_agent, "abstract", ["id"],
+def _summaries_of(spark, sf_dir, fn_for_agent=v.summarizer_fn, agent_name=None,
+                  labelled_only: bool = False) -> DataFrame:
+    """Papers x summarizer agents through the batched user functions;
+    ``labelled_only`` keeps the papers listed in ``labels`` before any
+    function runs."""
+    papers = v.papers(spark, sf_dir)
+    if labelled_only:
+        papers = papers.join(_label_ids(spark, sf_dir).select(F.col("arxiv_id").alias("id")), "id", "left_semi")
+    out = tf.apply_agents(papers, v.agents(spark), fn_for_agent, "abstract", ["id"],
                           agent_class="summarizer", agent_name=agent_name)
     return out.select(F.col("agent_name").alias("summarizer_name"),
                       F.lit(v.FULL_MODEL).alias("full_model_name"),
@@ -205,8 +211,7 @@ def summary_upsert(spark, sf_dir):
     first = (_summaries_of(spark, sf_dir, lambda n, i: v.earlier_summarizer_fn, "DomainExpertSummarizer")
              .unionByName(_summaries_of(spark, sf_dir, agent_name="HighSchoolSummarizer")))
     sm.cache_summaries(first, path)
-    cur = _summaries_of(spark, sf_dir, agent_name="DomainExpertSummarizer").join(
-        _label_ids(spark, sf_dir).select("arxiv_id"), "arxiv_id", "left_semi")
+    cur = _summaries_of(spark, sf_dir, agent_name="DomainExpertSummarizer", labelled_only=True)
     second = (cur.withColumn("summary_text", F.lit("stale")).withColumn("_ord", F.lit(0))
               .unionByName(cur.withColumn("_ord", F.lit(1))))
     sm.cache_summaries(second, path, order_col="_ord")
@@ -229,8 +234,7 @@ def summary_insert_absent(spark, sf_dir):
     path = fresh_path(spark, "summaries-insert")
     base = _summaries_of(spark, sf_dir, lambda n, i: v.earlier_summarizer_fn, "DomainExpertSummarizer")
     sm.cache_summaries(base, path)
-    ids = _label_ids(spark, sf_dir).select("arxiv_id")
-    offered = _summaries_of(spark, sf_dir).join(ids, "arxiv_id", "left_semi").drop("error")
+    offered = _summaries_of(spark, sf_dir, labelled_only=True).drop("error")
     batch = (offered.withColumn("_ord", F.lit(0))
              .unionByName(offered.withColumn("summary_text", F.lit("later duplicate")).withColumn("_ord", F.lit(1)))
              .withColumn("timestamp", F.date_trunc("second", F.current_timestamp())))
@@ -253,9 +257,9 @@ def uncached_summaries(spark, sf_dir):
 
 def _precache(spark, sf_dir, path):
     """Summaries from an earlier run for the papers in ``labels``."""
-    ids = _label_ids(spark, sf_dir).select("arxiv_id")
-    early = _summaries_of(spark, sf_dir, lambda n, i: v.earlier_summarizer_fn, "DomainExpertSummarizer")
-    sm.cache_summaries(early.join(ids, "arxiv_id", "left_semi"), path)
+    early = _summaries_of(spark, sf_dir, lambda n, i: v.earlier_summarizer_fn, "DomainExpertSummarizer",
+                          labelled_only=True)
+    sm.cache_summaries(early, path)
 
 
 def _wanted_summaries(spark, sf_dir):
