@@ -55,7 +55,7 @@ def _summaries_of(spark, sf_dir, fn_for_agent=v.summarizer_fn, agent_name=None,
 
 def summary_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The summaries table of the whole corpus, written once per session."""
-    key = (id(spark.sparkContext), sf_dir)
+    key = (spark.sparkContext.applicationId, sf_dir)
     with _lock:
         if key not in _built:
             path = fresh_path(spark, "summaries")
@@ -74,7 +74,7 @@ WITH {SUMMARIES_SQL} SELECT * FROM summaries
 """)
 def summary_all(spark, sf_dir):
     summary_table(spark, sf_dir)
-    return sm.all_summaries(spark, _built[(id(spark.sparkContext), sf_dir)])
+    return sm.all_summaries(spark, _built[(spark.sparkContext.applicationId, sf_dir)])
 
 
 @register("by_summarizer", f"""
