@@ -159,3 +159,27 @@ def test_index_limit_counts_valid_records_in_order(spark):
     recs = pp.parse_lines(lines_df(spark, lines)).records
     assert sorted(r.id for r in ix.build_index(recs, limit=3).index.collect()) == ["i0", "i1", "i2"]
     assert ix.build_index(recs, limit=0).index.count() == 0
+
+
+def test_files_later_line_and_later_file_win(spark, tmp_path):
+    folder = tmp_path / "meta"
+    folder.mkdir()
+    (folder / "a.json").write_text('{"id":"x","title":"a1"}\n{"id":"y","title":"a2"}\n{"id":"x","title":"a3"}\n')
+    (folder / "b.json").write_text('{"id":"y","title":"b1"}\n{bad\n')
+    parsed = pp.parse_lines(pp.read_lines(spark, str(folder)))
+    got = {r.id: r.title for r in pp.load_papers(parsed.records, ["title"]).collect()}
+    assert got == {"x": "a3", "y": "b1"}
+    assert [r.reason for r in parsed.rejects.collect()] == ["malformed JSON"]
+
+
+def test_load_or_build_index_reuses_stored_index(spark, tmp_path):
+    folder = tmp_path / "meta"
+    folder.mkdir()
+    (folder / "a.json").write_text(GOOD + "\n")
+    path = str(tmp_path / "idx")
+    first = ix.load_or_build_index(spark, path, str(folder))
+    assert [r.id for r in first.collect()] == ["a1"]
+    (folder / "b.json").write_text(GOOD.replace('"a1"', '"a2"') + "\n")
+    assert [r.id for r in ix.load_or_build_index(spark, path, str(folder)).collect()] == ["a1"]
+    rebuilt = ix.load_or_build_index(spark, path, str(folder), rebuild=True)
+    assert sorted(r.id for r in rebuilt.collect()) == ["a1", "a2"]

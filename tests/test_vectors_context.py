@@ -162,3 +162,19 @@ def test_sliced_kernel_and_block_path_agree(spark):
         exp = brute(qs, vecs, 4, group)
         assert run_topk(spark, qs, vecs, 4, group, row_chunk=7) == exp
         assert run_topk(spark, qs, vecs, 4, group, budget=1, row_chunk=7) == exp
+
+
+def test_agent_catalogue_from_json(spark, tmp_path):
+    import json
+
+    from paperspark.sources.agents import normalise_agents, read_agents
+
+    path = tmp_path / "agents.json"
+    recs = [{"agent_class": "Summarizer", "agent_name": "S1", "instructions": "i", "agent_link": "R"},
+            {"agent_class": "summarizer", "agent_name": "S1", "instructions": "dup", "agent_link": "R"},
+            {"agent_class": "ResearchAssistant", "agent_name": "R", "instructions": "j", "agent_link": "S1"}]
+    path.write_text("\n".join(json.dumps(r) for r in recs) + "\n")
+    agents = read_agents(spark, str(path))
+    assert sorted((r.agent_class, r.agent_name) for r in agents.collect()) == [
+        ("researchassistant", "R"), ("summarizer", "S1")]
+    assert normalise_agents(agents, "Summarizer").count() == 1
