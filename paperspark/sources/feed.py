@@ -30,3 +30,17 @@ def newest(feed: DataFrame, n: int = DEFAULT_FEED_SIZE) -> DataFrame:
 def write_feed(feed: DataFrame, path: str) -> None:
     """JSON lines, one record per line (read back with ``spark.read.json``)."""
     feed.write.mode("overwrite").json(path)
+
+
+SAVED_FEED_DDL = ("title string, authors array<string>, summary string, published string, "
+                  "updated string, pdf_url string, entry_id string")
+
+
+def read_saved_feed(spark, path: str, array_file: bool = True) -> DataFrame:
+    """Normalised feed records saved as one JSON array per file (the
+    pretty-printed form) or, with ``array_file=False``, as JSON lines.
+    Times stay ISO-8601 text, as saved."""
+    reader = spark.read.schema(SAVED_FEED_DDL)
+    if array_file:
+        reader = reader.option("multiLine", "true")
+    return reader.json(path)

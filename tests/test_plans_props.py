@@ -75,3 +75,18 @@ def test_empty_inputs_give_empty_results(spark, tmp_path):
     out = memo.memoised(rows, list(VECTOR_KEY), lambda d: d.select(*VECTOR_KEY, F.array(F.lit(1.0)).alias("embedding")),
                         str(tmp_path / "v"), VECTOR_PARTITIONS, VECTOR_SCHEMA)
     assert out.count() == 0
+
+
+def test_saved_feed_array_file(spark, tmp_path):
+    import json
+
+    from paperspark.sources.feed import read_saved_feed
+
+    recs = [{"title": "T1", "authors": ["A", "B"], "summary": "s one", "published": "2024-05-01T12:00:00+00:00",
+             "updated": "2024-05-02T00:00:00+00:00", "pdf_url": "u1", "entry_id": "e1"},
+            {"title": "T2", "authors": [], "summary": "s two", "published": "2024-05-03T12:00:00+00:00",
+             "updated": "2024-05-03T12:00:00+00:00", "pdf_url": "u2", "entry_id": "e2"}]
+    path = tmp_path / "papers.json"
+    path.write_text(json.dumps(recs, indent=2))
+    got = sorted((r.entry_id, r.authors) for r in read_saved_feed(spark, str(path)).collect())
+    assert got == [("e1", ["A", "B"]), ("e2", [])]
