@@ -699,3 +699,17 @@ def answers_q(spark, sf_dir):
                                                      F.col("text").alias("question"))
     out = answer_questions(qs, v.document_store(spark, sf_dir), v.papers(spark, sf_dir), _length_answer)
     return out.answers.select("question_id", "answer", "sources", "error")
+
+
+@register("summaries_with_assistant", """
+SELECT s.name AS agent_name, 'p' || d.doc_id AS id, 'ResearchAssistant' AS agent_link,
+       'researchassistant' AS linked_class
+FROM documents d CROSS JOIN (VALUES ('DomainExpertSummarizer'), ('HighSchoolSummarizer')) s(name)
+""")
+def summaries_with_assistant(spark, sf_dir):
+    """Each summary row with the assistant its summarizer links to (J12)."""
+    from ..sources.agents import agent_links
+
+    links = agent_links(v.agents(spark)).select("agent_name", "agent_link", "linked_class")
+    out = tf.apply_agents(v.papers(spark, sf_dir), v.agents(spark), v.summarizer_fn, "abstract", ["id"])
+    return out.join(links, "agent_name").select("agent_name", "id", "agent_link", "linked_class")
