@@ -178,3 +178,11 @@ def test_agent_catalogue_from_json(spark, tmp_path):
     assert sorted((r.agent_class, r.agent_name) for r in agents.collect()) == [
         ("researchassistant", "R"), ("summarizer", "S1")]
     assert normalise_agents(agents, "Summarizer").count() == 1
+
+
+def test_embed_with_numpy_outputs(spark):
+    df = spark.createDataFrame([(1, "ab"), (2, "abc"), (3, " ")], "id long, t string")
+    vecs, rejected = tf.embed_with(df, lambda texts: [np.array([len(t), 1.0]) for t in texts], "t", ["id"])
+    got = {r.id: r.embedding for r in vecs.collect()}
+    assert got == {1: [2.0, 1.0], 2: [3.0, 1.0]}
+    assert [r.id for r in rejected.collect()] == [3]
