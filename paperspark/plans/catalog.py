@@ -188,3 +188,17 @@ def papers_limit(spark, sf_dir):
 
 # Queries over the summary table, the vector store, retrieval and the feed.
 from . import catalog_store  # noqa: E402,F401  (registers on import)
+
+
+@register("index_rejects", """
+SELECT 'b' || item_id AS id, '' AS categories, 'Mon, 1 Jan 2024 00:00:00 GMT' AS created,
+       'missing category' AS reason FROM benchmark
+UNION ALL
+SELECT 'c' || conv_id || '-' || turn, role, 'turn ' || turn, 'missing or unparsable version time'
+FROM conversations
+""")
+def index_rejects(spark, sf_dir):
+    """Records without a category or with an unparsable version time are
+    quarantined by the index build, with the reason."""
+    recs = pp.parse_lines(v.index_edge_lines(spark, sf_dir)).records
+    return ix.build_index(recs).rejects

@@ -713,3 +713,29 @@ def summaries_with_assistant(spark, sf_dir):
     links = agent_links(v.agents(spark)).select("agent_name", "agent_link", "linked_class")
     out = tf.apply_agents(v.papers(spark, sf_dir), v.agents(spark), v.summarizer_fn, "abstract", ["id"])
     return out.join(links, "agent_name").select("agent_name", "id", "agent_link", "linked_class")
+
+
+@register("retrieve_agent_dedupe", f"""
+WITH {STORE_SQL},
+pairs AS (
+  SELECT q.vec_id AS question_id, s.agent_name, s.model_name, s.model_spec, s.arxiv_id, s.label,
+         list_sum(list_transform(list_zip(q.embedding, s.embedding),
+                  lambda x: (x[1]::DOUBLE - x[2]::DOUBLE) * (x[1]::DOUBLE - x[2]::DOUBLE))) AS dist
+  FROM embeddings q CROSS JOIN store s WHERE s.agent_name = 'A1'),
+best AS (SELECT * FROM pairs QUALIFY row_number() OVER (PARTITION BY question_id, arxiv_id
+           ORDER BY dist, agent_name, model_name, model_spec, arxiv_id, label) = 1),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY question_id
+             ORDER BY dist, agent_name, model_name, model_spec, arxiv_id, label) AS rank
+           FROM best QUALIFY rank <= 5)
+SELECT r.question_id, r.rank::BIGINT AS rank, r.arxiv_id, r.dist,
+       'Document ' || d.doc_id || ' (' || d.lang || ', ' || d.source || ')' AS title
+FROM ranked r JOIN documents d ON r.arxiv_id = 'p' || d.doc_id
+""")
+def retrieve_agent_dedupe(spark, sf_dir):
+    """Retrieval over one agent's vectors, k distinct papers per question,
+    each by its nearest vector (the rank is kept)."""
+    qs = v.embedding_queries(spark, sf_dir).withColumnRenamed("query_id", "question_id")
+    hits = ctx.retrieve(qs, v.embedding_store(spark, sf_dir), v.papers(spark, sf_dir), k=5,
+                        question_key=["question_id"], agent_name="A1", dedupe_papers=True,
+                        paper_fields=("title",))
+    return hits.select("question_id", F.col("rank").cast("bigint").alias("rank"), "arxiv_id", "dist", "title")

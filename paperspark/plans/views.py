@@ -196,3 +196,24 @@ def raw_feed(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.concat(F.lit("https://papers.example/pdf/p"), doc.cast("string")).alias("pdf_url"),
         F.concat(F.lit("https://papers.example/abs/p"), doc.cast("string")).alias("entry_id"),
     )
+
+
+def index_edge_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Paper lines plus records the index must quarantine: every
+    ``benchmark`` item as a record with empty categories, every
+    ``conversations`` turn as a record whose version time is not a date."""
+    rec = F.struct("id", "categories", "versions")
+    bench = table(spark, sf_dir, "benchmark").select(
+        F.concat(F.lit("b"), F.col("item_id").cast("string")).alias("id"), F.lit("").alias("categories"),
+        F.array(F.struct(F.lit("v1").alias("version"),
+                         F.lit("Mon, 1 Jan 2024 00:00:00 GMT").alias("created"))).alias("versions"),
+        F.col("item_id").alias("_n"))
+    conv = table(spark, sf_dir, "conversations").select(
+        F.concat(F.lit("c"), F.col("conv_id").cast("string"), F.lit("-"), F.col("turn").cast("string")).alias("id"),
+        F.col("role").alias("categories"),
+        F.array(F.struct(F.lit("v1").alias("version"),
+                         F.concat(F.lit("turn "), F.col("turn").cast("string")).alias("created"))).alias("versions"),
+        (F.col("conv_id") * 100 + F.col("turn")).alias("_n"))
+    return (paper_lines(spark, sf_dir)
+            .unionByName(bench.select(F.to_json(rec).alias("value"), _pos(3, F.col("_n")).alias(POS)))
+            .unionByName(conv.select(F.to_json(rec).alias("value"), _pos(4, F.col("_n")).alias(POS))))
