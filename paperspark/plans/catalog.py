@@ -153,6 +153,16 @@ def select_prefix(spark, sf_dir):
                             check_exists=False)
 
 
+@register("select_prefix_many", """
+SELECT event_type AS category, ts AS created, CAST(event_id AS VARCHAR) AS id FROM events
+WHERE starts_with(event_type, 'pur') OR starts_with(event_type, 'e')
+""")
+def select_prefix_many(spark, sf_dir):
+    """Prefix matching with more patterns than the OR-predicate limit."""
+    pats = ["pur", "e"] + [f"zz{i}" for i in range(80)]
+    return ix.select_papers(v.event_index(spark, sf_dir), pats, None, match="prefix", check_exists=False)
+
+
 @register("papers_by_ids", f"""
 WITH {PAPERS_SQL}
 SELECT id, title, abstract FROM papers

@@ -739,3 +739,34 @@ def retrieve_agent_dedupe(spark, sf_dir):
                         question_key=["question_id"], agent_name="A1", dedupe_papers=True,
                         paper_fields=("title",))
     return hits.select("question_id", F.col("rank").cast("bigint").alias("rank"), "arxiv_id", "dist", "title")
+
+
+@register("vector_upsert", f"""
+WITH {TOKENS_SQL},
+grid AS (SELECT d.doc_id, g.b FROM documents d CROSS JOIN range(64) g(b)),
+text_vec AS (SELECT g.doc_id, string_agg(coalesce(v.n, 0)::BIGINT::VARCHAR, ',' ORDER BY g.b) AS vec_text
+             FROM grid g LEFT JOIN doc_vec v ON v.doc_id = g.doc_id AND v.b = g.b GROUP BY g.doc_id),
+tag_tok AS (SELECT doc_id, unnest(regexp_split_to_array(lower(source || ' ' || lang), '[^\\p{{L}}\\p{{N}}]+')) AS w
+            FROM documents),
+tag_bkt AS (SELECT doc_id, ('0x' || substr(md5(w), 1, 8))::BIGINT % 64 AS b, count(*)::DOUBLE AS n
+            FROM tag_tok WHERE w <> '' GROUP BY ALL),
+tag_vec AS (SELECT g.doc_id, string_agg(coalesce(v.n, 0)::BIGINT::VARCHAR, ',' ORDER BY g.b) AS vec_text
+            FROM grid g LEFT JOIN tag_bkt v ON v.doc_id = g.doc_id AND v.b = g.b GROUP BY g.doc_id)
+SELECT 'A0' AS agent_name, 'p' || t.doc_id AS arxiv_id,
+       CASE WHEN l.doc_id IS NULL THEN t.vec_text ELSE g.vec_text END AS vec_text
+FROM text_vec t JOIN tag_vec g USING (doc_id) LEFT JOIN labels l USING (doc_id)
+""")
+def vector_upsert(spark, sf_dir):
+    """Store the vectors of every document, then replace those of the
+    papers in ``labels`` with vectors of their source and language tags."""
+    path = fresh_path(spark, "vectors-upsert")
+    docs = v.document_texts(spark, sf_dir)
+    upsert(hash_embed(docs, list(VECTOR_KEY), "text"), path, list(VECTOR_KEY), VECTOR_PARTITIONS, VECTOR_SCHEMA)
+    d = v.table(spark, sf_dir, "documents").select(
+        F.concat(F.lit("p"), F.col("doc_id").cast("string")).alias("arxiv_id"),
+        F.concat(F.col("source"), F.lit(" "), F.col("lang")).alias("tags"))
+    tagged = (docs.join(_label_ids(spark, sf_dir).select("arxiv_id"), "arxiv_id", "left_semi")
+              .join(d, "arxiv_id").drop("text"))
+    upsert(hash_embed(tagged, list(VECTOR_KEY), "tags"), path, list(VECTOR_KEY), VECTOR_PARTITIONS,
+           VECTOR_SCHEMA)
+    return read_table(spark, path, VECTOR_SCHEMA).select("agent_name", "arxiv_id", _vec_text().alias("vec_text"))
