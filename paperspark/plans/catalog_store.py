@@ -770,3 +770,31 @@ def vector_upsert(spark, sf_dir):
     upsert(hash_embed(tagged, list(VECTOR_KEY), "tags"), path, list(VECTOR_KEY), VECTOR_PARTITIONS,
            VECTOR_SCHEMA)
     return read_table(spark, path, VECTOR_SCHEMA).select("agent_name", "arxiv_id", _vec_text().alias("vec_text"))
+
+
+@register("corpus_incremental", """
+WITH sel AS (
+  SELECT doc_id,
+         TIMESTAMP '2024-01-01 00:00:00' + to_seconds((doc_id % 50) * 3600 + (doc_id % 3 + 1) * 60) AS created
+  FROM documents WHERE contains(source, 'src1'))
+SELECT s.name AS summarizer_name, 'p' || sel.doc_id AS arxiv_id,
+       sel.created BETWEEN TIMESTAMP '2024-01-01 10:00:00' AND TIMESTAMP '2024-01-01 20:02:00' AS cached
+FROM sel CROSS JOIN (VALUES ('DomainExpertSummarizer'), ('HighSchoolSummarizer')) s(name)
+WHERE sel.created BETWEEN TIMESTAMP '2024-01-01 05:00:00' AND TIMESTAMP '2024-01-02 00:00:00'
+""")
+def corpus_incremental(spark, sf_dir):
+    """Build for 10:00-20:02, then rebuild for 05:00-24:00 into the same
+    tables: the second build reuses the first one's summaries (``cached``)
+    and summarises only the papers new to the wider window."""
+    import datetime as dt
+
+    from .catalog import RANGE
+    from .corpus import CorpusPaths, build_corpus
+
+    paths = CorpusPaths(*(fresh_path(spark, n) for n in ("index", "summaries", "vectors", "snapshot")))
+    common = (v.agents(spark), v.summarizer_fn, (v.MODEL_NAME, v.MODEL_SPEC), ("hash", "64"))
+    lines = v.paper_lines(spark, sf_dir)
+    build_corpus(spark, lines, paths, "src1", RANGE, *common)
+    wider = [dt.datetime(2024, 1, 1, 5, 0, 0), dt.datetime(2024, 1, 2, 0, 0, 0)]
+    second = build_corpus(spark, lines, paths, "src1", wider, *common)
+    return second.summaries.select("summarizer_name", "arxiv_id", "cached")
