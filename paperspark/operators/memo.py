@@ -53,7 +53,7 @@ def checked_lookup(keys: DataFrame, store: DataFrame, key_cols: list[str], value
 
 def memoised(rows: DataFrame, key_cols: list[str], compute: Callable[[DataFrame], DataFrame],
              path: str, partition_by: list[str], schema: T.StructType,
-             replace: bool = False) -> DataFrame:
+             replace: bool = False, partition_values: dict | None = None) -> DataFrame:
     """Stored results for known keys plus freshly computed ones for the rest.
 
     ``compute(missing_rows)`` returns the schema's columns (plus optionally
@@ -62,6 +62,10 @@ def memoised(rows: DataFrame, key_cols: list[str], compute: Callable[[DataFrame]
     requested key with a ``cached`` flag, plus ``error`` for fresh rows that
     failed.
 
+    ``partition_values`` (e.g. ``{"model_name": "hash"}``) states partition
+    column values every requested row shares; the stored keys are then read
+    from those partitions only.
+
     Keys in ``rows`` must be unique (one request per key, like the keys of a
     dict); de-duplicate first if they may repeat.
 
@@ -72,7 +76,17 @@ def memoised(rows: DataFrame, key_cols: list[str], compute: Callable[[DataFrame]
     """
     spark = rows.sparkSession
     work_dir(spark)
-    stored_keys = read_table(spark, path, schema).select(*key_cols).withColumn("_hit", F.lit(True))
+    stored = read_table(spark, path, schema)
+    for col, val in (partition_values or {}).items():
+        if col not in partition_by:
+            raise ValueError(f"{col} is not a partition column")
+        stored = stored.filter(F.col(col) == F.lit(val))
+        # A requested row outside the stated partition is a caller error:
+        # fail on it rather than drop it.
+        rows = rows.withColumn(col, F.when(F.col(col) == F.lit(val), F.col(col)).otherwise(
+            F.raise_error(F.concat(F.lit(f"row outside the stated partition {col}={val}: "),
+                                   F.coalesce(F.col(col).cast("string"), F.lit("NULL"))))))
+    stored_keys = stored.select(*key_cols).withColumn("_hit", F.lit(True))
     payload = [c for c in rows.columns if c not in key_cols]
     tagged = (rows.join(stored_keys, key_cols, "left")
               .select(*key_cols,
@@ -92,7 +106,10 @@ def memoised(rows: DataFrame, key_cols: list[str], compute: Callable[[DataFrame]
     else:
         insert_absent(good, path, key_cols, partition_by, schema)
     # Hit keys were stored before this run and are untouched by its write.
-    hits = (read_table(spark, path, schema).join(hit_keys, key_cols, "left_semi")
+    after = read_table(spark, path, schema)
+    for col, val in (partition_values or {}).items():
+        after = after.filter(F.col(col) == F.lit(val))
+    hits = (after.join(hit_keys, key_cols, "left_semi")
             .withColumn("error", F.lit(None).cast("string")).withColumn("cached", F.lit(True)))
     return (hits.unionByName(good.withColumn("error", F.lit(None).cast("string"))
                              .withColumn("cached", F.lit(False)))

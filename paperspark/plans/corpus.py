@@ -58,11 +58,14 @@ def summarise_missing(papers: DataFrame, agents: DataFrame, fn_for_agent, summar
                                batch_size=batch_size, agent_col="summarizer_name")
         return out.withColumn("timestamp", F.date_trunc("second", F.current_timestamp()))
 
-    return memo.memoised(wanted, SUMMARY_KEY, compute, summaries_path, SUMMARY_PARTITIONS, SUMMARY_SCHEMA)
+    full = f"{model_name}:{model_spec}"
+    return memo.memoised(wanted, SUMMARY_KEY, compute, summaries_path, SUMMARY_PARTITIONS, SUMMARY_SCHEMA,
+                         partition_values={"full_model_name": full})
 
 
 def embed_missing(texts: DataFrame, vectors_path: str, embed: str | Callable = "hash", dims: int = 64,
-                  batch_size: int = 20, strict: bool = False) -> tuple[DataFrame, DataFrame]:
+                  batch_size: int = 20, strict: bool = False,
+                  partition_values: dict | None = None) -> tuple[DataFrame, DataFrame]:
     """Vectors of keyed texts (``VECTOR_KEY`` + ``text``): stored ones read
     back, the valid rest embedded and stored. Returns (vectors, rejected)."""
     valid, rejected = tf.split_valid(texts, "text", strict)
@@ -73,7 +76,8 @@ def embed_missing(texts: DataFrame, vectors_path: str, embed: str | Callable = "
         vecs, _ = tf.embed_with(todo, embed, "text", list(VECTOR_KEY), batch_size)
         return vecs
 
-    vecs = memo.memoised(valid, list(VECTOR_KEY), compute, vectors_path, VECTOR_PARTITIONS, VECTOR_SCHEMA)
+    vecs = memo.memoised(valid, list(VECTOR_KEY), compute, vectors_path, VECTOR_PARTITIONS, VECTOR_SCHEMA,
+                         partition_values=partition_values)
     return vecs, rejected
 
 
@@ -94,7 +98,8 @@ def build_corpus(spark: SparkSession, lines, paths: CorpusPaths, categories, dat
                         F.lit(embed_model[0].lower()).alias("model_name"),
                         F.lit(embed_model[1]).alias("model_spec"), "arxiv_id",
                         F.lit(ABSTRACT_LABEL).alias("label"), F.col("summary_text").alias("text"))
-    vectors, rejected = embed_missing(texts, paths.vectors, embed)
+    vectors, rejected = embed_missing(texts, paths.vectors, embed, partition_values={
+        "model_name": embed_model[0].lower(), "model_spec": embed_model[1]})
     searchable = vectors.filter(F.col("error").isNull()).select(*VECTOR_KEY, "embedding")
     write_snapshot(searchable, paths.snapshot)
     snapshot = spark.read.parquet(paths.snapshot)

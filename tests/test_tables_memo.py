@@ -141,3 +141,27 @@ def test_decompose_model():
     for bad in ("openai", "a:b:c", "other:m", None):
         with pytest.raises(ValueError):
             decompose_model(bad)
+
+
+def test_memoised_reads_only_the_stated_partition(spark, tmp_path):
+    from paperspark.schemas import VECTOR_PARTITIONS, VECTOR_SCHEMA
+    from paperspark.sources.tables import upsert
+
+    path = str(tmp_path / "vec")
+    other = spark.createDataFrame([("A", "other", "s", "p1", "abstract", [9.0])], VECTOR_SCHEMA)
+    upsert(other, path, list(VECTOR_KEY), VECTOR_PARTITIONS, VECTOR_SCHEMA)
+    rows = spark.createDataFrame([("A", "m", "s", "p1", "abstract", "abc")],
+                                 "agent_name string, model_name string, model_spec string, arxiv_id string, "
+                                 "label string, text string")
+
+    def compute(todo):
+        return todo.select(*VECTOR_KEY, F.array(F.length("text").cast("double")).alias("embedding"))
+
+    out = memo.memoised(rows, list(VECTOR_KEY), compute, path, VECTOR_PARTITIONS, VECTOR_SCHEMA,
+                        partition_values={"model_name": "m"})
+    assert [(r.model_name, r.embedding, r.cached) for r in out.collect()] == [("m", [3.0], False)]
+    stored = sorted((r.model_name, r.embedding[0]) for r in read_table(spark, path, VECTOR_SCHEMA).collect())
+    assert stored == [("m", 3.0), ("other", 9.0)]
+    with pytest.raises(Exception):
+        memo.memoised(rows, list(VECTOR_KEY), compute, path, VECTOR_PARTITIONS, VECTOR_SCHEMA,
+                      partition_values={"model_name": "x"}).collect()
