@@ -104,7 +104,7 @@ def memoised(rows: DataFrame, key_cols: list[str], compute: Callable[[DataFrame]
     if replace:
         upsert(good, path, key_cols, partition_by, schema, materialized=True)
     else:
-        insert_absent(good, path, key_cols, partition_by, schema)
+        insert_absent(good, path, key_cols, partition_by, schema, materialized=True)
     # Hit keys were stored before this run and are untouched by its write.
     after = read_table(spark, path, schema)
     for col, val in (partition_values or {}).items():

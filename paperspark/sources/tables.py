@@ -119,9 +119,13 @@ def upsert(incoming: DataFrame, path: str, key_cols: list[str], partition_by: li
 
 
 def insert_absent(incoming: DataFrame, path: str, key_cols: list[str], partition_by: list[str],
-                  schema: T.StructType, order_col: str | None = None) -> int:
+                  schema: T.StructType, order_col: str | None = None, materialized: bool = False) -> int:
     """Insert rows whose key is not stored yet (first row per key in the
-    batch wins); stored rows are never changed. Returns rows inserted."""
+    batch wins); stored rows are never changed. Returns rows inserted.
+
+    With ``materialized=True`` (the batch is a checkpoint or a table, so
+    listing it is cheap) the stored keys are read only from the partitions
+    the batch touches."""
     spark = incoming.sparkSession
     apply_required_conf(spark)
     value_cols = [f.name for f in schema.fields if f.name not in key_cols]
@@ -130,7 +134,13 @@ def insert_absent(incoming: DataFrame, path: str, key_cols: list[str], partition
     first = (inc.groupBy(*key_cols)
              .agg(F.min_by(F.struct(*value_cols), F.col(ORDER)).alias("_v"))
              .select(*key_cols, *[F.col(f"_v.{c}").alias(c) for c in value_cols]))
-    stored = read_table(spark, path, schema).select(*key_cols)
+    stored = read_table(spark, path, schema)
+    if materialized and partition_by:
+        parts = (incoming.select(*partition_by).distinct()
+                 .limit(MAX_LITERAL_PARTITIONS + 1).collect())
+        if len(parts) <= MAX_LITERAL_PARTITIONS:
+            stored = stored.filter(_touched_filter([r.asDict() for r in parts], partition_by))
+    stored = stored.select(*key_cols)
     new = first.join(stored, key_cols, "left_anti").select(*[f.name for f in schema.fields])
     obs = Observation("inserted")
     new = new.observe(obs, F.count(F.lit(1)).alias("n"))
