@@ -57,3 +57,20 @@ def index_stream(spark: SparkSession, input_dir: str, index_path: str, rejects_p
     writer = lines.writeStream.foreachBatch(process).option("checkpointLocation", checkpoint_location)
     writer = writer.trigger(availableNow=True) if available_now else writer.trigger(processingTime="1 minute")
     return writer.start()
+
+
+def summarise_new_papers(agents: DataFrame, fn_for_agent, summaries_path: str, model_name: str,
+                         model_spec: str, agent_class: str = "summarizer", agent_name: str | None = None):
+    """An ``on_batch`` callback for :func:`index_stream`: summarise the
+    papers of each micro-batch that the summary table lacks (a replayed
+    batch finds its summaries stored and computes nothing)."""
+    from ..plans.corpus import summarise_missing
+    from ..sources.papers import load_papers
+
+    def on_batch(records: DataFrame, batch_id: int) -> None:
+        papers = load_papers(records, ["title", "abstract"])
+        out = summarise_missing(papers, agents, fn_for_agent, summaries_path, model_name, model_spec,
+                                agent_class, agent_name)
+        out.write.format("noop").mode("overwrite").save()
+
+    return on_batch

@@ -28,3 +28,29 @@ def test_index_stream_is_incremental(spark, tmp_path):
     q.awaitTermination(120)
     assert sorted(r.id for r in spark.read.parquet(idx).collect()) == ["a1", "a2", "b1"]
     assert seen == [2]
+
+
+def test_stream_summarises_only_new_papers(spark, tmp_path):
+    from paperspark.operators.summaries import all_summaries
+    from paperspark.plans import views as v
+    from paperspark.streaming.incremental import summarise_new_papers
+
+    src = tmp_path / "in"
+    src.mkdir()
+    idx, rej, ckpt, summ = (str(tmp_path / n) for n in ("idx", "rej", "ckpt", "summ"))
+    calls = spark.sparkContext.accumulator(0)
+
+    def fn_for_agent(name, instructions):
+        def fn(texts):
+            calls.add(len(texts))
+            return [name + ": " + (t or "") for t in texts]
+        return fn
+
+    cb = summarise_new_papers(v.agents(spark), fn_for_agent, summ, "openai", "m")
+    write_file(src, "a.json", [LINE.format(i="a1", s=1)])
+    index_stream(spark, str(src), idx, rej, ckpt, on_batch=cb).awaitTermination(120)
+    write_file(src, "b.json", [LINE.format(i="b1", s=2)])
+    index_stream(spark, str(src), idx, rej, ckpt, on_batch=cb).awaitTermination(120)
+    got = sorted((r.summarizer_name, r.arxiv_id) for r in all_summaries(spark, summ).collect())
+    assert got == [(a, p) for a in v.SUMMARIZERS for p in ("a1", "b1")]
+    assert calls.value == 4
