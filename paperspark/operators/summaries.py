@@ -107,14 +107,30 @@ def summaries_by_summarizer(table: DataFrame, chunk: int = 10_000) -> DataFrame:
                          F.struct("arxiv_id", "summary_text"), order="arxiv_id", chunk=chunk)
 
 
-# Named queries over a view called ``summaries``: the name says which key
-# parts are bound, in key order, to positional ``?`` markers.
+# --- Fixed values: names of the lookup queries over the summary table ------
+QUERY_NAMES = [
+    "select-summaries-by-primary-key",
+    "select-all-summaries",
+    "select-summaries-by-full-model",
+    "select-summaries-by-summarizer",
+    "select-summaries-by-arxiv-id",
+    "select-summaries-by-full-model-and-arxiv-id",
+    "select-summaries-by-summarizer-and-full-model",
+    "select-summaries-by-summarizer-and-arxiv-id",
+    "select-summaries-by-summarizer-and-full-model-and-arxiv-id",
+]
+# ---------------------------------------------------------------------------
+
+# Each name says which key parts are bound, in key order, to positional
+# ``?`` markers of a query over a view called ``summaries``.
 _NAME_PARTS = {"summarizer": "summarizer_name", "full-model": "full_model_name",
                "arxiv-id": "arxiv_id"}
 
 
 def named_query_text(name: str) -> str:
     """SQL text of a named lookup, e.g. ``select-summaries-by-summarizer-and-arxiv-id``."""
+    if name not in QUERY_NAMES:
+        raise ValueError(f"Query '{name}' not found.")
     cols = ", ".join(SUMMARY_COLS)
     if name == "select-all-summaries":
         return f"SELECT {cols} FROM summaries"

@@ -165,3 +165,10 @@ def test_memoised_reads_only_the_stated_partition(spark, tmp_path):
     with pytest.raises(Exception):
         memo.memoised(rows, list(VECTOR_KEY), compute, path, VECTOR_PARTITIONS, VECTOR_SCHEMA,
                       partition_values={"model_name": "x"}).collect()
+
+
+def test_every_named_query_builds():
+    for name in sm.QUERY_NAMES:
+        assert sm.named_query_text(name).startswith("SELECT")
+    with pytest.raises(ValueError):
+        sm.named_query_text("select-summaries-by-arxiv-id-and-summarizer")
