@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame, functions as F
 from pyspark.sql import types as T
 
 from ..session import work_dir
-from ..sources.tables import insert_absent, read_table, upsert
+from ..sources.tables import insert_absent, path_exists, read_table, upsert
 
 
 def present_keys(keys: DataFrame, table: DataFrame, key_cols: list[str]) -> DataFrame:
@@ -86,15 +86,20 @@ def memoised(rows: DataFrame, key_cols: list[str], compute: Callable[[DataFrame]
         rows = rows.withColumn(col, F.when(F.col(col) == F.lit(val), F.col(col)).otherwise(
             F.raise_error(F.concat(F.lit(f"row outside the stated partition {col}={val}: "),
                                    F.coalesce(F.col(col).cast("string"), F.lit("NULL"))))))
-    stored_keys = stored.select(*key_cols).withColumn("_hit", F.lit(True))
-    payload = [c for c in rows.columns if c not in key_cols]
-    tagged = (rows.join(stored_keys, key_cols, "left")
-              .select(*key_cols,
-                      *[F.when(F.col("_hit").isNull(), F.col(c)).alias(c) for c in payload],
-                      F.coalesce(F.col("_hit"), F.lit(False)).alias("_hit"))
-              .checkpoint(eager=True))
-    todo = tagged.filter(~F.col("_hit")).drop("_hit")
-    hit_keys = tagged.filter(F.col("_hit")).select(*key_cols).distinct()
+    if not path_exists(spark, path):
+        # First run: every row is a miss; nothing to tag or stage.
+        todo = rows
+        hit_keys = None
+    else:
+        stored_keys = stored.select(*key_cols).withColumn("_hit", F.lit(True))
+        payload = [c for c in rows.columns if c not in key_cols]
+        tagged = (rows.join(stored_keys, key_cols, "left")
+                  .select(*key_cols,
+                          *[F.when(F.col("_hit").isNull(), F.col(c)).alias(c) for c in payload],
+                          F.coalesce(F.col("_hit"), F.lit(False)).alias("_hit"))
+                  .checkpoint(eager=True))
+        todo = tagged.filter(~F.col("_hit")).drop("_hit")
+        hit_keys = tagged.filter(F.col("_hit")).select(*key_cols).distinct()
     fresh = compute(todo)
     if "error" not in fresh.columns:
         fresh = fresh.withColumn("error", F.lit(None).cast("string"))
@@ -105,12 +110,14 @@ def memoised(rows: DataFrame, key_cols: list[str], compute: Callable[[DataFrame]
         upsert(good, path, key_cols, partition_by, schema, materialized=True)
     else:
         insert_absent(good, path, key_cols, partition_by, schema, materialized=True)
+    fresh_out = (good.withColumn("error", F.lit(None).cast("string")).withColumn("cached", F.lit(False))
+                 .unionByName(fresh.filter(F.col("error").isNotNull()).withColumn("cached", F.lit(False))))
+    if hit_keys is None:
+        return fresh_out
     # Hit keys were stored before this run and are untouched by its write.
     after = read_table(spark, path, schema)
     for col, val in (partition_values or {}).items():
         after = after.filter(F.col(col) == F.lit(val))
     hits = (after.join(hit_keys, key_cols, "left_semi")
             .withColumn("error", F.lit(None).cast("string")).withColumn("cached", F.lit(True)))
-    return (hits.unionByName(good.withColumn("error", F.lit(None).cast("string"))
-                             .withColumn("cached", F.lit(False)))
-            .unionByName(fresh.filter(F.col("error").isNotNull()).withColumn("cached", F.lit(False))))
+    return hits.unionByName(fresh_out)
