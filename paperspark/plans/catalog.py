@@ -96,13 +96,16 @@ def index_flat(spark, sf_dir):
 
 @register("index_grouped", f"""
 WITH {PAPERS_SQL}
-SELECT category, created, 0::BIGINT AS part, count(*) AS n_ids,
-       string_agg(id, ',' ORDER BY id) AS ids
-FROM papers GROUP BY category, created
+SELECT category, created, count(*) OVER (PARTITION BY category, created) AS n_ids,
+       TRUE AS sorted_ok, id
+FROM papers
 """)
 def index_grouped(spark, sf_dir):
+    """The nested view, flattened back: every id once with its group's size,
+    and whether its chunk's list is sorted (valid however groups are split)."""
     g = ix.ids_per_group(_index(spark, sf_dir))
-    return g.select("category", "created", "part", "n_ids", F.array_join("ids", ",").alias("ids"))
+    return g.select("category", "created", "n_ids", (F.col("ids") == F.sort_array("ids")).alias("sorted_ok"),
+                    F.explode("ids").alias("id"))
 
 
 @register("index_group_summary", f"""

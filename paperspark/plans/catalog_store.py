@@ -175,17 +175,19 @@ def summary_multi_key(spark, sf_dir):
 
 @register("summary_grouped", f"""
 WITH {SUMMARIES_SQL}
-SELECT summarizer_name, 0::BIGINT AS part, count(*) AS n_items,
-       string_agg(arxiv_id, ',' ORDER BY arxiv_id) AS ids,
-       sum(length(summary_text))::BIGINT AS total_chars
-FROM summaries GROUP BY summarizer_name
+SELECT summarizer_name, count(*) OVER (PARTITION BY summarizer_name) AS n_items, TRUE AS sorted_ok,
+       arxiv_id, length(summary_text)::BIGINT AS chars
+FROM summaries
 """)
 def summary_grouped(spark, sf_dir):
+    """Summaries per summarizer, flattened back: every pair once with its
+    group's size, and whether its chunk is in paper order."""
     g = sm.summaries_by_summarizer(summary_table(spark, sf_dir))
-    return g.select("summarizer_name", "part", "n_items",
-                    F.array_join(F.transform("items", lambda e: e["arxiv_id"]), ",").alias("ids"),
-                    F.aggregate(F.transform("items", lambda e: F.length(e["summary_text"]).cast("bigint")),
-                                F.lit(0).cast("bigint"), lambda a, b: a + b).alias("total_chars"))
+    ids = F.transform("items", lambda e: e["arxiv_id"])
+    return (g.select("summarizer_name", "n_items", (ids == F.sort_array(ids)).alias("sorted_ok"),
+                     F.explode("items").alias("_e"))
+            .select("summarizer_name", "n_items", "sorted_ok", F.col("_e.arxiv_id").alias("arxiv_id"),
+                    F.length("_e.summary_text").cast("bigint").alias("chars")))
 
 
 def _batch(spark, sf_dir, fn, agent_name=None, order=0):
@@ -308,16 +310,20 @@ def agents_x_texts(spark, sf_dir):
 
 
 @register("outputs_per_agent", """
-SELECT s.name AS agent_name, 0::BIGINT AS part, count(*) AS n_items,
-       string_agg('p' || d.doc_id, ',' ORDER BY d.doc_id) AS ids
+SELECT s.name AS agent_name, count(*) OVER (PARTITION BY s.name) AS n_items, TRUE AS in_order,
+       'p' || d.doc_id AS id
 FROM documents d CROSS JOIN (VALUES ('DomainExpertSummarizer'), ('HighSchoolSummarizer')) s(name)
-GROUP BY s.name
 """)
 def outputs_per_agent(spark, sf_dir):
+    """Outputs regrouped per agent in input order, flattened back: every
+    output once with its agent's count, and whether its chunk keeps input
+    order."""
     res = agents_x_texts(spark, sf_dir).withColumn("_n", F.expr("cast(substring(id, 2) as bigint)"))
-    g = tf.outputs_per_agent(res.withColumn("_o", F.struct("id", "summary_text")), "_n", "_o")
-    return g.select("agent_name", "part", "n_items",
-                    F.array_join(F.transform("outputs", lambda e: e["id"]), ",").alias("ids"))
+    g = tf.outputs_per_agent(res.withColumn("_o", F.struct("_n", "id")), "_n", "_o")
+    nums = F.transform("outputs", lambda e: e["_n"])
+    return (g.select("agent_name", "n_items", (nums == F.sort_array(nums)).alias("in_order"),
+                     F.explode("outputs").alias("_e"))
+            .select("agent_name", "n_items", "in_order", F.col("_e.id").alias("id")))
 
 
 @register("text_validity", """
