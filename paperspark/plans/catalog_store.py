@@ -190,11 +190,6 @@ def summary_grouped(spark, sf_dir):
                     F.length("_e.summary_text").cast("bigint").alias("chars")))
 
 
-def _batch(spark, sf_dir, fn, agent_name=None, order=0):
-    return (_summaries_of(spark, sf_dir, lambda n, i: fn if fn is not None else v.summarizer_fn(n), agent_name)
-            .withColumn("_ord", F.lit(order)))
-
-
 @register("summary_upsert", f"""
 WITH {SUMMARIES_SQL},
 old AS (SELECT 'p' || doc_id AS arxiv_id, replace(text, chr(10), '  ') AS t FROM documents)
