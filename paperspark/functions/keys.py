@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, functions as F
 
-from ..schemas import KEY_SEPARATOR, SUPPORTED_MODELS, VECTOR_KEY
+from ..schemas import KEY_SEPARATOR, SUPPORTED_MODELS
 
 
 def _c(col) -> Column:
@@ -36,10 +36,6 @@ def cache_key(agent, model, spec, paper, label) -> Column:
     )
 
 
-def key_of(df_cols=VECTOR_KEY) -> Column:
-    return cache_key(*df_cols)
-
-
 def parse_key(col) -> Column:
     """Struct of the five key parts; fewer than five parts raise."""
     parts = F.split(_c(col), KEY_SEPARATOR, 5)
