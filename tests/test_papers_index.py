@@ -183,3 +183,18 @@ def test_load_or_build_index_reuses_stored_index(spark, tmp_path):
     assert [r.id for r in ix.load_or_build_index(spark, path, str(folder)).collect()] == ["a1"]
     rebuilt = ix.load_or_build_index(spark, path, str(folder), rebuild=True)
     assert sorted(r.id for r in rebuilt.collect()) == ["a1", "a2"]
+
+
+def test_hot_id_is_reduced_before_the_shuffle(spark):
+    from paperspark.plans.explain import plan_text
+
+    lines = [f'{{"id":"hot","title":"t{i}"}}' if i % 3 == 0 else f'{{"id":"u{i}","title":"x"}}'
+             for i in range(3000)]
+    recs = pp.parse_lines(lines_df(spark, lines).repartition(6)).records
+    out = pp.load_papers(recs, ["title"])
+    got = {r.id: r.title for r in out.collect()}
+    assert got["hot"] == "t2997" and len(got) == 2001
+    # The plan tree lists the final aggregate above the Exchange and the
+    # partial one below it.
+    tree = plan_text(out).split("\n\n")[0]
+    assert "Aggregate" in tree.split("Exchange", 1)[1]
