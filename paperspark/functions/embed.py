@@ -31,19 +31,20 @@ def hash_embed(df: DataFrame, key_cols: list[str], text_col: str, dims: int = 64
     Computed inside the row, with no explode and no shuffle: the token
     buckets plus one copy of every bucket id are sorted natively; the count
     of bucket ``b`` is then the distance between the first positions of
-    ``b`` and ``b + 1``, minus the added copy. Each intermediate array has
-    its own projection (an array referenced inside a lambda would otherwise
-    be rebuilt for every element).
+    ``b`` and ``b + 1``, minus the added copy. Each intermediate array comes
+    out of a one-row ``explode``: the optimizer can neither inline it into a
+    lambda (which would rebuild it for every element) nor push a filter on
+    the result below it.
     """
     all_ids = F.sequence(F.lit(0), F.lit(dims - 1)).cast("array<bigint>")
     buckets = F.transform(tokens(text_col), lambda w: token_bucket(w, dims))
-    srt = df.select(*key_cols, F.sort_array(F.concat(F.coalesce(buckets, F.array().cast("array<bigint>")),
-                                                     all_ids)).alias("_s"))
+    srt = df.select(*key_cols, F.explode(F.array(F.sort_array(F.concat(
+        F.coalesce(buckets, F.array().cast("array<bigint>")), all_ids)))).alias("_s"))
     s = F.col("_s")
-    first = srt.select(*key_cols, F.transform(
+    first = srt.select(*key_cols, F.explode(F.array(F.transform(
         F.sequence(F.lit(0), F.lit(dims)),
         lambda b: F.when(b == dims, F.size(s) + 1).otherwise(F.array_position(s, b.cast("bigint"))),
-    ).alias("_f"))
+    ))).alias("_f"))
     f = F.col("_f")
     return first.select(*key_cols, F.transform(
         F.sequence(F.lit(1), F.lit(dims)),

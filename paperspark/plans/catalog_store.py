@@ -799,3 +799,25 @@ def corpus_incremental(spark, sf_dir):
     wider = [dt.datetime(2024, 1, 1, 5, 0, 0), dt.datetime(2024, 1, 2, 0, 0, 0)]
     second = build_corpus(spark, lines, paths, "src1", wider, *common)
     return second.summaries.select("summarizer_name", "arxiv_id", "cached")
+
+
+@register("topk_one", RETRIEVE_SQL + """,
+all_q AS (SELECT b, sum(n) AS n FROM q_vec GROUP BY b),
+all_qn AS (SELECT coalesce(sum(n * n), 0) AS nn FROM all_q),
+one_dots AS (SELECT d.doc_id, sum(q.n * d.n) AS dot FROM all_q q JOIN doc_vec d USING (b) GROUP BY d.doc_id),
+one AS (SELECT 'p' || dn.doc_id AS arxiv_id, all_qn.nn + dn.nn - 2 * coalesce(one_dots.dot, 0) AS dist
+        FROM dn CROSS JOIN all_qn LEFT JOIN one_dots USING (doc_id))
+SELECT row_number() OVER (ORDER BY dist, arxiv_id)::BIGINT AS rank, arxiv_id, dist
+FROM one QUALIFY rank <= 5
+""")
+def topk_one(spark, sf_dir):
+    """One query: all benchmark questions taken together (the sum of their
+    token-count vectors), against every document vector."""
+    qs = v.questions(spark, sf_dir)
+    summed = (qs.select(F.posexplode("embedding").alias("i", "x"))
+              .groupBy("i").agg(F.sum("x").alias("x"))
+              .agg(F.sort_array(F.collect_list(F.struct("i", "x"))).alias("_e"))
+              .select(F.lit(0).cast("bigint").alias("question_id"),
+                      F.transform("_e", lambda e: e["x"]).alias("embedding")))
+    hits = top_k(summed, v.document_store(spark, sf_dir), 5, ["question_id"], list(VECTOR_KEY))
+    return hits.select(F.col("rank").cast("bigint").alias("rank"), "arxiv_id", "dist")
