@@ -28,7 +28,7 @@ def hash_embed(df: DataFrame, key_cols: list[str], text_col: str, dims: int = 64
     """``key_cols + [out_col]``: dense ``array<double>`` of token counts per
     bucket for each row's text.
 
-    Computed inside the row, with no explode and no shuffle: the token
+    Computed inside the row, with no per-token explode and no shuffle: the token
     buckets plus one copy of every bucket id are sorted natively; the count
     of bucket ``b`` is then the distance between the first positions of
     ``b`` and ``b + 1``, minus the added copy. Each intermediate array comes

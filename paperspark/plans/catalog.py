@@ -104,8 +104,11 @@ def index_grouped(spark, sf_dir):
     """The nested view, flattened back: every id once with its group's size,
     and whether its chunk's list is sorted (valid however groups are split)."""
     g = ix.ids_per_group(_index(spark, sf_dir))
-    return g.select("category", "created", "n_ids", (F.col("ids") == F.sort_array("ids")).alias("sorted_ok"),
-                    F.explode("ids").alias("id"))
+    # The check is computed before the explode, so the exploded rows do not
+    # have to carry the whole list.
+    checked = g.select("category", "created", "n_ids", "ids",
+                       (F.col("ids") == F.sort_array("ids")).alias("sorted_ok"))
+    return checked.select("category", "created", "n_ids", "sorted_ok", F.explode("ids").alias("id"))
 
 
 @register("index_group_summary", f"""

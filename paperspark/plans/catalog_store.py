@@ -184,8 +184,9 @@ def summary_grouped(spark, sf_dir):
     group's size, and whether its chunk is in paper order."""
     g = sm.summaries_by_summarizer(summary_table(spark, sf_dir))
     ids = F.transform("items", lambda e: e["arxiv_id"])
-    return (g.select("summarizer_name", "n_items", (ids == F.sort_array(ids)).alias("sorted_ok"),
-                     F.explode("items").alias("_e"))
+    # Checks first, explode after: exploded rows must not carry the list.
+    checked = g.select("summarizer_name", "n_items", "items", (ids == F.sort_array(ids)).alias("sorted_ok"))
+    return (checked.select("summarizer_name", "n_items", "sorted_ok", F.explode("items").alias("_e"))
             .select("summarizer_name", "n_items", "sorted_ok", F.col("_e.arxiv_id").alias("arxiv_id"),
                     F.length("_e.summary_text").cast("bigint").alias("chars")))
 
@@ -316,8 +317,9 @@ def outputs_per_agent(spark, sf_dir):
     res = agents_x_texts(spark, sf_dir).withColumn("_n", F.expr("cast(substring(id, 2) as bigint)"))
     g = tf.outputs_per_agent(res.withColumn("_o", F.struct("_n", "id")), "_n", "_o")
     nums = F.transform("outputs", lambda e: e["_n"])
-    return (g.select("agent_name", "n_items", (nums == F.sort_array(nums)).alias("in_order"),
-                     F.explode("outputs").alias("_e"))
+    # Checks first, explode after: exploded rows must not carry the list.
+    checked = g.select("agent_name", "n_items", "outputs", (nums == F.sort_array(nums)).alias("in_order"))
+    return (checked.select("agent_name", "n_items", "in_order", F.explode("outputs").alias("_e"))
             .select("agent_name", "n_items", "in_order", F.col("_e.id").alias("id")))
 
 
