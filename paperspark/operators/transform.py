@@ -24,6 +24,13 @@ TextFn = Callable[[list], Sequence]
 MAX_AGENTS = 10_000
 
 
+def _check_batch_size(batch_size) -> int:
+    size = int(batch_size)
+    if size < 1:
+        raise ValueError("batch_size must be at least 1")
+    return size
+
+
 def apply_batched(df: DataFrame, fn: TextFn, input_col: str, output_col: str,
                   output_type: T.DataType, batch_size: int = EMBED_BATCH_SIZE,
                   keep_cols: list[str] | None = None) -> DataFrame:
@@ -34,7 +41,7 @@ def apply_batched(df: DataFrame, fn: TextFn, input_col: str, output_col: str,
     out_schema = T.StructType(
         [in_df.schema[c] for c in keep]
         + [T.StructField(output_col, output_type), T.StructField("error", T.StringType())])
-    size = int(batch_size)
+    size = _check_batch_size(batch_size)
 
     def run(batches):
         import pandas as pd
@@ -138,7 +145,7 @@ def run_agent_fns(fanned: DataFrame, fns: dict, key_cols: list[str], text_col: s
         T.StructField(agent_col, T.StringType()),
         T.StructField(output_col, T.StringType()),
         T.StructField("error", T.StringType())])
-    size = int(batch_size)
+    size = _check_batch_size(batch_size)
     src = fanned.select(*keep, agent_col, F.col(text_col).alias("_text"))
 
     def run(batches):

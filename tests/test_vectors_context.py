@@ -186,3 +186,9 @@ def test_embed_with_numpy_outputs(spark):
     got = {r.id: r.embedding for r in vecs.collect()}
     assert got == {1: [2.0, 1.0], 2: [3.0, 1.0]}
     assert [r.id for r in rejected.collect()] == [3]
+
+
+def test_batch_size_must_be_positive(spark):
+    df = spark.createDataFrame([(1, "a")], "id long, t string")
+    with pytest.raises(ValueError):
+        tf.apply_batched(df, lambda x: x, "t", "out", T.StringType(), 0, ["id"])
