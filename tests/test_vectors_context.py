@@ -192,3 +192,19 @@ def test_batch_size_must_be_positive(spark):
     df = spark.createDataFrame([(1, "a")], "id long, t string")
     with pytest.raises(ValueError):
         tf.apply_batched(df, lambda x: x, "t", "out", T.StringType(), 0, ["id"])
+
+
+def test_answer_step_with_user_embedder(spark):
+    from paperspark.plans.answers import answer_questions
+    from paperspark.schemas import VECTOR_SCHEMA
+
+    store = spark.createDataFrame([("A", "m", "s", "p1", "abstract", [1.0, 0.0]),
+                                   ("A", "m", "s", "p2", "abstract", [0.0, 1.0])], VECTOR_SCHEMA)
+    papers = spark.createDataFrame([("p1", "T1", "first"), ("p2", "T2", "second")],
+                                   "id string, title string, abstract string")
+    questions = spark.createDataFrame([(1, "xx"), (2, "yyy")], "question_id long, question string")
+    embed = lambda texts: [[1.0, 0.0] if len(t) == 2 else [0.0, 1.0] for t in texts]
+    out = answer_questions(questions, store, papers, lambda ctxs: [c.split("\n")[3] for c in ctxs],
+                           embed=embed, k=1)
+    got = {r.question_id: (r.answer, r.sources) for r in out.answers.collect()}
+    assert got == {1: ("arXiv:p1", "- arXiv:p1 Title: T1"), 2: ("arXiv:p2", "- arXiv:p2 Title: T2")}
