@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame, functions as F
 from pyspark.sql import types as T
 
 from ..functions.text import text_validity
-from ..session import ship_package
+from ..session import ship_package, spread_for_cpu
 from ..schemas import EMBED_BATCH_SIZE
 
 TextFn = Callable[[list], Sequence]
@@ -37,7 +37,7 @@ def apply_batched(df: DataFrame, fn: TextFn, input_col: str, output_col: str,
     """``keep_cols + [output_col, error]`` with ``fn`` applied to ``input_col``."""
     keep = list(keep_cols) if keep_cols is not None else [c for c in df.columns if c != input_col]
     ship_package(df.sparkSession)
-    in_df = df.select(*keep, F.col(input_col).alias("_in"))
+    in_df = spread_for_cpu(df.select(*keep, F.col(input_col).alias("_in")))
     out_schema = T.StructType(
         [in_df.schema[c] for c in keep]
         + [T.StructField(output_col, output_type), T.StructField("error", T.StringType())])
@@ -146,7 +146,7 @@ def run_agent_fns(fanned: DataFrame, fns: dict, key_cols: list[str], text_col: s
         T.StructField(output_col, T.StringType()),
         T.StructField("error", T.StringType())])
     size = _check_batch_size(batch_size)
-    src = fanned.select(*keep, agent_col, F.col(text_col).alias("_text"))
+    src = spread_for_cpu(fanned.select(*keep, agent_col, F.col(text_col).alias("_text")))
 
     def run(batches):
         import pandas as pd

@@ -124,6 +124,15 @@ def work_dir(spark: SparkSession) -> str:
     return base.rstrip("/")
 
 
+def spread_for_cpu(df):
+    """``df`` with at least one partition per core before CPU-heavy per-row
+    work (embedding, user functions). A small input may come as a few file
+    splits, which would leave most cores idle; a large one already has many
+    partitions and is returned as is."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def fresh_path(spark: SparkSession, name: str) -> str:
     """A new, never used path under the shared work folder."""
     return f"{work_dir(spark)}/{name}-{uuid.uuid4().hex[:12]}"
