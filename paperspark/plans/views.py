@@ -177,7 +177,7 @@ def questions(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     b = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("question_id"),
                                                   F.col("text").alias("question"))
-    return b.join(hash_embed(b, ["question_id"], "question"), "question_id")
+    return hash_embed(b, ["question_id", "question"], "question")
 
 
 def raw_feed(spark: SparkSession, sf_dir: str) -> DataFrame:
