@@ -90,3 +90,12 @@ def test_saved_feed_array_file(spark, tmp_path):
     path.write_text(json.dumps(recs, indent=2))
     got = sorted((r.entry_id, r.authors) for r in read_saved_feed(spark, str(path)).collect())
     assert got == [("e1", ["A", "B"]), ("e2", [])]
+
+
+def test_flagship_plan_shape(spark):
+    import __spark_entry__ as E
+
+    tree = plan_text(E.entry(spark)).split("\n\n")[0]
+    assert "LeftSemi" in tree
+    assert "Aggregate" in tree.split("Exchange", 1)[1]
+    assert "CartesianProduct" not in tree and "NestedLoopJoin" not in tree
