@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import heapq
 import json
+from array import array
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -22,8 +23,8 @@ from paperspark.llm.common import slices
 # The published byte-level pre-token pattern.
 PRE_TOKEN_RE = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 TOKENIZER = "byte_bpe_50k.json"
-# Memoised pre-tokens per worker; the memory is emptied when it is full.
-MEMO_ENTRIES = 200_000
+# Entries of each memo of a worker; a full one is emptied.
+MEMO_ENTRIES = 400_000
 SLICE_CHARS = 1 << 20
 # Fragments longer than this are merged with a heap.
 SHORT = 64
@@ -56,63 +57,70 @@ class BytePairCodec:
         self.token_bytes = {i: bytes(byte_of[c] for c in t) for t, i in model["vocab"].items()}
         id_of = {t: i for i, t in self.token_bytes.items()}
         self.byte_ids = [id_of[bytes([b])] for b in range(256)]
-        self.merges = {}
+        self.ranks, self.made = {}, []
         for rank, merge in enumerate(model["merges"]):
             left, right = merge.split(" ") if isinstance(merge, str) else merge
             a, b = (bytes(byte_of[c] for c in x) for x in (left, right))
-            self.merges.setdefault((id_of[a], id_of[b]), (rank, id_of[a + b]))
-        self.joined = {t[k:k + 2] for t in id_of for k in range(len(t) - 1)}
+            self.ranks.setdefault((id_of[a], id_of[b]), rank)
+            self.made.append(id_of[a + b])
+        self.joined = bytearray(1 << 16)
+        for t in id_of:
+            for x, y in zip(t, t[1:]):
+                self.joined[x << 8 | y] = 1
         self.special = {t["content"]: t["id"] for t in spec.get("added_tokens") or []}
         for t, i in self.special.items():
             self.token_bytes[i] = t.encode()
         self.special_re = regex.compile(
             "(" + "|".join(map(regex.escape, self.special)) + ")") if self.special else None
         self.find = regex.compile(PRE_TOKEN_RE).findall
+        self.runs_of_space = regex.compile(r"\s[ ]|[ ]\s|^\s|\s$").search
         self.memo: dict[str, bytes] = {}
-        self.fragments: dict[bytes, bytes] = {}
+        self.spaced: dict[str, bytes] = {}
 
     def cut(self, data: bytes) -> list[bytes]:
         """``data`` cut wherever no token can span two adjacent bytes."""
-        joined, out, start = self.joined, [], 0
-        for k in range(1, len(data)):
-            if data[k - 1:k + 1] not in joined:
-                out.append(data[start:k])
-                start = k
-        out.append(data[start:])
-        return out
+        joined = self.joined
+        cuts = [k for k, (a, b) in enumerate(zip(data, data[1:]), 1) if not joined[a << 8 | b]]
+        if not cuts:
+            return [data]
+        return [data[a:b] for a, b in zip([0, *cuts], [*cuts, len(data)])]
 
     def merge_short(self, ids: list[int]) -> list[int]:
-        merges = self.merges
-        while len(ids) > 1:
-            best = None
-            for k in range(len(ids) - 1):
-                found = merges.get((ids[k], ids[k + 1]))
-                if found and (best is None or found[0] < best[0]):
-                    best = (found[0], found[1], k)
-            if best is None:
+        """Merge the pair of lowest rank, the leftmost first, until none is left."""
+        get, none, made = self.ranks.get, len(self.made), self.made
+        pairs = [get(p, none) for p in zip(ids, ids[1:])]
+        while pairs:
+            best = min(pairs)
+            if best == none:
                 break
-            ids[best[2]:best[2] + 2] = [best[1]]
+            k = pairs.index(best)
+            ids[k:k + 2] = [made[best]]
+            del pairs[k]
+            if k:
+                pairs[k - 1] = get((ids[k - 1], ids[k]), none)
+            if k < len(pairs):
+                pairs[k] = get((ids[k], ids[k + 1]), none)
         return ids
 
     def merge_long(self, ids: list[int]) -> list[int]:
         """The same merges over a linked list with a heap of ranks."""
-        n, merges = len(ids), self.merges
+        n, ranks = len(ids), self.ranks
         after, before = list(range(1, n + 1)), list(range(-1, n - 1))
         heap = []
 
         def push(k: int) -> None:
             j = after[k]
-            if j < n and (found := merges.get((ids[k], ids[j]))):
-                heapq.heappush(heap, (found[0], k, ids[k], ids[j], found[1]))
+            if j < n and (rank := ranks.get((ids[k], ids[j]))) is not None:
+                heapq.heappush(heap, (rank, k, ids[k], ids[j]))
 
         for k in range(n - 1):
             push(k)
         while heap:
-            _, k, a, b, new = heapq.heappop(heap)
+            rank, k, a, b = heapq.heappop(heap)
             j = after[k]
             if ids[k] != a or j >= n or ids[j] != b:
                 continue
-            ids[k], ids[j] = new, -1
+            ids[k], ids[j] = self.made[rank], -1
             after[k] = after[j]
             if after[k] < n:
                 before[after[k]] = k
@@ -124,22 +132,12 @@ class BytePairCodec:
     def encode_fragment(self, data: bytes) -> bytes:
         ids = [self.byte_ids[b] for b in data]
         ids = self.merge_short(ids) if len(ids) <= SHORT else self.merge_long(ids)
-        return b"".join(i.to_bytes(4, "little") for i in ids)
+        return array("I", ids).tobytes()
 
     def encode_pre_token(self, token: str) -> bytes:
-        parts = []
-        for piece in self.cut(token.encode()):
-            ids = self.fragments.get(piece)
-            if ids is None:
-                ids = self.encode_fragment(piece)
-                if len(piece) <= SHORT:
-                    if len(self.fragments) >= MEMO_ENTRIES:
-                        self.fragments.clear()
-                    self.fragments[piece] = ids
-            parts.append(ids)
-        return b"".join(parts)
+        return b"".join(map(self.encode_fragment, self.cut(token.encode())))
 
-    def encode_plain(self, text: str) -> bytes:
+    def encode_pre_tokens(self, text: str) -> bytes:
         memo, out = self.memo, []
         for token in self.find(text):
             ids = memo.get(token)
@@ -152,6 +150,25 @@ class BytePairCodec:
             out.append(ids)
         return b"".join(out)
 
+    def encode_plain(self, text: str) -> bytes:
+        """A pre-token always ends where white space follows a character that
+        is none, so where all spaces stand alone, the parts between them can
+        be pre-tokenised, and remembered, one by one."""
+        if not text or self.runs_of_space(text):
+            return self.encode_pre_tokens(text)
+        spaced, parts = self.spaced, text.split(" ")
+        out = [self.encode_pre_tokens(parts[0])]
+        for part in parts[1:]:
+            ids = spaced.get(part)
+            if ids is None:
+                ids = self.encode_pre_tokens(" " + part)
+                if len(part) <= SHORT:
+                    if len(spaced) >= MEMO_ENTRIES:
+                        spaced.clear()
+                    spaced[part] = ids
+            out.append(ids)
+        return b"".join(out)
+
     def encode(self, text: str) -> bytes:
         """Ids of a text as packed little-endian unsigned 32-bit integers;
         special strings inside the text become their own ids."""
