@@ -7,10 +7,16 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from paperspark.llm import bpe, chat
+from paperspark.llm import bpe, chat, token_counts
 from paperspark.llm.common import table
 
 
+def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Token counts of every document, and whether they pass 2048."""
+    counts = token_counts.token_counts(table(spark, sf_dir, "documents"))
+    return counts.select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > 2048).alias("over_limit"))
+
+
 def op6_bpe_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Encode and decode every document; digests of ids and texts."""
     decoded = bpe.decode(bpe.encode(table(spark, sf_dir, "documents")))
@@ -59,6 +65,7 @@ FROM t GROUP BY conv_id
 """
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op2_token_counts": op2_token_counts,
     "op6_bpe_codec": op6_bpe_codec,
     "op10_chat_format": op10_chat_format,
 }
