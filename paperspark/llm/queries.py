@@ -7,16 +7,27 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from paperspark.llm import bpe, chat, token_counts
+from paperspark.llm import bpe, chat, quality_model, quality_rules, token_counts
 from paperspark.llm.common import table
 
 
+def op1_quality_model(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quality score of every document."""
+    return quality_model.score_quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Token counts of every document, and whether they pass 2048."""
     counts = token_counts.token_counts(table(spark, sf_dir, "documents"))
     return counts.select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > 2048).alias("over_limit"))
 
 
+def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Base rules and the robust-outlier verdict for every document."""
+    return quality_rules.judge(table(spark, sf_dir, "documents")).select(
+        "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
+
+
 def op6_bpe_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Encode and decode every document; digests of ids and texts."""
     decoded = bpe.decode(bpe.encode(table(spark, sf_dir, "documents")))
@@ -65,7 +76,9 @@ FROM t GROUP BY conv_id
 """
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_quality_model": op1_quality_model,
     "op2_token_counts": op2_token_counts,
+    "op4_quality_rules": op4_quality_rules,
     "op6_bpe_codec": op6_bpe_codec,
     "op10_chat_format": op10_chat_format,
 }
