@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from paperspark.llm import bpe, chat, quality_model, quality_rules, token_counts
+from paperspark.llm import bpe, chat, html_text, quality_model, quality_rules, token_counts
 from paperspark.llm.common import table
 
 
@@ -28,6 +28,12 @@ def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
+def op5_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Main text of every page."""
+    return html_text.extract(table(spark, sf_dir, "pages")).select(
+        "page_id", "url", "text", F.length("text").cast("long").alias("n_chars"))
+
+
 def op6_bpe_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Encode and decode every document; digests of ids and texts."""
     decoded = bpe.decode(bpe.encode(table(spark, sf_dir, "documents")))
@@ -79,6 +85,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality_model": op1_quality_model,
     "op2_token_counts": op2_token_counts,
     "op4_quality_rules": op4_quality_rules,
+    "op5_html_text": op5_html_text,
     "op6_bpe_codec": op6_bpe_codec,
     "op10_chat_format": op10_chat_format,
 }
