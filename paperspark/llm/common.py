@@ -4,6 +4,9 @@ from __future__ import annotations
 
 from collections.abc import Iterable, Iterator
 
+import numpy as np
+import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -15,6 +18,9 @@ SPACE_RE = "[ \\t\\n\\x0B\\f\\r]+"
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 LOWER = UPPER.lower()
 
+# Rows of two numbers that may be broadcast: 16 bytes each, 16 MB at most.
+BROADCAST_ROWS = 1 << 20
+
 # Rows hold whole texts, so Arrow batches stay small in rows and bytes.
 ARROW_CONF = {
     "spark.sql.execution.arrow.maxRecordsPerBatch": "1000",
@@ -72,3 +78,53 @@ def slices(lengths: Iterable[int], most: int) -> Iterator[tuple[int, int]]:
         total += n
     if total or end >= start:
         yield start, end + 1
+
+
+def word_hashes(words: list[bytes]) -> np.ndarray:
+    """A 64-bit hash of every word."""
+    return np.frombuffer(b"".join(map(xxhash.xxh3_64_digest, words)), ">u8").astype(np.uint64)
+
+
+def mixed(h: np.ndarray) -> np.ndarray:
+    """Finishing step of a 64-bit hash (splitmix64)."""
+    h = (h ^ (h >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    h = (h ^ (h >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return h ^ (h >> np.uint64(31))
+
+
+def gram_hashes(words: np.ndarray, n: int) -> np.ndarray:
+    """A hash of every run of ``n`` words, given the words' hashes."""
+    total = np.zeros(max(0, len(words) - n + 1), np.uint64)
+    factor = 1
+    for k in range(n):
+        factor = factor * 0x9E3779B97F4A7C15 % (1 << 64)
+        total += words[k:k + len(total)] * np.uint64(factor | 1)
+    return mixed(total)
+
+
+def sum_vectors(df: DataFrame, kind: str = "<i8") -> DataFrame:
+    """Element-wise sums of the binary vectors of ``df(part, vector)`` by
+    part. Rows stream through a task that holds one vector per part only."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total: dict[int, np.ndarray] = {}
+        for batch in batches:
+            for part, vector in zip(batch.column(0).to_pylist(), batch.column(1)):
+                values = np.frombuffer(vector.as_buffer(), kind)
+                if part in total:
+                    total[part] += values
+                else:
+                    total[part] = values.copy()
+        yield pa.RecordBatch.from_arrays(
+            [pa.array(list(total), pa.int32()), pa.array([v.tobytes() for v in total.values()], pa.binary())],
+            names=["part", "vector"])
+
+    return df.select("part", "vector").repartition("part").mapInArrow(run, "part int, vector binary")
+
+
+def join_by_id(big: DataFrame, small: DataFrame, on: str, how: str = "inner") -> DataFrame:
+    """``big`` joined to a staged table of ids. Up to ``BROADCAST_ROWS`` rows
+    of the small side (counted) it is broadcast, so whole texts stay where
+    they are; beyond, both sides are shuffled and hot keys split by AQE."""
+    few = small.count() <= BROADCAST_ROWS
+    return big.join(F.broadcast(small) if few else small, on, how)

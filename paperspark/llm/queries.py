@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from paperspark.llm import bpe, chat, html_text, quality_model, quality_rules, token_counts
+from paperspark.llm import bpe, chat, html_text, jaccard_join, quality_model, quality_rules, token_counts
 from paperspark.llm.common import table
 
 
@@ -42,6 +42,11 @@ def op6_bpe_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"))
 
 
+def op9_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Components of documents with near-equal shingle sets."""
+    return jaccard_join.similar_components(table(spark, sf_dir, "documents"))
+
+
 def op10_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Format every conversation and read turns and loss text back."""
     planted = spark.sql(
@@ -87,6 +92,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_quality_rules": op4_quality_rules,
     "op5_html_text": op5_html_text,
     "op6_bpe_codec": op6_bpe_codec,
+    "op9_jaccard_join": op9_jaccard_join,
     "op10_chat_format": op10_chat_format,
 }
 
