@@ -7,7 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from paperspark.llm import bpe, chat, html_text, jaccard_join, quality_model, quality_rules, token_counts
+from paperspark.llm import (
+    bpe, chat, decontaminate, html_text, jaccard_join, quality_model, quality_rules, token_counts,
+)
 from paperspark.llm.common import table
 
 
@@ -42,6 +44,11 @@ def op6_bpe_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"))
 
 
+def op8_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents that overlap with benchmark items."""
+    return decontaminate.overlaps(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op9_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Components of documents with near-equal shingle sets."""
     return jaccard_join.similar_components(table(spark, sf_dir, "documents"))
@@ -92,10 +99,12 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_quality_rules": op4_quality_rules,
     "op5_html_text": op5_html_text,
     "op6_bpe_codec": op6_bpe_codec,
+    "op8_decontaminate": op8_decontaminate,
     "op9_jaccard_join": op9_jaccard_join,
     "op10_chat_format": op10_chat_format,
 }
 
 ORACLES: dict[str, str] = {
+    "op8_decontaminate": decontaminate.OVERLAPS_SQL,
     "op10_chat_format": OP10_SQL,
 }
