@@ -109,6 +109,11 @@ def blocks(docs: DataFrame, make: Callable[[], Terms], only_terms: bool = False,
         block = (context.partitionId() if context else 0) << 16
 
         def flush(terms, ids, sizes, kept, pieces):
+            if only_terms and not keep:
+                names = terms.finish()[0]
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(names, pa.string()), pa.nulls(len(names), pa.int64())], names=["term", "n"])
+                return
             names, term, doc, n = block_frequencies(terms, pieces)
             if only_terms:
                 inside = np.array(kept, bool)[doc] if len(doc) else np.zeros(0, bool)

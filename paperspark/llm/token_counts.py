@@ -6,6 +6,8 @@ are joined to the pre-token frequencies of the documents and summed.
 
 from __future__ import annotations
 
+import json
+import re
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -20,34 +22,55 @@ from paperspark.llm.common import staged
 from paperspark.llm.postings import Terms, blocks, sums_by_document
 
 TOKENIZER = "word_bpe_49k.json"
-SPLIT = regex.compile(r"[\x20\x09-\x0D]+").split
+# str.split() also cuts at these, which are no white space to a tokenizer.
+SEPARATORS = re.compile(r"[\x1c-\x1f]").search
+ASCII_SPLIT = re.compile(r"[\x20\x09-\x0D]+").split
+# The tokenizer's published pre-token pattern, as far as it
+# concerns printable lower-case ASCII.
+ASCII_PATTERN = "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"
+ASCII_TOKENS = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-z]+|[0-9]|[^a-z0-9]+").findall
 
 
 @lru_cache(maxsize=2)
 def library(name: str):
-    """The tokenizer, and a pattern of its special strings (None: has none)."""
+    """The tokenizer, a pattern of its special strings (None: has none), these
+    strings, and whether ASCII follows the pattern above."""
     from tokenizers import Tokenizer
 
     tok = Tokenizer.from_file(tokenizer_path(name))
     special = [t.content for t in tok.get_added_tokens_decoder().values()]
     pattern = regex.compile("(" + "|".join(map(regex.escape, special)) + ")") if special else None
-    return tok, pattern, frozenset(special)
+    spec = json.loads(tok.to_str())
+    plain = (ASCII_PATTERN in json.dumps(spec["pre_tokenizer"], ensure_ascii=False).replace("\\\\", "\\")
+             and any(n["type"] == "Lowercase" for n in (spec["normalizer"] or {}).get("normalizers", [])))
+    return tok, pattern, frozenset(special), plain
+
+
+class Numbers(dict):
+    """Numbers keys in the order they come."""
+
+    def __missing__(self, key):
+        number = self[key] = len(self)
+        return number
 
 
 class PreTokens(Terms):
-    """Pre-tokens of white-space-separated pieces. No pre-token holds ASCII
-    white space, and the normaliser changes no piece because of another."""
+    """Pre-tokens of white-space-separated pieces. No pre-token holds white
+    space, and the normaliser changes no piece because of another."""
 
     def __init__(self, name: str):
-        self.tok, self.special_re, _ = library(name)
-        self.pieces: dict[str, int] = {}
+        self.tok, self.special_re, _, self.plain = library(name)
+        self.pieces = Numbers()
 
     def add(self, text: str | None) -> np.ndarray:
-        pieces = self.pieces
-        words = SPLIT(text) if text else []
-        return np.fromiter((pieces.setdefault(w, len(pieces)) for w in words if w), np.int32)
+        if not text:
+            return np.zeros(0, np.int32)
+        words = list(filter(None, ASCII_SPLIT(text))) if SEPARATORS(text) else text.split()
+        return np.array(list(map(self.pieces.__getitem__, words)), np.int32)
 
     def split(self, piece: str) -> list[str]:
+        if self.plain and "<" not in piece and piece.isascii() and piece.isprintable():
+            return ASCII_TOKENS(piece.lower())
         parts = self.special_re.split(piece) if self.special_re and "<" in piece else [piece]
         out = []
         for k, part in enumerate(parts):
@@ -59,10 +82,9 @@ class PreTokens(Terms):
         return out
 
     def finish(self):
-        terms: dict[str, int] = {}
-        numbers, ends = [], []
+        terms, numbers, ends = Numbers(), [], []
         for piece in self.pieces:
-            numbers.extend(terms.setdefault(t, len(terms)) for t in self.split(piece))
+            numbers.extend(map(terms.__getitem__, self.split(piece)))
             ends.append(len(numbers))
         return list(terms), np.array(ends, np.int64), np.array(numbers, np.int64)
 
@@ -71,7 +93,7 @@ def count_pieces(terms: DataFrame, name: str) -> DataFrame:
     """``term, pieces`` for every distinct pre-token."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tok, _, special = library(name)
+        tok, _, special, _ = library(name)
         for batch in batches:
             found = batch.column(0).to_pylist()
             n = [1 if t in special else len(tok.model.tokenize(t)) for t in found]
