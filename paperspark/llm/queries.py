@@ -8,7 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from paperspark.llm import (
-    bpe, chat, decontaminate, html_text, jaccard_join, quality_model, quality_rules, token_counts,
+    bpe, chat, decontaminate, html_text, jaccard_join, passage_dedup, quality_model, quality_rules,
+    token_counts,
 )
 from paperspark.llm.common import table
 
@@ -44,6 +45,11 @@ def op6_bpe_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"))
 
 
+def op7_passage_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Passages of documents that earlier documents hold too."""
+    return passage_dedup.repeated_passages(table(spark, sf_dir, "documents"))
+
+
 def op8_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents that overlap with benchmark items."""
     return decontaminate.overlaps(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
@@ -99,6 +105,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_quality_rules": op4_quality_rules,
     "op5_html_text": op5_html_text,
     "op6_bpe_codec": op6_bpe_codec,
+    "op7_passage_dedup": op7_passage_dedup,
     "op8_decontaminate": op8_decontaminate,
     "op9_jaccard_join": op9_jaccard_join,
     "op10_chat_format": op10_chat_format,
