@@ -93,10 +93,12 @@ def packed(term: np.ndarray, doc: np.ndarray, n: np.ndarray) -> tuple[np.ndarray
 
 
 def blocks(docs: DataFrame, make: Callable[[], Terms], only_terms: bool = False,
-           id_col: str = "doc_id", text_col: str = "text", keep: str | None = None) -> DataFrame:
-    """``term, block, entries, ids, n_bytes``: the postings of every block,
-    and one row per block with its ids and text sizes, under a term that no
-    text holds. ``only_terms``: just the distinct terms of every block.
+           id_col: str = "doc_id", text_col: str = "text", keep: str | None = None,
+           facts: list[str] = []) -> DataFrame:
+    """``term, block, entries, ids, n_bytes, facts``: the postings of every
+    block, and one row per block with its ids, text sizes and, if named, the
+    ``facts`` that ``Terms`` gathers for each text, under a term that no text
+    holds. ``only_terms``: just the distinct terms of every block.
     ``keep``: a boolean column of ``docs``; with ``only_terms``, a count of
     each term over the kept documents comes along."""
     kind = docs.schema[id_col].dataType
@@ -128,12 +130,14 @@ def blocks(docs: DataFrame, make: Callable[[], Terms], only_terms: bool = False,
                 yield pa.RecordBatch.from_arrays([
                     pa.array([names[i] for i in present[a:b]], pa.string()),
                     pa.array(np.full(b - a, block), pa.int64()), entries.slice(a, b - a),
-                    pa.nulls(b - a, pa.list_(id_type)), pa.nulls(b - a, pa.list_(pa.int64()))],
-                    names=["term", "block", "entries", "ids", "n_bytes"])
+                    pa.nulls(b - a, pa.list_(id_type)), pa.nulls(b - a, pa.list_(pa.int64())),
+                    pa.nulls(b - a, pa.binary())],
+                    names=["term", "block", "entries", "ids", "n_bytes", "facts"])
             yield pa.RecordBatch.from_arrays([
                 pa.array([f"\0{block}"]), pa.array([block], pa.int64()), pa.array([b""], pa.binary()),
-                pa.array([ids], pa.list_(id_type)), pa.array([sizes], pa.list_(pa.int64()))],
-                names=["term", "block", "entries", "ids", "n_bytes"])
+                pa.array([ids], pa.list_(id_type)), pa.array([sizes], pa.list_(pa.int64())),
+                pa.array([np.array(terms.facts if facts else [], float).tobytes()], pa.binary())],
+                names=["term", "block", "entries", "ids", "n_bytes", "facts"])
 
         state, chars = (make(), [], [], [], []), 0
         for batch in batches:
@@ -153,13 +157,14 @@ def blocks(docs: DataFrame, make: Callable[[], Terms], only_terms: bool = False,
 
     name = kind.simpleString()
     schema = "term string, n bigint" if only_terms else (
-        f"term string, block bigint, entries binary, ids array<{name}>, n_bytes array<bigint>")
+        f"term string, block bigint, entries binary, ids array<{name}>, n_bytes array<bigint>, facts binary")
     mark = F.col(keep) if keep else F.lit(True)
     return docs.select(F.col(id_col), F.col(text_col), mark.alias("kept")).mapInArrow(run, schema)
 
 
-def sums_by_document(postings: DataFrame, weights: DataFrame, names: list[str]) -> DataFrame:
-    """``doc_id, n_bytes`` and, for each weight column of ``weights`` (keyed
+def sums_by_document(postings: DataFrame, weights: DataFrame, names: list[str],
+                     facts: list[str] = []) -> DataFrame:
+    """``doc_id, n_bytes``, the facts and, for each weight column of ``weights`` (keyed
     by ``term``), the sum of frequency x weight. Every input row gives one
     row; a term without a weight is an error.
 
@@ -169,7 +174,7 @@ def sums_by_document(postings: DataFrame, weights: DataFrame, names: list[str])
     k = len(names)
     kind = postings.schema["ids"].dataType.elementType.simpleString()
     joined = postings.join(weights.withColumn("known", F.lit(True)), "term", "left").select(
-        "block", "entries", "ids", "n_bytes",
+        "block", "entries", "ids", "n_bytes", "facts",
         (F.col("known").isNull() & F.col("ids").isNull()).alias("missing"),
         *[F.coalesce(F.col(n).cast("double"), F.lit(0.0)).alias(f"w{i}") for i, n in enumerate(names)])
 
@@ -185,19 +190,20 @@ def sums_by_document(postings: DataFrame, weights: DataFrame, names: list[str])
                 pa.array([(key[a:b] & 0xFFFF).astype("<u2").tobytes() for a, b in zip(starts, ends)], pa.binary()),
                 pa.array([value[a:b].tobytes() for a, b in zip(starts, ends)], pa.binary()),
                 pa.nulls(len(starts), ids_type),
-                pa.nulls(len(starts), pa.list_(pa.int64()))],
-                names=["block", "docs", "sums", "ids", "n_bytes"])
+                pa.nulls(len(starts), pa.list_(pa.int64())), pa.nulls(len(starts), pa.binary())],
+                names=["block", "docs", "sums", "ids", "n_bytes", "facts"])
 
         for batch in batches:
             ids_type = batch.schema.field("ids").type
-            if any(batch.column(4).to_pylist()):
+            if any(batch.column(5).to_pylist()):
                 raise RuntimeError("a term has no weight")
             ids = batch.column(2)
             if ids.null_count < len(ids):
                 own = batch.filter(ids.is_valid())
                 yield pa.RecordBatch.from_arrays([
                     own.column(0), pa.array([b""] * len(own), pa.binary()), pa.array([b""] * len(own), pa.binary()),
-                    own.column(2), own.column(3)], names=["block", "docs", "sums", "ids", "n_bytes"])
+                    own.column(2), own.column(3), own.column(4)],
+                    names=["block", "docs", "sums", "ids", "n_bytes", "facts"])
             data = batch.column(1).to_pylist()
             lens = np.fromiter(map(len, data), np.int64, len(data)) // ENTRY.itemsize
             entries = np.frombuffer(b"".join(data), ENTRY)
@@ -211,7 +217,7 @@ def sums_by_document(postings: DataFrame, weights: DataFrame, names: list[str])
             doc = gap - np.repeat(base, lens)
             block = np.repeat(batch.column(0).to_numpy(), lens)
             n = entries["n"].astype(np.float64)
-            weight = np.stack([np.repeat(batch.column(5 + i).to_numpy(), lens) * n for i in range(k)], axis=1)
+            weight = np.stack([np.repeat(batch.column(6 + i).to_numpy(), lens) * n for i in range(k)], axis=1)
             keys.append(block << 16 | doc)
             values.append(weight)
             held += len(doc)
@@ -225,19 +231,21 @@ def sums_by_document(postings: DataFrame, weights: DataFrame, names: list[str])
             yield send(*reduced(np.concatenate(keys), np.concatenate(values)))
 
     partials = joined.mapInArrow(
-        partial, f"block bigint, docs binary, sums binary, ids array<{kind}>, n_bytes array<bigint>")
+        partial, f"block bigint, docs binary, sums binary, ids array<{kind}>, n_bytes array<bigint>, facts binary")
 
     def total(rows: pd.DataFrame) -> pd.DataFrame:
-        ids, sizes, sums = [], [], None
-        for own, size in zip(rows["ids"], rows["n_bytes"]):
+        ids, sizes, known = [], [], b""
+        for own, size, fact in zip(rows["ids"], rows["n_bytes"], rows["facts"]):
             if own is not None:
-                ids, sizes = list(own), list(size)
+                ids, sizes, known = list(own), list(size), fact
+        known = np.frombuffer(known).reshape(len(ids), len(facts))
         sums = np.zeros((len(ids), k))
         for docs, values in zip(rows["docs"], rows["sums"]):
             if docs:
                 sums[np.frombuffer(docs, "<u2")] += np.frombuffer(values).reshape(-1, k)
         return pd.DataFrame({"doc_id": pd.Series(ids, dtype=object), "n_bytes": sizes,
+                             **{n: known[:, i] for i, n in enumerate(facts)},
                              **{n: sums[:, i] for i, n in enumerate(names)}})
 
-    cols = ", ".join(f"`{n}` double" for n in names)
+    cols = ", ".join(f"`{n}` double" for n in [*facts, *names])
     return partials.groupBy("block").applyInPandas(total, f"doc_id {kind}, n_bytes bigint, {cols}")

@@ -8,8 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from paperspark.llm import (
-    bpe, chat, decontaminate, html_text, jaccard_join, passage_dedup, quality_model, quality_rules,
-    token_counts,
+    bpe, chat, decontaminate, html_text, jaccard_join, language_model, passage_dedup, quality_model,
+    quality_rules, token_counts,
 )
 from paperspark.llm.common import table
 
@@ -25,6 +25,11 @@ def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return counts.select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > 2048).alias("over_limit"))
 
 
+def op3_language_model(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Unigram base and maximum-entropy score of every document."""
+    return language_model.score_documents(table(spark, sf_dir, "documents"))
+
+
 def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Base rules and the robust-outlier verdict for every document."""
     return quality_rules.judge(table(spark, sf_dir, "documents")).select(
@@ -102,6 +107,7 @@ FROM t GROUP BY conv_id
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality_model": op1_quality_model,
     "op2_token_counts": op2_token_counts,
+    "op3_language_model": op3_language_model,
     "op4_quality_rules": op4_quality_rules,
     "op5_html_text": op5_html_text,
     "op6_bpe_codec": op6_bpe_codec,
