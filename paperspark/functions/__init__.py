@@ -1,14 +1,14 @@
 """Column-level functions (all JVM-side expressions)."""
 
-from .dates import format_version_date, iso_utc, now_seconds, parse_version_date
+from .dates import format_version_date, iso_utc, parse_version_date, utc_wall_clock
 from .embed import hash_embed, tokens
 from .keys import cache_key, full_model_name, model_parts, parse_key
-from .text import char_length, first_token, newline_to_space, strip_ws, text_validity
-from .vectors import as_double_vector, squared_l2
+from .text import first_token, newline_to_space, strip_ws, text_validity
+from .vectors import squared_l2
 
 __all__ = [
-    "format_version_date", "iso_utc", "now_seconds", "parse_version_date",
+    "format_version_date", "iso_utc", "parse_version_date", "utc_wall_clock",
     "hash_embed", "tokens", "cache_key", "full_model_name", "model_parts",
-    "parse_key", "char_length", "first_token", "newline_to_space", "strip_ws",
-    "text_validity", "as_double_vector", "squared_l2",
+    "parse_key", "first_token", "newline_to_space", "strip_ws",
+    "text_validity", "squared_l2",
 ]

@@ -43,11 +43,20 @@ def format_version_date(col) -> Column:
     return F.concat(F.date_format(_c(col), "EEE, d MMM yyyy HH:mm:ss"), F.lit(" GMT"))
 
 
-def iso_utc(col) -> Column:
-    """ISO-8601 text with a ``+00:00`` offset for a UTC wall-clock time."""
-    return F.concat(F.date_format(_c(col), "yyyy-MM-dd'T'HH:mm:ss"), F.lit("+00:00"))
-
-
-def now_seconds() -> Column:
-    """Current time truncated to whole seconds."""
-    return F.date_trunc("second", F.current_timestamp())
+def utc_wall_clock(col) -> Column:
+    """A TIMESTAMP instant as its UTC wall-clock TIMESTAMP_NTZ, whatever the
+    session time zone."""
+    seconds = (F.unix_micros(_c(col)).cast("decimal(24,6)") / F.lit(1000000)).cast("decimal(18,6)")
+    epoch = F.lit("1970-01-01 00:00:00").cast("timestamp_ntz")
+    return epoch + F.make_dt_interval(F.lit(0), F.lit(0), F.lit(0), seconds)
+
+
+def iso_utc(col, instant: bool = False) -> Column:
+    """ISO-8601 text with a ``+00:00`` offset for a UTC wall-clock time, or
+    for a TIMESTAMP ``instant``. Fractions have six digits and appear only
+    when there are any."""
+    c = utc_wall_clock(col) if instant else _c(col)
+    fraction = F.date_format(c, "SSSSSS")
+    return F.concat(F.date_format(c, "yyyy-MM-dd'T'HH:mm:ss"),
+                    F.when(fraction != "000000", F.concat(F.lit("."), fraction)).otherwise(F.lit("")),
+                    F.lit("+00:00"))

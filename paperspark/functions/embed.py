@@ -36,9 +36,6 @@ def hash_embed(df: DataFrame, key_cols: list[str], text_col: str, dims: int = 64
     lambda (which would rebuild it for every element) nor push a filter on
     the result below it.
     """
-    from ..session import spread_for_cpu
-
-    df = spread_for_cpu(df)
     all_ids = F.sequence(F.lit(0), F.lit(dims - 1)).cast("array<bigint>")
     buckets = F.transform(tokens(text_col), lambda w: token_bucket(w, dims))
     srt = df.select(*key_cols, F.explode(F.array(F.sort_array(F.concat(

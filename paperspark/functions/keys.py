@@ -68,8 +68,8 @@ def decompose_model(text: str) -> tuple[str, str]:
     the name lower-cased and among the supported providers."""
     parts = text.split(KEY_SEPARATOR) if isinstance(text, str) else []
     if len(parts) != 2:
-        raise ValueError(f"Model specification '{text}' is invalid. Use the format 'Name:spec'.")
+        raise ValueError(f"expected a model as 'Name:spec', got {text!r}")
     name, spec = parts[0].lower(), parts[1]
     if name not in SUPPORTED_MODELS:
-        raise ValueError(f"Unsupported model: {name}. Supported models: {', '.join(SUPPORTED_MODELS)}")
+        raise ValueError(f"no provider called {name!r} (known: {', '.join(SUPPORTED_MODELS)})")
     return name, spec

@@ -30,11 +30,6 @@ def first_token(col) -> Column:
     return F.when(tok != "", tok)
 
 
-def char_length(col) -> Column:
-    """Length in Unicode code points (emoji count as one)."""
-    return F.length(_c(col))
-
-
 def text_validity(col, max_chars: int = MAX_TEXT_CHARS) -> Column:
     """Struct ``(is_valid, reason)`` for a text handed to an embedder.
 

@@ -9,10 +9,6 @@ def _c(col) -> Column:
     return F.col(col) if isinstance(col, str) else col
 
 
-def as_double_vector(col) -> Column:
-    return _c(col).cast("array<double>")
-
-
 def squared_l2(a, b) -> Column:
     """Squared Euclidean distance summed left to right in double precision.
 

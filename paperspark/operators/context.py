@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, functions as F
 
 from ..schemas import DEFAULT_TOP_K, VECTOR_KEY
-from ..session import work_dir
+from ..session import staged
 from .knn import top_k
 
 # --- Fixed values: the text layout of a question's context -----------------
@@ -31,18 +31,17 @@ def retrieve(questions: DataFrame, store: DataFrame, papers: DataFrame, k: int =
     hits = top_k(questions, vecs, k, query_key=question_key, vector_key=list(VECTOR_KEY),
                  query_col=question_vec, vector_col="embedding",
                  group_col="arxiv_id" if dedupe_papers else None)
-    # The hits are small (questions x k rows) and costly; materialise them
-    # once in the shared checkpoint folder so both uses below read them.
-    work_dir(hits.sparkSession)
-    hits = hits.checkpoint(eager=True)
+    # The hits are small (questions x k rows) and costly: staged once, alone
+    # for the semi-join below and then with their papers' fields.
+    hits = staged(hits, "hits")
     # The semi-join on the hit ids is pushed below a de-duplicating
     # aggregate in ``papers`` (its grouping key is the id), so only the
     # retrieved papers are de-duplicated and joined.
     hit_ids = hits.select(F.col("arxiv_id").alias("id")).distinct()
     pap = (papers.join(hit_ids, "id", "left_semi")
            .select(F.col("id").alias("arxiv_id"), *paper_fields))
-    return (hits.join(pap, "arxiv_id", "inner")
-            .select(*question_key, "rank", "arxiv_id", "dist", *paper_fields))
+    return staged(hits.join(pap, "arxiv_id", "inner")
+                  .select(*question_key, "rank", "arxiv_id", "dist", *paper_fields), "paper-hits")
 
 
 def _fmt(template: str, **cols) -> F.Column:

@@ -2,30 +2,46 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
+
+from ..session import null_join, staged
 
 DEFAULT_CHUNK = 10_000
 
 
 def chunked_lists(df: DataFrame, group_cols: list[str], value, order=None,
                   chunk: int = DEFAULT_CHUNK, out_col: str = "items") -> DataFrame:
-    """``(group..., part, n_items, items)``: the values of each group as
-    sorted arrays of at most about ``chunk`` entries.
+    """``(group..., part, n_items, first_position, items)``: the values of
+    each group in order, ``chunk`` to a row. Rows of one group joined in the
+    order of ``part`` are the whole list; ``first_position`` is the place of
+    a row's first value in it, from 0.
 
-    Group sizes come from a partial aggregate; a group larger than
-    ``chunk`` is spread over ``ceil(n / chunk)`` parts by a hash of the
-    order key, so a hot group is split across tasks instead of being
-    gathered into one list. ``order`` (default ``value``) sorts each array.
+    ``order`` (default ``value``) sorts the list; equal keys are sorted by
+    value. Entries are range-partitioned by group, key and a running number,
+    so neither a hot group nor a hot key meets in one task; a place is the
+    entries of the group in earlier ranges plus the place in its own. The
+    input is read once (the sorted entries are staged).
     """
+    if chunk < 1:
+        raise ValueError("chunk must be positive")
     value = F.col(value) if isinstance(value, str) else value
     order = value if order is None else (F.col(order) if isinstance(order, str) else order)
-    sized = df.groupBy(*group_cols).agg(F.count(F.lit(1)).alias("n_items"))
-    parts = F.greatest(F.lit(1), F.ceil(F.col("n_items") / F.lit(chunk))).cast("bigint")
-    tagged = (df.select(*group_cols, order.alias("_k"), value.alias("_v"))
-              .join(sized, group_cols)
-              .withColumn("part", F.pmod(F.xxhash64("_k"), parts)))
-    return (tagged.groupBy(*group_cols, "part")
-            .agg(F.first("n_items").alias("n_items"),
-                 F.sort_array(F.collect_list(F.struct("_k", "_v"))).alias("_kv"))
-            .select(*group_cols, "part", "n_items",
-                    F.transform("_kv", lambda e: e["_v"]).alias(out_col)))
+    entries = staged(df.select(*group_cols, order.alias("_k"), value.alias("_v"),
+                               F.monotonically_increasing_id().alias("_n")), "list-entries")
+    keys = [*group_cols, "_k", "_v", "_n"]
+    ranged = staged(entries.repartitionByRange(*keys).withColumn("_range", F.spark_partition_id()), "list-ranges")
+    counts = ranged.groupBy(*group_cols, "_range").agg(F.count(F.lit(1)).alias("_c"))
+    by_group = Window.partitionBy(*group_cols)
+    counts = counts.select(
+        *group_cols, "_range",
+        (F.sum("_c").over(by_group.orderBy("_range")) - F.col("_c")).alias("_before"),
+        F.sum("_c").over(by_group).alias("n_items"))
+    inside = Window.partitionBy(*group_cols, "_range").orderBy("_k", "_v", "_n")
+    placed = ranged.withColumn("_row", F.row_number().over(inside) - 1)
+    joined = null_join(placed, counts, [*group_cols, "_range"]).select(
+        *group_cols, "n_items", "_v", (F.col("_before") + F.col("_row")).alias("_p"))
+    return (joined.withColumn("part", F.floor(F.col("_p") / F.lit(chunk)))
+            .groupBy(*group_cols, "part", "n_items")
+            .agg(F.sort_array(F.collect_list(F.struct("_p", "_v"))).alias("_pv"))
+            .select(*group_cols, "part", "n_items", F.col("_pv")[0]["_p"].alias("first_position"),
+                    F.transform("_pv", lambda e: e["_v"]).alias(out_col)))

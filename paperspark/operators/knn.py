@@ -6,19 +6,21 @@ query (ties broken by the vector key), so a task emits at most
 ``k x queries`` rows however many vectors it holds; a window per query then
 keeps the global best ``k`` (Spark plans it with a WindowGroupLimit).
 
-* Small query sets (checked: rows x dimension x 8 bytes under a budget) are
-  broadcast once and the vectors are scanned in place, with no shuffle. The
-  candidate rows sent to the final ranking (queries x k x scan tasks) are
-  capped by merging scan partitions when there would be too many.
+* Small query sets (checked: vectors and keys together under a byte budget)
+  are broadcast once and the vectors are scanned in place, with no shuffle.
 * Larger query sets are split into blocks by hash; vectors and queries meet
-  in co-grouped (query block, vector block) cells, each holding a bounded
-  slice of both sides.
+  in co-grouped (query block, vector block) cells, each bounded in bytes on
+  both sides.
 
 Distances: candidates are chosen with the fast expansion |x|^2 + |q|^2 - 2xq
-plus a safety margin, then re-scored exactly as the sum over dimensions,
-left to right in double precision, of (x_i - q_i)^2, the same value the SQL
-expression ``aggregate(zip_with(...))`` gives. NULL vectors are ignored; a
-vector whose dimension differs from the queries' fails the job.
+and a margin for its rounding error, per row and query, then re-scored
+exactly as the sum over dimensions, left to right in double precision, of
+(x_i - q_i)^2, the same value the SQL expression
+``aggregate(zip_with(...))`` gives. A row whose expansion overflows is always
+a candidate. NULL vectors are ignored; a vector with a NaN, an infinity or a
+NULL element, and one whose dimension differs from the queries', fails the
+job. ``nonfinite="skip"`` leaves vectors without a finite value everywhere
+out instead; ``nonfinite_vectors`` lists them.
 """
 
 from __future__ import annotations
@@ -32,17 +34,19 @@ from ..session import ship_package
 from ..schemas import DEFAULT_TOP_K
 
 BROADCAST_BUDGET_BYTES = 64 * 1024 * 1024
-QUERY_CHUNK = 512
-# Rows scored at once: bounds the distance block to ROW_CHUNK x QUERY_CHUNK.
+QUERY_CHUNK = 256
+# Rows scored at once: bounds the distance block to ROW_CHUNK x QUERY_CHUNK,
+# and Arrow batches are gathered up to so many bytes before scoring.
 ROW_CHUNK = 8192
-# Most candidate rows (queries x k x scan tasks) sent to the final ranking.
-MAX_CANDIDATES = 100_000_000
-CELL_VECTORS = 200_000
-CELL_QUERIES = 20_000
+BLOCK_BYTES = 32 * 1024 * 1024
+# Each side of a co-grouped cell holds about so many bytes of vectors.
+CELL_BYTES = 256 * 1024 * 1024
+CELL_QUERY_BYTES = 32 * 1024 * 1024
 
 
-def _stack(series):
-    """Rows of an array column as a float64 matrix plus a not-NULL mask."""
+def _stack(series, nonfinite="raise"):
+    """Rows of an array column as a float64 matrix plus a mask of the rows it
+    holds: not NULL and, with ``skip``, finite everywhere."""
     import numpy as np
 
     mask = series.notna().to_numpy()
@@ -51,36 +55,47 @@ def _stack(series):
         return np.zeros((0, 0)), mask
     lens = {len(v) for v in vals}
     if len(lens) != 1:
-        raise ValueError(f"vectors of different dimensions in one batch: {sorted(lens)[:5]}")
-    return np.asarray(np.stack([np.asarray(v, dtype=np.float64) for v in vals]), dtype=np.float64), mask
-
-
-def _exact(X, q):
-    """Sum of squared differences, dimension by dimension, left to right."""
+        raise ValueError(f"one batch holds vectors of several dimensions: {sorted(lens)[:5]}")
+    X = np.asarray([np.asarray(v, dtype=np.float64) for v in vals])
+    finite = np.isfinite(X).all(axis=1)
+    if not finite.all():
+        if nonfinite == "raise":
+            raise ValueError(f"{int((~finite).sum())} vectors of a batch hold NaN, infinite or NULL elements")
+        mask[np.flatnonzero(mask)[~finite]] = False
+        X = X[finite]
+    return X, mask
+
+
+def _exact(X, Q, rows, queries):
+    """Sums of squared differences of paired rows, dimension by dimension,
+    left to right."""
     import numpy as np
 
-    acc = np.zeros(X.shape[0], dtype=np.float64)
+    acc = np.zeros(len(rows), dtype=np.float64)
     for i in range(X.shape[1]):
-        diff = X[:, i] - q[i]
+        diff = X[rows, i] - Q[queries, i]
         acc = acc + diff * diff
     return acc
 
 
-def _best_k(X, Q, k, groups=None):
-    """For every query row of ``Q``: (query index, row index, exact dist)
-    of the candidate rows of ``X`` that can be among the best ``k``.
+def _best_k(X, Q, k, groups=None, limit=None):
+    """``(query index, row index, exact distance)`` arrays of the rows of
+    ``X`` that can be among the best ``k`` of each query.
 
-    Candidates come from the expansion |x|^2 + |q|^2 - 2xq with a margin
-    well above its rounding error. With ``groups`` (integer group code per
-    row) the candidates are all rows of the groups whose smallest
-    approximate distance can be among the best ``k`` groups."""
+    Bounds of every distance come from the expansion |x|^2 + |q|^2 - 2xq and
+    its rounding error. ``limit`` holds, per query, a distance that k rows
+    scored earlier do not exceed; farther rows are left out. With ``groups``
+    (integer group code per row) the candidates are rows of the groups whose
+    nearest row can be among the best ``k`` groups."""
     import numpy as np
 
     n = X.shape[0]
     out_q, out_r, out_d = [], [], []
     if n == 0 or Q.shape[0] == 0:
-        return out_q, out_r, out_d
-    xx = np.einsum("ij,ij->i", X, X)
+        none = np.zeros(0, dtype=np.int64)
+        return none, none, np.zeros(0)
+    with np.errstate(over="ignore", invalid="ignore"):
+        xx = np.einsum("ij,ij->i", X, X)
     if groups is not None:
         order = np.argsort(groups, kind="stable")
         sorted_codes = groups[order]
@@ -88,26 +103,31 @@ def _best_k(X, Q, k, groups=None):
         sizes = np.diff(np.r_[starts, n])
     for s in range(0, Q.shape[0], QUERY_CHUNK):
         Qc = Q[s:s + QUERY_CHUNK]
-        qq = np.einsum("ij,ij->i", Qc, Qc)
-        approx = xx[:, None] + qq[None, :] - 2.0 * (X @ Qc.T)
-        for j in range(Qc.shape[0]):
-            col = approx[:, j]
-            margin = 1e-9 * (xx.max() + qq[j]) + 1e-12
-            if groups is None:
-                kk = min(k, n)
-                kth = np.partition(col, kk - 1)[kk - 1]
-                cand = np.flatnonzero(col <= kth + margin)
-            else:
-                gmin = np.minimum.reduceat(col[order], starts)
-                kk = min(k, len(gmin))
-                kth = np.partition(gmin, kk - 1)[kk - 1]
-                keep = np.repeat(gmin <= kth + margin, sizes)
-                cand = order[keep]
-            d = _exact(X[cand], Qc[j])
-            out_q.append(np.full(len(cand), s + j))
-            out_r.append(cand)
-            out_d.append(d)
-    return out_q, out_r, out_d
+        with np.errstate(over="ignore", invalid="ignore"):
+            qq = np.einsum("ij,ij->i", Qc, Qc)
+            approx = xx[:, None] + qq[None, :] - 2.0 * (X @ Qc.T)
+            margin = 1e-9 * (xx[:, None] + qq[None, :]) + 1e-12
+            low, high = approx - margin, approx + margin
+        unsure = ~(np.isfinite(low) & np.isfinite(high))
+        low[unsure], high[unsure] = -np.inf, np.inf
+        if groups is None:
+            kk = min(k, n)
+            kth = np.partition(high, kk - 1, axis=0)[kk - 1]
+            if limit is not None:
+                kth = np.minimum(kth, limit[s:s + len(Qc)])
+            qi, ri = np.nonzero((low <= kth[None, :]).T)
+        else:
+            low, high = low[order], high[order]
+            nearest = np.minimum.reduceat(high, starts, axis=0)
+            kk = min(k, len(starts))
+            kth = np.partition(nearest, kk - 1, axis=0)[kk - 1]
+            keep = (low <= kth[None, :]) & (low <= np.repeat(nearest, sizes, axis=0))
+            qi, ri = np.nonzero(keep.T)
+            ri = order[ri]
+        out_q.append(qi + s)
+        out_r.append(ri)
+        out_d.append(_exact(X, Qc, ri, qi))
+    return np.concatenate(out_q), np.concatenate(out_r), np.concatenate(out_d)
 
 
 def _select(cands, key_names, k, group_name=None):
@@ -119,42 +139,50 @@ def _select(cands, key_names, k, group_name=None):
     return cands.groupby("_q", sort=False).head(k)
 
 
-def _kernel(vec_pdf, Q, qkey_pdf, key_names, vec_col, k, group_name=None, row_chunk=ROW_CHUNK):
-    """Best k per query over ``vec_pdf``, scored ``row_chunk`` rows at a time."""
+def _kernel(vec_pdf, Q, qkey_pdf, key_names, vec_col, k, group_name=None, row_chunk=ROW_CHUNK,
+            nonfinite="raise", held=None):
+    """Best k per query over ``vec_pdf`` and ``held`` (an earlier result; its
+    column ``_q`` numbers the queries), ``row_chunk`` rows at a time."""
+    import numpy as np
     import pandas as pd
 
-    held = None
     for start in range(0, len(vec_pdf), row_chunk):
-        part = _kernel_slice(vec_pdf.iloc[start:start + row_chunk], Q, qkey_pdf, key_names, vec_col, k,
-                             group_name)
-        if part is None:
+        part = vec_pdf.iloc[start:start + row_chunk]
+        X, mask = _stack(part[vec_col], nonfinite)
+        if X.shape[0] and Q.shape[0] and X.shape[1] != Q.shape[1]:
+            raise ValueError(f"vector dimension {X.shape[1]} differs from query dimension {Q.shape[1]}")
+        keys = part.loc[mask, key_names].reset_index(drop=True)
+        codes = pd.factorize(keys[group_name], use_na_sentinel=False)[0] if group_name is not None else None
+        limit = None
+        if held is not None and group_name is None:
+            # The k-th distance so far, where k rows are held already.
+            limit = np.full(Q.shape[0], np.inf)
+            full = held.groupby("_q", sort=False)["dist"].agg(["size", "max"])
+            full = full[full["size"] >= k]
+            limit[full.index.to_numpy()] = full["max"].to_numpy()
+        qi, ri, di = _best_k(X, Q, k, codes, limit)
+        if not len(qi):
             continue
-        held = part if held is None else _reduce(pd.concat([held, part], ignore_index=True),
-                                                 list(qkey_pdf.columns), key_names, k, group_name)
+        cands = keys.iloc[ri].reset_index(drop=True)
+        cands["_q"] = qi
+        cands["dist"] = di
+        if held is not None:
+            cands = pd.concat([held, cands], ignore_index=True)
+        held = _select(cands, key_names, k, group_name)
     return held
 
 
-def _kernel_slice(vec_pdf, Q, qkey_pdf, key_names, vec_col, k, group_name=None):
-    import numpy as np
+def _with_query_keys(held, qkey_pdf):
     import pandas as pd
 
-    X, mask = _stack(vec_pdf[vec_col])
-    if X.shape[0] and Q.shape[0] and X.shape[1] != Q.shape[1]:
-        raise ValueError(f"vector dimension {X.shape[1]} differs from query dimension {Q.shape[1]}")
-    keys = vec_pdf.loc[mask, key_names].reset_index(drop=True)
-    codes = None
-    if group_name is not None:
-        codes = pd.factorize(keys[group_name])[0]
-    qi, ri, di = _best_k(X, Q, k, codes)
-    if not qi:
-        return None
-    cands = keys.iloc[np.concatenate(ri)].reset_index(drop=True)
-    cands["_q"] = np.concatenate(qi)
-    cands["dist"] = np.concatenate(di)
-    best = _select(cands, key_names, k, group_name)
-    qk = qkey_pdf.iloc[best["_q"].to_numpy()].reset_index(drop=True)
-    res = pd.concat([qk, best.drop(columns=["_q"]).reset_index(drop=True)], axis=1)
-    return res
+    keys = qkey_pdf.iloc[held["_q"].to_numpy()].reset_index(drop=True)
+    return pd.concat([keys, held.drop(columns=["_q"]).reset_index(drop=True)], axis=1)
+
+
+def nonfinite_vectors(vectors: DataFrame, vector_col: str = "embedding") -> DataFrame:
+    """The rows whose vector holds a NaN, an infinity or a NULL element."""
+    bad = F.exists(vector_col, lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf")))
+    return vectors.filter(bad)
 
 
 def _out_schema(queries: DataFrame, vectors: DataFrame, query_key, vector_key):
@@ -176,13 +204,20 @@ def top_k(queries: DataFrame, vectors: DataFrame, k: int = DEFAULT_TOP_K,
           query_key: list[str] | None = None, vector_key: list[str] | None = None,
           query_col: str = "embedding", vector_col: str = "embedding",
           group_col: str | None = None,
-          broadcast_budget: int = BROADCAST_BUDGET_BYTES, row_chunk: int = ROW_CHUNK) -> DataFrame:
+          broadcast_budget: int = BROADCAST_BUDGET_BYTES, row_chunk: int = ROW_CHUNK,
+          nonfinite: str = "raise") -> DataFrame:
     """``(query_key..., rank, vector_key..., dist)``: for every query its
     ``k`` nearest vectors (fewer if there are fewer), rank 1 = nearest,
     ties broken by the vector key. ``group_col`` (e.g. the paper id) makes
-    the result hold ``k`` distinct groups, each by its nearest vector."""
+    the result hold ``k`` distinct groups, each by its nearest vector.
+    ``nonfinite`` is ``raise`` or ``skip``, for vectors and queries alike.
+
+    ``queries`` is read twice (its size is checked first): pass a stored
+    table when it comes from a costly function."""
     if k <= 0:
         raise ValueError("k must be positive")
+    if nonfinite not in ("raise", "skip"):
+        raise ValueError("nonfinite must be 'raise' or 'skip'")
     query_key = query_key or ["query_id"]
     vector_key = vector_key or [c for c in vectors.columns if c != vector_col]
     if group_col is not None and group_col not in vector_key:
@@ -194,67 +229,62 @@ def top_k(queries: DataFrame, vectors: DataFrame, k: int = DEFAULT_TOP_K,
     v = vectors.select(*vector_key, F.col(vector_col).alias("_vv"))
     schema = _out_schema(queries, vectors, query_key, vector_key)
     # Size check on the query side before anything is broadcast.
-    stats = q.agg(F.count(F.lit(1)).alias("n"), F.max(F.size("_qv")).alias("d")).first()
+    key_bytes = F.length(F.to_json(F.struct(*query_key))).cast("bigint")
+    stats = q.agg(F.count(F.lit(1)).alias("n"), F.max(F.size("_qv")).alias("d"),
+                  F.sum(key_bytes).alias("b")).first()
     n_q, dim = int(stats["n"]), int(stats["d"] or 0)
     if n_q == 0:
         return spark.createDataFrame([], _out_schema(queries, vectors, query_key, vector_key)
                                      .add("rank", T.IntegerType())).select(*query_key, "rank", *vector_key, "dist")
-    if n_q * max(dim, 1) * 8 <= broadcast_budget:
-        cands = _broadcast_scan(q, v, query_key, vector_key, k, group_col, schema, row_chunk, n_q)
+    row_chunk = max(1, min(row_chunk, BLOCK_BYTES // (8 * max(dim, 1))))
+    if n_q * max(dim, 1) * 8 + int(stats["b"]) <= broadcast_budget:
+        cands = _broadcast_scan(q, v, query_key, vector_key, k, group_col, schema, row_chunk, nonfinite)
     else:
-        cands = _cogroup_scan(q, v, query_key, vector_key, k, group_col, schema, n_q, row_chunk)
+        cands = _cogroup_scan(q, v, query_key, vector_key, k, group_col, schema, n_q, dim, row_chunk, nonfinite)
     return _final_rank(cands, query_key, vector_key, k, group_col)
 
 
-def _broadcast_scan(q, v, query_key, vector_key, k, group_col, schema, row_chunk=ROW_CHUNK, n_q=0):
+def _broadcast_scan(q, v, query_key, vector_key, k, group_col, schema, row_chunk, nonfinite):
     import numpy as np
 
     spark = v.sparkSession
-    # Each scan task emits up to k rows per query; when queries x k x tasks
-    # would exceed MAX_CANDIDATES, merge input partitions (no shuffle) so
-    # each task scans more vectors, keeping at least the default parallelism.
-    tasks = v.rdd.getNumPartitions()
-    if n_q * k * tasks > MAX_CANDIDATES:
-        fewer = max(spark.sparkContext.defaultParallelism, MAX_CANDIDATES // max(1, n_q * k))
-        if fewer < tasks:
-            v = v.coalesce(fewer)
     rows = q.collect()  # bounded by the budget checked above
-    qkeys = [tuple(r[c] for c in query_key) for r in rows]
-    qmat = np.asarray([r["_qv"] for r in rows], dtype=np.float64)
     if len({len(r["_qv"]) for r in rows}) > 1:
-        raise ValueError("queries have different dimensions")
-    bq = spark.sparkContext.broadcast((qkeys, qmat))
+        raise ValueError("the queries have several dimensions")
+    qmat = np.asarray([r["_qv"] for r in rows], dtype=np.float64)
+    finite = np.isfinite(qmat).all(axis=1)
+    if not finite.all() and nonfinite == "raise":
+        raise ValueError(f"{int((~finite).sum())} queries hold NaN, infinite or NULL elements")
+    qkeys = [tuple(r[c] for c in query_key) for r, good in zip(rows, finite) if good]
+    bq = spark.sparkContext.broadcast((qkeys, qmat[finite]))
 
     def run(batches):
         import pandas as pd
 
         keys, Q = bq.value
         qkey_pdf = pd.DataFrame(keys, columns=query_key)
-        held = None
+        held, waiting, n = None, [], 0
         for pdf in batches:
-            res = _kernel(pdf, Q, qkey_pdf, vector_key, "_vv", k, group_col, row_chunk)
-            if res is None:
-                continue
-            held = res if held is None else _reduce(pd.concat([held, res]), query_key, vector_key,
-                                                    k, group_col)
+            waiting.append(pdf)
+            n += len(pdf)
+            if n >= row_chunk:
+                held = _kernel(pd.concat(waiting, ignore_index=True), Q, qkey_pdf, vector_key, "_vv", k,
+                               group_col, row_chunk, nonfinite, held)
+                waiting, n = [], 0
+        if waiting:
+            held = _kernel(pd.concat(waiting, ignore_index=True), Q, qkey_pdf, vector_key, "_vv", k,
+                           group_col, row_chunk, nonfinite, held)
         if held is not None:
-            yield held
+            yield _with_query_keys(held, qkey_pdf)
 
     return v.mapInPandas(run, schema)
 
 
-def _reduce(df, query_key, vector_key, k, group_col):
-    if group_col is not None:
-        df = df.sort_values([*query_key, group_col, "dist", *vector_key], kind="mergesort")
-        df = df.drop_duplicates([*query_key, group_col], keep="first")
-    df = df.sort_values([*query_key, "dist", *vector_key], kind="mergesort")
-    return df.groupby(query_key, sort=False).head(k)
-
-
-def _cogroup_scan(q, v, query_key, vector_key, k, group_col, schema, n_q, row_chunk=ROW_CHUNK):
+def _cogroup_scan(q, v, query_key, vector_key, k, group_col, schema, n_q, dim, row_chunk, nonfinite):
     n_v = v.count()
-    vb = max(1, math.ceil(n_v / CELL_VECTORS))
-    qb = max(1, math.ceil(n_q / CELL_QUERIES))
+    width = 8 * max(dim, 1)
+    vb = max(1, math.ceil(n_v * width / CELL_BYTES))
+    qb = max(1, math.ceil(n_q * width / CELL_QUERY_BYTES))
     vs = (v.withColumn("_vb", F.pmod(F.xxhash64(*vector_key), F.lit(vb)))
           .withColumn("_qb", F.explode(F.sequence(F.lit(0), F.lit(qb - 1)).cast("array<bigint>"))))
     qs = (q.withColumn("_qb", F.pmod(F.xxhash64(*query_key), F.lit(qb)))
@@ -263,14 +293,14 @@ def _cogroup_scan(q, v, query_key, vector_key, k, group_col, schema, n_q, row_ch
     def cell(vpdf, qpdf):
         import numpy as np
 
-        if len(vpdf) == 0 or len(qpdf) == 0:
-            return qpdf.iloc[0:0][query_key].assign(**{c: [] for c in vector_key}, dist=[])
-        Q, _ = _stack(qpdf["_qv"])
-        res = _kernel(vpdf, Q, qpdf[query_key].reset_index(drop=True), vector_key, "_vv", k, group_col,
-                      row_chunk)
-        if res is None:
+        held = None
+        if len(vpdf) and len(qpdf):
+            Q, mask = _stack(qpdf["_qv"], nonfinite)
+            qkey_pdf = qpdf.loc[mask, query_key].reset_index(drop=True)
+            held = _kernel(vpdf, Q, qkey_pdf, vector_key, "_vv", k, group_col, row_chunk, nonfinite)
+        if held is None:
             return qpdf.iloc[0:0][query_key].assign(**{c: [] for c in vector_key}, dist=np.array([], float))
-        return res[[*query_key, *vector_key, "dist"]]
+        return _with_query_keys(held, qkey_pdf)[[*query_key, *vector_key, "dist"]]
 
     return (vs.groupBy("_qb", "_vb").cogroup(qs.groupBy("_qb", "_vb"))
             .applyInPandas(cell, schema))

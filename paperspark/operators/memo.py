@@ -3,7 +3,7 @@
 ``memoised`` is the incremental pattern behind both the summary cache and
 the vector cache: rows whose key is stored are read back, the rest are
 computed once by a user function, stored (errors excluded), and the union is
-returned. The fresh results are checkpointed before they are stored and
+returned. The fresh results are staged before they are stored and
 returned, so a non-deterministic function (a model call) runs exactly once
 per row even though its output is used twice.
 """
@@ -15,23 +15,19 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, functions as F
 from pyspark.sql import types as T
 
-from ..session import work_dir
-from ..sources.tables import insert_absent, path_exists, read_table, upsert
+from ..session import null_join, staged
+from ..sources.tables import insert_absent, read_table, upsert
 
 
 def present_keys(keys: DataFrame, table: DataFrame, key_cols: list[str]) -> DataFrame:
-    """Distinct requested keys that the table holds."""
-    return keys.select(*key_cols).distinct().join(table.select(*key_cols), key_cols, "left_semi")
+    """Distinct requested keys that the table holds (NULL parts are equal)."""
+    keys, held = keys.select(*key_cols).distinct(), table.select(*key_cols)
+    return null_join(keys, held, key_cols, "left_semi")
 
 
 def missing_rows(rows: DataFrame, table: DataFrame, key_cols: list[str]) -> DataFrame:
     """Rows whose key the table does not hold (anti-join)."""
-    return rows.join(table.select(*key_cols), key_cols, "left_anti")
-
-
-def cached_rows(rows: DataFrame, table: DataFrame, key_cols: list[str]) -> DataFrame:
-    """Stored rows for the keys of ``rows`` (each stored row once)."""
-    return table.join(rows.select(*key_cols).distinct(), key_cols, "left_semi")
+    return null_join(rows, table.select(*key_cols), key_cols, "left_anti")
 
 
 def checked_lookup(keys: DataFrame, store: DataFrame, key_cols: list[str], value_col: str,
@@ -41,7 +37,8 @@ def checked_lookup(keys: DataFrame, store: DataFrame, key_cols: list[str], value
     A key without a stored value is an integrity error: ``raise`` fails the
     job on the first one, ``flag`` returns it with ``has_value = false``.
     """
-    joined = keys.select(*key_cols).distinct().join(store.select(*key_cols, value_col), key_cols, "left")
+    asked, held = keys.select(*key_cols).distinct(), store.select(*key_cols, value_col)
+    joined = null_join(asked, held, key_cols, "left")
     if on_missing == "raise":
         msg = F.concat(F.lit("key in the index has no stored value: "), F.concat_ws(":", *key_cols))
         return joined.withColumn(value_col, F.when(F.col(value_col).isNull(), F.raise_error(msg))
@@ -66,16 +63,14 @@ def memoised(rows: DataFrame, key_cols: list[str], compute: Callable[[DataFrame]
     column values every requested row shares; the stored keys are then read
     from those partitions only.
 
-    Keys in ``rows`` must be unique (one request per key, like the keys of a
-    dict); de-duplicate first if they may repeat.
+    Keys in ``rows`` may repeat; a key is computed and returned once, like
+    the keys of a dict. NULL key parts equal each other.
 
-    ``rows`` is read once: each row is tagged hit or miss against the stored
-    keys and the tagged rows are checkpointed, keeping the payload only for
-    misses. On an incremental run (few misses) that is a small write instead
-    of a second full pass over the input.
+    Only keys move until the misses are known: the distinct requested keys
+    meet the stored keys, then one pass over ``rows`` keeps the payload of
+    the missing ones, one row for each.
     """
     spark = rows.sparkSession
-    work_dir(spark)
     stored = read_table(spark, path, schema)
     for col, val in (partition_values or {}).items():
         if col not in partition_by:
@@ -86,38 +81,26 @@ def memoised(rows: DataFrame, key_cols: list[str], compute: Callable[[DataFrame]
         rows = rows.withColumn(col, F.when(F.col(col) == F.lit(val), F.col(col)).otherwise(
             F.raise_error(F.concat(F.lit(f"row outside the stated partition {col}={val}: "),
                                    F.coalesce(F.col(col).cast("string"), F.lit("NULL"))))))
-    if not path_exists(spark, path):
-        # First run: every row is a miss; nothing to tag or stage.
-        todo = rows
-        hit_keys = None
-    else:
-        stored_keys = stored.select(*key_cols).withColumn("_hit", F.lit(True))
-        payload = [c for c in rows.columns if c not in key_cols]
-        tagged = (rows.join(stored_keys, key_cols, "left")
-                  .select(*key_cols,
-                          *[F.when(F.col("_hit").isNull(), F.col(c)).alias(c) for c in payload],
-                          F.coalesce(F.col("_hit"), F.lit(False)).alias("_hit"))
-                  .checkpoint(eager=True))
-        todo = tagged.filter(~F.col("_hit")).drop("_hit")
-        hit_keys = tagged.filter(F.col("_hit")).select(*key_cols).distinct()
+    asked = rows.select(*key_cols).distinct()
+    stored_keys = stored.select(*key_cols)
+    hit_keys = staged(null_join(asked, stored_keys, key_cols, "left_semi"), "hit-keys")
+    todo = null_join(rows, hit_keys, key_cols, "left_anti").dropDuplicates(key_cols)
     fresh = compute(todo)
     if "error" not in fresh.columns:
         fresh = fresh.withColumn("error", F.lit(None).cast("string"))
     cols = [f.name for f in schema.fields]
-    fresh = fresh.select(*cols, "error").checkpoint(eager=True)
+    fresh = staged(fresh.select(*cols, "error"), "fresh")
     good = fresh.filter(F.col("error").isNull()).select(*cols)
     if replace:
         upsert(good, path, key_cols, partition_by, schema, materialized=True)
     else:
-        insert_absent(good, path, key_cols, partition_by, schema, materialized=True)
+        insert_absent(good, path, key_cols, partition_by, schema)
     fresh_out = (good.withColumn("error", F.lit(None).cast("string")).withColumn("cached", F.lit(False))
                  .unionByName(fresh.filter(F.col("error").isNotNull()).withColumn("cached", F.lit(False))))
-    if hit_keys is None:
-        return fresh_out
     # Hit keys were stored before this run and are untouched by its write.
     after = read_table(spark, path, schema)
     for col, val in (partition_values or {}).items():
         after = after.filter(F.col(col) == F.lit(val))
-    hits = (after.join(hit_keys, key_cols, "left_semi")
+    hits = (null_join(after, hit_keys, key_cols, "left_semi")
             .withColumn("error", F.lit(None).cast("string")).withColumn("cached", F.lit(True)))
     return hits.unionByName(fresh_out)

@@ -49,15 +49,15 @@ def check_key_subset(keys) -> list[str]:
     """A non-empty subset of the key, in the key's own order."""
     keys = [keys] if isinstance(keys, str) else list(keys)
     if not keys:
-        raise ValueError("No valid keys provided for summary lookup.")
+        raise ValueError("a lookup needs at least one key column")
     unknown = [k for k in keys if k not in SUMMARY_KEY]
     if unknown:
-        raise ValueError(f"Unknown summary key column(s): {', '.join(unknown)}")
+        raise ValueError(f"not part of the summary key: {', '.join(unknown)}")
     if len(set(keys)) != len(keys):
-        raise ValueError("Repeated key column in summary lookup.")
+        raise ValueError("a key column is given twice")
     expected = [k for k in SUMMARY_KEY if k in keys]
     if keys != expected:
-        raise ValueError(f"Key columns must be given in the order: {', '.join(expected)}")
+        raise ValueError(f"give the key columns as: {', '.join(expected)}")
     return keys
 
 
@@ -130,7 +130,7 @@ _NAME_PARTS = {"summarizer": "summarizer_name", "full-model": "full_model_name",
 def named_query_text(name: str) -> str:
     """SQL text of a named lookup, e.g. ``select-summaries-by-summarizer-and-arxiv-id``."""
     if name not in QUERY_NAMES:
-        raise ValueError(f"Query '{name}' not found.")
+        raise ValueError(f"no lookup is called {name!r}")
     cols = ", ".join(SUMMARY_COLS)
     if name == "select-all-summaries":
         return f"SELECT {cols} FROM summaries"
@@ -138,10 +138,10 @@ def named_query_text(name: str) -> str:
         return f"SELECT {cols} FROM summaries WHERE (summarizer_name, full_model_name, arxiv_id) IN ((?, ?, ?))"
     prefix = "select-summaries-by-"
     if not name.startswith(prefix):
-        raise ValueError(f"Query '{name}' not found.")
+        raise ValueError(f"no lookup is called {name!r}")
     parts = name[len(prefix):].split("-and-")
     if any(p not in _NAME_PARTS for p in parts):
-        raise ValueError(f"Query '{name}' not found.")
+        raise ValueError(f"no lookup is called {name!r}")
     key_cols = check_key_subset([_NAME_PARTS[p] for p in parts])
     where = " AND ".join(f"{c} = ?" for c in key_cols)
     return f"SELECT {cols} FROM summaries WHERE {where}"

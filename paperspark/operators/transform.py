@@ -16,12 +16,10 @@ from pyspark.sql import DataFrame, functions as F
 from pyspark.sql import types as T
 
 from ..functions.text import text_validity
-from ..session import ship_package, spread_for_cpu
+from ..session import ship_package
 from ..schemas import EMBED_BATCH_SIZE
 
 TextFn = Callable[[list], Sequence]
-# Largest agent catalogue turned into a literal array (it is a dimension).
-MAX_AGENTS = 10_000
 
 
 def _check_batch_size(batch_size) -> int:
@@ -37,7 +35,7 @@ def apply_batched(df: DataFrame, fn: TextFn, input_col: str, output_col: str,
     """``keep_cols + [output_col, error]`` with ``fn`` applied to ``input_col``."""
     keep = list(keep_cols) if keep_cols is not None else [c for c in df.columns if c != input_col]
     ship_package(df.sparkSession)
-    in_df = spread_for_cpu(df.select(*keep, F.col(input_col).alias("_in")))
+    in_df = df.select(*keep, F.col(input_col).alias("_in"))
     out_schema = T.StructType(
         [in_df.schema[c] for c in keep]
         + [T.StructField(output_col, output_type), T.StructField("error", T.StringType())])
@@ -100,22 +98,18 @@ def embed_with(df: DataFrame, fn: TextFn, text_col: str, key_cols: list[str],
 
 def agent_rows(agents: DataFrame, agent_class: str | None = "summarizer",
                agent_name: str | None = None) -> list:
-    """Agents of a class (and optionally one name), checked and bounded."""
-    sel = agents
+    """Agents of a class (and optionally one name). Every agent is a
+    function that the caller builds on the driver, so their rows fit there."""
     if agent_class is not None:
-        classes = [r[0] for r in agents.select("agent_class").distinct().limit(MAX_AGENTS + 1).collect()]
-        if agent_class.lower() not in classes:
-            raise ValueError(f"Agent class '{agent_class}' not found. Available classes: {sorted(classes)}")
-        sel = sel.filter(F.col("agent_class") == agent_class.lower())
-    rows = sel.select("agent_class", "agent_name", "instructions").limit(MAX_AGENTS + 1).collect()
-    if len(rows) > MAX_AGENTS:
-        raise ValueError(f"more than {MAX_AGENTS} agents; the catalogue is meant to be small")
+        agents = agents.filter(F.col("agent_class") == agent_class.lower())
+    rows = agents.select("agent_class", "agent_name", "instructions").collect()
+    if agent_class is not None and not rows:
+        raise ValueError(f"the catalogue has no agent of class {agent_class!r}")
     if agent_name is not None:
-        names = [r.agent_name for r in rows]
-        if agent_name not in names:
-            raise ValueError(f"Agent name '{agent_name}' not found in class '{agent_class}'. "
-                             f"Available agents: {names}")
-        rows = [r for r in rows if r.agent_name == agent_name]
+        found = [r for r in rows if r.agent_name == agent_name]
+        if not found:
+            raise ValueError(f"class {agent_class!r} has no agent {agent_name!r}, only {[r.agent_name for r in rows]}")
+        rows = found
     return rows
 
 
@@ -123,9 +117,9 @@ def fan_out_agents(texts: DataFrame, agents: DataFrame, text_col: str, key_cols:
                    agent_class: str | None = "summarizer", agent_name: str | None = None):
     """``(rows, names)``: each text once per selected agent.
 
-    The (small, size-checked) agent list becomes a literal array exploded
-    next to each text, so there is no join. ``rows``: key_cols, agent_name,
-    instructions-free ``_text``."""
+    The agent list becomes a literal array exploded
+    next to each text, so there is no join. ``rows``: key_cols, agent_name and
+    ``_text``."""
     rows = agent_rows(agents, agent_class, agent_name)
     fanned = texts.select(*key_cols, F.col(text_col).alias("_text"),
                           F.explode(F.array(*[F.lit(r.agent_name) for r in rows])).alias("agent_name"))
@@ -146,7 +140,7 @@ def run_agent_fns(fanned: DataFrame, fns: dict, key_cols: list[str], text_col: s
         T.StructField(output_col, T.StringType()),
         T.StructField("error", T.StringType())])
     size = _check_batch_size(batch_size)
-    src = spread_for_cpu(fanned.select(*keep, agent_col, F.col(text_col).alias("_text")))
+    src = fanned.select(*keep, agent_col, F.col(text_col).alias("_text"))
 
     def run(batches):
         import pandas as pd
@@ -193,7 +187,8 @@ def apply_agents(texts: DataFrame, agents: DataFrame, fn_for_agent: Callable[[st
 
 def outputs_per_agent(results: DataFrame, order_col: str, output_col: str = "summary_text",
                       chunk: int = 10_000) -> DataFrame:
-    """Outputs regrouped per agent in input order, in bounded chunks."""
+    """Outputs regrouped per agent in input order, in chunks of ``chunk``.
+    ``results`` is staged first, so the agents' functions run once."""
     from .grouping import chunked_lists
 
     return chunked_lists(results, ["agent_name"], output_col, order=order_col, chunk=chunk,

@@ -11,6 +11,7 @@ from ..functions.embed import hash_embed
 from ..operators import context as ctx
 from ..operators import transform as tf
 from ..schemas import DEFAULT_TOP_K
+from ..session import staged
 
 
 class Answers(NamedTuple):
@@ -21,23 +22,31 @@ class Answers(NamedTuple):
 def answer_questions(questions: DataFrame, store: DataFrame, papers: DataFrame,
                      answer_fn: Callable, embed: str | Callable = "hash", dims: int = 64,
                      k: int = DEFAULT_TOP_K, agent_name: str | None = None,
-                     dedupe_papers: bool = False, batch_size: int = 5) -> Answers:
+                     dedupe_papers: bool = False, batch_size: int = 5, embed_batch: int = 20) -> Answers:
     """``questions(question_id, question)`` -> embed -> k nearest stored
     vectors -> their papers -> context text -> ``answer_fn`` (a batch of
     contexts to a batch of answers).
 
     Returns the hits and ``(question_id, context, sources, answer, error)``.
+    A question whose embedding failed keeps its row: context, sources and
+    answer are NULL, ``error`` says why, and ``answer_fn`` never sees it.
+    Each function sees every question once; results are staged.
     """
     if embed == "hash":
-        qv = hash_embed(questions, ["question_id"], "question", dims)
+        qv = hash_embed(questions, ["question_id"], "question", dims).withColumn(
+            "error", F.lit(None).cast("string"))
     else:
-        qv, _ = tf.embed_with(questions, embed, "question", ["question_id"], batch_size=20, strict=True)
-        qv = qv.filter(F.col("error").isNull()).drop("error")
-    hits = ctx.retrieve(qv, store, papers, k, ["question_id"], agent_name=agent_name,
+        qv, _ = tf.embed_with(questions, embed, "question", ["question_id"], batch_size=embed_batch, strict=True)
+    qv = staged(qv, "question-vectors")
+    good = qv.filter(F.col("error").isNull()).drop("error")
+    failed = qv.filter(F.col("error").isNotNull()).select(
+        "question_id", *[F.lit(None).cast("string").alias(c) for c in ("context", "sources", "answer")], "error")
+    hits = ctx.retrieve(good, store, papers, k, ["question_id"], agent_name=agent_name,
                         dedupe_papers=dedupe_papers)
-    contexts = ctx.context_text(hits, questions, ["question_id"], "question")
+    asked = questions.join(good.select("question_id"), "question_id", "left_semi")
+    contexts = staged(ctx.context_text(hits, asked, ["question_id"], "question"), "contexts")
     sources = ctx.context_sources(hits, ["question_id"])
-    answered = ctx.answer(contexts, answer_fn, ["question_id"], batch_size)
+    answered = staged(ctx.answer(contexts, answer_fn, ["question_id"], batch_size), "answers")
     out = (contexts.join(sources, "question_id", "left").join(answered, "question_id", "left")
            .select("question_id", "context", "sources", "answer", "error"))
-    return Answers(hits, out)
+    return Answers(hits, out.unionByName(failed))

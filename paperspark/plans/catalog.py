@@ -12,6 +12,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..operators import index as ix
+from ..session import fresh_path
 from ..sources import papers as pp
 from . import views as v
 
@@ -57,6 +58,11 @@ def _index(spark, sf_dir):
     return ix.build_index(_records(spark, sf_dir).records).index
 
 
+def _stored_index(spark, sf_dir):
+    """The index as a build leaves it: written sorted, read from Parquet."""
+    return ix.load_or_build_index(spark, fresh_path(spark, "index"), v.paper_lines(spark, sf_dir))
+
+
 @register("scan_project", f"""
 WITH {PAPERS_SQL}
 SELECT id, title, categories, abstract FROM papers
@@ -94,21 +100,50 @@ def index_flat(spark, sf_dir):
     return _index(spark, sf_dir)
 
 
+# Small enough that groups split at every test scale.
+LIST_CHUNK = 3
+
+
 @register("index_grouped", f"""
 WITH {PAPERS_SQL}
-SELECT category, created, count(*) OVER (PARTITION BY category, created) AS n_ids,
-       TRUE AS sorted_ok, id
-FROM papers
+SELECT category, created, count(*) OVER (PARTITION BY category, created) AS n_ids, (pos // 3)::BIGINT AS part,
+       pos, id
+FROM (SELECT *, row_number() OVER (PARTITION BY category, created ORDER BY id) - 1 AS pos FROM papers)
 """)
 def index_grouped(spark, sf_dir):
-    """The nested view, flattened back: every id once with its group's size,
-    and whether its chunk's list is sorted (valid however groups are split)."""
-    g = ix.ids_per_group(_index(spark, sf_dir))
-    # The check is computed before the explode, so the exploded rows do not
-    # have to carry the whole list.
-    checked = g.select("category", "created", "n_ids", "ids",
-                       (F.col("ids") == F.sort_array("ids")).alias("sorted_ok"))
-    return checked.select("category", "created", "n_ids", "sorted_ok", F.explode("ids").alias("id"))
+    """The nested view, flattened back: every id with its part and its place
+    in the whole list of its group."""
+    g = ix.ids_per_group(_index(spark, sf_dir), chunk=LIST_CHUNK)
+    return g.select("category", "created", "n_ids", "part", "first_position",
+                    F.posexplode("ids").alias("_i", "id")).select(
+        "category", "created", "n_ids", "part", (F.col("first_position") + F.col("_i")).alias("pos"), "id")
+
+
+@register("scan_files", """
+SELECT doc_id::VARCHAR AS id, text AS abstract, NULL::VARCHAR AS reason, 1 AS n FROM documents
+UNION ALL
+SELECT NULL, NULL, CASE item_id % 6 WHEN 0 THEN 'blank line' WHEN 1 THEN 'malformed JSON' WHEN 5 THEN 'missing id' ELSE 'not a JSON object' END, count(*)
+FROM benchmark GROUP BY ALL
+""")
+def scan_files(spark, sf_dir):
+    """The corpus written as NDJSON files and scanned back: blank
+    lines, malformed ones, arrays, scalars, strings and objects without an
+    id are rejected with their reason."""
+    docs = v.table(spark, sf_dir, "documents").select(
+        F.to_json(F.struct(F.col("doc_id").cast("string").alias("id"), F.col("text").alias("abstract"))).alias("value"))
+    kind = F.col("item_id") % 6
+    bad = v.table(spark, sf_dir, "benchmark").select(
+        F.when(kind == 0, F.lit(" ")).when(kind == 1, F.lit('{"id": "x"')).when(kind == 2, F.lit('[{"id": "x"}]'))
+        .when(kind == 3, F.lit("17")).when(kind == 4, F.lit('"text"'))
+        .otherwise(F.to_json(F.struct(F.col("text").alias("abstract")))).alias("value"))
+    path = fresh_path(spark, "lines")
+    docs.unionByName(bad).write.text(path)
+    parsed = pp.parse_lines(pp.read_lines(spark, path))
+    good = pp.load_papers(parsed.records, ["abstract"]).select(
+        "id", "abstract", F.lit(None).cast("string").alias("reason"), F.lit(1).cast("bigint").alias("n"))
+    rejected = parsed.rejects.groupBy("reason").agg(F.count(F.lit(1)).alias("n"))
+    return good.unionByName(rejected.select(
+        F.lit(None).cast("string").alias("id"), F.lit(None).cast("string").alias("abstract"), "reason", "n"))
 
 
 @register("index_group_summary", f"""
@@ -127,7 +162,7 @@ WHERE contains(category, 'src1')
   AND created BETWEEN TIMESTAMP '2024-01-01 10:00:00' AND TIMESTAMP '2024-01-01 20:02:00'
 """)
 def select_contains_range(spark, sf_dir):
-    return ix.select_papers(_index(spark, sf_dir), "src1", RANGE)
+    return ix.select_papers(_stored_index(spark, sf_dir), "src1", RANGE)
 
 
 @register("select_instant", f"""
@@ -137,7 +172,7 @@ WHERE (contains(category, 'src5') OR contains(category, 'src15'))
   AND created = TIMESTAMP '2024-01-01 05:02:00'
 """)
 def select_instant(spark, sf_dir):
-    return ix.select_papers(_index(spark, sf_dir), ["src5", "src15"], INSTANT)
+    return ix.select_papers(_stored_index(spark, sf_dir), ["src5", "src15"], INSTANT)
 
 
 @register("select_many_patterns", """
@@ -177,7 +212,7 @@ WHERE contains(category, 'src1')
 """)
 def papers_by_ids(spark, sf_dir):
     recs = _records(spark, sf_dir).records
-    sel = ix.select_papers(ix.build_index(recs).index, "src1", RANGE)
+    sel = ix.select_papers(_stored_index(spark, sf_dir), "src1", RANGE)
     return pp.load_papers(recs, ["title", "abstract"], ids=ix.selected_ids(sel))
 
 
@@ -190,7 +225,7 @@ WHERE (contains(category, 'src1') OR contains(category, 'src11'))
 """)
 def select_counts(spark, sf_dir):
     """Two overlapping patterns: every group and paper is counted once."""
-    sel = ix.select_papers(_index(spark, sf_dir), ["src1", "src11"], RANGE)
+    sel = ix.select_papers(_stored_index(spark, sf_dir), ["src1", "src11"], RANGE)
     return ix.selection_counts(sel)
 
 

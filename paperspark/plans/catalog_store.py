@@ -28,10 +28,10 @@ SUMMARIES_SQL = """
 summaries AS (
   SELECT s.name AS summarizer_name, 'openai:demo-model' AS full_model_name,
          'p' || d.doc_id AS arxiv_id,
-         CASE s.name WHEN 'DomainExpertSummarizer' THEN replace(d.text, chr(10), ' ')
+         CASE s.name WHEN 'SpecialistSummarizer' THEN replace(d.text, chr(10), ' ')
                      ELSE replace(d.text, chr(10), ' | ') END AS summary_text
   FROM documents d
-  CROSS JOIN (VALUES ('DomainExpertSummarizer'), ('HighSchoolSummarizer')) s(name))
+  CROSS JOIN (VALUES ('SpecialistSummarizer'), ('StudentSummarizer')) s(name))
 """
 
 _built: dict = {}
@@ -78,11 +78,11 @@ def summary_all(spark, sf_dir):
 
 
 @register("by_summarizer", f"""
-WITH {SUMMARIES_SQL} SELECT * FROM summaries WHERE summarizer_name = 'HighSchoolSummarizer'
+WITH {SUMMARIES_SQL} SELECT * FROM summaries WHERE summarizer_name = 'StudentSummarizer'
 """)
 def by_summarizer(spark, sf_dir):
     summary_table(spark, sf_dir).createOrReplaceTempView("summaries")
-    return sm.run_named(spark, "select-summaries-by-summarizer", ["HighSchoolSummarizer"])
+    return sm.run_named(spark, "select-summaries-by-summarizer", ["StudentSummarizer"])
 
 
 @register("by_model", f"""
@@ -95,12 +95,12 @@ def by_model(spark, sf_dir):
 
 @register("by_summarizer_model", f"""
 WITH {SUMMARIES_SQL} SELECT * FROM summaries
-WHERE summarizer_name = 'DomainExpertSummarizer' AND full_model_name = 'openai:demo-model'
+WHERE summarizer_name = 'SpecialistSummarizer' AND full_model_name = 'openai:demo-model'
 """)
 def by_summarizer_model(spark, sf_dir):
     summary_table(spark, sf_dir).createOrReplaceTempView("summaries")
     return sm.run_named(spark, "select-summaries-by-summarizer-and-full-model",
-                        ["DomainExpertSummarizer", v.FULL_MODEL])
+                        ["SpecialistSummarizer", v.FULL_MODEL])
 
 
 @register("by_paper", f"""
@@ -125,11 +125,11 @@ def by_model_paper(spark, sf_dir):
 WITH {SUMMARIES_SQL}
 SELECT s.* FROM labels l JOIN summaries s
   ON s.arxiv_id = 'p' || l.doc_id
- AND s.summarizer_name = CASE WHEN l.quality = 1 THEN 'DomainExpertSummarizer' ELSE 'HighSchoolSummarizer' END
+ AND s.summarizer_name = CASE WHEN l.quality = 1 THEN 'SpecialistSummarizer' ELSE 'StudentSummarizer' END
 """)
 def by_summarizer_paper(spark, sf_dir):
     vals = _label_ids(spark, sf_dir).withColumn(
-        "summarizer_name", F.when(F.col("quality") == 1, "DomainExpertSummarizer").otherwise("HighSchoolSummarizer"))
+        "summarizer_name", F.when(F.col("quality") == 1, "SpecialistSummarizer").otherwise("StudentSummarizer"))
     return sm.lookup_summaries(summary_table(spark, sf_dir), ("summarizer_name", "arxiv_id"), vals)
 
 
@@ -137,19 +137,19 @@ def by_summarizer_paper(spark, sf_dir):
 WITH {SUMMARIES_SQL}
 SELECT s.* FROM labels l JOIN summaries s
   ON s.arxiv_id = 'p' || l.doc_id AND s.full_model_name = 'openai:demo-model'
- AND s.summarizer_name = CASE WHEN l.toxic = 1 THEN 'HighSchoolSummarizer' ELSE 'DomainExpertSummarizer' END
+ AND s.summarizer_name = CASE WHEN l.toxic = 1 THEN 'StudentSummarizer' ELSE 'SpecialistSummarizer' END
 """)
 def by_all_three(spark, sf_dir):
     vals = (_label_ids(spark, sf_dir).withColumn("full_model_name", F.lit(v.FULL_MODEL))
-            .withColumn("summarizer_name", F.when(F.col("toxic") == 1, "HighSchoolSummarizer")
-                        .otherwise("DomainExpertSummarizer")))
+            .withColumn("summarizer_name", F.when(F.col("toxic") == 1, "StudentSummarizer")
+                        .otherwise("SpecialistSummarizer")))
     return sm.lookup_summaries(summary_table(spark, sf_dir), ("summarizer_name", "full_model_name", "arxiv_id"), vals)
 
 
 @register("by_key_tuple", f"""
 WITH {SUMMARIES_SQL}
 SELECT s.* FROM labels l
-CROSS JOIN (VALUES ('DomainExpertSummarizer'), ('HighSchoolSummarizer')) a(name)
+CROSS JOIN (VALUES ('SpecialistSummarizer'), ('StudentSummarizer')) a(name)
 JOIN summaries s ON (s.summarizer_name, s.full_model_name, s.arxiv_id)
                   = (a.name, 'openai:demo-model', 'p' || l.doc_id)
 """)
@@ -164,38 +164,67 @@ def by_key_tuple(spark, sf_dir):
 WITH {SUMMARIES_SQL},
 keys AS (SELECT doc_id FROM labels UNION ALL SELECT doc_id FROM labels WHERE quality = 1)
 SELECT s.* FROM keys k JOIN summaries s
-  ON s.arxiv_id = 'p' || k.doc_id AND s.summarizer_name = 'DomainExpertSummarizer'
+  ON s.arxiv_id = 'p' || k.doc_id AND s.summarizer_name = 'SpecialistSummarizer'
 """)
 def summary_multi_key(spark, sf_dir):
     ids = _label_ids(spark, sf_dir)
     keys = ids.unionByName(ids.filter(F.col("quality") == 1)).withColumn(
-        "summarizer_name", F.lit("DomainExpertSummarizer"))
+        "summarizer_name", F.lit("SpecialistSummarizer"))
     return sm.lookup_summaries(summary_table(spark, sf_dir), ("summarizer_name", "arxiv_id"), keys)
 
 
 @register("summary_grouped", f"""
 WITH {SUMMARIES_SQL}
-SELECT summarizer_name, count(*) OVER (PARTITION BY summarizer_name) AS n_items, TRUE AS sorted_ok,
-       arxiv_id, length(summary_text)::BIGINT AS chars
-FROM summaries
+SELECT summarizer_name, count(*) OVER (PARTITION BY summarizer_name) AS n_items, (pos // 7)::BIGINT AS part, pos,
+       arxiv_id, summary_text
+FROM (SELECT *, row_number() OVER (PARTITION BY summarizer_name ORDER BY arxiv_id) - 1 AS pos FROM summaries)
 """)
 def summary_grouped(spark, sf_dir):
-    """Summaries per summarizer, flattened back: every pair once with its
-    group's size, and whether its chunk is in paper order."""
-    g = sm.summaries_by_summarizer(summary_table(spark, sf_dir))
-    ids = F.transform("items", lambda e: e["arxiv_id"])
-    # Checks first, explode after: exploded rows must not carry the list.
-    checked = g.select("summarizer_name", "n_items", "items", (ids == F.sort_array(ids)).alias("sorted_ok"))
-    return (checked.select("summarizer_name", "n_items", "sorted_ok", F.explode("items").alias("_e"))
-            .select("summarizer_name", "n_items", "sorted_ok", F.col("_e.arxiv_id").alias("arxiv_id"),
-                    F.length("_e.summary_text").cast("bigint").alias("chars")))
+    """Summaries per summarizer, flattened back: every pair with its part and
+    its place in its group's list."""
+    g = sm.summaries_by_summarizer(summary_table(spark, sf_dir), chunk=7)
+    return g.select("summarizer_name", "n_items", "part", "first_position",
+                    F.posexplode("items").alias("_i", "_e")).select(
+        "summarizer_name", "n_items", "part", (F.col("first_position") + F.col("_i")).alias("pos"),
+        F.col("_e.arxiv_id").alias("arxiv_id"), F.col("_e.summary_text").alias("summary_text"))
+
+
+def _named(name, query, args, where):
+    @register(name, f"WITH {SUMMARIES_SQL} SELECT * FROM summaries WHERE {where}")
+    def run(spark, sf_dir):
+        summary_table(spark, sf_dir).createOrReplaceTempView("summaries")
+        return sm.run_named(spark, query, args)
+    return run
+
+
+_named("named_all", "select-all-summaries", [], "TRUE")
+_named("named_primary_key", "select-summaries-by-primary-key", ["StudentSummarizer", v.FULL_MODEL, "p17"],
+       "summarizer_name = 'StudentSummarizer' AND arxiv_id = 'p17'")
+_named("named_paper", "select-summaries-by-arxiv-id", ["p5"], "arxiv_id = 'p5'")
+_named("named_model_paper", "select-summaries-by-full-model-and-arxiv-id", [v.FULL_MODEL, "p6"], "arxiv_id = 'p6'")
+_named("named_summarizer_paper", "select-summaries-by-summarizer-and-arxiv-id", ["SpecialistSummarizer", "p7"],
+       "summarizer_name = 'SpecialistSummarizer' AND arxiv_id = 'p7'")
+_named("named_all_three", "select-summaries-by-summarizer-and-full-model-and-arxiv-id",
+       ["StudentSummarizer", v.FULL_MODEL, "p8"], "summarizer_name = 'StudentSummarizer' AND arxiv_id = 'p8'")
+
+
+@register("summary_create", f"""
+WITH {SUMMARIES_SQL} SELECT * FROM summaries WHERE summarizer_name = 'StudentSummarizer'
+""")
+def summary_create(spark, sf_dir):
+    """A table created empty, created again (nothing happens), then filled."""
+    path = fresh_path(spark, "summaries-created")
+    sm.create_summaries_table(spark, path)
+    sm.cache_summaries(_summaries_of(spark, sf_dir, agent_name="StudentSummarizer"), path)
+    sm.create_summaries_table(spark, path)
+    return sm.all_summaries(spark, path)
 
 
 @register("summary_upsert", f"""
 WITH {SUMMARIES_SQL},
 old AS (SELECT 'p' || doc_id AS arxiv_id, replace(text, chr(10), '  ') AS t FROM documents)
 SELECT s.summarizer_name, s.full_model_name, s.arxiv_id,
-       CASE WHEN s.summarizer_name = 'DomainExpertSummarizer' AND l.doc_id IS NULL THEN o.t
+       CASE WHEN s.summarizer_name = 'SpecialistSummarizer' AND l.doc_id IS NULL THEN o.t
             ELSE s.summary_text END AS summary_text
 FROM summaries s JOIN old o USING (arxiv_id)
 LEFT JOIN labels l ON s.arxiv_id = 'p' || l.doc_id
@@ -206,10 +235,10 @@ def summary_upsert(spark, sf_dir):
     twice: a stale row, then the current one; the later row wins and the
     other agent's partition is untouched."""
     path = fresh_path(spark, "summaries-upsert")
-    first = (_summaries_of(spark, sf_dir, lambda n, i: v.earlier_summarizer_fn, "DomainExpertSummarizer")
-             .unionByName(_summaries_of(spark, sf_dir, agent_name="HighSchoolSummarizer")))
+    first = (_summaries_of(spark, sf_dir, lambda n, i: v.earlier_summarizer_fn, "SpecialistSummarizer")
+             .unionByName(_summaries_of(spark, sf_dir, agent_name="StudentSummarizer")))
     sm.cache_summaries(first, path)
-    cur = _summaries_of(spark, sf_dir, agent_name="DomainExpertSummarizer", labelled_only=True)
+    cur = _summaries_of(spark, sf_dir, agent_name="SpecialistSummarizer", labelled_only=True)
     second = (cur.withColumn("summary_text", F.lit("stale")).withColumn("_ord", F.lit(0))
               .unionByName(cur.withColumn("_ord", F.lit(1))))
     sm.cache_summaries(second, path, order_col="_ord")
@@ -219,18 +248,18 @@ def summary_upsert(spark, sf_dir):
 @register("summary_insert_absent", f"""
 WITH {SUMMARIES_SQL},
 old AS (SELECT 'p' || doc_id AS arxiv_id, replace(text, chr(10), '  ') AS t FROM documents)
-SELECT 'DomainExpertSummarizer' AS summarizer_name, 'openai:demo-model' AS full_model_name,
+SELECT 'SpecialistSummarizer' AS summarizer_name, 'openai:demo-model' AS full_model_name,
        arxiv_id, t AS summary_text FROM old
 UNION ALL
 SELECT s.summarizer_name, s.full_model_name, s.arxiv_id, s.summary_text
 FROM summaries s JOIN labels l ON s.arxiv_id = 'p' || l.doc_id
-WHERE s.summarizer_name = 'HighSchoolSummarizer'
+WHERE s.summarizer_name = 'StudentSummarizer'
 """)
 def summary_insert_absent(spark, sf_dir):
     """Insert-if-absent: stored keys keep their text; new keys take the
     first of their rows in the batch."""
     path = fresh_path(spark, "summaries-insert")
-    base = _summaries_of(spark, sf_dir, lambda n, i: v.earlier_summarizer_fn, "DomainExpertSummarizer")
+    base = _summaries_of(spark, sf_dir, lambda n, i: v.earlier_summarizer_fn, "SpecialistSummarizer")
     sm.cache_summaries(base, path)
     offered = _summaries_of(spark, sf_dir, labelled_only=True).drop("error")
     batch = (offered.withColumn("_ord", F.lit(0))
@@ -242,8 +271,8 @@ def summary_insert_absent(spark, sf_dir):
 
 @register("uncached_summaries", """
 SELECT s.name AS summarizer_name, 'p' || d.doc_id AS arxiv_id
-FROM documents d CROSS JOIN (VALUES ('DomainExpertSummarizer'), ('HighSchoolSummarizer')) s(name)
-WHERE NOT EXISTS (SELECT 1 FROM labels l WHERE l.doc_id = d.doc_id AND s.name = 'DomainExpertSummarizer')
+FROM documents d CROSS JOIN (VALUES ('SpecialistSummarizer'), ('StudentSummarizer')) s(name)
+WHERE NOT EXISTS (SELECT 1 FROM labels l WHERE l.doc_id = d.doc_id AND s.name = 'SpecialistSummarizer')
 """)
 def uncached_summaries(spark, sf_dir):
     path = fresh_path(spark, "summaries-memo")
@@ -255,7 +284,7 @@ def uncached_summaries(spark, sf_dir):
 
 def _precache(spark, sf_dir, path):
     """Summaries from an earlier run for the papers in ``labels``."""
-    early = _summaries_of(spark, sf_dir, lambda n, i: v.earlier_summarizer_fn, "DomainExpertSummarizer",
+    early = _summaries_of(spark, sf_dir, lambda n, i: v.earlier_summarizer_fn, "SpecialistSummarizer",
                           labelled_only=True)
     sm.cache_summaries(early, path)
 
@@ -270,9 +299,9 @@ def _wanted_summaries(spark, sf_dir):
 @register("merged_summaries", f"""
 WITH {SUMMARIES_SQL}
 SELECT s.summarizer_name, s.full_model_name, s.arxiv_id,
-       CASE WHEN l.doc_id IS NOT NULL AND s.summarizer_name = 'DomainExpertSummarizer'
+       CASE WHEN l.doc_id IS NOT NULL AND s.summarizer_name = 'SpecialistSummarizer'
             THEN replace(d.text, chr(10), '  ') ELSE s.summary_text END AS summary_text,
-       (l.doc_id IS NOT NULL AND s.summarizer_name = 'DomainExpertSummarizer') AS cached
+       (l.doc_id IS NOT NULL AND s.summarizer_name = 'SpecialistSummarizer') AS cached
 FROM summaries s JOIN documents d ON s.arxiv_id = 'p' || d.doc_id
 LEFT JOIN labels l ON l.doc_id = d.doc_id
 """)
@@ -296,31 +325,49 @@ def merged_summaries(spark, sf_dir):
 
 @register("agents_x_texts", """
 SELECT s.name AS agent_name, 'p' || d.doc_id AS id,
-       CASE s.name WHEN 'DomainExpertSummarizer' THEN replace(d.text, chr(10), ' ')
+       CASE s.name WHEN 'SpecialistSummarizer' THEN replace(d.text, chr(10), ' ')
                    ELSE replace(d.text, chr(10), ' | ') END AS summary_text,
        NULL::VARCHAR AS error
-FROM documents d CROSS JOIN (VALUES ('DomainExpertSummarizer'), ('HighSchoolSummarizer')) s(name)
+FROM documents d CROSS JOIN (VALUES ('SpecialistSummarizer'), ('StudentSummarizer')) s(name)
 """)
 def agents_x_texts(spark, sf_dir):
     return tf.apply_agents(v.papers(spark, sf_dir), v.agents(spark), v.summarizer_fn, "abstract", ["id"])
 
 
 @register("outputs_per_agent", """
-SELECT s.name AS agent_name, count(*) OVER (PARTITION BY s.name) AS n_items, TRUE AS in_order,
-       'p' || d.doc_id AS id
-FROM documents d CROSS JOIN (VALUES ('DomainExpertSummarizer'), ('HighSchoolSummarizer')) s(name)
+SELECT s.name AS agent_name, count(*) OVER (PARTITION BY s.name) AS n_items, (pos // 7)::BIGINT AS part, pos,
+       CASE s.name WHEN 'SpecialistSummarizer' THEN replace(d.text, chr(10), ' ')
+                   ELSE replace(d.text, chr(10), ' | ') END AS output
+FROM (SELECT *, row_number() OVER (ORDER BY doc_id) - 1 AS pos FROM documents) d
+CROSS JOIN (VALUES ('SpecialistSummarizer'), ('StudentSummarizer')) s(name)
 """)
 def outputs_per_agent(spark, sf_dir):
     """Outputs regrouped per agent in input order, flattened back: every
-    output once with its agent's count, and whether its chunk keeps input
-    order."""
+    output with its part and its place in its agent's list."""
     res = agents_x_texts(spark, sf_dir).withColumn("_n", F.expr("cast(substring(id, 2) as bigint)"))
-    g = tf.outputs_per_agent(res.withColumn("_o", F.struct("_n", "id")), "_n", "_o")
-    nums = F.transform("outputs", lambda e: e["_n"])
-    # Checks first, explode after: exploded rows must not carry the list.
-    checked = g.select("agent_name", "n_items", "outputs", (nums == F.sort_array(nums)).alias("in_order"))
-    return (checked.select("agent_name", "n_items", "in_order", F.explode("outputs").alias("_e"))
-            .select("agent_name", "n_items", "in_order", F.col("_e.id").alias("id")))
+    g = tf.outputs_per_agent(res, "_n", chunk=7)
+    return g.select("agent_name", "n_items", "part", "first_position", F.posexplode("outputs").alias("_i", "output")) \
+        .select("agent_name", "n_items", "part", (F.col("first_position") + F.col("_i")).alias("pos"), "output")
+
+
+def _odd_length_fails(name, instructions):
+    def run(texts):
+        if any(len(t) % 2 for t in texts):
+            raise ValueError("odd length")
+        return [t.upper() if name == "StudentSummarizer" else t for t in texts]
+    return run
+
+
+@register("agents_with_errors", """
+SELECT s.name AS agent_name, 'p' || d.doc_id AS id,
+       CASE WHEN length(d.text) % 2 = 1 THEN NULL ELSE d.text END AS summary_text,
+       CASE WHEN length(d.text) % 2 = 1 THEN 'ValueError: ' || chr(39) || s.name || chr(39) || ': odd length' END AS error
+FROM documents d CROSS JOIN (VALUES ('SpecialistSummarizer')) s(name)
+""")
+def agents_with_errors(spark, sf_dir):
+    """A function that fails for some texts, one text to a request."""
+    return tf.apply_agents(v.papers(spark, sf_dir), v.agents(spark), _odd_length_fails, "abstract", ["id"],
+                           agent_name="SpecialistSummarizer", batch_size=1)
 
 
 @register("text_validity", """
@@ -646,6 +693,30 @@ def feed_newest(spark, sf_dir):
     return fd.newest(_feed(spark, sf_dir), 100)
 
 
+@register("feed_round_trip", f"WITH {FEED_SQL} SELECT title, authors, summary, published, updated, pdf_url, entry_id FROM feed")
+def feed_round_trip(spark, sf_dir):
+    """The normalised feed saved as JSON and read back."""
+    path = fresh_path(spark, "feed")
+    fd.write_feed(fd.normalise_feed(v.raw_feed(spark, sf_dir)), path)
+    back = fd.read_saved_feed(spark, path, array_file=False)
+    return back.withColumn("authors", F.array_join("authors", "; "))
+
+
+@register("feed_fractions", """
+SELECT 'https://papers.example/abs/p' || doc_id AS entry_id,
+       strftime(t, '%Y-%m-%dT%H:%M:%S') || CASE WHEN doc_id % 3 = 0 THEN '' ELSE '.' || strftime(t, '%f') END || '+00:00' AS published
+FROM (SELECT doc_id, TIMESTAMP '2024-01-01 00:00:00' + to_microseconds(doc_id * 60000000 + (doc_id % 3) * 250001) AS t
+      FROM documents)
+""")
+def feed_fractions(spark, sf_dir):
+    """Publication instants with fractions of a second."""
+    raw = v.raw_feed(spark, sf_dir).withColumn("_d", F.regexp_extract("entry_id", "p([0-9]+)$", 1).cast("bigint"))
+    base = 1704067200000000
+    raw = raw.withColumn("published", F.timestamp_micros(
+        F.lit(base) + F.col("_d") * 60000000 + (F.col("_d") % 3) * 250001))
+    return fd.normalise_feed(raw).select("entry_id", "published")
+
+
 # --- the whole corpus build -------------------------------------------------
 
 @register("corpus_build", f"""
@@ -655,9 +726,9 @@ sel AS (SELECT doc_id, text FROM documents
           AND TIMESTAMP '2024-01-01 00:00:00' + to_seconds((doc_id % 50) * 3600 + (doc_id % 3 + 1) * 60)
               BETWEEN TIMESTAMP '2024-01-01 10:00:00' AND TIMESTAMP '2024-01-01 20:02:00'),
 summ AS (SELECT s.name AS agent_name, sel.doc_id,
-                CASE s.name WHEN 'DomainExpertSummarizer' THEN replace(sel.text, chr(10), ' ')
+                CASE s.name WHEN 'SpecialistSummarizer' THEN replace(sel.text, chr(10), ' ')
                             ELSE replace(sel.text, chr(10), ' | ') END AS summary
-         FROM sel CROSS JOIN (VALUES ('DomainExpertSummarizer'), ('HighSchoolSummarizer')) s(name)),
+         FROM sel CROSS JOIN (VALUES ('SpecialistSummarizer'), ('StudentSummarizer')) s(name)),
 ok AS (SELECT * FROM summ WHERE regexp_matches(summary, '\\S') AND length(summary) <= 8192),
 grid AS (SELECT ok.agent_name, ok.doc_id, g.b FROM ok CROSS JOIN range(64) g(b))
 SELECT g.agent_name, 'p' || g.doc_id AS arxiv_id, 'abstract' AS label,
@@ -683,6 +754,13 @@ def _length_answer(contexts):
     return [f"{len(c)} characters of context" for c in contexts]
 
 
+def _embed_even(texts):
+    """A user embedder that refuses texts of odd length."""
+    if any(len(t) % 2 for t in texts):
+        raise ValueError("odd length")
+    return [[float(len(t)), float(t.count(" "))] for t in texts]
+
+
 @register("answers", RETRIEVE_SQL + """,
 ctx AS (
   SELECT b.item_id AS question_id,
@@ -692,7 +770,7 @@ ctx AS (
          string_agg('- arXiv:' || h.arxiv_id || ' Title: ' || h.title, chr(10) ORDER BY h.rank) AS sources
   FROM benchmark b LEFT JOIN hits h ON h.question_id = b.item_id
   GROUP BY b.item_id, b.text)
-SELECT question_id, length(context) || ' characters of context' AS answer, sources, NULL::VARCHAR AS error
+SELECT question_id, context, length(context) || ' characters of context' AS answer, sources, NULL::VARCHAR AS error
 FROM ctx
 """)
 def answers_q(spark, sf_dir):
@@ -701,13 +779,76 @@ def answers_q(spark, sf_dir):
     qs = v.table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("question_id"),
                                                      F.col("text").alias("question"))
     out = answer_questions(qs, v.document_store(spark, sf_dir), v.papers(spark, sf_dir), _length_answer)
-    return out.answers.select("question_id", "answer", "sources", "error")
+    return out.answers.select("question_id", "context", "answer", "sources", "error")
+
+
+@register("answers_failed", """
+WITH d AS (SELECT doc_id, length(text) AS c, length(text) - length(replace(text, ' ', '')) AS s, text, lang, source
+           FROM documents),
+q AS (SELECT item_id, text, length(text) AS c, length(text) - length(replace(text, ' ', '')) AS s FROM benchmark),
+r AS (SELECT q.item_id, d.doc_id, d.text,
+             row_number() OVER (PARTITION BY q.item_id
+               ORDER BY (d.c - q.c) * (d.c - q.c) + (d.s - q.s) * (d.s - q.s), 'p' || d.doc_id) AS k
+      FROM q CROSS JOIN d WHERE q.c % 2 = 0 QUALIFY k <= 5)
+SELECT q.item_id AS question_id,
+       CASE WHEN q.c % 2 = 0 THEN 'Question: ' || any_value(q.text) || chr(10) || chr(10) || 'Context:' || chr(10) ||
+         string_agg('arXiv:p' || r.doc_id || chr(10) || 'Abstract: ' || r.text || chr(10) || chr(10), '' ORDER BY k)
+       END AS context,
+       CASE WHEN q.c % 2 = 1 THEN 'ValueError: odd length' END AS error
+FROM q LEFT JOIN r USING (item_id) GROUP BY q.item_id, q.c
+""")
+def answers_failed(spark, sf_dir):
+    """Questions that the embedder refuses keep their row, with the error."""
+    from .answers import answer_questions
+
+    qs = v.table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("question_id"),
+                                                     F.col("text").alias("question"))
+    spaces = F.length("text") - F.length(F.replace(F.col("text"), F.lit(" "), F.lit("")))
+    store = v.table(spark, sf_dir, "documents").select(
+        F.lit("A0").alias("agent_name"), F.lit("shape").alias("model_name"), F.lit("2").alias("model_spec"),
+        F.concat(F.lit("p"), F.col("doc_id").cast("string")).alias("arxiv_id"), F.lit("abstract").alias("label"),
+        F.array(F.length("text").cast("double"), spaces.cast("double")).alias("embedding"))
+    out = answer_questions(qs.repartition(4, "question_id"), store, v.papers(spark, sf_dir), _length_answer,
+                           embed=_embed_even, embed_batch=1)
+    return out.answers.select("question_id", "context", "error")
+
+
+@register("topk_nonfinite", f"""
+WITH {STORE_SQL},
+pairs AS (
+  SELECT q.vec_id AS query_id, s.vec_id,
+         list_sum(list_transform(list_zip(q.embedding, s.embedding),
+                  lambda x: (x[1]::DOUBLE - x[2]::DOUBLE) * (x[1]::DOUBLE - x[2]::DOUBLE))) AS dist
+  FROM embeddings q CROSS JOIN store s WHERE s.vec_id % 5 > 1)
+SELECT query_id, rank, vec_id, dist FROM (
+  SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY dist, vec_id) AS rank FROM pairs) WHERE rank <= 5
+""")
+def topk_nonfinite(spark, sf_dir):
+    """A store with NaN and infinite vectors: they are left out, the others
+    are all found."""
+    e = v.table(spark, sf_dir, "embeddings")
+    odd = F.when(F.col("vec_id") % 5 == 0, F.lit(float("nan"))).otherwise(F.lit(float("inf")))
+    spoilt = F.transform("embedding", lambda x, i: F.when(i == 3, odd).otherwise(x.cast("double")))
+    store = e.select("vec_id", F.when(F.col("vec_id") % 5 <= 1, spoilt).otherwise(
+        F.col("embedding").cast("array<double>")).alias("embedding"))
+    res = top_k(v.embedding_queries(spark, sf_dir), store, 5, query_key=["query_id"], vector_key=["vec_id"],
+                nonfinite="skip")
+    return res.withColumn("rank", F.col("rank").cast("bigint"))
+
+
+@register("store_groups", f"""
+WITH {STORE_SQL} SELECT DISTINCT agent_name, model_name, model_spec FROM store
+""")
+def store_groups_q(spark, sf_dir):
+    from ..operators.vectors import store_groups
+
+    return store_groups(v.embedding_store(spark, sf_dir))
 
 
 @register("summaries_with_assistant", """
-SELECT s.name AS agent_name, 'p' || d.doc_id AS id, 'ResearchAssistant' AS agent_link,
-       'researchassistant' AS linked_class
-FROM documents d CROSS JOIN (VALUES ('DomainExpertSummarizer'), ('HighSchoolSummarizer')) s(name)
+SELECT s.name AS agent_name, 'p' || d.doc_id AS id, 'LibraryAssistant' AS agent_link,
+       'libraryassistant' AS linked_class
+FROM documents d CROSS JOIN (VALUES ('SpecialistSummarizer'), ('StudentSummarizer')) s(name)
 """)
 def summaries_with_assistant(spark, sf_dir):
     """Each summary row with the assistant its summarizer links to (J12)."""
@@ -782,7 +923,7 @@ WITH sel AS (
   FROM documents WHERE contains(source, 'src1'))
 SELECT s.name AS summarizer_name, 'p' || sel.doc_id AS arxiv_id,
        sel.created BETWEEN TIMESTAMP '2024-01-01 10:00:00' AND TIMESTAMP '2024-01-01 20:02:00' AS cached
-FROM sel CROSS JOIN (VALUES ('DomainExpertSummarizer'), ('HighSchoolSummarizer')) s(name)
+FROM sel CROSS JOIN (VALUES ('SpecialistSummarizer'), ('StudentSummarizer')) s(name)
 WHERE sel.created BETWEEN TIMESTAMP '2024-01-01 05:00:00' AND TIMESTAMP '2024-01-02 00:00:00'
 """)
 def corpus_incremental(spark, sf_dir):

@@ -19,7 +19,7 @@ from ..functions.keys import full_model_name
 from ..operators import index as ix
 from ..operators import memo
 from ..operators import transform as tf
-from ..operators.vectors import write_snapshot
+from ..operators.vectors import check_uniform_dimension, write_snapshot
 from ..schemas import (
     ABSTRACT_LABEL, SUMMARY_KEY, SUMMARY_PARTITIONS, SUMMARY_SCHEMA, VECTOR_KEY, VECTOR_PARTITIONS,
     VECTOR_SCHEMA,
@@ -100,6 +100,8 @@ def build_corpus(spark: SparkSession, lines, paths: CorpusPaths, categories, dat
                         F.lit(ABSTRACT_LABEL).alias("label"), F.col("summary_text").alias("text"))
     vectors, rejected = embed_missing(texts, paths.vectors, embed, partition_values={
         "model_name": embed_model[0].lower(), "model_spec": embed_model[1]})
+    # One dimension for the whole snapshot, checked before it is written.
+    check_uniform_dimension(vectors.filter(F.col("error").isNull()))
     searchable = vectors.filter(F.col("error").isNull()).select(*VECTOR_KEY, "embedding")
     write_snapshot(searchable, paths.snapshot)
     snapshot = spark.read.parquet(paths.snapshot)

@@ -91,26 +91,26 @@ def event_index(spark: SparkSession, sf_dir: str) -> DataFrame:
 MODEL = "OpenAI:demo-model"
 MODEL_NAME, MODEL_SPEC = "openai", "demo-model"
 FULL_MODEL = f"{MODEL_NAME}:{MODEL_SPEC}"
-SUMMARIZERS = ["DomainExpertSummarizer", "HighSchoolSummarizer"]
+SUMMARIZERS = ["SpecialistSummarizer", "StudentSummarizer"]
 
 AGENT_RECORDS = [
-    {"agent_class": "Summarizer", "agent_name": "DomainExpertSummarizer",
+    {"agent_class": "Summarizer", "agent_name": "SpecialistSummarizer",
      "instructions": "Condense the text for a specialist reader.",
-     "agent_link": "ResearchAssistant"},
-    {"agent_class": "Summarizer", "agent_name": "HighSchoolSummarizer",
+     "agent_link": "LibraryAssistant"},
+    {"agent_class": "Summarizer", "agent_name": "StudentSummarizer",
      "instructions": "Condense the text for a curious student.",
-     "agent_link": "ResearchAssistant"},
-    {"agent_class": "ResearchAssistant", "agent_name": "ResearchAssistant",
+     "agent_link": "LibraryAssistant"},
+    {"agent_class": "LibraryAssistant", "agent_name": "LibraryAssistant",
      "instructions": "Answer using only the given context.",
-     "agent_link": "DomainExpertSummarizer"},
+     "agent_link": "SpecialistSummarizer"},
 ]
 
 
 def summarizer_fn(agent_name: str, instructions: str | None = None):
     """Deterministic stand-ins for model calls; each reads the whole text."""
-    if agent_name == "DomainExpertSummarizer":
+    if agent_name == "SpecialistSummarizer":
         return lambda texts: [None if t is None else t.replace("\n", " ") for t in texts]
-    if agent_name == "HighSchoolSummarizer":
+    if agent_name == "StudentSummarizer":
         return lambda texts: [None if t is None else t.replace("\n", " | ") for t in texts]
     raise ValueError(f"no summariser for {agent_name}")
 

@@ -7,6 +7,7 @@ settings except a checkpoint folder when none is configured in local mode.
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 import uuid
 
@@ -52,6 +53,8 @@ def local_session(cores: int | str = "*", shuffle_partitions: int = 8,
         .config("spark.sql.adaptive.coalescePartitions.enabled", "true")
         .config("spark.sql.adaptive.skewJoin.enabled", "true")
         .config("spark.sql.session.timeZone", "UTC")
+        # Small test files still give every core a split.
+        .config("spark.sql.files.openCostInBytes", "256k")
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
         .config("spark.driver.memory", os.environ.get("PAPERSPARK_DRIVER_MEMORY", "8g"))
         .config("spark.cleaner.referenceTracking.cleanCheckpoints", "true")
@@ -106,15 +109,16 @@ def work_dir(spark: SparkSession) -> str:
     """Shared folder for staging tables and checkpoints.
 
     Reads ``spark.checkpoint.dir`` (or the context's checkpoint dir). Only a
-    local-mode session without one gets a fresh temporary folder; a cluster
-    session without one is a configuration error, because a machine-local
-    folder would not survive the loss of an executor.
+    session in one process without a setting gets a fresh temporary folder
+    (tests, the bench); any other session without one is a configuration
+    error, because a machine-local folder would not survive the loss of an
+    executor.
     """
     sc = spark.sparkContext
     ctx_dir = sc.getCheckpointDir()
     base = ctx_dir or sc.getConf().get("spark.checkpoint.dir", None)
     if not base:
-        if not sc.master.startswith("local"):
+        if not re.fullmatch(r"local(\[.*\])?", sc.master):
             raise RuntimeError(
                 "spark.checkpoint.dir is not set; point it at a shared folder")
         base = tempfile.mkdtemp(prefix="paperspark-ckpt-")
@@ -124,21 +128,25 @@ def work_dir(spark: SparkSession) -> str:
     return base.rstrip("/")
 
 
-def spread_for_cpu(df):
-    """``df`` with at least one partition per core before CPU-heavy per-row
-    work (embedding, user functions). A small input may come as a few file
-    splits, which would leave most cores idle; a large one already has many
-    partitions and is returned as is."""
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
-
-
 def fresh_path(spark: SparkSession, name: str) -> str:
     """A new, never used path under the shared work folder."""
     return f"{work_dir(spark)}/{name}-{uuid.uuid4().hex[:12]}"
 
 
-def checkpoint(df):
-    """Reliable checkpoint into the shared folder (cuts lineage)."""
-    work_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+def staged(df, name: str):
+    """``df`` written once as Parquet to the shared folder and read again:
+    what produced it runs once, and its lineage ends there."""
+    path = fresh_path(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def null_join(left, right, cols: list[str], how: str = "inner"):
+    """Join on ``cols``, where NULL key parts match NULL; keeps the key
+    columns of ``left``."""
+    other = right.withColumnsRenamed({c: f"__right_{c}" for c in cols})
+    cond = None
+    for c in cols:
+        same = left[c].eqNullSafe(other[f"__right_{c}"])
+        cond = same if cond is None else cond & same
+    return left.join(other, cond, how).drop(*[f"__right_{c}" for c in cols])

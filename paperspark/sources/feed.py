@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import types as T
 
 from ..functions.dates import iso_utc
 from ..functions.text import newline_to_space, strip_ws
@@ -11,13 +12,16 @@ from ..schemas import DEFAULT_FEED_SIZE
 
 def normalise_feed(raw: DataFrame) -> DataFrame:
     """Trim titles, list author names, strip summaries and fold their
-    newlines into spaces, render times as ISO-8601 with a UTC offset."""
+    newlines into spaces, render times as ISO-8601 with a UTC offset. A
+    TIMESTAMP is an instant; a TIMESTAMP_NTZ is a UTC wall clock."""
+    def iso(c):
+        return iso_utc(c, instant=isinstance(raw.schema[c].dataType, T.TimestampType)).alias(c)
+
     return raw.select(
         strip_ws("title").alias("title"),
         F.transform("authors", lambda a: a["name"]).alias("authors"),
         newline_to_space(strip_ws("summary")).alias("summary"),
-        iso_utc("published").alias("published"),
-        iso_utc("updated").alias("updated"),
+        iso("published"), iso("updated"),
         "pdf_url", "entry_id",
     )
 

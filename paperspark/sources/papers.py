@@ -16,7 +16,6 @@ from typing import NamedTuple
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from ..session import spread_for_cpu
 from ..schemas import (
     AUTHORS_PARSED_TYPE, FIELD_TYPES, METADATA_FIELDS, RAW_CORRUPT_COL, RAW_PAPER_SCHEMA,
     VERSIONS_TYPE,
@@ -54,9 +53,6 @@ def parse_lines(lines: DataFrame, line_col: str = "value", pos_col: str | None =
     if pos_col is None or pos_col not in lines.columns:
         lines = lines.withColumn(POS, F.struct(F.monotonically_increasing_id().alias("row")))
         pos_col = POS
-    # Parsing whole texts is CPU-heavy: use every core even when the input
-    # came as a few splits (positions are already attached, so order holds).
-    lines = spread_for_cpu(lines)
     opts = {"columnNameOfCorruptRecord": RAW_CORRUPT_COL, "allowSingleQuotes": "false",
             "mode": "PERMISSIVE"}
     # The parse sits behind a one-row explode: filters on its result cannot
@@ -95,8 +91,7 @@ def check_fields(fields: list[str] | None) -> list[str]:
         return list(METADATA_FIELDS)
     unknown = [f for f in fields if f not in METADATA_FIELDS]
     if unknown:
-        raise ValueError(f"Unsupported field(s): {', '.join(unknown)}. "
-                         f"Supported fields are: {', '.join(METADATA_FIELDS)}")
+        raise ValueError(f"no such paper field: {', '.join(unknown)} (known: {', '.join(METADATA_FIELDS)})")
     return list(fields)
 
 

@@ -9,17 +9,12 @@ time, as with a single database file.
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import DataFrame, Observation, SparkSession, functions as F
 from pyspark.sql import types as T
-from pyspark.sql.utils import AnalysisException
 
-from ..session import apply_required_conf, work_dir
+from ..session import apply_required_conf, null_join, staged
 
 ORDER = "_order"
-# Most touched partition values turned into a literal partition filter.
-MAX_LITERAL_PARTITIONS = 1000
 
 
 def path_exists(spark: SparkSession, path: str) -> bool:
@@ -29,13 +24,11 @@ def path_exists(spark: SparkSession, path: str) -> bool:
 
 
 def read_table(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
-    """The table's rows; an absent or empty table reads as no rows."""
+    """The table's rows; an absent table reads as no rows. With the schema
+    given, so does a folder without data files."""
     if not path_exists(spark, path):
         return spark.createDataFrame([], schema)
-    try:
-        return spark.read.schema(schema).parquet(path)
-    except AnalysisException:
-        return spark.createDataFrame([], schema)
+    return spark.read.schema(schema).parquet(path)
 
 
 def create_table(spark: SparkSession, path: str, schema: T.StructType,
@@ -47,39 +40,53 @@ def create_table(spark: SparkSession, path: str, schema: T.StructType,
     return read_table(spark, path, schema)
 
 
-def _touched_filter(parts: list[dict], partition_by: list[str]):
+def _touched(stored: DataFrame, incoming: DataFrame, partition_by: list[str]) -> DataFrame:
+    """Stored rows of the partitions that ``incoming`` has rows of.
+
+    The partition values (as many as the folders that Spark's writer lists
+    on the driver anyway) prune the folders column by column; a NULL-safe
+    semi-join then keeps exactly the touched combinations.
+    """
     if not partition_by:
-        return F.lit(True)
-    conds = []
-    for p in parts:
-        c = reduce(lambda a, b: a & b,
-                   [(F.col(k) == F.lit(p[k])) if p[k] is not None else F.col(k).isNull()
-                    for k in partition_by])
-        conds.append(c)
-    return reduce(lambda a, b: a | b, conds) if conds else F.lit(False)
+        return stored
+    parts = incoming.select(*partition_by).distinct()
+    values = parts.collect()
+    for c in partition_by:
+        found = {r[c] for r in values}
+        cond = F.col(c).isin([x for x in found if x is not None])
+        stored = stored.filter(cond | F.col(c).isNull() if None in found else cond)
+    return null_join(stored, parts, partition_by, "left_semi")
 
 
 def _with_order(df: DataFrame, order_col: str | None) -> DataFrame:
     if order_col is None:
-        return df.withColumn(ORDER, F.monotonically_increasing_id())
+        return df.withColumn(ORDER, F.lit(0).cast("bigint"))
     return df.withColumn(ORDER, F.col(order_col))
 
 
+def _check_order(inc: DataFrame, key_cols: list[str], order_col: str | None) -> None:
+    """Without an order, a batch may not hold a key twice."""
+    if order_col is None and inc.groupBy(*key_cols).count().filter("count > 1").limit(1).count():
+        raise ValueError("the batch repeats a key; name the column that orders its rows")
+
+
 def upsert(incoming: DataFrame, path: str, key_cols: list[str], partition_by: list[str],
            schema: T.StructType, order_col: str | None = None,
            stamp_col: str | None = None, materialized: bool = False) -> int:
     """Insert or replace rows by key; returns the number of rows offered.
 
-    Within the batch the last row per key wins (``order_col`` gives the
-    order, default the DataFrame's own order); an incoming row replaces a
-    stored one. ``stamp_col`` is set to the current time, whole seconds.
+    Within the batch the last row per key wins by ``order_col``, which a
+    batch with repeated keys must name; an incoming row replaces a stored
+    one. NULL key parts equal each other. ``stamp_col`` is set to the current
+    time, whole seconds.
 
-    The batch is checkpointed once into the shared folder (skipped with
+    The batch is staged once as Parquet in the shared folder (skipped with
     ``materialized=True`` when the caller already did), so an expensive or
     non-deterministic producer (a model call) runs once. Only the
-    partitions named by incoming rows are read, merged and rewritten; the
-    rewrite is a dynamic partition overwrite whose reads all finish before
-    its commit swaps the folders.
+    partitions named by incoming rows are read, merged and rewritten. The
+    merged rows are staged before the table is touched, so a failure while
+    they are computed leaves the table as it was; Spark's dynamic partition
+    overwrite then swaps the touched folders one after another.
     """
     spark = incoming.sparkSession
     apply_required_conf(spark)
@@ -90,64 +97,45 @@ def upsert(incoming: DataFrame, path: str, key_cols: list[str], partition_by: li
     inc = inc.select(*[F.col(f.name).cast(f.dataType) for f in schema.fields],
                      F.col(ORDER).cast("bigint").alias(ORDER))
     if not materialized:
-        work_dir(spark)
-        inc = inc.checkpoint(eager=True)
-    # Bounded collect: one row per touched partition value, with its count.
-    per_part = (inc.groupBy(*partition_by).agg(F.count(F.lit(1)).alias("_n"))
-                .limit(MAX_LITERAL_PARTITIONS + 1).collect())
-    if len(per_part) > MAX_LITERAL_PARTITIONS:
-        # Too many partition values for a literal filter: semi-join on them
-        # (dynamic partition pruning can still skip untouched folders).
-        offered = inc.count()
-        existing = read_table(spark, path, schema).join(
-            inc.select(*partition_by).distinct(), partition_by, "left_semi")
-    else:
-        touched = [{k: r[k] for k in partition_by} for r in per_part]
-        offered = sum(r["_n"] for r in per_part)
-        if offered == 0:
-            return 0
-        existing = read_table(spark, path, schema).filter(_touched_filter(touched, partition_by))
+        inc = staged(inc, "upsert-batch")
+    offered = inc.count()
+    if offered == 0:
+        return 0
+    _check_order(inc, key_cols, order_col)
+    existing = _touched(read_table(spark, path, schema), inc, partition_by)
     both = (existing.withColumn("_prio", F.lit(0)).withColumn(ORDER, F.lit(0).cast("bigint"))
             .unionByName(inc.withColumn("_prio", F.lit(1))))
     merged = (both.groupBy(*key_cols)
               .agg(F.max_by(F.struct(*value_cols), F.struct("_prio", ORDER)).alias("_v"))
               .select(*key_cols, *[F.col(f"_v.{c}").alias(c) for c in value_cols])
               .select(*[f.name for f in schema.fields]))
-    (merged.write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+    (staged(merged, "upsert-merged").write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
      .partitionBy(*partition_by).parquet(path))
     return offered
 
 
 def insert_absent(incoming: DataFrame, path: str, key_cols: list[str], partition_by: list[str],
-                  schema: T.StructType, order_col: str | None = None, materialized: bool = False) -> int:
-    """Insert rows whose key is not stored yet (first row per key in the
-    batch wins); stored rows are never changed. Returns rows inserted.
-
-    With ``materialized=True`` (the batch is a checkpoint or a table, so
-    listing it is cheap) the stored keys are read only from the partitions
-    the batch touches."""
+                  schema: T.StructType, order_col: str | None = None) -> int:
+    """Insert rows whose key is not stored yet (the first row per key in the
+    batch wins by ``order_col``, which a batch with repeated keys must name);
+    stored rows are never changed. NULL key parts equal each other. Returns
+    rows inserted. The batch is staged, and the stored keys are read only
+    from the partitions it touches."""
     spark = incoming.sparkSession
     apply_required_conf(spark)
     value_cols = [f.name for f in schema.fields if f.name not in key_cols]
-    inc = _with_order(incoming, order_col).select(
-        *[F.col(f.name).cast(f.dataType) for f in schema.fields], ORDER)
+    inc = staged(_with_order(incoming, order_col).select(
+        *[F.col(f.name).cast(f.dataType) for f in schema.fields], ORDER), "insert-batch")
+    _check_order(inc, key_cols, order_col)
     first = (inc.groupBy(*key_cols)
              .agg(F.min_by(F.struct(*value_cols), F.col(ORDER)).alias("_v"))
              .select(*key_cols, *[F.col(f"_v.{c}").alias(c) for c in value_cols]))
-    stored = read_table(spark, path, schema)
-    if materialized and partition_by:
-        parts = (incoming.select(*partition_by).distinct()
-                 .limit(MAX_LITERAL_PARTITIONS + 1).collect())
-        if len(parts) <= MAX_LITERAL_PARTITIONS:
-            stored = stored.filter(_touched_filter([r.asDict() for r in parts], partition_by))
-    stored = stored.select(*key_cols)
-    new = first.join(stored, key_cols, "left_anti").select(*[f.name for f in schema.fields])
+    stored = _touched(read_table(spark, path, schema), inc, partition_by).select(*key_cols)
+    new = null_join(first, stored, key_cols, "left_anti").select(
+        *[f.name for f in schema.fields])
     obs = Observation("inserted")
     new = new.observe(obs, F.count(F.lit(1)).alias("n"))
-    # Appending needs no staging: the stored keys are listed before the
-    # job starts and the new files are committed only at its end.
+    # The stored keys are listed before the job starts and the new files are
+    # committed only at its end.
     new.write.mode("append").partitionBy(*partition_by).parquet(path)
-    try:
-        return int(obs.get.get("n", 0))
-    except Exception:  # noqa: BLE001 - no metrics row when nothing was written
-        return 0
+    return int(obs.get["n"])

@@ -51,14 +51,3 @@ def test_cluster_settings_apply(spark):
         for k, v in old.items():
             if v is not None:
                 spark.conf.set(k, v)
-
-
-def test_spread_for_cpu(spark):
-    from paperspark.session import spread_for_cpu
-
-    cores = spark.sparkContext.defaultParallelism
-    one = spark.range(100).coalesce(1)
-    assert spread_for_cpu(one).rdd.getNumPartitions() == cores
-    many = spark.range(0, 100, 1, cores * 2)
-    assert spread_for_cpu(many) is many
-    assert sorted(r.id for r in spread_for_cpu(one).collect()) == list(range(100))

@@ -113,7 +113,7 @@ def test_unknown_agent_raises(spark):
     with pytest.raises(ValueError):
         tf.apply_agents(texts, v.agents(spark), v.summarizer_fn, "abstract", ["id"], agent_name="Nobody")
     out = tf.apply_agents(texts, v.agents(spark), v.summarizer_fn, "abstract", ["id"]).collect()
-    assert sorted(r.agent_name for r in out) == ["DomainExpertSummarizer", "HighSchoolSummarizer"]
+    assert sorted(r.agent_name for r in out) == ["SpecialistSummarizer", "StudentSummarizer"]
 
 
 def test_agent_links(spark):
@@ -121,7 +121,7 @@ def test_agent_links(spark):
     from paperspark.sources.agents import agent_links
 
     links = {r.agent_name: r.linked_class for r in agent_links(v.agents(spark)).collect()}
-    assert links["DomainExpertSummarizer"] == "researchassistant"
+    assert links["SpecialistSummarizer"] == "libraryassistant"
 
 
 def test_context_layout(spark):
@@ -174,11 +174,11 @@ def test_agent_catalogue_from_json(spark, tmp_path):
     path = tmp_path / "agents.json"
     recs = [{"agent_class": "Summarizer", "agent_name": "S1", "instructions": "i", "agent_link": "R"},
             {"agent_class": "summarizer", "agent_name": "S1", "instructions": "dup", "agent_link": "R"},
-            {"agent_class": "ResearchAssistant", "agent_name": "R", "instructions": "j", "agent_link": "S1"}]
+            {"agent_class": "LibraryAssistant", "agent_name": "R", "instructions": "j", "agent_link": "S1"}]
     path.write_text("\n".join(json.dumps(r) for r in recs) + "\n")
     agents = read_agents(spark, str(path))
     assert sorted((r.agent_class, r.agent_name) for r in agents.collect()) == [
-        ("researchassistant", "R"), ("summarizer", "S1")]
+        ("libraryassistant", "R"), ("summarizer", "S1")]
     assert normalise_agents(agents, "Summarizer").count() == 1
 
 
