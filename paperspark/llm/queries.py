@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from paperspark.llm import (
-    bpe, chat, decontaminate, html_text, jaccard_join, language_model, passage_dedup, quality_model,
+    bpe, chat, decontaminate, html_text, jaccard_join, language_model, oracles, passage_dedup, quality_model,
     quality_rules, token_counts,
 )
 from paperspark.llm.common import table
@@ -118,6 +118,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 }
 
 ORACLES: dict[str, str] = {
+    "op4_quality_rules": oracles.RULES_SQL,
+    "op9_jaccard_join": oracles.JACCARD_SQL,
     "op8_decontaminate": decontaminate.OVERLAPS_SQL,
     "op10_chat_format": OP10_SQL,
 }
