@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from paperspark.functions.dates import iso_utc
 from paperspark.operators import memo
 from paperspark.operators.grouping import chunked_lists
-from paperspark.operators.index import load_or_build_index
+from paperspark.operators.index import category_match, load_or_build_index
 from paperspark.operators.knn import nonfinite_vectors, top_k
 from paperspark.operators.transform import apply_batched
 from paperspark.plans.answers import answer_questions
@@ -178,6 +178,13 @@ def test_iso_times_in_any_session_zone(spark, zone):
         spark.conf.set("spark.sql.session.timeZone", old)
 
 
+@pytest.mark.parametrize("n", [3, 80])
+def test_an_empty_pattern_matches_every_category_but_null(spark, n):
+    index = spark.createDataFrame([("a",), (None,), ("",)], "category string")
+    found = category_match(index, [f"q{i}" for i in range(n)] + [""]).collect()
+    assert sorted(r["category"] for r in found) == ["", "a"]
+
+
 def test_an_unfinished_index_is_rebuilt(spark, tmp_path):
     (tmp_path / "index" / "_temporary").mkdir(parents=True)
     line = ('{"id": "1", "categories": "cs.AI", "versions": [{"version": "v1", '
