@@ -33,6 +33,8 @@ STEPS = 3
 # themselves). It also keeps every scatter matrix regular.
 FLOORS = {"x_length": 0.12, "x_symbols": 0.35, "x_upper": 0.40, "x_stutter": 0.60,
           "x_lines": 1.50, "x_repeats": 1.50}
+# Groups whose estimates (some 50 numbers each) may be broadcast.
+MOST_GROUPS = 1 << 15
 # Squared distance above which a document is rejected: the 0.9999 quantile of
 # chi squared with six degrees of freedom.
 CUTOFF = 27.86
@@ -120,10 +122,17 @@ def cholesky(params: DataFrame, p: int) -> DataFrame:
     return params
 
 
+def join_groups(rows: DataFrame, params: DataFrame) -> DataFrame:
+    """``rows`` with the staged values of their group. Up to ``MOST_GROUPS``
+    groups (counted) these are broadcast, so that rows of a large group stay
+    where they are; beyond, both sides are shuffled."""
+    return rows.join(F.broadcast(params) if params.count() <= MOST_GROUPS else params, "grp")
+
+
 def distances(rows: DataFrame, params: DataFrame, names: list[str]) -> DataFrame:
     """``rows`` with ``d2``, the squared Mahalanobis distance to its group."""
     p = len(names)
-    out = rows.join(cholesky(params, p), "grp")
+    out = join_groups(rows, staged(cholesky(params, p), "rule-factors"))
     for i in range(p):  # forward substitution
         z = reduce(lambda a, k: a - F.col(f"l_{i}_{k}") * F.col(f"z_{k}"), range(i),
                    F.col(names[i]) - F.col(f"m_{i}")) / F.col(f"l_{i}_{i}")
@@ -136,7 +145,7 @@ def first_estimate(rows: DataFrame, names: list[str], floors: list[float]) -> Da
     """Medians, and a diagonal scatter from median absolute deviations."""
     rounded = {n: F.round(n, 2) for n in names}
     middle = rows.groupBy("grp").agg(*[F.percentile(rounded[n], 0.5).alias(f"m_{i}") for i, n in enumerate(names)])
-    spread = rows.join(middle, "grp").groupBy("grp").agg(
+    spread = join_groups(rows, staged(middle, "rule-medians")).groupBy("grp").agg(
         *[F.first(f"m_{i}").alias(f"m_{i}") for i in range(len(names))],
         *[(1.4826 * F.percentile(F.round(F.abs(F.col(n) - F.col(f"m_{i}")), 2), 0.5)).alias(f"s_{i}")
           for i, n in enumerate(names)])
@@ -152,7 +161,7 @@ def concentrate(rows: DataFrame, params: DataFrame, names: list[str], floors: li
     p = len(names)
     near = distances(rows, params, names).withColumn("u", F.round(F.log(F.col("d2") + 1e-6), 2))
     limits = near.groupBy("grp").agg(F.percentile("u", KEEP_SHARE).alias("limit"))
-    inner = near.join(limits, "grp").where(F.col("u") <= F.col("limit"))
+    inner = join_groups(near, staged(limits, "rule-limits")).where(F.col("u") <= F.col("limit"))
     pairs = [(i, j) for i in range(p) for j in range(i + 1)]
     sums = inner.groupBy("grp").agg(
         F.count("*").alias("n"),
