@@ -102,9 +102,10 @@ def gram_hashes(words: np.ndarray, n: int) -> np.ndarray:
     return mixed(total)
 
 
-def sum_vectors(df: DataFrame, kind: str = "<i8") -> DataFrame:
-    """Element-wise sums of the binary vectors of ``df(part, vector)`` by
-    part. Rows stream through a task that holds one vector per part only."""
+def sum_vectors(df: DataFrame, kind: str, total_kind: str) -> DataFrame:
+    """Element-wise sums (as ``total_kind``) of the binary vectors (of
+    ``kind``) of ``df(part, vector)`` by part. Rows stream through a task
+    that holds one vector per part only."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total: dict[int, np.ndarray] = {}
@@ -114,7 +115,7 @@ def sum_vectors(df: DataFrame, kind: str = "<i8") -> DataFrame:
                 if part in total:
                     total[part] += values
                 else:
-                    total[part] = values.copy()
+                    total[part] = values.astype(total_kind)
         yield pa.RecordBatch.from_arrays(
             [pa.array(list(total), pa.int32()), pa.array([v.tobytes() for v in total.values()], pa.binary())],
             names=["part", "vector"])

@@ -32,9 +32,10 @@ SHINGLE_WORDS = 3
 # Similarity in percent: link where 100 x intersection >= PERCENT x union.
 PERCENT = 90
 # Buckets of the shingle count; its size does not depend on the data.
-BUCKETS = 1 << 18
+BUCKET_BITS = 22
+BUCKETS = 1 << BUCKET_BITS
 PARTS = 64
-ROUNDS = 3
+ROUNDS = 2
 
 
 def shingle_set(text: str | None, n: int = SHINGLE_WORDS) -> np.ndarray:
@@ -48,31 +49,36 @@ def shingle_set(text: str | None, n: int = SHINGLE_WORDS) -> np.ndarray:
     return np.unique(gram_hashes(words, n))
 
 
+def bucket_of(shingles: np.ndarray) -> np.ndarray:
+    return (shingles >> np.uint64(64 - BUCKET_BITS)).astype(np.int64)
+
+
 def bucket_counts(docs: DataFrame, shingle_words: int) -> np.ndarray:
-    """Documents per bucket of shingles, over all documents."""
+    """Documents per bucket of shingles, over all documents (a task counts a
+    bucket 65,535 times at most; only the order depends on it)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(BUCKETS, np.int64)
+        total = np.zeros(BUCKETS, np.int32)
         for batch in batches:
             for text in batch.column(0).to_pylist():
-                bucket = (shingle_set(text, shingle_words) >> np.uint64(46)).astype(np.int64)
-                np.add.at(total, bucket, 1)
-        parts = total.reshape(PARTS, -1)
+                np.add.at(total, bucket_of(shingle_set(text, shingle_words)), 1)
+        parts = np.minimum(total, 65535).astype("<u2").reshape(PARTS, -1)
         used = np.flatnonzero(parts.any(axis=1))
         yield pa.RecordBatch.from_arrays(
             [pa.array(used, pa.int32()), pa.array([parts[i].tobytes() for i in used], pa.binary())],
             names=["part", "vector"])
 
-    total = np.zeros((PARTS, BUCKETS // PARTS), np.int64)
-    for row in sum_vectors(docs.select("text").mapInArrow(run, "part int, vector binary")).collect():
-        total[row["part"]] = np.frombuffer(row["vector"], np.int64)
+    total = np.zeros((PARTS, BUCKETS // PARTS), np.uint32)
+    sums = sum_vectors(docs.select("text").mapInArrow(run, "part int, vector binary"), "<u2", "<u4")
+    for row in sums.collect():  # vectors of fixed size
+        total[row["part"]] = np.frombuffer(row["vector"], "<u4")
     return total.ravel()
 
 
-def signatures(docs: DataFrame, percent: int, shingle_words: int) -> DataFrame:
+def signatures(docs: DataFrame, rank, percent: int, shingle_words: int) -> DataFrame:
     """``doc_id, n, key, prefix``: set size, a 128-bit digest of the set
-    (null: empty set), and the prefix in order."""
-    rank = docs.sparkSession.sparkContext.broadcast(bucket_counts(docs, shingle_words).astype("<u8"))
+    (null: empty set), and the prefix in order of ``rank`` (the broadcast
+    counts), then hash."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -83,7 +89,7 @@ def signatures(docs: DataFrame, percent: int, shingle_words: int) -> DataFrame:
                 key.append(xxhash.xxh3_128_digest(s.tobytes()) if len(s) else None)
                 long = len(s) - -(-percent * len(s) // 100) + 1 if len(s) else 0
                 # Order by bucket size, then hash.
-                size = rank.value[(s >> np.uint64(46)).astype(np.int64)]
+                size = rank.value[bucket_of(s)]
                 if long < len(s):
                     near = np.flatnonzero(size <= np.partition(size, long - 1)[long - 1])
                 else:
@@ -98,10 +104,45 @@ def signatures(docs: DataFrame, percent: int, shingle_words: int) -> DataFrame:
         run, "doc_id bigint, n bigint, key binary, prefix array<bigint>"), "signatures")
 
 
-def verified(docs: DataFrame, pairs: DataFrame, percent: int, shingle_words: int) -> DataFrame:
-    """``a, b, linked`` of ``pairs(a, b)`` of document ids, staged. The whole
-    set of ``a`` travels once per pair, that of ``b`` once."""
-    pairs = staged(pairs.select("a", "b"), "pairs")
+def most_common(x: np.ndarray, y: np.ndarray, nx: int, ny: int, rank: np.ndarray) -> int:
+    """The most shingles that two sets can share, given their prefixes. A
+    shingle of one prefix that is missing from the other, though the other
+    reaches beyond it in the order, is missing from the whole set."""
+    def missing(a: np.ndarray, b: np.ndarray) -> int:
+        size, last = rank[bucket_of(a)], rank[bucket_of(b[-1:])][0]
+        within = (size < last) | ((size == last) & (a <= b[-1]))
+        return int((within & ~np.isin(a, b)).sum())
+
+    return min(nx - missing(x, y), ny - missing(y, x))
+
+
+def possible(pairs: DataFrame, classes: DataFrame, rank, percent: int) -> DataFrame:
+    """``a, b, ok``: whether the prefixes of a pair leave it a chance."""
+    sides = [classes.select(F.col("rep").alias(t), F.col("n").alias(f"n_{t}"), F.col("prefix").alias(f"prefix_{t}"))
+             for t in ("a", "b")]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ok = []
+            for nx, x, ny, y in zip(*(batch.column(c) for c in ("n_a", "prefix_a", "n_b", "prefix_b"))):
+                nx, ny = nx.as_py(), ny.as_py()
+                x, y = (v.values.to_numpy().view(np.uint64) for v in (x, y))
+                ok.append((100 + percent) * most_common(x, y, nx, ny, rank.value) >= percent * (nx + ny))
+            yield pa.RecordBatch.from_arrays(
+                [batch.column("a"), batch.column("b"), pa.array(ok, pa.bool_())], names=["a", "b", "ok"])
+
+    joined = pairs.join(sides[0], "a").join(sides[1], "b").select(
+        "a", "b", "n_a", "prefix_a", "n_b", "prefix_b")
+    return staged(joined.mapInArrow(run, "a bigint, b bigint, ok boolean"), "possible")
+
+
+def verified(docs: DataFrame, pairs: DataFrame, classes: DataFrame, rank, percent: int,
+             shingle_words: int) -> DataFrame:
+    """``a, b, linked`` of ``pairs(a, b)`` of class names, staged. Pairs that
+    their prefixes leave a chance are compared by whole sets; the set of
+    ``a`` travels once per pair, that of ``b`` once."""
+    filtered = possible(pairs, classes, rank, percent)
+    pairs = filtered.where("ok").select("a", "b")
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -128,13 +169,16 @@ def verified(docs: DataFrame, pairs: DataFrame, percent: int, shingle_words: int
                 [batch.column(0), batch.column(1), pa.array(linked, pa.bool_())], names=["a", "b", "linked"])
 
     joined = left.join(right, "b").select("a", "b", "shingles", "other")
-    return staged(joined.mapInArrow(compare, "a bigint, b bigint, linked boolean"), "verified")
+    compared = staged(joined.mapInArrow(compare, "a bigint, b bigint, linked boolean"), "verified")
+    return compared.unionByName(filtered.where("NOT ok").withColumnRenamed("ok", "linked"))
 
 
 def may_link(x: str, y: str, percent: int):
-    """Size and position filters for two postings of one shingle."""
+    """Size and position filters for two postings of one shingle. A pair is
+    sought by the first shingle its prefixes share: none before it is common,
+    so no more can be than are left from there on."""
     nx, ny, px, py = (F.col(f"{t}.{c}") for c in ("n", "pos") for t in (x, y))
-    most = F.least(px, py) + F.least(nx - px, ny - py)
+    most = F.least(nx - px, ny - py)
     return ((100 * F.least(nx, ny) >= percent * F.greatest(nx, ny))
             & ((100 + percent) * most >= percent * (nx + ny)))
 
@@ -161,7 +205,7 @@ def rest_pairs(rows: DataFrame, key: str, node: str, condition) -> DataFrame:
     its stragglers times its length."""
     sizes = rows.groupBy(key, "comp").agg(F.count("*").alias("c"))
     largest = sizes.groupBy(key).agg(F.max(F.struct("c", "comp"))["comp"].alias("big"), F.count("*").alias("k"))
-    rows = rows.join(largest.where("k > 1").drop("k"), key)
+    rows = staged(rows.join(staged(largest.where("k > 1").drop("k"), "largest"), key), "rest")
     x, y = rows.where("comp != big").alias("x"), rows.alias("y")
     return x.join(y, F.col(f"x.{key}") == F.col(f"y.{key}")).where(
         (F.col("x.comp") != F.col("y.comp"))
@@ -179,14 +223,17 @@ def similar_components(docs: DataFrame, percent: int = PERCENT, shingle_words: i
     ignored. The shingle hash has 64 bits.
     """
     docs = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).alias("text"))
-    sign = signatures(docs, percent, shingle_words)
+    rank = docs.sparkSession.sparkContext.broadcast(bucket_counts(docs, shingle_words))
+    sign = signatures(docs, rank, percent, shingle_words)
     # Classes of equal sets, named after their least document, then groups of
     # classes with equal size and prefix, named after their least class.
     classes = staged(sign.where("key IS NOT NULL AND doc_id IS NOT NULL").groupBy("key").agg(
         F.min("doc_id").alias("rep"), F.first("n").alias("n"), F.first("prefix").alias("prefix")), "classes")
     groups = staged(classes.groupBy("n", "prefix").agg(F.min("rep").alias("gid"), F.count("*").alias("size")), "groups")
     posts = groups.select("gid", "n", F.posexplode("prefix").alias("pos", "token"))
-    shared = posts.groupBy("token").agg(F.count("*").alias("c")).where("c > 1").select("token")
+    # What is grouped by a key is staged before it is joined on that key, so
+    # that the join shuffles both sides by itself and can split a hot key.
+    shared = staged(posts.groupBy("token").agg(F.count("*").alias("c")).where("c > 1").select("token"), "shared")
     lists = staged(posts.join(shared, "token"), "lists")
     crowded = classes.select("rep", "n", "prefix").join(groups.where("size > 1"), ["n", "prefix"]).select("gid", "rep")
     crowded = staged(crowded, "crowded")
@@ -196,8 +243,9 @@ def similar_components(docs: DataFrame, percent: int = PERCENT, shingle_words: i
     for r in range(rounds):
         rows = with_component(lists, comp, "gid")
         star = rows.groupBy("token").agg(
-            F.min(F.struct(F.xxhash64("gid", F.lit(r)).alias("h"), "gid", "n", "pos", "comp")).alias("s"),
+            F.min(F.struct(F.xxhash64("gid", "token", F.lit(r)).alias("h"), "gid", "n", "pos", "comp")).alias("s"),
             F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo != hi").select("token", "s.*")
+        star = staged(star, "star")
         near = rows.alias("x").join(star.alias("y"), "token").where(
             (F.col("x.comp") != F.col("y.comp")) & may_link("x", "y", percent)
         ).select(F.col("x.gid").alias("a"), F.col("y.gid").alias("b"))
@@ -205,7 +253,7 @@ def similar_components(docs: DataFrame, percent: int = PERCENT, shingle_words: i
             near = near.groupBy("a", "b").agg(F.count("*").alias("c")).groupBy("a").agg(
                 F.max(F.struct("c", "b"))["b"].alias("b")).unionByName(
                 crowded.where("rep != gid").select(F.col("rep").alias("a"), F.col("gid").alias("b")))
-        done = verified(docs, untested(near, tested), percent, shingle_words)
+        done = verified(docs, untested(near, tested), classes, rank, percent, shingle_words)
         tested.append(done)
         comp = linked_components(tested)
     # What is left: pairs of groups, expanded to members, and of members.
@@ -222,8 +270,9 @@ def similar_components(docs: DataFrame, percent: int = PERCENT, shingle_words: i
     expanded = group_pairs.join(m1, "a").join(m2, "b").where("comp_a != comp_b").select(
         F.col("rep_a").alias("a"), F.col("rep_b").alias("b"))
     inside = rest_pairs(with_component(crowded, comp, "rep"), "gid", "rep", F.lit(True))
-    tested.append(verified(docs, untested(expanded.unionByName(inside), tested), percent, shingle_words))
+    tested.append(verified(docs, untested(expanded.unionByName(inside), tested), classes, rank, percent, shingle_words))
     comp = linked_components(tested)
+    rank.destroy()  # all that used it is staged
     named = with_component(classes.select("key", "rep"), comp, "rep").select("key", "comp")
     return sign.join(named, "key", "left").select(
         "doc_id", F.col("n").alias("n_shingles"), F.coalesce("comp", "doc_id").alias("component_id"))
