@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from paperspark.llm.common import staged
 from paperspark.llm.quality_rules import base_statistics, transformed
 
-# At most so many labelled rows are used to fit (those of smallest key hash).
+# At most so many labelled rows are used to fit, taken by the hash of their id.
 TRAIN_ROWS = 20_000
 N_TREES, DEPTH, N_BINS = 60, 4, 64
 RATE, RIDGE, LEAST_ROWS = 0.2, 1.0, 5
@@ -119,7 +119,12 @@ def score_quality(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", te
         "doc_id", *[c.cast("double").alias(n) for n, c in features().items()]), "quality-statistics")
     marks = labels.select(F.col(id_col).alias("doc_id"), F.col(label_col).cast("double").alias("y")).where(
         F.col("y").isNotNull()).groupBy("doc_id").agg(F.avg("y").alias("y"))
-    train = (rows.join(marks, "doc_id").where(~held_out(F.col("doc_id")))
+    train = rows.join(marks, "doc_id").where(~held_out(F.col("doc_id")))
+    # A share of the hash range holds about the wanted number, so that few
+    # rows more than these travel to the driver.
+    n = train.count()
+    share = min(1.0, 1.1 * train_rows / max(1, n))
+    train = (train.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) < int(share * (1 << 30)))
              .orderBy(F.xxhash64("doc_id"), "doc_id", *names).limit(train_rows).select("y", *names).toPandas())
     forest = fit(train[names].to_numpy(float), train["y"].to_numpy(float))
 
