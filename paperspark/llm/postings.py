@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 # A block ends at so many characters or documents.
-BLOCK_CHARS = 16 << 20
+BLOCK_CHARS = 32 << 20
 BLOCK_DOCS = 1 << 16
 # Entries held by a task before its sums are reduced, and sent on.
 BUFFER_ENTRIES = 1 << 20
@@ -98,9 +98,9 @@ def blocks(docs: DataFrame, make: Callable[[], Terms], only_terms: bool = False,
     """``term, block, entries, ids, n_bytes, facts``: the postings of every
     block, and one row per block with its ids, text sizes and, if named, the
     ``facts`` that ``Terms`` gathers for each text, under a term that no text
-    holds. ``only_terms``: just the distinct terms of every block.
-    ``keep``: a boolean column of ``docs``; with ``only_terms``, a count of
-    each term over the kept documents comes along."""
+    holds. ``only_terms``: just the distinct terms of every block
+    and their counts over the documents that the boolean column ``keep``
+    names (all without one)."""
     kind = docs.schema[id_col].dataType
     from pyspark.sql.pandas.types import to_arrow_type
 
@@ -111,18 +111,17 @@ def blocks(docs: DataFrame, make: Callable[[], Terms], only_terms: bool = False,
         block = (context.partitionId() if context else 0) << 16
 
         def flush(terms, ids, sizes, kept, pieces):
-            if only_terms and not keep:
-                names = terms.finish()[0]
+            if only_terms:
+                names, ends, numbers = terms.finish()
+                lens = np.fromiter(map(len, pieces), np.int64, len(pieces))
+                count = np.bincount(np.concatenate(pieces), np.repeat(np.array(kept, float), lens),
+                                    minlength=len(names) if ends is None else len(ends))
+                if ends is not None:
+                    count = np.bincount(numbers, np.repeat(count, np.diff(ends, prepend=0)), minlength=len(names))
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(names, pa.string()), pa.nulls(len(names), pa.int64())], names=["term", "n"])
+                    [pa.array(names, pa.string()), pa.array(count.astype(np.int64))], names=["term", "n"])
                 return
             names, term, doc, n = block_frequencies(terms, pieces)
-            if only_terms:
-                inside = np.array(kept, bool)[doc] if len(doc) else np.zeros(0, bool)
-                count = np.bincount(term, n * inside, minlength=len(names)).astype(np.int64)
-                out = [pa.array(names, pa.string()), pa.array(count, pa.int64())]
-                yield pa.RecordBatch.from_arrays(out, names=["term", "n"])
-                return
             present, entries = packed(term, doc, n)
             m = len(present)
             for a in range(0, m, 20_000):
