@@ -14,11 +14,16 @@ from pyspark.sql import functions as F
 
 from paperspark.llm.common import BROADCAST_ROWS, LOWER, UPPER, ascii_lower, join_by_id, staged, word_array
 
-# Positions that a mask picks; each mask covers SPAN words.
+# Positions that a mask of the SQL form picks; each covers SPAN words. The SQL
+# form finds less than the operator, which uses the masks below.
 MASKS = ("111010011011", "110110101011", "101101110011")
 SPAN = 12
-# An item shorter than SPAN is sought as a whole; one of fewer words than
-# this says too little to be sought.
+# Masks of the operator. Of items of at least SPAN words every pattern of
+# LEAST_SHARE equal words holds one of SEED_MASKS at some place (enumerated in
+# the tests); shorter items need masks of fewer words.
+SEED_MASKS = ("1111", "11101", "11011", "10111", "111001", "110101", "100111", "1110001")
+SHORT_MASKS = ("111", "1101", "1011", "11001", "10101", "10011")
+# An item of fewer words than this says too little to be sought.
 LEAST_WORDS = 5
 # An overlap counts if so much of the item, or so many words of a longer
 # item, are equal at one offset.
@@ -32,23 +37,15 @@ def plain_words(text: Column) -> Column:
     return word_array(F.translate(ascii_lower(text), MARKS, ""))
 
 
-def with_seeds(rows: DataFrame, keep: list[str], lengths: list[int]) -> DataFrame:
-    """``keep, pos, seed`` for every mask at every position of the word
-    hashes ``h``, and for runs of exactly the given shorter lengths."""
-    n = F.size("h")
-
-    def at(masks: list[str]) -> Column:
-        return F.array(*[F.xxhash64(F.lit(mask), *[
-            F.get("h", F.col("pos") + k) for k, c in enumerate(mask) if c == "1"]) for mask in masks])
-
-    def positions(span: int, masks: list[str]) -> DataFrame:
-        found = rows.where(n >= span).select(*keep, "h", F.explode(F.sequence(F.lit(0), n - span)).alias("pos"))
-        return found.select(*keep, "pos", F.explode(at(masks)).alias("seed"))
-
-    out = positions(SPAN, list(MASKS))
-    for length in lengths:
-        out = out.unionByName(positions(length, ["1" * length]))
-    return out
+def with_seeds(rows: DataFrame, keep: list[str], masks: tuple[str, ...]) -> DataFrame:
+    """``keep, pos, seed`` for every mask at every position of the word hashes
+    ``h`` where the mask fits."""
+    n, least = F.size("h"), min(map(len, masks))
+    # A mask that reaches beyond the last word has no seed.
+    seeds = F.array(*[F.when(F.col("pos") + len(mask) <= n, F.xxhash64(F.lit(mask), *[
+        F.get("h", F.col("pos") + k) for k, c in enumerate(mask) if c == "1"])) for mask in masks])
+    found = rows.where(n >= least).select(*keep, "h", F.explode(F.sequence(F.lit(0), n - least)).alias("pos"))
+    return found.select(*keep, "pos", F.explode(seeds).alias("seed")).where("seed IS NOT NULL")
 
 
 def hashed(text: Column) -> Column:
@@ -70,16 +67,14 @@ def overlaps(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text
     docs = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).where("doc_id IS NOT NULL")
     items = staged(benchmark.select(F.col(item_col).alias("item_id"), plain_words(F.col(item_text_col)).alias("words"))
                    .where((F.size("words") >= LEAST_WORDS) & F.col("item_id").isNotNull()), "items")
-    # At most SPAN - LEAST_WORDS different lengths.
-    lengths = sorted(r[0] for r in items.where(F.size("words") < SPAN).select(F.size("words")).distinct().collect())
     item_h = items.select("item_id", F.transform("words", lambda w: F.xxhash64(w)).alias("h"))
-    seeds = with_seeds(item_h.where(F.size("h") >= SPAN), ["item_id"], [])
-    for length in lengths:
-        whole = item_h.where(F.size("h") == length)
-        seeds = seeds.unionByName(with_seeds(whole, ["item_id"], [length]).where("pos = 0"))
+    seeds = with_seeds(item_h.where(F.size("h") >= SPAN), ["item_id"], SEED_MASKS).unionByName(
+        with_seeds(item_h.where(F.size("h") < SPAN), ["item_id"], SHORT_MASKS))
     seeds = staged(seeds.select("seed", "item_id", F.col("pos").alias("item_pos")).distinct(), "seeds")
     few = seeds.count() <= BROADCAST_ROWS
-    doc_seeds = with_seeds(docs.select("doc_id", hashed(F.col("text")).alias("h")), ["doc_id"], lengths)
+    # Short masks cost their share of the seeds only if there is a short item.
+    masks = SEED_MASKS + (SHORT_MASKS if items.where(F.size("words") < SPAN).limit(1).count() else ())
+    doc_seeds = with_seeds(docs.select("doc_id", hashed(F.col("text")).alias("h")), ["doc_id"], masks)
     hits = doc_seeds.join(F.broadcast(seeds) if few else seeds, "seed").select(
         "doc_id", "item_id", (F.col("pos") - F.col("item_pos")).alias("offset")).distinct()
     # One row per document with its hits, so that a text is split once.

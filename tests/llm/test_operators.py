@@ -354,6 +354,54 @@ def test_overlaps(spark):
     assert decontaminate.overlaps(docs.limit(0), bench).collect() == []
 
 
+def most_equal_unseen(masks, n):
+    """Most equal words of a pattern of ``n`` words that holds no mask."""
+    span = max(map(len, masks))
+    bits = [sum(1 << (len(m) - 1 - k) for k, c in enumerate(m) if c == "1") for m in masks]
+    states = {0: 0}
+    for _ in range(n):
+        after = {}
+        for state, equal in states.items():
+            for bit in (0, 1):
+                last = (state << 1 | bit) & ((1 << span) - 1)
+                if not any(last & m == m for m in bits):
+                    last &= (1 << span - 1) - 1
+                    after[last] = max(after.get(last, 0), equal + bit)
+        states = after
+    return max(states.values())
+
+
+def test_masks_meet_every_pattern_of_least_share():
+    for n in range(decontaminate.LEAST_WORDS, 200):
+        masks = decontaminate.SEED_MASKS if n >= decontaminate.SPAN else decontaminate.SHORT_MASKS
+        assert most_equal_unseen(masks, n) < decontaminate.LEAST_SHARE * n - 1e-9, n
+
+
+def test_overlaps_against_every_offset(spark):
+    rng = random.Random(53)
+    items = [prose(rng, n).split() for n in (5, 6, 8, 9, 11, 12, 13, 16, 28, 40, 59)]
+    texts = []
+    for item in items:
+        patterns = [[k % step != 1 for k in range(len(item))] for step in (3, 4, 5)]
+        patterns += [[rng.random() > share for _ in item] for share in (0.2, 0.3, 0.4) for _ in range(6)]
+        for equal in patterns:
+            words = [w if e else w + "x" for w, e in zip(item, equal)]
+            texts.append(" ".join([prose(rng, rng.randint(0, 20)), *words, prose(rng, rng.randint(0, 20))]))
+    want = {}
+    for d, text in enumerate(texts):
+        words = text.split()
+        for i, item in enumerate(items):
+            same = [(sum(0 <= o + k < len(words) and words[o + k] == w for k, w in enumerate(item)), -o)
+                    for o in range(-len(item), len(words))]
+            n, o = max(same)
+            if n >= decontaminate.LEAST_SHARE * len(item):
+                want[d, i] = (-o, n)
+    bench = frame(spark, [(i, " ".join(w)) for i, w in enumerate(items)], "item_id long, text string")
+    out = {(r["doc_id"], r["item_id"]): (r["offset"], r["n_equal"])
+           for r in decontaminate.overlaps(documents(spark, texts), bench).collect()}
+    assert len(want) > 100 and {k: out.get(k) for k in want} == want
+
+
 # --- Jaccard join --------------------------------------------------------
 
 def test_components_of_random_graphs(spark):
