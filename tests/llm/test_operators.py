@@ -307,6 +307,58 @@ def test_passages(spark):
     assert [r["doc_id"] for r in passage_dedup.without_passages(copies).collect()] == [0]
 
 
+def test_fuzzy_passages_against_every_diagonal(spark):
+    rng = random.Random(59)
+    sources = [prose(rng, 150).split() for _ in range(12)]
+    fuzzy = []
+    for n, source in itertools.product((60, 100), sources[:6]):
+        patterns = [[k % step != step // 2 for k in range(n)] for step in (5, 6, 7, 8, 10)]
+        for share in (0.05, 0.1, 0.15, 0.2):
+            out = set(rng.sample(range(n), int(share * n)))
+            patterns.append([k not in out for k in range(n)])
+        for equal in patterns:
+            a = rng.randrange(150 - n)
+            words = [w if e else w + "x" for w, e in zip(source[a:a + n], equal)]
+            fuzzy.append(prose(rng, 30).split() + words + prose(rng, 30).split())
+    texts = [*sources, *fuzzy]
+
+    def longest(a, b):
+        """Words of the longest passage on one diagonal with equal ends."""
+        best = 0
+        for shift in range(-len(b) + 50, len(a) - 49):
+            same = [0 <= k - shift < len(b) and w == b[k - shift] for k, w in enumerate(a)]
+            at, total = [k for k, e in enumerate(same) if e], np.cumsum([0, *same])
+            best = max([best, *(j + 1 - i for i, j in itertools.combinations(at, 2)
+                                if j + 1 - i >= 50 and total[j + 1] - total[i] >= 0.8 * (j + 1 - i))])
+        return best
+
+    want = {12 + i for i, f in enumerate(fuzzy) if longest(f, sources[i // 9 % 6]) >= 50}
+    out = {r["doc_id"] for r in passage_dedup.repeated_passages(documents(spark, [" ".join(t) for t in texts])).collect()}
+    assert len(want) > 90 and out == want
+
+
+def test_long_runs_of_a_word(spark):
+    rng = random.Random(61)
+    texts = [prose(rng, 60) + " the" * n + " " + prose(rng, 60) for n in (6, 12, 20, 40, 80, 90)]
+    out = passage_dedup.repeated_passages(documents(spark, texts)).collect()
+    assert {(r["doc_id"], r["source"]) for r in out} == {(5, 4)}
+
+
+def test_passages_share_seven_seeds():
+    k, least, share = passage_dedup.K, passage_dedup.MIN_WORDS, passage_dedup.MIN_EQUAL
+    for n in range(least, 4 * least):
+        # Fewest seeds by changed words used and length of the current run.
+        states = {(0, 0): 0}
+        for _ in range(n):
+            after = {}
+            for (changed, run), seeds in states.items():
+                for to, s in (((changed, min(run + 1, k)), seeds + (run + 1 >= k)), ((changed + 1, 0), seeds)):
+                    if to[0] <= (1 - share) * n + 1e-9:
+                        after[to] = min(after.get(to, n), s)
+            states = after
+        assert min(states.values()) >= 7 > passage_dedup.MIN_SEEDS
+
+
 def test_chains_are_best_among_all():
     rng = random.Random(23)
     for _ in range(100):
