@@ -15,6 +15,9 @@ from pyspark.sql import functions as F
 from paperspark.llm import bpe, decontaminate, jaccard_join, passage_dedup, quality_rules
 from paperspark.llm.common import BROADCAST_ROWS, prepare, staged, table
 
+# Near copies share so many percent of their runs of so many words.
+NEAR_PERCENT, NEAR_WORDS = 80, 5
+
 
 def without(docs: DataFrame, ids: DataFrame) -> DataFrame:
     """``docs`` less the rows whose id is in ``ids(doc_id)``."""
@@ -33,7 +36,7 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
     """Of documents that link by shingles, the one of least id stays; of rows
     that repeat an id, the one of least columns."""
     prepare(spark)
-    found = jaccard_join.similar_components(docs)
+    found = jaccard_join.similar_components(docs, percent=NEAR_PERCENT, shingle_words=NEAR_WORDS)
     docs = without(docs, found.where("doc_id != component_id"))
     again = staged(docs.groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1").select("doc_id"), "again")
     if not again.count():

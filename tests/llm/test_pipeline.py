@@ -96,6 +96,26 @@ def test_stages_against_brute_force(spark, tmp_path):
     assert {r["doc_id"] for r in single.collect()} == {i for i in least if least[i] == i}
 
 
+def test_near_copies_by_five_words(spark, tmp_path):
+    rng = random.Random(67)
+    texts = [prose(rng, 100) for _ in range(6)]
+    texts += [swapped(rng, t, n) for t in texts for n in (1, 2, 2, 3, 5)]
+
+    def shingles(text):
+        w = WORD.findall(lower(text))
+        return {tuple(w[k:k + 5]) for k in range(len(w) - 4)}
+
+    sets = [shingles(t) for t in texts]
+    least = list(range(len(sets)))
+    for _ in sets:
+        for a, b in itertools.combinations(range(len(sets)), 2):
+            if 100 * len(sets[a] & sets[b]) >= 80 * len(sets[a] | sets[b]):
+                least[a] = least[b] = min(least[a], least[b])
+    path = written(spark, tmp_path, list(enumerate(texts)), [])
+    single = corpus_pipeline.drop_near_copies(spark, table(spark, path, "documents"), path)
+    assert {r["doc_id"] for r in single.collect()} == {i for i, x in enumerate(least) if i == x}
+
+
 def test_awkward_tables(spark, tmp_path):
     path = written(spark, tmp_path, [], [])
     assert corpus_pipeline.run(spark, path).collect() == []
