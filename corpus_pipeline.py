@@ -1,10 +1,9 @@
 """From raw documents to token ids, in five stages.
 
 Every stage works on all that its predecessor kept and returns the columns of
-``documents``; the last one returns token ids. Documents are told apart by
-``doc_id``: a verdict on an id holds for all rows with it, and rows without
-an id share one verdict. Empty tables pass through as empty tables, and other
-columns are carried along.
+``documents``; the last one returns token ids. A verdict holds for one row:
+rows without an id, and rows that repeat one, get keys of their own. Empty
+tables pass through as empty tables, and other columns are carried along.
 """
 
 from __future__ import annotations
@@ -19,44 +18,65 @@ from paperspark.llm.common import BROADCAST_ROWS, prepare, staged, table
 NEAR_PERCENT, NEAR_WORDS = 80, 5
 
 
+def with_row_keys(docs: DataFrame) -> DataFrame:
+    """``docs`` with ``__row``, an integer of its own for every row: the id,
+    or for a row whose id is null or repeated a number beyond all ids."""
+    ids = docs.groupBy("doc_id").agg(F.count("*").alias("n"))
+    again = staged(ids.where("doc_id IS NULL OR n > 1").select(F.col("doc_id").alias("__id")), "again")
+    if not again.count():
+        return docs.withColumn("__row", F.col("doc_id"))
+    # Staged, so that a row keeps its number. Null ids stay out of the join,
+    # where all of them would be one key.
+    rows = staged(docs.withColumn("__n", F.monotonically_increasing_id()), "rows")
+    again = again.where("__id IS NOT NULL")
+    again = F.broadcast(again) if again.count() <= BROADCAST_ROWS else again
+    low, high, last = rows.agg(F.min("doc_id"), F.max("doc_id"), F.max("__n")).first()
+    low, high = (0, 0) if low is None else (low, high)
+    if high + 1 + last < 1 << 63:
+        fresh = F.lit(high + 1) + F.col("__n")
+    elif low - 1 - last >= -1 << 63:
+        fresh = F.lit(low - 1) - F.col("__n")
+    else:
+        raise ValueError("ids leave no room for the keys of rows without an id of their own")
+    known = rows.where("doc_id IS NOT NULL").join(again, F.col("doc_id") == F.col("__id"), "left").withColumn(
+        "__row", F.when(F.col("__id").isNull(), F.col("doc_id")).otherwise(fresh)).drop("__id")
+    return staged(known.unionByName(rows.where("doc_id IS NULL").withColumn("__row", fresh)).drop("__n"), "keyed")
+
+
 def without(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    """``docs`` less the rows whose id is in ``ids(doc_id)``."""
-    gone = staged(ids.select(F.col("doc_id").alias("__gone")).distinct(), "gone")
+    """``docs(.., __row)`` less the rows whose key is in ``ids(doc_id)``."""
+    gone = staged(ids.select(F.col("doc_id").alias("__row")).distinct(), "gone")
     gone = F.broadcast(gone) if gone.count() <= BROADCAST_ROWS else gone
-    return docs.join(gone, F.col("doc_id").eqNullSafe(F.col("__gone")), "left_anti")
+    return docs.join(gone, "__row", "left_anti").select(*[c for c in docs.columns if c != "__row"])
 
 
 def apply_quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality rules reject go."""
     prepare(spark)
-    return without(docs, quality_rules.judge(docs).where("NOT kept"))
+    docs = with_row_keys(docs)
+    return without(docs, quality_rules.judge(docs, id_col="__row").where("NOT kept"))
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of documents that link by shingles, the one of least id stays; of rows
-    that repeat an id, the one of least columns."""
+    """Of documents that link by shingles, the one of least key stays."""
     prepare(spark)
-    found = jaccard_join.similar_components(docs, percent=NEAR_PERCENT, shingle_words=NEAR_WORDS)
-    docs = without(docs, found.where("doc_id != component_id"))
-    again = staged(docs.groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1").select("doc_id"), "again")
-    if not again.count():
-        return docs
-    order = [c for c in docs.columns if c != "doc_id"]
-    repeated = docs.join(again.withColumnRenamed("doc_id", "__id"), F.col("doc_id").eqNullSafe(F.col("__id")), "left_semi")
-    one = repeated.groupBy("doc_id").agg(F.min(F.struct(*order)).alias("r")).select("doc_id", "r.*")
-    return without(docs, again).unionByName(one.select(*docs.columns))
+    docs = with_row_keys(docs)
+    found = jaccard_join.similar_components(docs, percent=NEAR_PERCENT, shingle_words=NEAR_WORDS, id_col="__row")
+    return without(docs, found.where("doc_id != component_id"))
 
 
 def cut_repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Long passages stay only in the first document that holds them."""
     prepare(spark)
-    return passage_dedup.without_passages(docs)
+    keyed = with_row_keys(docs).withColumnsRenamed({"doc_id": "__id", "__row": "doc_id"})
+    cut = passage_dedup.without_passages(keyed)
+    return cut.drop("doc_id").withColumnRenamed("__id", "doc_id").select(*docs.columns)
 
 
 def drop_benchmark_overlaps(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold a benchmark item go."""
-    found = decontaminate.overlaps(docs, table(spark, sf_dir, "benchmark"))
-    return without(docs, found)
+    docs = with_row_keys(docs)
+    return without(docs, decontaminate.overlaps(docs, table(spark, sf_dir, "benchmark"), id_col="__row"))
 
 
 def encode_tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

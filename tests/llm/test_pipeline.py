@@ -116,6 +116,20 @@ def test_near_copies_by_five_words(spark, tmp_path):
     assert {r["doc_id"] for r in single.collect()} == {i for i, x in enumerate(least) if i == x}
 
 
+def test_rows_without_an_id_of_their_own(spark, tmp_path):
+    rng = random.Random(71)
+    item = prose(rng, 30)
+    clean = [(i, prose(rng, 80)) for i in (None, None, None, 7, 7, 8, (1 << 63) - 1)]
+    junk = [(i, " ".join(rng.choice(VOCABULARY) + "#$%" for _ in range(60))) for i in (None, 7)]
+    leaks = [(i, f"{prose(rng, 40)} {item} {prose(rng, 40)}") for i in (None, 7)]
+    copies = [(None, clean[0][1]), (7, clean[3][1]), (None, clean[5][1].upper())]
+    rest = [(100 + i, prose(rng, 80)) for i in range(30)]
+    path = written(spark, tmp_path, clean + junk + leaks + copies + rest, [item])
+    out = corpus_pipeline.run(spark, path).collect()
+    found = sorted((r["doc_id"] or -1, r["decoded_sha256"]) for r in out)
+    assert found == sorted((i or -1, hashlib.sha256(t.encode()).hexdigest()) for i, t in clean + rest)
+
+
 def test_awkward_tables(spark, tmp_path):
     path = written(spark, tmp_path, [], [])
     assert corpus_pipeline.run(spark, path).collect() == []
