@@ -183,6 +183,27 @@ def test_model_is_a_distribution_and_scores_match(spark):
     assert language_model.score_documents(documents(spark, [])).collect() == []
 
 
+def test_skip_features_reach_both_factors():
+    m = language_model
+    rng = np.random.default_rng(73)
+    head = [w.encode() for w in VOCABULARY]
+
+    def model(**weights):
+        return m.Model(head, np.zeros(m.CLASSES), np.zeros((m.HEAD_CLASSES, m.HEAD_SIZE)), **weights)
+
+    factors = [model(weight=rng.normal(size=(m.BUCKETS, m.CLASSES))),
+               model(head_weight=rng.normal(size=(m.BUCKETS, m.HEAD_SIZE)))]
+    for factor, back in itertools.product(factors, (2, 3)):
+        text = np.array([1, 2, 3, 4, 5])
+        other = text.copy()
+        other[4 - back] = 40
+        score, last = (lambda t: m.score_texts(factor, [t, t[:-1]])), []
+        for t in (text, other):
+            whole, start = score(t)
+            last.append(whole - start)
+        assert abs(last[0] - last[1]) > 1e-6, back
+
+
 # --- quality rules -------------------------------------------------------
 
 def rule_base(text):
