@@ -8,8 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from paperspark.llm import (
-    bpe, chat, decontaminate, html_text, jaccard_join, language_model, oracles, passage_dedup, quality_model,
-    quality_rules, token_counts,
+    bpe, chat, decontaminate, html_text, jaccard_join, language_model, oracles, passage_dedup, piece_bpe,
+    quality_model, quality_rules, token_counts,
 )
 from paperspark.llm.common import table
 
@@ -85,6 +85,14 @@ def op10_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.sha2(F.col("loss").cast("binary"), 256).alias("loss_sha256"), "formatted_chars")
 
 
+def op11_piece_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Encode and decode every document by pieces; digests of ids and texts."""
+    decoded = piece_bpe.decode(piece_bpe.encode(table(spark, sf_dir, "documents")))
+    return decoded.select(
+        "doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"),
+        F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"))
+
+
 _ESC = r"""regexp_replace({}, '([<\[])(\\*(?:/?s>|/?INST\]|/?ROLE\]|TURN\]))', '\1\\\2', 'g')"""
 
 OP10_SQL = f"""
@@ -115,6 +123,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_decontaminate": op8_decontaminate,
     "op9_jaccard_join": op9_jaccard_join,
     "op10_chat_format": op10_chat_format,
+    "op11_piece_codec": op11_piece_codec,
 }
 
 ORACLES: dict[str, str] = {
