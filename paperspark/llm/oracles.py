@@ -103,3 +103,136 @@ FROM x LEFT JOIN d{rules.STEPS} f USING (doc_id)
 
 
 RULES_SQL = rules_sql()
+
+
+def codes_sql(parts: int = 16, width: int = 4, entries: int = 64, rounds: int = 2) -> str:
+    """Codes of vectors of ``parts * width`` components by comparing every
+    part with every entry of its codebook."""
+    xs = [f"x{j}" for j in range(width)]
+    dist = " + ".join(f"(a.{x} - b.{x}) * (a.{x} - b.{x})" for x in xs)
+    steps = []
+    for r in range(rounds + 1):
+        steps.append(f"""
+near{r} AS (
+  SELECT a.rid, a.p, min(({dist}) * 256 + b.e) AS best
+  FROM parts a JOIN books{r} b ON a.p = b.p GROUP BY a.rid, a.p)""")
+        if r < rounds:
+            means = ", ".join(f"CAST(floor(CAST(sum({x}) AS DOUBLE) / count(*)) AS BIGINT) AS {x}" for x in xs)
+            steps.append(f"""
+means{r} AS (
+  SELECT n.p, n.best % 256 AS e, {means}
+  FROM near{r} n JOIN parts a ON n.rid = a.rid AND n.p = a.p GROUP BY n.p, n.best % 256),
+books{r + 1} AS (
+  SELECT b.p, b.e, {", ".join(f"coalesce(m.{x}, b.{x}) AS {x}" for x in xs)}
+  FROM books{r} b LEFT JOIN means{r} m ON m.p = b.p AND m.e = b.e)""")
+    return f"""
+WITH kept AS MATERIALIZED (
+  SELECT row_number() OVER (ORDER BY vec_id NULLS LAST, embedding) AS rid, vec_id, label,
+    list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS v
+  FROM embeddings
+  WHERE embedding IS NOT NULL
+    AND len(list_filter(embedding, lambda x: x IS NULL OR isnan(x) OR isinf(x))) = 0),
+parts AS MATERIALIZED (
+  SELECT rid, p, {", ".join(f"v[p * {width} + {j + 1}] AS x{j}" for j in range(width))}
+  FROM kept, (SELECT unnest(range({parts})) AS p)),
+books0 AS (SELECT p, rid - 1 AS e, {", ".join(xs)} FROM parts WHERE rid <= {entries}),{",".join(steps)},
+codes AS (
+  SELECT rid, string_agg(printf('%02x', best % 256), '' ORDER BY p) AS code,
+    CAST(sum(best // 256) AS BIGINT) AS error
+  FROM near{rounds} GROUP BY rid)
+SELECT vec_id, code, error, CAST(sum(error) OVER (PARTITION BY label) AS BIGINT) AS label_error,
+  (SELECT sha256(string_agg({" || ',' || ".join(xs)}, ',' ORDER BY p, e)) FROM books{rounds}) AS codebooks_sha256
+FROM kept JOIN codes USING (rid)
+"""
+
+
+CODES_SQL = codes_sql()
+
+# A row of the state table per conversation, rows read and state, with the
+# least (cost, audit); an inserted turn leads to another state of the same row.
+REPAIR_SQL = r"""
+WITH RECURSIVE crc AS (
+  SELECT list_transform(range(256), lambda n: list_reduce(list_prepend(n, range(8)),
+    lambda c, i: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END)) AS tab),
+given AS (
+  SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text,
+    coalesce(CAST(conv_id AS VARCHAR), ' ') || ':' || coalesce(CAST(turn AS VARCHAR), ' ') AS name
+  FROM conversations),
+kinds AS (
+  SELECT conv_id, turn, role, text,
+    xor(list_reduce(list_prepend(4294967295, list_transform(range(1, strlen(name) + 1),
+          lambda i: CAST('0x' || substr(hex(encode(name)), 2 * i - 1, 2) AS BIGINT))),
+        lambda c, b: xor(c >> 8, tab[(xor(c, b) & 255) + 1])), 4294967295) % 20 AS kind
+  FROM given, crc),
+damaged AS (
+  SELECT conv_id, turn, CASE WHEN kind = 4 THEN 'user' ELSE role END AS role,
+    CASE kind WHEN 1 THEN '' WHEN 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text
+  FROM kinds, (SELECT unnest([1, 2]) AS copy) WHERE kind <> 0 AND (copy = 1 OR kind = 3)),
+placed AS (
+  SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text) AS n, right(rtrim(text, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)), 1) AS ending
+  FROM damaged),
+counted AS (SELECT *, row_number() OVER (PARTITION BY conv_id, role, text ORDER BY n) AS nth FROM placed),
+marked AS MATERIALIZED (
+  SELECT conv_id, turn, role, text, n, CASE WHEN ending = '' THEN 'b' WHEN nth > 1 THEN 'd'
+      WHEN ending IN ('.', '!', '?') THEN '' ELSE 't' END AS fault,
+    lag(role) OVER (PARTITION BY conv_id ORDER BY n) AS before
+  FROM counted),
+ids AS (SELECT DISTINCT conv_id FROM conversations),
+states AS (
+  SELECT conv_id, CAST(0 AS BIGINT) AS n, q, cost, audit
+  FROM ids, (VALUES ('0', CAST(0 AS BIGINT), ''), ('u', 3, 'I'), ('a', 6, 'II')) AS s(q, cost, audit)
+  UNION ALL
+  (WITH edits AS (
+    SELECT s.conv_id, m.n, s.q, s.cost + 4 AS cost, s.audit || 'D' AS audit
+    FROM states s JOIN marked m ON m.conv_id IS NOT DISTINCT FROM s.conv_id AND m.n = s.n + 1
+    UNION ALL
+    SELECT s.conv_id, m.n, CASE WHEN s.q = 'u' THEN 'a' ELSE 'u' END,
+      s.cost + 3 + CASE WHEN fault = 't' THEN 3 ELSE 0 END, s.audit || 'R'
+    FROM states s JOIN marked m ON m.conv_id IS NOT DISTINCT FROM s.conv_id AND m.n = s.n + 1
+    WHERE fault NOT IN ('b', 'd')
+    UNION ALL
+    SELECT s.conv_id, m.n, left(role, 1), s.cost + CASE WHEN fault = 't' THEN 3 ELSE 0 END, s.audit || 'K'
+    FROM states s JOIN marked m ON m.conv_id IS NOT DISTINCT FROM s.conv_id AND m.n = s.n + 1
+    WHERE fault NOT IN ('b', 'd') AND s.q || left(role, 1) IN ('0s', '0u', 'su', 'au', 'ua')),
+  more AS (
+    SELECT * FROM edits
+    UNION ALL SELECT conv_id, n, 'u', cost + 3, audit || 'I' FROM edits WHERE q <> 'u'
+    UNION ALL SELECT conv_id, n, 'a', cost + 3, audit || 'I' FROM edits WHERE q = 'u'
+    UNION ALL SELECT conv_id, n, 'a', cost + 6, audit || 'II' FROM edits WHERE q IN ('0', 's'))
+  SELECT conv_id, n, q, min(cost), arg_min(audit, (cost, audit)) FROM more GROUP BY conv_id, n, q)),
+lengths AS (
+  SELECT conv_id, count(*) AS rows, count(*) FILTER (fault = 'b') AS blank, count(*) FILTER (fault = 'd') AS duplicate,
+    count(*) FILTER (fault = 't') AS truncated,
+    count(*) FILTER (n > 1 AND left(before, 1) || left(role, 1) NOT IN ('su', 'ua', 'au')) AS illegal,
+    coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps
+  FROM marked GROUP BY conv_id),
+best AS (
+  SELECT i.conv_id, coalesce(l.rows, 0) AS rows, coalesce(gaps, 0) AS gaps, coalesce(blank, 0) AS blank,
+    coalesce(duplicate, 0) AS duplicate, coalesce(truncated, 0) AS truncated, coalesce(illegal, 0) AS illegal,
+    min(s.cost) AS cost, arg_min(s.audit, (s.cost, s.audit)) AS audit
+  FROM ids i LEFT JOIN lengths l ON l.conv_id IS NOT DISTINCT FROM i.conv_id
+  JOIN states s ON s.conv_id IS NOT DISTINCT FROM i.conv_id AND s.n = coalesce(l.rows, 0) AND s.q IN ('0', 'a')
+  GROUP BY ALL),
+-- Edits one by one: the row each takes, and its place among the turns kept.
+steps AS (
+  SELECT b.conv_id, k, substr(audit, k, 1) AS edit, audit
+  FROM best b, LATERAL (SELECT unnest(range(1, length(audit) + 1)) AS k)),
+numbered AS (
+  SELECT *, count(*) FILTER (edit <> 'I') OVER w AS n, count(*) FILTER (edit <> 'D') OVER w AS place
+  FROM steps WINDOW w AS (PARTITION BY conv_id ORDER BY k)),
+turns AS (
+  SELECT t.conv_id, k, edit, place, m.role, m.text,
+    count(*) FILTER (edit = 'K' AND left(m.role, 1) = 's') OVER (PARTITION BY t.conv_id) AS heads
+  FROM numbered t LEFT JOIN marked m
+    ON m.conv_id IS NOT DISTINCT FROM t.conv_id AND m.n = t.n AND edit <> 'I'
+  WHERE edit <> 'D'),
+texts AS (
+  SELECT conv_id, string_agg(
+      CASE WHEN edit = 'K' THEN role WHEN (place - heads) % 2 = 1 THEN 'user' ELSE 'assistant' END
+      || ':' || coalesce(text, ''), chr(10) ORDER BY k) AS whole
+  FROM turns GROUP BY conv_id)
+SELECT b.conv_id, CAST(gaps AS BIGINT) AS gaps, CAST(blank AS BIGINT) AS blank, CAST(duplicate AS BIGINT) AS duplicate,
+  CAST(truncated AS BIGINT) AS truncated, CAST(illegal AS BIGINT) AS illegal, CAST(cost AS BIGINT) AS cost, audit,
+  sha256(coalesce(whole, '')) AS repaired_sha256
+FROM best b LEFT JOIN texts t ON t.conv_id IS NOT DISTINCT FROM b.conv_id
+"""

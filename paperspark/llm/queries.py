@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -9,7 +10,7 @@ from pyspark.sql import functions as F
 
 from paperspark.llm import (
     bpe, chat, decontaminate, html_text, jaccard_join, language_model, oracles, passage_dedup, piece_bpe,
-    quality_model, quality_rules, token_counts,
+    quality_model, quality_rules, repair, token_counts, vector_codes,
 )
 from paperspark.llm.common import table
 
@@ -93,6 +94,20 @@ def op11_piece_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"))
 
 
+def op12_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Codes and errors of every usable vector, beside its label's error."""
+    codes, books = vector_codes.compress(table(spark, sf_dir, "embeddings"))
+    digits = ",".join(str(x) for book in books for x in book.ravel().tolist())
+    return vector_codes.with_label_error(codes).select(
+        "vec_id", "code", "error", "label_error",
+        F.lit(hashlib.sha256(digits.encode()).hexdigest()).alias("codebooks_sha256"))
+
+
+def op13_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Damage every conversation and find its cheapest repair."""
+    return repair.repaired(repair.damage(table(spark, sf_dir, "conversations")))
+
+
 _ESC = r"""regexp_replace({}, '([<\[])(\\*(?:/?s>|/?INST\]|/?ROLE\]|TURN\]))', '\1\\\2', 'g')"""
 
 OP10_SQL = f"""
@@ -124,6 +139,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_jaccard_join": op9_jaccard_join,
     "op10_chat_format": op10_chat_format,
     "op11_piece_codec": op11_piece_codec,
+    "op12_vector_codes": op12_vector_codes,
+    "op13_conversation_repair": op13_conversation_repair,
 }
 
 ORACLES: dict[str, str] = {
@@ -131,4 +148,6 @@ ORACLES: dict[str, str] = {
     "op9_jaccard_join": oracles.JACCARD_SQL,
     "op8_decontaminate": decontaminate.OVERLAPS_SQL,
     "op10_chat_format": OP10_SQL,
+    "op12_vector_codes": oracles.CODES_SQL,
+    "op13_conversation_repair": oracles.REPAIR_SQL,
 }
