@@ -40,6 +40,15 @@ LARGEST = (1 << 63) - 1
 
 # --- trees of one block and part position -----------------------------------
 
+def squares(rows: np.ndarray) -> np.ndarray:
+    """Squared length of every row."""
+    return np.einsum("ij,ij->i", rows, rows)
+
+
+def lengths(rows: np.ndarray) -> np.ndarray:
+    return np.sqrt(squares(rows))
+
+
 def by_anchors(points: np.ndarray, start: np.ndarray, wanted: np.ndarray) -> np.ndarray:
     """Cuts each group of points (rows ``start[g]`` to ``start[g+1]``) by up
     to ``wanted[g]`` anchors; returns the anchor's number for every point,
@@ -55,7 +64,7 @@ def by_anchors(points: np.ndarray, start: np.ndarray, wanted: np.ndarray) -> np.
     place = np.zeros((int(wanted.sum()), points.shape[1]))
     place[first] = points[start[:-1]]
     owner = first[group]
-    far = np.sqrt(((points - place[owner]) ** 2).sum(1))
+    far = lengths(points - place[owner])
     for step in range(1, int(wanted.max(initial=1))):
         radius = np.maximum.reduceat(far, start[:-1])
         live = (wanted > step) & (radius > 0)
@@ -71,10 +80,10 @@ def by_anchors(points: np.ndarray, start: np.ndarray, wanted: np.ndarray) -> np.
         mine = np.repeat(new_of, wanted)
         half = np.full(len(place), np.inf)
         near = mine >= 0
-        half[near] = np.sqrt(((place[near] - place[mine[near]]) ** 2).sum(1)) / 2
+        half[near] = lengths(place[near] - place[mine[near]]) / 2
         moved = np.nonzero(far > half[owner] * (1 - SLACK))[0]
         to = new_of[group[moved]]
-        dist = np.sqrt(((points[moved] - place[to]) ** 2).sum(1))
+        dist = lengths(points[moved] - place[to])
         closer = dist < far[moved]
         moved = moved[closer]
         far[moved], owner[moved] = dist[closer], to[closer]
@@ -98,10 +107,10 @@ def paired(center: np.ndarray, radius: np.ndarray, count: np.ndarray) -> list[tu
         two = [a, b]
         count[k] = count[two].sum()
         center[k] = (center[two] * count[two, None]).sum(0) / count[k]
-        radius[k] = (np.sqrt(((center[two] - center[k]) ** 2).sum(1)) + radius[two]).max()
+        radius[k] = (lengths(center[two] - center[k]) + radius[two]).max()
         size[two], size[:, two], alive[two] = np.inf, np.inf, False
         rest = np.nonzero(alive)[0]
-        size[rest, k] = (np.sqrt(((center[rest] - center[k]) ** 2).sum(1)) + radius[rest] + radius[k]) / 2
+        size[rest, k] = (lengths(center[rest] - center[k]) + radius[rest] + radius[k]) / 2
         alive[k] = True
     return pairs
 
@@ -135,7 +144,7 @@ class Tree:
         # is a range.
         sums = np.add.reduceat(x_sorted, start[:-1])
         center = sums / sizes[:, None]
-        reach = np.sqrt(((x_sorted - np.repeat(center, sizes, axis=0)) ** 2).sum(1))
+        reach = lengths(x_sorted - np.repeat(center, sizes, axis=0))
         pairs = paired(center, np.maximum.reduceat(reach, start[:-1]), sizes)
         children = {tops + k: pair for k, pair in enumerate(pairs)}
         tree, stack = [], [(tops + len(pairs) - 1, 0, -1)]
@@ -172,14 +181,14 @@ class Tree:
         center = total / (hi - lo)[:, None]
         radius = np.empty(len(lo))
         leaves = slice(len(ball), None)
-        reach = np.sqrt(((x - np.repeat(center[leaves], leaf_hi - leaf_lo, axis=0)) ** 2).sum(1))
+        reach = lengths(x - np.repeat(center[leaves], leaf_hi - leaf_lo, axis=0))
         radius[leaves] = np.maximum.reduceat(reach, leaf_lo)
-        reach = np.sqrt(((x - np.repeat(center[anchors], (hi - lo)[anchors], axis=0)) ** 2).sum(1))
+        reach = lengths(x - np.repeat(center[anchors], (hi - lo)[anchors], axis=0))
         radius[anchors] = np.maximum.reduceat(reach, lo[anchors])
         for k in range(len(ball) - 1, -1, -1):
             if ball[k] >= tops:
                 kids = np.nonzero(parent[:len(ball)] == k)[0]
-                radius[k] = (np.sqrt(((center[kids] - center[k]) ** 2).sum(1)) + radius[kids]).max()
+                radius[k] = (lengths(center[kids] - center[k]) + radius[kids]).max()
         return cls({"order": order.astype(np.int32), "lo": lo.astype(np.int32), "hi": hi.astype(np.int32),
                     "depth": depth.astype(np.int32), "parent": parent.astype(np.int32), "center": center,
                     "radius": radius * (1 + SLACK), "total": total})
@@ -232,7 +241,7 @@ class Tree:
             cut = np.cumsum(n) - n
             at = np.repeat(begin[balls] - cut, n) + np.arange(n.sum())
             entry, ball = inherited[at], np.repeat(balls, n)
-            dist = ((self.center[ball] - place[entry]) ** 2).sum(1)
+            dist = squares(self.center[ball] - place[entry])
             best = np.minimum.reduceat(dist, cut)
             nearest = np.zeros(len(balls), np.int64)
             k = np.repeat(np.arange(len(balls)), n)
@@ -240,7 +249,7 @@ class Tree:
             nearest[k[hits][::-1]] = entry[hits][::-1]
             # For all points of a ball the difference of the two squared
             # distances is at least that at the center less this reach.
-            apart = np.sqrt(((place[entry] - place[nearest[k]]) ** 2).sum(1))
+            apart = lengths(place[entry] - place[nearest[k]])
             gap = dist - best[k]
             stays = gap * (1 + SLACK) - SLACK * (dist + best[k]) <= 2 * self.radius[ball] * apart * (1 + SLACK)
             entry, k = entry[stays], k[stays]
@@ -276,7 +285,7 @@ class Tree:
             wide = width[leaf]
             cut = np.cumsum(wide) - wide
             entry = flat[np.repeat(head[leaf] - cut, wide) + np.arange(wide.sum())]
-            dist = ((np.repeat(points[row], wide, axis=0) - book[entry]) ** 2).sum(1)
+            dist = squares(np.repeat(points[row], wide, axis=0) - book[entry])
             # The least distance, and of equal ones the lowest entry.
             by = np.minimum.reduceat(dist * entries + entry, cut) % entries
             code[row] = by
