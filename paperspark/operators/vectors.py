@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..schemas import ABSTRACT_LABEL, VECTOR_KEY, VECTOR_SCHEMA
-from ..sources.tables import read_table
+from ..sources.versions import path_exists
 
 
 def vectors_of_agent(store: DataFrame, agent_name: str, model_name: str, model_spec: str,
@@ -53,4 +53,7 @@ def write_snapshot(store: DataFrame, path: str) -> None:
 
 
 def read_snapshot(spark: SparkSession, path: str) -> DataFrame:
-    return read_table(spark, path, VECTOR_SCHEMA)
+    """The snapshot's rows; an absent one reads as no rows."""
+    if not path_exists(spark, path):
+        return spark.createDataFrame([], VECTOR_SCHEMA)
+    return spark.read.schema(VECTOR_SCHEMA).parquet(path)

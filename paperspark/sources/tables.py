@@ -1,10 +1,12 @@
 """Keyed Parquet tables: create if absent, upsert, insert if absent.
 
-A table is a folder of Parquet files partitioned by a few low-cardinality
-columns (summarizer and model, or agent/model/spec). Writes replace only
-the partitions the incoming rows touch (dynamic partition overwrite), so a
-key in an untouched partition always survives. One writer per table at a
-time, as with a single database file.
+A table is partitioned by a few low-cardinality columns (summarizer and
+model, or agent/model/spec) and, below them, by a hash bucket of the other key
+parts. A write reads and writes only the leaves (partition and bucket) that
+its rows fall into: new leaf folders are written beside the old ones and the
+new version is published in one step (see ``versions``), so a write that
+fails or is killed anywhere leaves the table as it was. One writer per table
+at a time; a second one fails when it publishes.
 """
 
 from __future__ import annotations
@@ -13,49 +15,101 @@ from pyspark.sql import DataFrame, Observation, SparkSession, functions as F
 from pyspark.sql import types as T
 
 from ..session import apply_required_conf, null_join, staged
+from .versions import drop_old, hadoop_path, new_folder, path_exists, publish, read_state
 
 ORDER = "_order"
+BUCKET = "bucket"
+VERSION = "_version"
+# Buckets of every partition of a new table. A leaf is rewritten as a whole by
+# one task: choose (bytes of the largest partition) / 256 MB.
+DEFAULT_BUCKETS = 16
 
+__all__ = ["create_table", "read_table", "upsert", "insert_absent", "path_exists", "drop_old", "leaf_paths"]
 
-def path_exists(spark: SparkSession, path: str) -> bool:
-    """Whether a file or folder exists, on any Hadoop file system."""
-    jvm_path = spark._jvm.org.apache.hadoop.fs.Path(path)
-    return bool(jvm_path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(jvm_path))
 
+def _fresh_state(buckets: int) -> dict:
+    return {"version": 0, "buckets": int(buckets), "leaves": {}, "folders": {}}
 
-def read_table(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
-    """The table's rows; an absent table reads as no rows. With the schema
-    given, so does a folder without data files."""
-    if not path_exists(spark, path):
+
+def leaf_paths(path: str, state: dict, leaves=None) -> list[str]:
+    """Folders to read for some leaves (all by default). A data folder whose
+    leaves are all wanted is read from its top."""
+    wanted: dict[str, list[str]] = {}
+    for leaf in state["leaves"] if leaves is None else leaves:
+        for folder in state["leaves"].get(leaf, ()):
+            wanted.setdefault(folder, []).append(leaf)
+    out = []
+    for folder, found in sorted(wanted.items()):
+        top = f"{path}/{VERSION}={folder}"
+        out += [top] if len(found) == state["folders"][folder] else [f"{top}/{leaf}" for leaf in sorted(found)]
+    return out
+
+
+def _read(spark: SparkSession, path: str, schema: T.StructType, state: dict | None, leaves=None) -> DataFrame:
+    paths = leaf_paths(path, state, leaves) if state else []
+    if not paths:
         return spark.createDataFrame([], schema)
-    return spark.read.schema(schema).parquet(path)
+    whole = T.StructType([*schema.fields, T.StructField(VERSION, T.StringType()), T.StructField(BUCKET, T.IntegerType())])
+    return spark.read.schema(whole).option("basePath", path).parquet(*paths).select(*schema.names)
+
+
+def read_table(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
+    """The newest version's rows; a table without any reads as no rows. Later
+    writes do not change what this DataFrame reads."""
+    return _read(spark, path, schema, read_state(spark, path))
 
 
 def create_table(spark: SparkSession, path: str, schema: T.StructType,
-                 partition_by: list[str]) -> DataFrame:
-    """Create the folder if absent (no-op when it exists) and return it."""
-    if not path_exists(spark, path):
-        (spark.createDataFrame([], schema).write.partitionBy(*partition_by)
-         .mode("overwrite").parquet(path))
+                 partition_by: list[str], buckets: int = DEFAULT_BUCKETS) -> DataFrame:
+    """Publish an empty table if there is none (no-op when there is one) and
+    return its rows."""
+    if read_state(spark, path) is None:
+        publish(spark, path, _fresh_state(buckets))
     return read_table(spark, path, schema)
 
 
-def _touched(stored: DataFrame, incoming: DataFrame, partition_by: list[str]) -> DataFrame:
-    """Stored rows of the partitions that ``incoming`` has rows of.
-
-    The partition values (as many as the folders that Spark's writer lists
-    on the driver anyway) prune the folders column by column; a NULL-safe
-    semi-join then keeps exactly the touched combinations.
-    """
-    if not partition_by:
-        return stored
-    parts = incoming.select(*partition_by).distinct()
-    values = parts.collect()
-    for c in partition_by:
-        found = {r[c] for r in values}
-        cond = F.col(c).isin([x for x in found if x is not None])
-        stored = stored.filter(cond | F.col(c).isNull() if None in found else cond)
-    return null_join(stored, parts, partition_by, "left_semi")
+def _bucket(key_cols: list[str], partition_by: list[str], buckets: int):
+    """Bucket of a row: by the key parts that are no partition columns."""
+    rest = [c for c in key_cols if c not in partition_by]
+    return F.pmod(F.xxhash64(*(rest or key_cols)), F.lit(buckets)).cast("int")
+
+
+def _leaves_of(rows: DataFrame, partition_by: list[str]) -> list[str]:
+    """Folder names of the leaves that rows fall into: as many as Spark's
+    partitioned writer creates."""
+    cols = [*partition_by, BUCKET]
+    found = rows.select(*[F.col(c).cast("string").alias(c) for c in cols]).distinct().collect()
+    name = rows.sparkSession._jvm.org.apache.spark.sql.catalyst.catalog.ExternalCatalogUtils.getPartitionPathString
+    known: dict[tuple[str, str | None], str] = {}
+    for c in cols:
+        for value in {r[c] for r in found}:
+            known[c, value] = name(c, value)
+    return sorted({"/".join(known[c, r[c]] for c in cols) for r in found})
+
+
+def _written_leaves(spark: SparkSession, path: str, folder: str, partition_by: list[str]) -> list[str]:
+    top = f"{path}/{VERSION}={folder}"
+    depth = len(partition_by) + 1
+    fs, pattern = hadoop_path(spark, top + "/*=*" * depth)
+    paths = (s.getPath() for s in fs.globStatus(pattern) or ())
+    return ["/".join(p.toUri().getPath().split("/")[-depth:]) for p in paths]
+
+
+def _write(rows: DataFrame, path: str, state: dict, partition_by: list[str], replace: bool) -> None:
+    """Write rows as leaves of a new data folder and publish the table with
+    them: in place of what those leaves held, or beside it."""
+    spark = rows.sparkSession
+    version = state["version"] + 1
+    folder = new_folder(version)
+    rows.write.partitionBy(*partition_by, BUCKET).parquet(f"{path}/{VERSION}={folder}")
+    leaves = {k: list(v) for k, v in state["leaves"].items()}
+    made = _written_leaves(spark, path, folder, partition_by)
+    for leaf in made:
+        leaves[leaf] = [folder] if replace else [*leaves.get(leaf, ()), folder]
+    sizes = state["folders"] | {folder: len(made)}
+    live = {f for held in leaves.values() for f in held}
+    publish(spark, path, {**state, "version": version, "leaves": leaves,
+                          "folders": {f: n for f, n in sizes.items() if f in live}})
 
 
 def _with_order(df: DataFrame, order_col: str | None) -> DataFrame:
@@ -72,24 +126,23 @@ def _check_order(inc: DataFrame, key_cols: list[str], order_col: str | None) ->
 
 def upsert(incoming: DataFrame, path: str, key_cols: list[str], partition_by: list[str],
            schema: T.StructType, order_col: str | None = None,
-           stamp_col: str | None = None, materialized: bool = False) -> int:
+           stamp_col: str | None = None, materialized: bool = False, buckets: int = DEFAULT_BUCKETS) -> int:
     """Insert or replace rows by key; returns the number of rows offered.
 
     Within the batch the last row per key wins by ``order_col``, which a
     batch with repeated keys must name; an incoming row replaces a stored
     one. NULL key parts equal each other. ``stamp_col`` is set to the current
-    time, whole seconds.
+    time, whole seconds. ``buckets`` holds for a table that this creates.
 
     The batch is staged once as Parquet in the shared folder (skipped with
     ``materialized=True`` when the caller already did), so an expensive or
-    non-deterministic producer (a model call) runs once. Only the
-    partitions named by incoming rows are read, merged and rewritten. The
-    merged rows are staged before the table is touched, so a failure while
-    they are computed leaves the table as it was; Spark's dynamic partition
-    overwrite then swaps the touched folders one after another.
+    non-deterministic producer (a model call) runs once. The leaves its rows
+    fall into are read, merged and written anew after one shuffle by leaf;
+    no other leaf is read.
     """
     spark = incoming.sparkSession
     apply_required_conf(spark)
+    state = read_state(spark, path) or _fresh_state(buckets)
     value_cols = [f.name for f in schema.fields if f.name not in key_cols]
     inc = _with_order(incoming, order_col)
     if stamp_col:
@@ -102,40 +155,42 @@ def upsert(incoming: DataFrame, path: str, key_cols: list[str], partition_by: li
     if offered == 0:
         return 0
     _check_order(inc, key_cols, order_col)
-    existing = _touched(read_table(spark, path, schema), inc, partition_by)
+    bucket = _bucket(key_cols, partition_by, state["buckets"])
+    existing = _read(spark, path, schema, state, _leaves_of(inc.withColumn(BUCKET, bucket), partition_by))
     both = (existing.withColumn("_prio", F.lit(0)).withColumn(ORDER, F.lit(0).cast("bigint"))
-            .unionByName(inc.withColumn("_prio", F.lit(1))))
-    merged = (both.groupBy(*key_cols)
+            .unionByName(inc.withColumn("_prio", F.lit(1))).withColumn(BUCKET, bucket))
+    leaf = [*partition_by, BUCKET]
+    # The shuffle by leaf also serves the aggregate, whose keys hold it.
+    merged = (both.repartition(*leaf).groupBy(*leaf, *[c for c in key_cols if c not in leaf])
               .agg(F.max_by(F.struct(*value_cols), F.struct("_prio", ORDER)).alias("_v"))
-              .select(*key_cols, *[F.col(f"_v.{c}").alias(c) for c in value_cols])
-              .select(*[f.name for f in schema.fields]))
-    (staged(merged, "upsert-merged").write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
-     .partitionBy(*partition_by).parquet(path))
+              .select(*key_cols, BUCKET, *[F.col(f"_v.{c}").alias(c) for c in value_cols])
+              .select(*schema.names, BUCKET))
+    _write(merged, path, state, partition_by, replace=True)
     return offered
 
 
 def insert_absent(incoming: DataFrame, path: str, key_cols: list[str], partition_by: list[str],
-                  schema: T.StructType, order_col: str | None = None) -> int:
+                  schema: T.StructType, order_col: str | None = None, buckets: int = DEFAULT_BUCKETS) -> int:
     """Insert rows whose key is not stored yet (the first row per key in the
     batch wins by ``order_col``, which a batch with repeated keys must name);
     stored rows are never changed. NULL key parts equal each other. Returns
-    rows inserted. The batch is staged, and the stored keys are read only
-    from the partitions it touches."""
+    rows inserted. The batch is staged; the stored keys are read only from
+    the leaves it falls into, and the new rows are put beside them."""
     spark = incoming.sparkSession
     apply_required_conf(spark)
+    state = read_state(spark, path) or _fresh_state(buckets)
     value_cols = [f.name for f in schema.fields if f.name not in key_cols]
     inc = staged(_with_order(incoming, order_col).select(
         *[F.col(f.name).cast(f.dataType) for f in schema.fields], ORDER), "insert-batch")
     _check_order(inc, key_cols, order_col)
+    bucket = _bucket(key_cols, partition_by, state["buckets"])
     first = (inc.groupBy(*key_cols)
              .agg(F.min_by(F.struct(*value_cols), F.col(ORDER)).alias("_v"))
              .select(*key_cols, *[F.col(f"_v.{c}").alias(c) for c in value_cols]))
-    stored = _touched(read_table(spark, path, schema), inc, partition_by).select(*key_cols)
-    new = null_join(first, stored, key_cols, "left_anti").select(
-        *[f.name for f in schema.fields])
+    leaves = _leaves_of(inc.select(*key_cols).withColumn(BUCKET, bucket), partition_by)
+    stored = _read(spark, path, schema, state, leaves).select(*key_cols)
     obs = Observation("inserted")
-    new = new.observe(obs, F.count(F.lit(1)).alias("n"))
-    # The stored keys are listed before the job starts and the new files are
-    # committed only at its end.
-    new.write.mode("append").partitionBy(*partition_by).parquet(path)
+    new = (null_join(first, stored, key_cols, "left_anti").select(*schema.names).withColumn(BUCKET, bucket)
+           .repartition(*partition_by, BUCKET).observe(obs, F.count(F.lit(1)).alias("n")))
+    _write(new, path, state, partition_by, replace=False)
     return int(obs.get["n"])
