@@ -24,10 +24,14 @@ def token_bucket(word: Column, dims: int) -> Column:
 
 
 def hash_embed(df: DataFrame, key_cols: list[str], text_col: str, dims: int = 64,
-               out_col: str = "embedding") -> DataFrame:
+               out_col: str = "embedding", partitions: int | None = None) -> DataFrame:
     """``key_cols + [out_col]``: dense ``array<double>`` of token counts per
     bucket for each row's text.
 
+    ``partitions`` deals keys and texts out to so many tasks first, by key:
+    for input in few splits (a file of one row group), where the array work
+    would be left to one core. Large inputs have splits enough and need none.
+
     Computed inside the row, with no per-token explode and no shuffle: the token
     buckets plus one copy of every bucket id are sorted natively; the count
     of bucket ``b`` is then the distance between the first positions of
@@ -36,6 +40,8 @@ def hash_embed(df: DataFrame, key_cols: list[str], text_col: str, dims: int = 64
     lambda (which would rebuild it for every element) nor push a filter on
     the result below it.
     """
+    if partitions:
+        df = df.select(*key_cols, text_col).repartition(partitions, *key_cols)
     all_ids = F.sequence(F.lit(0), F.lit(dims - 1)).cast("array<bigint>")
     buckets = F.transform(tokens(text_col), lambda w: token_bucket(w, dims))
     srt = df.select(*key_cols, F.explode(F.array(F.sort_array(F.concat(

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, functions as F
 
 from ..schemas import DEFAULT_TOP_K, VECTOR_KEY
@@ -16,7 +18,8 @@ SOURCE_LINE = "- arXiv:{id} Title: {title}"
 # ---------------------------------------------------------------------------
 
 
-def retrieve(questions: DataFrame, store: DataFrame, papers: DataFrame, k: int = DEFAULT_TOP_K,
+def retrieve(questions: DataFrame, store: DataFrame, papers: DataFrame | Callable[[DataFrame], DataFrame],
+             k: int = DEFAULT_TOP_K,
              question_key: list[str] | None = None, question_vec: str = "embedding",
              agent_name: str | None = None, dedupe_papers: bool = False,
              paper_fields: tuple[str, ...] = ("title", "abstract")) -> DataFrame:
@@ -24,7 +27,10 @@ def retrieve(questions: DataFrame, store: DataFrame, papers: DataFrame, k: int =
 
     The k nearest stored vectors per question (optionally of one agent; with
     ``dedupe_papers`` k distinct papers, each by its nearest vector), joined
-    to the papers they belong to. The rank travels with each hit.
+    to the papers they belong to. The rank travels with each hit. ``papers``
+    is a DataFrame, or a function that gives the papers of the ids in a
+    one-column DataFrame (``sources.corpus_store.stored_papers`` reads only
+    the row groups that may hold them).
     """
     question_key = question_key or ["question_id"]
     vecs = store if agent_name is None else store.filter(F.col("agent_name") == agent_name)
@@ -38,8 +44,8 @@ def retrieve(questions: DataFrame, store: DataFrame, papers: DataFrame, k: int =
     # aggregate in ``papers`` (its grouping key is the id), so only the
     # retrieved papers are de-duplicated and joined.
     hit_ids = hits.select(F.col("arxiv_id").alias("id")).distinct()
-    pap = (papers.join(hit_ids, "id", "left_semi")
-           .select(F.col("id").alias("arxiv_id"), *paper_fields))
+    found = papers.join(hit_ids, "id", "left_semi") if isinstance(papers, DataFrame) else papers(hit_ids)
+    pap = found.select(F.col("id").alias("arxiv_id"), *paper_fields)
     return staged(hits.join(pap, "arxiv_id", "inner")
                   .select(*question_key, "rank", "arxiv_id", "dist", *paper_fields), "paper-hits")
 

@@ -66,41 +66,59 @@ def memoised(rows: DataFrame, key_cols: list[str], compute: Callable[[DataFrame]
     Keys in ``rows`` may repeat; a key is computed and returned once, like
     the keys of a dict. NULL key parts equal each other.
 
-    Only keys move until the misses are known: the distinct requested keys
-    meet the stored keys, then one pass over ``rows`` keeps the payload of
-    the missing ones, one row for each.
+    Only keys move until the misses are known; then one pass over ``rows``
+    keeps the payload of the missing ones, one row for each, by a join with
+    the smaller of the two staged key sets, known or missing.
     """
-    spark = rows.sparkSession
-    stored = read_table(spark, path, schema)
     for col, val in (partition_values or {}).items():
-        if col not in partition_by:
-            raise ValueError(f"{col} is not a partition column")
-        stored = stored.filter(F.col(col) == F.lit(val))
         # A requested row outside the stated partition is a caller error:
         # fail on it rather than drop it.
         rows = rows.withColumn(col, F.when(F.col(col) == F.lit(val), F.col(col)).otherwise(
             F.raise_error(F.concat(F.lit(f"row outside the stated partition {col}={val}: "),
                                    F.coalesce(F.col(col).cast("string"), F.lit("NULL"))))))
-    asked = rows.select(*key_cols).distinct()
-    stored_keys = stored.select(*key_cols)
-    hit_keys = staged(null_join(asked, stored_keys, key_cols, "left_semi"), "hit-keys")
-    todo = null_join(rows, hit_keys, key_cols, "left_anti").dropDuplicates(key_cols)
-    fresh = compute(todo)
+
+    def fetch(missing: DataFrame, known: DataFrame) -> DataFrame:
+        few = missing.count() <= known.count()
+        todo = null_join(rows, missing if few else known, key_cols, "left_semi" if few else "left_anti")
+        return compute(todo.dropDuplicates(key_cols))
+
+    return memoised_keys(rows.select(*key_cols), key_cols, fetch, path, partition_by, schema, replace,
+                         partition_values)
+
+
+def memoised_keys(keys: DataFrame, key_cols: list[str], compute: Callable[[DataFrame, DataFrame], DataFrame],
+                  path: str, partition_by: list[str], schema: T.StructType,
+                  replace: bool = False, partition_values: dict | None = None) -> DataFrame:
+    """As :func:`memoised`, for keys without their payload:
+    ``compute(missing_keys, known_keys)`` gets the distinct keys that the
+    table lacks and those it holds (both staged) and fetches what it needs."""
+    spark = keys.sparkSession
+
+    def stored() -> DataFrame:
+        out = read_table(spark, path, schema)
+        for col, val in (partition_values or {}).items():
+            if col not in partition_by:
+                raise ValueError(f"{col} is not a partition column")
+            out = out.filter(F.col(col) == F.lit(val))
+        return out
+
+    asked = keys.select(*key_cols).distinct()
+    # A table holds a key once, so the join keeps one row for each asked one.
+    held = stored().select(*key_cols, F.lit(True).alias("_held"))
+    flagged = staged(null_join(asked, held, key_cols, "left").withColumn("_held", F.col("_held").isNotNull()), "keys")
+    known = flagged.filter("_held").drop("_held")
+    missing = flagged.filter("NOT _held").drop("_held")
+    fresh = compute(missing, known)
     if "error" not in fresh.columns:
         fresh = fresh.withColumn("error", F.lit(None).cast("string"))
     cols = [f.name for f in schema.fields]
     fresh = staged(fresh.select(*cols, "error"), "fresh")
     good = fresh.filter(F.col("error").isNull()).select(*cols)
+    # What the known keys hold is read from the version before the write.
+    hits = null_join(stored(), known, key_cols, "left_semi").select(
+        *cols, F.lit(None).cast("string").alias("error"), F.lit(True).alias("cached"))
     if replace:
         upsert(good, path, key_cols, partition_by, schema, materialized=True)
     else:
-        insert_absent(good, path, key_cols, partition_by, schema)
-    fresh_out = (good.withColumn("error", F.lit(None).cast("string")).withColumn("cached", F.lit(False))
-                 .unionByName(fresh.filter(F.col("error").isNotNull()).withColumn("cached", F.lit(False))))
-    # Hit keys were stored before this run and are untouched by its write.
-    after = read_table(spark, path, schema)
-    for col, val in (partition_values or {}).items():
-        after = after.filter(F.col(col) == F.lit(val))
-    hits = (null_join(after, hit_keys, key_cols, "left_semi")
-            .withColumn("error", F.lit(None).cast("string")).withColumn("cached", F.lit(True)))
-    return hits.unionByName(fresh_out)
+        insert_absent(good, path, key_cols, partition_by, schema, materialized=True)
+    return hits.unionByName(fresh.withColumn("cached", F.lit(False)))

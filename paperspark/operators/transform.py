@@ -113,59 +113,60 @@ def agent_rows(agents: DataFrame, agent_class: str | None = "summarizer",
     return rows
 
 
-def fan_out_agents(texts: DataFrame, agents: DataFrame, text_col: str, key_cols: list[str],
-                   agent_class: str | None = "summarizer", agent_name: str | None = None):
-    """``(rows, names)``: each text once per selected agent.
-
-    The agent list becomes a literal array exploded
-    next to each text, so there is no join. ``rows``: key_cols, agent_name and
-    ``_text``."""
-    rows = agent_rows(agents, agent_class, agent_name)
-    fanned = texts.select(*key_cols, F.col(text_col).alias("_text"),
-                          F.explode(F.array(*[F.lit(r.agent_name) for r in rows])).alias("agent_name"))
-    return fanned, rows
-
-
-def run_agent_fns(fanned: DataFrame, fns: dict, key_cols: list[str], text_col: str = "_text",
-                  batch_size: int = EMBED_BATCH_SIZE, output_col: str = "summary_text",
-                  agent_col: str = "agent_name") -> DataFrame:
-    """Apply each row's agent function in batches of ``batch_size``.
-
-    Output: key_cols, agent_col, output_col, error."""
-    ship_package(fanned.sparkSession)
-    in_schema = fanned.schema
-    keep = [c for c in key_cols if c != agent_col]
-    out_schema = T.StructType([in_schema[c] for c in keep] + [
+def agent_keys(texts: DataFrame, names: list[str], key_cols: list[str], agent_col: str = "agent_name") -> DataFrame:
+    """``key_cols, agent_col``: the keys of every text once per agent. The
+    names are a literal array, so there is no join; texts stay behind."""
+    return texts.select(*key_cols, F.explode(F.array(*[F.lit(n) for n in names])).alias(agent_col))
+
+
+def run_agents(texts: DataFrame, fns: dict, key_cols: list[str], text_col: str, agents_col: str,
+               batch_size: int = EMBED_BATCH_SIZE, output_col: str = "summary_text",
+               agent_col: str = "agent_name") -> DataFrame:
+    """Every text through the functions of the agents that its array
+    ``agents_col`` names, in batches of ``batch_size``.
+
+    A text enters the Python worker once, however many agents work on it.
+    Output: one row per text and agent with key_cols, agent_col, output_col,
+    error."""
+    ship_package(texts.sparkSession)
+    src = texts.select(*key_cols, F.col(agents_col).alias("_agents"), F.col(text_col).alias("_text"))
+    out_schema = T.StructType([src.schema[c] for c in key_cols] + [
         T.StructField(agent_col, T.StringType()),
         T.StructField(output_col, T.StringType()),
         T.StructField("error", T.StringType())])
     size = _check_batch_size(batch_size)
-    src = fanned.select(*keep, agent_col, F.col(text_col).alias("_text"))
+
+    def call(name, batch):
+        try:
+            if name not in fns:
+                raise KeyError(f"no function for agent '{name}'")
+            found = list(fns[name](batch))
+            if len(found) != len(batch):
+                raise ValueError("function returned a wrong number of outputs")
+            return found, [None] * len(batch)
+        except Exception as e:  # noqa: BLE001 - reported per row
+            return [None] * len(batch), [f"{type(e).__name__}: '{name}': {e}"] * len(batch)
 
     def run(batches):
         import pandas as pd
 
         for pdf in batches:
-            out = pd.Series([None] * len(pdf), index=pdf.index, dtype=object)
-            err = pd.Series([None] * len(pdf), index=pdf.index, dtype=object)
-            for name, grp in pdf.groupby(agent_col, sort=False):
-                idx = grp.index.tolist()
-                texts_ = grp["_text"].tolist()
-                for i in range(0, len(texts_), size):
-                    sl = idx[i:i + size]
-                    try:
-                        if name not in fns:
-                            raise KeyError(f"no function for agent '{name}'")
-                        res = list(fns[name](texts_[i:i + size]))
-                        if len(res) != len(sl):
-                            raise ValueError("function returned a wrong number of outputs")
-                        out.loc[sl] = pd.Series(res, index=sl, dtype=object)
-                    except Exception as e:  # noqa: BLE001 - reported per row
-                        err.loc[sl] = f"{type(e).__name__}: '{name}': {e}"
-            res_df = pdf[keep + [agent_col]].copy()
-            res_df[output_col] = out
-            res_df["error"] = err
-            yield res_df
+            rows_of: dict = {}
+            for row, names in enumerate(pdf["_agents"]):
+                for name in names:
+                    rows_of.setdefault(name, []).append(row)
+            held = pdf["_text"].tolist()
+            for name, rows in rows_of.items():
+                outs, errs = [], []
+                for i in range(0, len(rows), size):
+                    out, err = call(name, [held[r] for r in rows[i:i + size]])
+                    outs += out
+                    errs += err
+                res = pdf.iloc[rows][key_cols].reset_index(drop=True)
+                res[agent_col] = name
+                res[output_col] = pd.Series(outs, dtype=object)
+                res["error"] = pd.Series(errs, dtype=object)
+                yield res
 
     return src.mapInPandas(run, out_schema)
 
@@ -180,9 +181,10 @@ def apply_agents(texts: DataFrame, agents: DataFrame, fn_for_agent: Callable[[st
     one agent; unknown classes or names raise. Output: key_cols,
     agent_name, output_col, error.
     """
-    fanned, rows = fan_out_agents(texts, agents, text_col, key_cols, agent_class, agent_name)
+    rows = agent_rows(agents, agent_class, agent_name)
     fns = {r.agent_name: fn_for_agent(r.agent_name, r.instructions) for r in rows}
-    return run_agent_fns(fanned, fns, key_cols, "_text", batch_size, output_col)
+    listed = texts.withColumn("_agents", F.array(*[F.lit(n) for n in fns]))
+    return run_agents(listed, fns, key_cols, text_col, "_agents", batch_size, output_col)
 
 
 def outputs_per_agent(results: DataFrame, order_col: str, output_col: str = "summary_text",

@@ -19,8 +19,8 @@ class Answers(NamedTuple):
     answers: DataFrame
 
 
-def answer_questions(questions: DataFrame, store: DataFrame, papers: DataFrame,
-                     answer_fn: Callable, embed: str | Callable = "hash", dims: int = 64,
+def answer_questions(questions: DataFrame, store: DataFrame,
+                     papers: DataFrame | Callable[[DataFrame], DataFrame], answer_fn: Callable, embed: str | Callable = "hash", dims: int = 64,
                      k: int = DEFAULT_TOP_K, agent_name: str | None = None,
                      dedupe_papers: bool = False, batch_size: int = 5, embed_batch: int = 20) -> Answers:
     """``questions(question_id, question)`` -> embed -> k nearest stored

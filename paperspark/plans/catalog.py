@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..operators import index as ix
 from ..session import fresh_path
+from ..sources import corpus_store as cs
 from ..sources import papers as pp
 from . import views as v
 
@@ -59,8 +60,8 @@ def _index(spark, sf_dir):
 
 
 def _stored_index(spark, sf_dir):
-    """The index as a build leaves it: written sorted, read from Parquet."""
-    return ix.load_or_build_index(spark, fresh_path(spark, "index"), v.paper_lines(spark, sf_dir))
+    """The index of the stored corpus, sorted, read from Parquet."""
+    return cs.stored_index(spark, v.paper_store(spark, sf_dir))
 
 
 @register("scan_project", f"""
@@ -211,9 +212,8 @@ WHERE contains(category, 'src1')
   AND created BETWEEN TIMESTAMP '2024-01-01 10:00:00' AND TIMESTAMP '2024-01-01 20:02:00'
 """)
 def papers_by_ids(spark, sf_dir):
-    recs = _records(spark, sf_dir).records
     sel = ix.select_papers(_stored_index(spark, sf_dir), "src1", RANGE)
-    return pp.load_papers(recs, ["title", "abstract"], ids=ix.selected_ids(sel))
+    return cs.stored_papers(spark, v.paper_store(spark, sf_dir), ["title", "abstract"], ix.selected_ids(sel))
 
 
 @register("select_counts", f"""
@@ -229,6 +229,52 @@ def select_counts(spark, sf_dir):
     return ix.selection_counts(sel)
 
 
+def _delivery(docs: DataFrame, title, categories, path: str) -> None:
+    """Paper lines of some documents with another title and category."""
+    rec = F.struct("id", title.alias("title"), categories.alias("categories"), "abstract", "versions")
+    docs.select(F.to_json(rec).alias("value")).write.mode("overwrite").text(path)
+
+
+def _redelivered(spark, sf_dir) -> str:
+    """A stored corpus refreshed over deliveries of files. The first holds
+    every document, the second corrects those in ``labels``; then the second
+    is delivered anew with other lines in its place."""
+    files, store = fresh_path(spark, "deliveries"), fresh_path(spark, "corpus-store")
+    docs = v.paper_records(spark, sf_dir)
+    labelled = docs.join(v.table(spark, sf_dir, "labels"), "doc_id")
+    _delivery(docs, F.col("title"), F.col("categories"), f"{files}/1-all")
+    cs.refresh(spark, store, files)
+    _delivery(labelled, F.lit("Withdrawn"), F.lit("withdrawn"), f"{files}/2-labelled")
+    cs.refresh(spark, store, files)
+    quality = F.concat(F.lit("quality-"), F.col("quality").cast("string"))
+    _delivery(labelled, F.concat(F.col("title"), F.lit(" "), quality), quality, f"{files}/2-labelled")
+    cs.refresh(spark, store, files)
+    return store
+
+
+@register("papers_redelivered", f"""
+WITH {PAPERS_SQL}
+SELECT p.id, coalesce(p.title || ' quality-' || l.quality, p.title) AS title,
+       coalesce('quality-' || l.quality, p.categories) AS categories, p.abstract
+FROM papers p LEFT JOIN labels l ON l.doc_id = p.doc_id
+""")
+def papers_redelivered(spark, sf_dir):
+    """Papers of a corpus kept up to date over three deliveries: later files
+    win, and lines of a replaced file are gone."""
+    return cs.stored_papers(spark, _redelivered(spark, sf_dir), ["title", "categories", "abstract"])
+
+
+@register("index_redelivered", f"""
+WITH {PAPERS_SQL}
+SELECT category, created, id FROM papers
+UNION ALL
+SELECT 'quality-' || l.quality, p.created, p.id FROM papers p JOIN labels l ON l.doc_id = p.doc_id
+""")
+def index_redelivered(spark, sf_dir):
+    """The index of that corpus: one row per line of the files as they are."""
+    return cs.stored_index(spark, _redelivered(spark, sf_dir))
+
+
 @register("papers_limit", f"""
 WITH {PAPERS_SQL}
 SELECT id, title FROM papers ORDER BY doc_id LIMIT 100

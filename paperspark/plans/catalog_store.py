@@ -28,10 +28,10 @@ SUMMARIES_SQL = """
 summaries AS (
   SELECT s.name AS summarizer_name, 'openai:demo-model' AS full_model_name,
          'p' || d.doc_id AS arxiv_id,
-         CASE s.name WHEN 'SpecialistSummarizer' THEN replace(d.text, chr(10), ' ')
+         CASE s.name WHEN 'quality-0' THEN replace(d.text, chr(10), ' ')
                      ELSE replace(d.text, chr(10), ' | ') END AS summary_text
   FROM documents d
-  CROSS JOIN (VALUES ('SpecialistSummarizer'), ('StudentSummarizer')) s(name))
+  CROSS JOIN (SELECT DISTINCT 'quality-' || quality AS name FROM labels WHERE quality IS NOT NULL) s)
 """
 
 _built: dict = {}
@@ -46,7 +46,7 @@ def _summaries_of(spark, sf_dir, fn_for_agent=v.summarizer_fn, agent_name=None,
     papers = v.papers(spark, sf_dir)
     if labelled_only:
         papers = papers.join(_label_ids(spark, sf_dir).select(F.col("arxiv_id").alias("id")), "id", "left_semi")
-    out = tf.apply_agents(papers, v.agents(spark), fn_for_agent, "abstract", ["id"],
+    out = tf.apply_agents(papers, v.agents(spark, sf_dir), fn_for_agent, "abstract", ["id"],
                           agent_class="summarizer", agent_name=agent_name)
     return out.select(F.col("agent_name").alias("summarizer_name"),
                       F.lit(v.FULL_MODEL).alias("full_model_name"),
@@ -78,11 +78,11 @@ def summary_all(spark, sf_dir):
 
 
 @register("by_summarizer", f"""
-WITH {SUMMARIES_SQL} SELECT * FROM summaries WHERE summarizer_name = 'StudentSummarizer'
+WITH {SUMMARIES_SQL} SELECT * FROM summaries WHERE summarizer_name = 'quality-1'
 """)
 def by_summarizer(spark, sf_dir):
     summary_table(spark, sf_dir).createOrReplaceTempView("summaries")
-    return sm.run_named(spark, "select-summaries-by-summarizer", ["StudentSummarizer"])
+    return sm.run_named(spark, "select-summaries-by-summarizer", ["quality-1"])
 
 
 @register("by_model", f"""
@@ -95,12 +95,12 @@ def by_model(spark, sf_dir):
 
 @register("by_summarizer_model", f"""
 WITH {SUMMARIES_SQL} SELECT * FROM summaries
-WHERE summarizer_name = 'SpecialistSummarizer' AND full_model_name = 'openai:demo-model'
+WHERE summarizer_name = 'quality-0' AND full_model_name = 'openai:demo-model'
 """)
 def by_summarizer_model(spark, sf_dir):
     summary_table(spark, sf_dir).createOrReplaceTempView("summaries")
     return sm.run_named(spark, "select-summaries-by-summarizer-and-full-model",
-                        ["SpecialistSummarizer", v.FULL_MODEL])
+                        ["quality-0", v.FULL_MODEL])
 
 
 @register("by_paper", f"""
@@ -125,11 +125,11 @@ def by_model_paper(spark, sf_dir):
 WITH {SUMMARIES_SQL}
 SELECT s.* FROM labels l JOIN summaries s
   ON s.arxiv_id = 'p' || l.doc_id
- AND s.summarizer_name = CASE WHEN l.quality = 1 THEN 'SpecialistSummarizer' ELSE 'StudentSummarizer' END
+ AND s.summarizer_name = CASE WHEN l.quality = 1 THEN 'quality-0' ELSE 'quality-1' END
 """)
 def by_summarizer_paper(spark, sf_dir):
     vals = _label_ids(spark, sf_dir).withColumn(
-        "summarizer_name", F.when(F.col("quality") == 1, "SpecialistSummarizer").otherwise("StudentSummarizer"))
+        "summarizer_name", F.when(F.col("quality") == 1, "quality-0").otherwise("quality-1"))
     return sm.lookup_summaries(summary_table(spark, sf_dir), ("summarizer_name", "arxiv_id"), vals)
 
 
@@ -137,25 +137,25 @@ def by_summarizer_paper(spark, sf_dir):
 WITH {SUMMARIES_SQL}
 SELECT s.* FROM labels l JOIN summaries s
   ON s.arxiv_id = 'p' || l.doc_id AND s.full_model_name = 'openai:demo-model'
- AND s.summarizer_name = CASE WHEN l.toxic = 1 THEN 'StudentSummarizer' ELSE 'SpecialistSummarizer' END
+ AND s.summarizer_name = CASE WHEN l.toxic = 1 THEN 'quality-1' ELSE 'quality-0' END
 """)
 def by_all_three(spark, sf_dir):
     vals = (_label_ids(spark, sf_dir).withColumn("full_model_name", F.lit(v.FULL_MODEL))
-            .withColumn("summarizer_name", F.when(F.col("toxic") == 1, "StudentSummarizer")
-                        .otherwise("SpecialistSummarizer")))
+            .withColumn("summarizer_name", F.when(F.col("toxic") == 1, "quality-1")
+                        .otherwise("quality-0")))
     return sm.lookup_summaries(summary_table(spark, sf_dir), ("summarizer_name", "full_model_name", "arxiv_id"), vals)
 
 
 @register("by_key_tuple", f"""
 WITH {SUMMARIES_SQL}
 SELECT s.* FROM labels l
-CROSS JOIN (VALUES ('SpecialistSummarizer'), ('StudentSummarizer')) a(name)
+CROSS JOIN (SELECT DISTINCT 'quality-' || quality AS name FROM labels WHERE quality IS NOT NULL) a
 JOIN summaries s ON (s.summarizer_name, s.full_model_name, s.arxiv_id)
                   = (a.name, 'openai:demo-model', 'p' || l.doc_id)
 """)
 def by_key_tuple(spark, sf_dir):
-    names = F.explode(F.array(*[F.lit(n) for n in v.SUMMARIZERS]))
-    vals = (_label_ids(spark, sf_dir).select("arxiv_id", names.alias("summarizer_name"))
+    names = [r.agent_name for r in tf.agent_rows(v.agents(spark, sf_dir))]
+    vals = (tf.agent_keys(_label_ids(spark, sf_dir), names, ["arxiv_id"], "summarizer_name")
             .withColumn("full_model_name", F.lit(v.FULL_MODEL)))
     return sm.lookup_summaries(summary_table(spark, sf_dir), None, vals)
 
@@ -164,12 +164,12 @@ def by_key_tuple(spark, sf_dir):
 WITH {SUMMARIES_SQL},
 keys AS (SELECT doc_id FROM labels UNION ALL SELECT doc_id FROM labels WHERE quality = 1)
 SELECT s.* FROM keys k JOIN summaries s
-  ON s.arxiv_id = 'p' || k.doc_id AND s.summarizer_name = 'SpecialistSummarizer'
+  ON s.arxiv_id = 'p' || k.doc_id AND s.summarizer_name = 'quality-0'
 """)
 def summary_multi_key(spark, sf_dir):
     ids = _label_ids(spark, sf_dir)
     keys = ids.unionByName(ids.filter(F.col("quality") == 1)).withColumn(
-        "summarizer_name", F.lit("SpecialistSummarizer"))
+        "summarizer_name", F.lit("quality-0"))
     return sm.lookup_summaries(summary_table(spark, sf_dir), ("summarizer_name", "arxiv_id"), keys)
 
 
@@ -198,24 +198,24 @@ def _named(name, query, args, where):
 
 
 _named("named_all", "select-all-summaries", [], "TRUE")
-_named("named_primary_key", "select-summaries-by-primary-key", ["StudentSummarizer", v.FULL_MODEL, "p17"],
-       "summarizer_name = 'StudentSummarizer' AND arxiv_id = 'p17'")
+_named("named_primary_key", "select-summaries-by-primary-key", ["quality-1", v.FULL_MODEL, "p17"],
+       "summarizer_name = 'quality-1' AND arxiv_id = 'p17'")
 _named("named_paper", "select-summaries-by-arxiv-id", ["p5"], "arxiv_id = 'p5'")
 _named("named_model_paper", "select-summaries-by-full-model-and-arxiv-id", [v.FULL_MODEL, "p6"], "arxiv_id = 'p6'")
-_named("named_summarizer_paper", "select-summaries-by-summarizer-and-arxiv-id", ["SpecialistSummarizer", "p7"],
-       "summarizer_name = 'SpecialistSummarizer' AND arxiv_id = 'p7'")
+_named("named_summarizer_paper", "select-summaries-by-summarizer-and-arxiv-id", ["quality-0", "p7"],
+       "summarizer_name = 'quality-0' AND arxiv_id = 'p7'")
 _named("named_all_three", "select-summaries-by-summarizer-and-full-model-and-arxiv-id",
-       ["StudentSummarizer", v.FULL_MODEL, "p8"], "summarizer_name = 'StudentSummarizer' AND arxiv_id = 'p8'")
+       ["quality-1", v.FULL_MODEL, "p8"], "summarizer_name = 'quality-1' AND arxiv_id = 'p8'")
 
 
 @register("summary_create", f"""
-WITH {SUMMARIES_SQL} SELECT * FROM summaries WHERE summarizer_name = 'StudentSummarizer'
+WITH {SUMMARIES_SQL} SELECT * FROM summaries WHERE summarizer_name = 'quality-1'
 """)
 def summary_create(spark, sf_dir):
     """A table created empty, created again (nothing happens), then filled."""
     path = fresh_path(spark, "summaries-created")
     sm.create_summaries_table(spark, path)
-    sm.cache_summaries(_summaries_of(spark, sf_dir, agent_name="StudentSummarizer"), path)
+    sm.cache_summaries(_summaries_of(spark, sf_dir, agent_name="quality-1"), path)
     sm.create_summaries_table(spark, path)
     return sm.all_summaries(spark, path)
 
@@ -224,7 +224,7 @@ def summary_create(spark, sf_dir):
 WITH {SUMMARIES_SQL},
 old AS (SELECT 'p' || doc_id AS arxiv_id, replace(text, chr(10), '  ') AS t FROM documents)
 SELECT s.summarizer_name, s.full_model_name, s.arxiv_id,
-       CASE WHEN s.summarizer_name = 'SpecialistSummarizer' AND l.doc_id IS NULL THEN o.t
+       CASE WHEN s.summarizer_name = 'quality-0' AND l.doc_id IS NULL THEN o.t
             ELSE s.summary_text END AS summary_text
 FROM summaries s JOIN old o USING (arxiv_id)
 LEFT JOIN labels l ON s.arxiv_id = 'p' || l.doc_id
@@ -235,10 +235,10 @@ def summary_upsert(spark, sf_dir):
     twice: a stale row, then the current one; the later row wins and the
     other agent's partition is untouched."""
     path = fresh_path(spark, "summaries-upsert")
-    first = (_summaries_of(spark, sf_dir, lambda n, i: v.earlier_summarizer_fn, "SpecialistSummarizer")
-             .unionByName(_summaries_of(spark, sf_dir, agent_name="StudentSummarizer")))
+    first = (_summaries_of(spark, sf_dir, lambda n, i: v.earlier_summarizer_fn, "quality-0")
+             .unionByName(_summaries_of(spark, sf_dir, agent_name="quality-1")))
     sm.cache_summaries(first, path)
-    cur = _summaries_of(spark, sf_dir, agent_name="SpecialistSummarizer", labelled_only=True)
+    cur = _summaries_of(spark, sf_dir, agent_name="quality-0", labelled_only=True)
     second = (cur.withColumn("summary_text", F.lit("stale")).withColumn("_ord", F.lit(0))
               .unionByName(cur.withColumn("_ord", F.lit(1))))
     sm.cache_summaries(second, path, order_col="_ord")
@@ -248,18 +248,18 @@ def summary_upsert(spark, sf_dir):
 @register("summary_insert_absent", f"""
 WITH {SUMMARIES_SQL},
 old AS (SELECT 'p' || doc_id AS arxiv_id, replace(text, chr(10), '  ') AS t FROM documents)
-SELECT 'SpecialistSummarizer' AS summarizer_name, 'openai:demo-model' AS full_model_name,
+SELECT 'quality-0' AS summarizer_name, 'openai:demo-model' AS full_model_name,
        arxiv_id, t AS summary_text FROM old
 UNION ALL
 SELECT s.summarizer_name, s.full_model_name, s.arxiv_id, s.summary_text
 FROM summaries s JOIN labels l ON s.arxiv_id = 'p' || l.doc_id
-WHERE s.summarizer_name = 'StudentSummarizer'
+WHERE s.summarizer_name = 'quality-1'
 """)
 def summary_insert_absent(spark, sf_dir):
     """Insert-if-absent: stored keys keep their text; new keys take the
     first of their rows in the batch."""
     path = fresh_path(spark, "summaries-insert")
-    base = _summaries_of(spark, sf_dir, lambda n, i: v.earlier_summarizer_fn, "SpecialistSummarizer")
+    base = _summaries_of(spark, sf_dir, lambda n, i: v.earlier_summarizer_fn, "quality-0")
     sm.cache_summaries(base, path)
     offered = _summaries_of(spark, sf_dir, labelled_only=True).drop("error")
     batch = (offered.withColumn("_ord", F.lit(0))
@@ -271,8 +271,8 @@ def summary_insert_absent(spark, sf_dir):
 
 @register("uncached_summaries", """
 SELECT s.name AS summarizer_name, 'p' || d.doc_id AS arxiv_id
-FROM documents d CROSS JOIN (VALUES ('SpecialistSummarizer'), ('StudentSummarizer')) s(name)
-WHERE NOT EXISTS (SELECT 1 FROM labels l WHERE l.doc_id = d.doc_id AND s.name = 'SpecialistSummarizer')
+FROM documents d CROSS JOIN (SELECT DISTINCT 'quality-' || quality AS name FROM labels WHERE quality IS NOT NULL) s
+WHERE NOT EXISTS (SELECT 1 FROM labels l WHERE l.doc_id = d.doc_id AND s.name = 'quality-0')
 """)
 def uncached_summaries(spark, sf_dir):
     path = fresh_path(spark, "summaries-memo")
@@ -284,40 +284,35 @@ def uncached_summaries(spark, sf_dir):
 
 def _precache(spark, sf_dir, path):
     """Summaries from an earlier run for the papers in ``labels``."""
-    early = _summaries_of(spark, sf_dir, lambda n, i: v.earlier_summarizer_fn, "SpecialistSummarizer",
+    early = _summaries_of(spark, sf_dir, lambda n, i: v.earlier_summarizer_fn, "quality-0",
                           labelled_only=True)
     sm.cache_summaries(early, path)
 
 
 def _wanted_summaries(spark, sf_dir):
-    fanned, _ = tf.fan_out_agents(v.papers(spark, sf_dir), v.agents(spark), "abstract", ["id"])
-    return fanned.select(F.col("agent_name").alias("summarizer_name"),
-                         F.lit(v.FULL_MODEL).alias("full_model_name"),
-                         F.col("id").alias("arxiv_id"), "_text")
+    """Keys of every summary; no text."""
+    names = [r.agent_name for r in tf.agent_rows(v.agents(spark, sf_dir))]
+    keys = tf.agent_keys(v.papers(spark, sf_dir), names, ["id"], "summarizer_name")
+    return keys.select("summarizer_name", F.lit(v.FULL_MODEL).alias("full_model_name"), F.col("id").alias("arxiv_id"))
 
 
 @register("merged_summaries", f"""
 WITH {SUMMARIES_SQL}
 SELECT s.summarizer_name, s.full_model_name, s.arxiv_id,
-       CASE WHEN l.doc_id IS NOT NULL AND s.summarizer_name = 'SpecialistSummarizer'
+       CASE WHEN l.doc_id IS NOT NULL AND s.summarizer_name = 'quality-0'
             THEN replace(d.text, chr(10), '  ') ELSE s.summary_text END AS summary_text,
-       (l.doc_id IS NOT NULL AND s.summarizer_name = 'SpecialistSummarizer') AS cached
+       (l.doc_id IS NOT NULL AND s.summarizer_name = 'quality-0') AS cached
 FROM summaries s JOIN documents d ON s.arxiv_id = 'p' || d.doc_id
 LEFT JOIN labels l ON l.doc_id = d.doc_id
 """)
 def merged_summaries(spark, sf_dir):
     """Summarise only what the cache lacks, store it, return everything."""
+    from .corpus import summarise_missing
+
     path = fresh_path(spark, "summaries-memo")
     _precache(spark, sf_dir, path)
-    fns = {n: v.summarizer_fn(n) for n in v.SUMMARIZERS}
-
-    def compute(todo):
-        out = tf.run_agent_fns(todo, fns, ["summarizer_name", "full_model_name", "arxiv_id"],
-                               agent_col="summarizer_name")
-        return out.withColumn("timestamp", F.date_trunc("second", F.current_timestamp()))
-
-    merged = memo.memoised(_wanted_summaries(spark, sf_dir), SUMMARY_KEY, compute, path,
-                           SUMMARY_PARTITIONS, SUMMARY_SCHEMA, replace=False)
+    merged = summarise_missing(v.papers(spark, sf_dir), v.agents(spark, sf_dir), v.summarizer_fn, path,
+                               v.MODEL_NAME, v.MODEL_SPEC)
     return merged.select("summarizer_name", "full_model_name", "arxiv_id", "summary_text", "cached")
 
 
@@ -325,21 +320,21 @@ def merged_summaries(spark, sf_dir):
 
 @register("agents_x_texts", """
 SELECT s.name AS agent_name, 'p' || d.doc_id AS id,
-       CASE s.name WHEN 'SpecialistSummarizer' THEN replace(d.text, chr(10), ' ')
+       CASE s.name WHEN 'quality-0' THEN replace(d.text, chr(10), ' ')
                    ELSE replace(d.text, chr(10), ' | ') END AS summary_text,
        NULL::VARCHAR AS error
-FROM documents d CROSS JOIN (VALUES ('SpecialistSummarizer'), ('StudentSummarizer')) s(name)
+FROM documents d CROSS JOIN (SELECT DISTINCT 'quality-' || quality AS name FROM labels WHERE quality IS NOT NULL) s
 """)
 def agents_x_texts(spark, sf_dir):
-    return tf.apply_agents(v.papers(spark, sf_dir), v.agents(spark), v.summarizer_fn, "abstract", ["id"])
+    return tf.apply_agents(v.papers(spark, sf_dir), v.agents(spark, sf_dir), v.summarizer_fn, "abstract", ["id"])
 
 
 @register("outputs_per_agent", """
 SELECT s.name AS agent_name, count(*) OVER (PARTITION BY s.name) AS n_items, (pos // 7)::BIGINT AS part, pos,
-       CASE s.name WHEN 'SpecialistSummarizer' THEN replace(d.text, chr(10), ' ')
+       CASE s.name WHEN 'quality-0' THEN replace(d.text, chr(10), ' ')
                    ELSE replace(d.text, chr(10), ' | ') END AS output
 FROM (SELECT *, row_number() OVER (ORDER BY doc_id) - 1 AS pos FROM documents) d
-CROSS JOIN (VALUES ('SpecialistSummarizer'), ('StudentSummarizer')) s(name)
+CROSS JOIN (SELECT DISTINCT 'quality-' || quality AS name FROM labels WHERE quality IS NOT NULL) s
 """)
 def outputs_per_agent(spark, sf_dir):
     """Outputs regrouped per agent in input order, flattened back: every
@@ -354,7 +349,7 @@ def _odd_length_fails(name, instructions):
     def run(texts):
         if any(len(t) % 2 for t in texts):
             raise ValueError("odd length")
-        return [t.upper() if name == "StudentSummarizer" else t for t in texts]
+        return [t.upper() if name == "quality-1" else t for t in texts]
     return run
 
 
@@ -362,12 +357,12 @@ def _odd_length_fails(name, instructions):
 SELECT s.name AS agent_name, 'p' || d.doc_id AS id,
        CASE WHEN length(d.text) % 2 = 1 THEN NULL ELSE d.text END AS summary_text,
        CASE WHEN length(d.text) % 2 = 1 THEN 'ValueError: ' || chr(39) || s.name || chr(39) || ': odd length' END AS error
-FROM documents d CROSS JOIN (VALUES ('SpecialistSummarizer')) s(name)
+FROM documents d CROSS JOIN (VALUES ('quality-0')) s(name)
 """)
 def agents_with_errors(spark, sf_dir):
     """A function that fails for some texts, one text to a request."""
-    return tf.apply_agents(v.papers(spark, sf_dir), v.agents(spark), _odd_length_fails, "abstract", ["id"],
-                           agent_name="SpecialistSummarizer", batch_size=1)
+    return tf.apply_agents(v.papers(spark, sf_dir), v.agents(spark, sf_dir), _odd_length_fails, "abstract", ["id"],
+                           agent_name="quality-0", batch_size=1)
 
 
 @register("text_validity", """
@@ -445,7 +440,7 @@ GROUP BY g.doc_id
 """)
 def hash_embed_q(spark, sf_dir):
     d = v.table(spark, sf_dir, "documents")
-    return hash_embed(d, ["doc_id"], "text").select("doc_id", _vec_text().alias("vec_text"))
+    return hash_embed(d, ["doc_id"], "text", partitions=v.cores(spark)).select("doc_id", _vec_text().alias("vec_text"))
 
 
 def _label_keys(spark, sf_dir, agent="A0", model="openai", spec="emb-64"):
@@ -482,7 +477,8 @@ def store_integrity(spark, sf_dir):
 
 def _precache_vectors(spark, sf_dir, path):
     texts = v.document_texts(spark, sf_dir).join(_label_ids(spark, sf_dir).select("arxiv_id"), "arxiv_id", "left_semi")
-    upsert(hash_embed(texts, list(VECTOR_KEY), "text"), path, list(VECTOR_KEY), VECTOR_PARTITIONS, VECTOR_SCHEMA)
+    upsert(hash_embed(texts, list(VECTOR_KEY), "text", partitions=v.cores(spark)), path, list(VECTOR_KEY),
+           VECTOR_PARTITIONS, VECTOR_SCHEMA)
 
 
 @register("uncached_vectors", """
@@ -510,7 +506,7 @@ def merged_vectors(spark, sf_dir):
     _precache_vectors(spark, sf_dir, path)
 
     def compute(todo):
-        return hash_embed(todo, list(VECTOR_KEY), "text")
+        return hash_embed(todo, list(VECTOR_KEY), "text", partitions=v.cores(spark))
 
     merged = memo.memoised(v.document_texts(spark, sf_dir), list(VECTOR_KEY), compute, path,
                            VECTOR_PARTITIONS, VECTOR_SCHEMA)
@@ -630,7 +626,7 @@ hits AS (SELECT r.*, 'Document ' || d.doc_id || ' (' || d.lang || ', ' || d.sour
 
 
 def _hits(spark, sf_dir):
-    return ctx.retrieve(v.questions(spark, sf_dir), v.document_store(spark, sf_dir), v.papers(spark, sf_dir),
+    return ctx.retrieve(v.questions(spark, sf_dir), v.document_store(spark, sf_dir), v.papers_of(spark, sf_dir),
                         k=5, question_key=["question_id"])
 
 
@@ -726,9 +722,9 @@ sel AS (SELECT doc_id, text FROM documents
           AND TIMESTAMP '2024-01-01 00:00:00' + to_seconds((doc_id % 50) * 3600 + (doc_id % 3 + 1) * 60)
               BETWEEN TIMESTAMP '2024-01-01 10:00:00' AND TIMESTAMP '2024-01-01 20:02:00'),
 summ AS (SELECT s.name AS agent_name, sel.doc_id,
-                CASE s.name WHEN 'SpecialistSummarizer' THEN replace(sel.text, chr(10), ' ')
+                CASE s.name WHEN 'quality-0' THEN replace(sel.text, chr(10), ' ')
                             ELSE replace(sel.text, chr(10), ' | ') END AS summary
-         FROM sel CROSS JOIN (VALUES ('SpecialistSummarizer'), ('StudentSummarizer')) s(name)),
+         FROM sel CROSS JOIN (SELECT DISTINCT 'quality-' || quality AS name FROM labels WHERE quality IS NOT NULL) s),
 ok AS (SELECT * FROM summ WHERE regexp_matches(summary, '\\S') AND length(summary) <= 8192),
 grid AS (SELECT ok.agent_name, ok.doc_id, g.b FROM ok CROSS JOIN range(64) g(b))
 SELECT g.agent_name, 'p' || g.doc_id AS arxiv_id, 'abstract' AS label,
@@ -744,8 +740,8 @@ def corpus_build(spark, sf_dir):
     from .corpus import CorpusPaths, build_corpus
 
     paths = CorpusPaths(*(fresh_path(spark, n) for n in ("index", "summaries", "vectors", "snapshot")))
-    out = build_corpus(spark, v.paper_lines(spark, sf_dir), paths, "src1", RANGE, v.agents(spark),
-                       v.summarizer_fn, (v.MODEL_NAME, v.MODEL_SPEC), ("hash", "64"))
+    out = build_corpus(spark, v.paper_files(spark, sf_dir), paths, "src1", RANGE, v.agents(spark, sf_dir),
+                       v.summarizer_fn, (v.MODEL_NAME, v.MODEL_SPEC), ("hash", "64"), embed_partitions=v.cores(spark))
     return out.snapshot.select("agent_name", "arxiv_id", "label", _vec_text().alias("vec_text"))
 
 
@@ -778,7 +774,7 @@ def answers_q(spark, sf_dir):
 
     qs = v.table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("question_id"),
                                                      F.col("text").alias("question"))
-    out = answer_questions(qs, v.document_store(spark, sf_dir), v.papers(spark, sf_dir), _length_answer)
+    out = answer_questions(qs, v.document_store(spark, sf_dir), v.papers_of(spark, sf_dir), _length_answer)
     return out.answers.select("question_id", "context", "answer", "sources", "error")
 
 
@@ -808,7 +804,7 @@ def answers_failed(spark, sf_dir):
         F.lit("A0").alias("agent_name"), F.lit("shape").alias("model_name"), F.lit("2").alias("model_spec"),
         F.concat(F.lit("p"), F.col("doc_id").cast("string")).alias("arxiv_id"), F.lit("abstract").alias("label"),
         F.array(F.length("text").cast("double"), spaces.cast("double")).alias("embedding"))
-    out = answer_questions(qs.repartition(4, "question_id"), store, v.papers(spark, sf_dir), _length_answer,
+    out = answer_questions(qs.repartition(4, "question_id"), store, v.papers_of(spark, sf_dir), _length_answer,
                            embed=_embed_even, embed_batch=1)
     return out.answers.select("question_id", "context", "error")
 
@@ -846,17 +842,18 @@ def store_groups_q(spark, sf_dir):
 
 
 @register("summaries_with_assistant", """
-SELECT s.name AS agent_name, 'p' || d.doc_id AS id, 'LibraryAssistant' AS agent_link,
-       'libraryassistant' AS linked_class
-FROM documents d CROSS JOIN (VALUES ('SpecialistSummarizer'), ('StudentSummarizer')) s(name)
+SELECT s.name AS agent_name, 'p' || d.doc_id AS id, 'reader' AS agent_link, 'reader' AS linked_class,
+       replace(d.text, chr(10), CASE s.name WHEN 'quality-0' THEN ' ' ELSE ' | ' END) AS summary_text
+FROM documents d CROSS JOIN (SELECT DISTINCT 'quality-' || quality AS name FROM labels WHERE quality IS NOT NULL) s
 """)
 def summaries_with_assistant(spark, sf_dir):
     """Each summary row with the assistant its summarizer links to (J12)."""
     from ..sources.agents import agent_links
 
-    links = agent_links(v.agents(spark)).select("agent_name", "agent_link", "linked_class")
-    out = tf.apply_agents(v.papers(spark, sf_dir), v.agents(spark), v.summarizer_fn, "abstract", ["id"])
-    return out.join(links, "agent_name").select("agent_name", "id", "agent_link", "linked_class")
+    links = agent_links(v.agents(spark, sf_dir)).select("agent_name", "agent_link", "linked_class")
+    out = tf.apply_agents(v.papers(spark, sf_dir), v.agents(spark, sf_dir), v.summarizer_fn, "abstract", ["id"])
+    return out.join(links, "agent_name").select(
+        "agent_name", "id", "agent_link", "linked_class", "summary_text")
 
 
 @register("retrieve_agent_dedupe", f"""
@@ -879,7 +876,7 @@ def retrieve_agent_dedupe(spark, sf_dir):
     """Retrieval over one agent's vectors, k distinct papers per question,
     each by its nearest vector (the rank is kept)."""
     qs = v.embedding_queries(spark, sf_dir).withColumnRenamed("query_id", "question_id")
-    hits = ctx.retrieve(qs, v.embedding_store(spark, sf_dir), v.papers(spark, sf_dir), k=5,
+    hits = ctx.retrieve(qs, v.embedding_store(spark, sf_dir), v.papers_of(spark, sf_dir), k=5,
                         question_key=["question_id"], agent_name="A1", dedupe_papers=True,
                         paper_fields=("title",))
     return hits.select("question_id", F.col("rank").cast("bigint").alias("rank"), "arxiv_id", "dist", "title")
@@ -905,7 +902,7 @@ def vector_upsert(spark, sf_dir):
     papers in ``labels`` with vectors of their source and language tags."""
     path = fresh_path(spark, "vectors-upsert")
     docs = v.document_texts(spark, sf_dir)
-    upsert(hash_embed(docs, list(VECTOR_KEY), "text"), path, list(VECTOR_KEY), VECTOR_PARTITIONS, VECTOR_SCHEMA)
+    upsert(v.document_store(spark, sf_dir), path, list(VECTOR_KEY), VECTOR_PARTITIONS, VECTOR_SCHEMA)
     d = v.table(spark, sf_dir, "documents").select(
         F.concat(F.lit("p"), F.col("doc_id").cast("string")).alias("arxiv_id"),
         F.concat(F.col("source"), F.lit(" "), F.col("lang")).alias("tags"))
@@ -918,12 +915,13 @@ def vector_upsert(spark, sf_dir):
 
 @register("corpus_incremental", """
 WITH sel AS (
-  SELECT doc_id,
+  SELECT doc_id, text,
          TIMESTAMP '2024-01-01 00:00:00' + to_seconds((doc_id % 50) * 3600 + (doc_id % 3 + 1) * 60) AS created
   FROM documents WHERE contains(source, 'src1'))
 SELECT s.name AS summarizer_name, 'p' || sel.doc_id AS arxiv_id,
+       replace(text, chr(10), CASE s.name WHEN 'quality-0' THEN ' ' ELSE ' | ' END) AS summary_text,
        sel.created BETWEEN TIMESTAMP '2024-01-01 10:00:00' AND TIMESTAMP '2024-01-01 20:02:00' AS cached
-FROM sel CROSS JOIN (VALUES ('SpecialistSummarizer'), ('StudentSummarizer')) s(name)
+FROM sel CROSS JOIN (SELECT DISTINCT 'quality-' || quality AS name FROM labels WHERE quality IS NOT NULL) s
 WHERE sel.created BETWEEN TIMESTAMP '2024-01-01 05:00:00' AND TIMESTAMP '2024-01-02 00:00:00'
 """)
 def corpus_incremental(spark, sf_dir):
@@ -936,12 +934,12 @@ def corpus_incremental(spark, sf_dir):
     from .corpus import CorpusPaths, build_corpus
 
     paths = CorpusPaths(*(fresh_path(spark, n) for n in ("index", "summaries", "vectors", "snapshot")))
-    common = (v.agents(spark), v.summarizer_fn, (v.MODEL_NAME, v.MODEL_SPEC), ("hash", "64"))
-    lines = v.paper_lines(spark, sf_dir)
-    build_corpus(spark, lines, paths, "src1", RANGE, *common)
+    common = (v.agents(spark, sf_dir), v.summarizer_fn, (v.MODEL_NAME, v.MODEL_SPEC), ("hash", "64"))
+    lines = v.paper_files(spark, sf_dir)
+    build_corpus(spark, lines, paths, "src1", RANGE, *common, embed_partitions=v.cores(spark))
     wider = [dt.datetime(2024, 1, 1, 5, 0, 0), dt.datetime(2024, 1, 2, 0, 0, 0)]
-    second = build_corpus(spark, lines, paths, "src1", wider, *common)
-    return second.summaries.select("summarizer_name", "arxiv_id", "cached")
+    second = build_corpus(spark, lines, paths, "src1", wider, *common, embed_partitions=v.cores(spark))
+    return second.summaries.select("summarizer_name", "arxiv_id", "summary_text", "cached")
 
 
 @register("topk_one", RETRIEVE_SQL + """,

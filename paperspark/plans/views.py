@@ -10,9 +10,12 @@ All derivations are Spark expressions over whole tables.
 
 from __future__ import annotations
 
+import threading
+
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..functions.dates import format_version_date
+from ..session import fresh_path
 from ..sources.papers import POS
 
 BASE_TIME = "2024-01-01 00:00:00"
@@ -91,28 +94,13 @@ def event_index(spark: SparkSession, sf_dir: str) -> DataFrame:
 MODEL = "OpenAI:demo-model"
 MODEL_NAME, MODEL_SPEC = "openai", "demo-model"
 FULL_MODEL = f"{MODEL_NAME}:{MODEL_SPEC}"
-SUMMARIZERS = ["SpecialistSummarizer", "StudentSummarizer"]
-
-AGENT_RECORDS = [
-    {"agent_class": "Summarizer", "agent_name": "SpecialistSummarizer",
-     "instructions": "Condense the text for a specialist reader.",
-     "agent_link": "LibraryAssistant"},
-    {"agent_class": "Summarizer", "agent_name": "StudentSummarizer",
-     "instructions": "Condense the text for a curious student.",
-     "agent_link": "LibraryAssistant"},
-    {"agent_class": "LibraryAssistant", "agent_name": "LibraryAssistant",
-     "instructions": "Answer using only the given context.",
-     "agent_link": "SpecialistSummarizer"},
-]
-
-
 def summarizer_fn(agent_name: str, instructions: str | None = None):
     """Deterministic stand-ins for model calls; each reads the whole text."""
-    if agent_name == "SpecialistSummarizer":
-        return lambda texts: [None if t is None else t.replace("\n", " ") for t in texts]
-    if agent_name == "StudentSummarizer":
-        return lambda texts: [None if t is None else t.replace("\n", " | ") for t in texts]
-    raise ValueError(f"no summariser for {agent_name}")
+    separators = {"quality-0": " ", "quality-1": " | "}
+    if agent_name not in separators:
+        raise ValueError(f"no summariser for {agent_name}")
+    mark = separators[agent_name]
+    return lambda texts: [None if t is None else t.replace("\n", mark) for t in texts]
 
 
 def earlier_summarizer_fn(texts):
@@ -120,18 +108,68 @@ def earlier_summarizer_fn(texts):
     return [None if t is None else t.replace("\n", "  ") for t in texts]
 
 
-def agents(spark: SparkSession) -> DataFrame:
-    from ..sources.agents import agents_from_records
+def agents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One summarizer for each quality that ``labels`` gives, and one reader
+    that they link to."""
+    from ..sources.agents import normalise_agents
+
+    name = F.concat(F.lit("quality-"), F.col("quality").cast("string"))
+    summarizers = table(spark, sf_dir, "labels").where("quality IS NOT NULL").select(
+        F.lit("Summarizer").alias("agent_class"), name.alias("agent_name"),
+        F.concat(F.lit("For texts of quality "), F.col("quality").cast("string")).alias("instructions"),
+        F.lit("reader").alias("agent_link"))
+    reader = summarizers.agg(F.lit("Reader").alias("agent_class"), F.lit("reader").alias("agent_name"),
+                             F.lit("Answers from the context").alias("instructions"),
+                             F.min("agent_name").alias("agent_link"))
+    return normalise_agents(summarizers.unionByName(reader))
+
+
+_stores: dict = {}
+_lock = threading.RLock()
+
+
+def paper_files(spark: SparkSession, sf_dir: str) -> str:
+    """A folder with the paper corpus as NDJSON files, written once per
+    session."""
+    return _built(spark, sf_dir, "files", lambda path: paper_lines(spark, sf_dir).select("value").write.text(path))
 
-    return agents_from_records(spark, AGENT_RECORDS)
+
+def paper_store(spark: SparkSession, sf_dir: str) -> str:
+    """The stored corpus (``sources.corpus_store``) of those files, built once
+    per session."""
+    from ..sources.corpus_store import refresh
+
+    return _built(spark, sf_dir, "store", lambda path: refresh(spark, path, paper_files(spark, sf_dir)))
+
+
+def _built(spark: SparkSession, sf_dir: str, what: str, build) -> str:
+    key = (spark.sparkContext.applicationId, sf_dir, what)
+    with _lock:
+        if key not in _stores:
+            path = fresh_path(spark, f"corpus-{what}")
+            build(path)
+            _stores[key] = path
+    return _stores[key]
 
 
 def papers(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Typed papers (id, title, abstract) through the real parser."""
-    from ..sources.papers import load_papers, parse_lines
+    """Papers (id, title, categories, abstract) of the stored corpus."""
+    from ..sources.corpus_store import stored_papers
+
+    return stored_papers(spark, paper_store(spark, sf_dir), ["title", "categories", "abstract"])
+
+
+def papers_of(spark: SparkSession, sf_dir: str):
+    """A function that gives the stored papers of some ids."""
+    from ..sources.corpus_store import stored_papers
+
+    path = paper_store(spark, sf_dir)
+    return lambda ids: stored_papers(spark, path, ["title", "abstract"], ids)
+
 
-    return load_papers(parse_lines(paper_lines(spark, sf_dir)).records,
-                       ["title", "categories", "abstract"])
+def cores(spark: SparkSession) -> int:
+    """Tasks for array work on the test tables, which come in one split."""
+    return spark.sparkContext.defaultParallelism
 
 
 def embedding_store(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -168,7 +206,7 @@ def document_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     from ..functions.embed import hash_embed
     from ..schemas import VECTOR_KEY
 
-    return hash_embed(document_texts(spark, sf_dir), list(VECTOR_KEY), "text")
+    return hash_embed(document_texts(spark, sf_dir), list(VECTOR_KEY), "text", partitions=cores(spark))
 
 
 def questions(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -50,6 +50,15 @@ def read_lines(spark: SparkSession, paths: str | list[str]) -> DataFrame:
 
 def parse_lines(lines: DataFrame, line_col: str = "value", pos_col: str | None = POS) -> Parsed:
     """Decode lines into typed paper records and quarantined rejects."""
+    tagged = tag_lines(lines, line_col, pos_col)
+    return Parsed(tagged.filter(F.col("_reason").isNull()).select(*[f"`{f}`" for f in METADATA_FIELDS], POS),
+                  tagged.filter(F.col("_reason").isNotNull()).select(
+                      F.col("_line").alias("line"), F.col("_reason").alias("reason"), POS))
+
+
+def tag_lines(lines: DataFrame, line_col: str = "value", pos_col: str | None = POS) -> DataFrame:
+    """Every line once: the typed fields and ``_pos``, ``_reason`` (NULL for a
+    record) and ``_line`` (the text of a line that is none)."""
     if pos_col is None or pos_col not in lines.columns:
         lines = lines.withColumn(POS, F.struct(F.monotonically_increasing_id().alias("row")))
         pos_col = POS
@@ -79,10 +88,7 @@ def parse_lines(lines: DataFrame, line_col: str = "value", pos_col: str | None =
          else F.col(f"_r.`{f}`")).alias(f)
         for f in METADATA_FIELDS
     ]
-    records = tagged.filter(F.col("_reason").isNull()).select(*typed, POS)
-    rejects = tagged.filter(F.col("_reason").isNotNull()).select(
-        F.col("_line").alias("line"), F.col("_reason").alias("reason"), POS)
-    return Parsed(records, rejects)
+    return tagged.select(*typed, POS, "_reason", F.when(F.col("_reason").isNotNull(), F.col("_line")).alias("_line"))
 
 
 def check_fields(fields: list[str] | None) -> list[str]:
@@ -151,5 +157,5 @@ def versions_created(col: Column | str = "versions") -> Column:
     return F.try_element_at(c, F.lit(-1))["created"]
 
 
-__all__ = ["Parsed", "read_lines", "parse_lines", "check_fields", "load_papers",
+__all__ = ["Parsed", "read_lines", "parse_lines", "tag_lines", "check_fields", "load_papers",
            "latest_per_id", "versions_created", "POS", "VERSIONS_TYPE", "AUTHORS_PARSED_TYPE"]

@@ -170,18 +170,21 @@ def upsert(incoming: DataFrame, path: str, key_cols: list[str], partition_by: li
 
 
 def insert_absent(incoming: DataFrame, path: str, key_cols: list[str], partition_by: list[str],
-                  schema: T.StructType, order_col: str | None = None, buckets: int = DEFAULT_BUCKETS) -> int:
+                  schema: T.StructType, order_col: str | None = None, materialized: bool = False,
+                  buckets: int = DEFAULT_BUCKETS) -> int:
     """Insert rows whose key is not stored yet (the first row per key in the
     batch wins by ``order_col``, which a batch with repeated keys must name);
     stored rows are never changed. NULL key parts equal each other. Returns
-    rows inserted. The batch is staged; the stored keys are read only from
-    the leaves it falls into, and the new rows are put beside them."""
+    rows inserted. The batch is staged (unless ``materialized``); the stored
+    keys are read only from the leaves it falls into, and the new rows are put
+    beside them."""
     spark = incoming.sparkSession
     apply_required_conf(spark)
     state = read_state(spark, path) or _fresh_state(buckets)
     value_cols = [f.name for f in schema.fields if f.name not in key_cols]
-    inc = staged(_with_order(incoming, order_col).select(
-        *[F.col(f.name).cast(f.dataType) for f in schema.fields], ORDER), "insert-batch")
+    inc = _with_order(incoming, order_col).select(*[F.col(f.name).cast(f.dataType) for f in schema.fields], ORDER)
+    if not materialized:
+        inc = staged(inc, "insert-batch")
     _check_order(inc, key_cols, order_col)
     bucket = _bucket(key_cols, partition_by, state["buckets"])
     first = (inc.groupBy(*key_cols)

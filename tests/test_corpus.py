@@ -4,6 +4,7 @@ import datetime as dt
 
 from pyspark.sql import functions as F
 
+from .conftest import SF_SMALL
 from paperspark.plans import views as v
 from paperspark.plans.corpus import CorpusPaths, build_corpus
 from paperspark.sources import papers as pp
@@ -27,9 +28,9 @@ def test_rebuild_calls_summariser_zero_times(spark, tmp_path):
 
     paths = CorpusPaths(*(str(tmp_path / n) for n in ("index", "summaries", "vectors", "snapshot")))
     args = (spark, lines, paths, "cs.LG", [dt.datetime(2007, 4, 2, 11), dt.datetime(2007, 4, 2, 13)],
-            v.agents(spark), fn_for_agent, ("openai", "m"), ("hash", "64"))
+            v.agents(spark, SF_SMALL), fn_for_agent, ("openai", "m"), ("hash", "64"))
     first = sorted((r.agent_name, r.arxiv_id) for r in build_corpus(*args).snapshot.collect())
-    assert first == [(a, p) for a in v.SUMMARIZERS for p in ("a1", "a2", "a3")]
+    assert first == [(a, p) for a in ("quality-0", "quality-1") for p in ("a1", "a2", "a3")]
     assert calls.value == 6
     second = sorted((r.agent_name, r.arxiv_id) for r in build_corpus(*args).snapshot.collect())
     assert second == first and calls.value == 6

@@ -172,3 +172,62 @@ def test_every_named_query_builds():
         assert sm.named_query_text(name).startswith("SELECT")
     with pytest.raises(ValueError):
         sm.named_query_text("select-summaries-by-arxiv-id-and-summarizer")
+
+
+def test_missing_summaries_move_keys_only(spark, tmp_path):
+    """No text lies above the search for missing keys, and a text enters the
+    workers once for all of its agents."""
+    from paperspark.operators import transform as tf
+    from paperspark.plans.corpus import summarise_missing
+    from paperspark.sources.agents import agents_from_records
+
+    agents = agents_from_records(spark, [
+        {"agent_class": "Summarizer", "agent_name": n, "instructions": None, "agent_link": None} for n in "ABC"])
+    papers = spark.createDataFrame([(f"p{i}", f"text {i}") for i in range(6)], "id string, abstract string")
+    keys = tf.agent_keys(papers, list("ABC"), ["id"], "summarizer_name")
+    assert "abstract" not in keys._jdf.queryExecution().optimizedPlan().toString().split("LogicalRDD")[0]
+    path = str(tmp_path / "s")
+    seen = spark.sparkContext.accumulator(0)
+
+    def fn_for_agent(name, _):
+        def fn(texts):
+            seen.add(len(texts))
+            return [f"{name}: {t}" for t in texts]
+        return fn
+
+    sm.cache_summaries(batch(spark, [("A", f"p{i}", "stored", 0) for i in range(4)]), path, "openai", "m")
+    out = summarise_missing(papers, agents, fn_for_agent, path, "openai", "m").collect()
+    assert sorted((r.summarizer_name, r.arxiv_id, r.summary_text, r.cached) for r in out) == sorted(
+        (a, f"p{i}", "stored" if a == "A" and i < 4 else f"{a}: text {i}", a == "A" and i < 4)
+        for a in "ABC" for i in range(6))
+    assert seen.value == 14
+    again = summarise_missing(papers, agents, fn_for_agent, path, "openai", "m")
+    assert again.filter("cached").count() == 18 and seen.value == 14
+
+
+def test_one_text_for_many_agents(spark):
+    from paperspark.operators import transform as tf
+
+    texts = spark.createDataFrame([("p1", "a", ["X", "Y"]), ("p2", "b", ["Y"]), ("p3", "c", []), ("p4", None, ["Z"])],
+                                  "id string, t string, who array<string>")
+
+    def y(batch):
+        if "b" in batch:
+            raise ValueError("no b")
+        return [t + "y" for t in batch]
+
+    out = tf.run_agents(texts, {"X": lambda b: [t + "x" for t in b], "Y": y}, ["id"], "t", "who", batch_size=1)
+    got = sorted((r.id, r.agent_name, r.summary_text, r.error) for r in out.collect())
+    assert got == [("p1", "X", "ax", None), ("p1", "Y", "ay", None), ("p2", "Y", None, "ValueError: 'Y': no b"),
+                   ("p4", "Z", None, "KeyError: 'Z': \"no function for agent 'Z'\"")]
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert "Generate" not in plan
+
+
+def test_caller_deals_texts_out_to_cores(spark):
+    from paperspark.functions.embed import hash_embed
+
+    one = spark.createDataFrame([(i, f"word{i} word") for i in range(40)], "k int, t string").coalesce(1)
+    dealt = hash_embed(one, ["k"], "t", 8, partitions=6)
+    assert dealt.rdd.getNumPartitions() == 6 and hash_embed(one, ["k"], "t", 8).rdd.getNumPartitions() == 1
+    assert sorted(map(str, dealt.collect())) == sorted(map(str, hash_embed(one, ["k"], "t", 8).collect()))

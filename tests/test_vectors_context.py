@@ -6,6 +6,7 @@ from hypothesis import given, settings, strategies as st
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .conftest import SF_SMALL
 from paperspark.functions.text import text_validity
 from paperspark.functions.vectors import squared_l2
 from paperspark.operators import transform as tf
@@ -109,19 +110,19 @@ def test_unknown_agent_raises(spark):
 
     texts = spark.createDataFrame([("p1", "text")], "id string, abstract string")
     with pytest.raises(ValueError):
-        tf.apply_agents(texts, v.agents(spark), v.summarizer_fn, "abstract", ["id"], agent_class="nope")
+        tf.apply_agents(texts, v.agents(spark, SF_SMALL), v.summarizer_fn, "abstract", ["id"], agent_class="nope")
     with pytest.raises(ValueError):
-        tf.apply_agents(texts, v.agents(spark), v.summarizer_fn, "abstract", ["id"], agent_name="Nobody")
-    out = tf.apply_agents(texts, v.agents(spark), v.summarizer_fn, "abstract", ["id"]).collect()
-    assert sorted(r.agent_name for r in out) == ["SpecialistSummarizer", "StudentSummarizer"]
+        tf.apply_agents(texts, v.agents(spark, SF_SMALL), v.summarizer_fn, "abstract", ["id"], agent_name="Nobody")
+    out = tf.apply_agents(texts, v.agents(spark, SF_SMALL), v.summarizer_fn, "abstract", ["id"]).collect()
+    assert sorted(r.agent_name for r in out) == ["quality-0", "quality-1"]
 
 
 def test_agent_links(spark):
     from paperspark.plans import views as v
     from paperspark.sources.agents import agent_links
 
-    links = {r.agent_name: r.linked_class for r in agent_links(v.agents(spark)).collect()}
-    assert links["SpecialistSummarizer"] == "libraryassistant"
+    links = {r.agent_name: r.linked_class for r in agent_links(v.agents(spark, SF_SMALL)).collect()}
+    assert links["quality-0"] == "reader"
 
 
 def test_context_layout(spark):
