@@ -17,9 +17,9 @@ from pyspark.sql import SparkSession
 # model specs ("007") or paper ids ("0704.0001") must stay strings.
 REQUIRED_CONF = {
     "spark.sql.sources.partitionColumnTypeInference.enabled": "false",
-    # Lists of ids are pushed into Parquet scans as such, not as a range
-    # (sources.corpus_store.PUSHED_IDS).
-    "spark.sql.parquet.pushdown.inFilterThreshold": "10000",
+    # Lists up to this length are pushed into Parquet scans as such, not as a
+    # range (sources.corpus_store.LIST_IDS).
+    "spark.sql.parquet.pushdown.inFilterThreshold": "100",
 }
 
 

@@ -34,9 +34,11 @@ from .papers import POS, check_fields, latest_per_id, read_lines, tag_lines, ver
 from .versions import new_folder, publish, read_state
 
 MAX_FOLDERS = 16
-# A list of ids up to this length is pushed into the Parquet scan as such (the
-# session's pushdown threshold is set to it); beyond, ids are joined.
-PUSHED_IDS = 10_000
+# Up to so many ids are pushed into the Parquet scan; beyond, they are joined.
+PUSHED_IDS = 2_000
+# They go in lists of so many (the session's pushdown threshold): Spark hands a
+# list to Parquet as a chain of comparisons, and a long chain overflows a stack.
+LIST_IDS = 100
 # Rows of a corpus are whole texts: a row group holds some thousands.
 ROW_GROUP_BYTES = 16 << 20
 ROW_GROUP_IDS = 20_000
@@ -109,6 +111,16 @@ def _indexed(rows: DataFrame) -> DataFrame:
     return rows.withColumn("reason", reason)
 
 
+def _any_of(ids: list[str]):
+    """Filter for ids, as a balanced tree of short lists."""
+    if len(ids) <= LIST_IDS:
+        # As text: a list of literals crosses to the JVM one by one.
+        quoted = ", ".join("'" + i.replace("\\", "\\\\").replace("'", "\\'") + "'" for i in ids)
+        return F.expr(f"id IN ({quoted})") if ids else F.lit(False)
+    half = len(ids) // 2
+    return _any_of(ids[:half]) | _any_of(ids[half:])
+
+
 def refresh(spark: SparkSession, path: str, files: str | list[str], rebuild: bool = False) -> Refresh:
     """Bring the stored corpus in line with ``files`` (NDJSON files or folders
     of them) and publish it. Nothing is parsed or written if nothing has
@@ -209,5 +221,5 @@ def stored_papers(spark: SparkSession, path: str, fields: list[str] | None = Non
             found = ids.limit(PUSHED_IDS + 1).collect()
             wanted = {r["id"] for r in found} if len(found) <= PUSHED_IDS else None
         wanted = None if wanted is None else sorted(i for i in wanted if i is not None)
-        rows = rows.join(ids, "id", "left_semi") if wanted is None else rows.where(F.col("id").isin(wanted))
+        rows = rows.join(ids, "id", "left_semi") if wanted is None else rows.where(_any_of(wanted))
     return latest_per_id(rows, fields)

@@ -136,6 +136,12 @@ def test_ids_reach_the_scan(spark, corpus, monkeypatch):
         plan = found._jdf.queryExecution().executedPlan().toString()
         assert "PushedFilters: [In(id" in plan and "from_json" not in plan and "abstract" not in plan
         assert sorted(r.id for r in found.collect()) == sorted(asked)
+    # Long lists go as a tree of short ones.
+    many = [f"p{i}" for i in range(cs.PUSHED_IDS)]
+    found = cs.stored_papers(spark, store, ["title"], many)
+    assert found.count() == 300
+    assert "Or(" in found._jdf.queryExecution().executedPlan().toString().split("PushedFilters")[1]
+    assert cs.stored_papers(spark, store, ["title"], ["p1'", "\\", "p1\n", "p5"]).count() == 1
     monkeypatch.setattr(cs, "PUSHED_IDS", 10)
     for ids in (asked, spark.createDataFrame([(i,) for i in asked], "id string")):
         assert sorted(r.id for r in cs.stored_papers(spark, store, ["title"], ids).collect()) == sorted(asked)
