@@ -123,9 +123,22 @@ def sum_vectors(df: DataFrame, kind: str, total_kind: str) -> DataFrame:
     return df.select("part", "vector").repartition("part").mapInArrow(run, "part int, vector binary")
 
 
-def join_by_id(big: DataFrame, small: DataFrame, on: str, how: str = "inner") -> DataFrame:
+def join_by_id(big: DataFrame, small: DataFrame, on: str, how: str = "inner", size=None) -> DataFrame:
     """``big`` joined to a staged table of ids. Up to ``BROADCAST_ROWS`` rows
-    of the small side (counted) it is broadcast, so whole texts stay where
+    of the small side (counted; with ``size``, a column of the entries of a
+    row, up to so many entries) it is broadcast, so whole texts stay where
     they are; beyond, both sides are shuffled and hot keys split by AQE."""
-    few = small.count() <= BROADCAST_ROWS
-    return big.join(F.broadcast(small) if few else small, on, how)
+    if size is None:
+        entries = small.count()
+    else:
+        entries = small.agg(F.sum(size + 1)).first()[0] or 0
+    return big.join(F.broadcast(small) if entries <= BROADCAST_ROWS else small, on, how)
+
+
+def fresh_name(df: DataFrame, name: str) -> str:
+    """``name``, with as many underscores before it as it takes to be none of
+    the columns of ``df``."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name = "_" + name
+    return name
