@@ -49,57 +49,71 @@ OUTSIDE_WORDS = regex.compile(
     r"(?:^|[\s_-])(?:ads?|advert\w*|banner|sponsor\w*|promo\w*|nav\w*|menu\w*|foot\w*|side-?bar\w*|widget\w*|"
     r"cookie\w*|consent|notices?|popup|modal|newsletter|subscribe\w*|share|sharing|social|related|recommend\w*|"
     r"breadcrumbs?|pagination|pager|comments?|commentlist|respond|reply|login|search|toolbar|masthead|"
-    r"navigation|contentinfo|complementary|copyright|legal|tags?|disclaimer)(?:$|[\s_-])", regex.I)
+    r"navigation|contentinfo|complementary|copyright|legal|tags?|disclaimer|discussion\w*|threads?|disqus|replies|"
+    r"gdpr\w*|privacy|rail|overlay|alert|signup|paywall|trending|teasers?)(?:$|[\s_-])", regex.I)
 INSIDE_WORDS = regex.compile(
     r"(?:^|[\s_-])(?:article\w*|content|main|post|entry|story|body-?text|prose|text)(?:$|[\s_-])", regex.I)
 W_OUTSIDE, W_HEADER, W_INSIDE, W_WORD = -8.0, -3.0, 3.0, 1.5
 W_BIAS, W_LENGTH, W_LINKS, W_SENTENCE, W_HEADING = -1.0, 0.7, -4.0, 0.5, 1.0
 SMOOTH = 0.9  # of two blocks of one parent, next to each other
 REACH = 2  # blocks up to so many places apart are joined
+LINK_BLOCKS = 2  # blocks that one link can hold; a longer one was not closed
 
 
 class Block:
-    __slots__ = ("parts", "linked", "path", "cost", "text")
+    """``path`` numbers the elements around a block, ``hinted`` those whose
+    class, id or role alone speaks against them; ``structure`` is the cost of
+    its elements without those words."""
 
-    def __init__(self, path: tuple[int, ...], cost: float):
-        self.parts, self.linked, self.path, self.cost, self.text = [], 0, path, cost, ""
+    __slots__ = ("parts", "linked", "path", "hinted", "structure", "cost", "text")
 
+    def __init__(self, path: tuple[int, ...], hinted: frozenset[int], structure: float, cost: float):
+        self.parts, self.linked, self.path, self.hinted, self.text = [], 0, path, hinted, ""
+        self.structure, self.cost = structure, cost
 
-def element_cost(tag: str, attrs: str, inside: bool) -> float:
-    """Log odds that an element adds to all blocks inside it."""
-    cost = 0.0
+
+def element_cost(tag: str, attrs: str, inside: bool) -> tuple[float, float]:
+    """Log odds that an element adds to all blocks inside it: by its tag, and
+    by the words of its attributes. A word cannot outweigh that an element is
+    the article itself."""
+    cost = word = 0.0
     if tag in OUTSIDE_TAGS:
-        cost += W_OUTSIDE
+        cost = W_OUTSIDE
     elif tag == "header":
-        cost += W_HEADER if inside else W_OUTSIDE
+        cost = W_HEADER if inside else W_OUTSIDE
     elif tag in ("article", "main"):
-        cost += 0.0 if inside else W_INSIDE
+        cost = 0.0 if inside else W_INSIDE
     if attrs and tag not in ("html", "body"):
         hints = " ".join(h.strip("\"'") for h in HINT.findall(attrs))
         if hints:
             if OUTSIDE_WORDS.search(hints):
-                cost += W_OUTSIDE
+                word = -W_WORD if tag in ("article", "main") else W_OUTSIDE
             elif INSIDE_WORDS.search(hints):
-                cost += W_WORD
-    return cost
+                word = W_WORD
+    return cost, word
 
 
 def blocks_of(page: str) -> list[Block]:
     """Text blocks in page order, with their costs before the text counts."""
     out: list[Block] = []
-    stack = [("", 0.0, False, 0)]  # tag, cost, inside an article, number
+    # Tag, cost by tags, cost by words, inside an article, number, numbers of
+    # elements with words against them.
+    stack = [("", 0.0, 0.0, False, 0, frozenset())]
+    # ``link`` is the number of blocks that the open link may still enter.
     block, number, link, at = None, 0, 0, 0
 
     def add(raw: str) -> None:
-        nonlocal block
+        nonlocal block, link
         if not raw:
             return
         text = html.unescape(raw) if "&" in raw else raw
         if block is None:
             if not text.strip():
                 return
-            block = Block(tuple(e[3] for e in stack), stack[-1][1])
+            _, structure, word, _, _, hinted = stack[-1]
+            block = Block(tuple(e[4] for e in stack), hinted, structure, structure + word)
             out.append(block)
+            link = max(0, link - 1)
             if stack[-1][0] in ("h1", "h2", "h3"):
                 block.cost += W_HEADING
         block.parts.append(text)
@@ -114,7 +128,8 @@ def blocks_of(page: str) -> list[Block]:
             continue
         tag, end, attrs = tag.lower(), m[2] or m[5], m[4] or m[7] or ""
         if tag == "a":
-            link = 0 if end else 1
+            # The block that is open counts too.
+            link = 0 if end else LINK_BLOCKS + (block is None)
         elif tag in BREAKS:
             if block is not None:
                 block.parts.append(" ")
@@ -131,10 +146,11 @@ def blocks_of(page: str) -> list[Block]:
                 while len(stack) > 1 and tag in CLOSED_BY.get(stack[-1][0], ()):
                     stack.pop()
                 number += 1
-                _, cost, inside, _ = stack[-1]
-                cost += element_cost(tag, attrs, inside)
+                _, structure, word, inside, _, hinted = stack[-1]
+                by_tag, by_word = element_cost(tag, attrs, inside)
                 if not attrs.rstrip().endswith("/"):
-                    stack.append((tag, cost, inside or tag in ("article", "main"), number))
+                    stack.append((tag, structure + by_tag, word + by_word, inside or tag in ("article", "main"), number,
+                                  hinted | {number} if by_word < 0 else hinted))
     add(page[at:])
     for b in out:
         words = "".join(b.parts).split()
@@ -226,10 +242,34 @@ def max_flow_side(nodes: list[int], capacity: list[float], near: list[dict[int,
             residual[j][i] += flow
 
 
+def without_wide_hints(blocks: list[Block]) -> list[float]:
+    """Costs in which words of an element that holds most of the page's text
+    do not count: they name the page, not a part of it."""
+    total = sum(len(b.text) for b in blocks)
+    held: dict[int, int] = {}
+    for b in blocks:
+        for element in b.hinted:
+            held[element] = held.get(element, 0) + len(b.text)
+    wide = {element for element, n in held.items() if 2 * n > total}
+    return [b.cost - W_OUTSIDE * len(b.hinted & wide) for b in blocks]
+
+
 def main_text(page: str | None) -> tuple[str, int, int]:
-    """Text of the content blocks, and the numbers of blocks and of these."""
+    """Text of the content blocks, and the numbers of blocks and of these.
+
+    If the cut leaves no content, words on elements that hold most of the text
+    are not counted; if there still is none, blocks are content by their
+    elements alone, however short they are. A page of menus, notices and
+    footers stays empty."""
     blocks = blocks_of(page) if page else []
-    labels = min_cut([b.cost for b in blocks], smoothness(blocks))
+    edges = smoothness(blocks)
+    labels = min_cut([b.cost for b in blocks], edges)
+    if blocks and not any(labels):
+        costs = without_wide_hints(blocks)
+        labels = min_cut(costs, edges)
+        if not any(labels):
+            labels = [b.structure >= 0 and cost > W_OUTSIDE / 2 and 2 * b.linked < len(b.text)
+                      for b, cost in zip(blocks, costs)]
     kept = [b.text for b, content in zip(blocks, labels) if content]
     return " ".join(kept), len(blocks), len(kept)
 
@@ -237,8 +277,11 @@ def main_text(page: str | None) -> tuple[str, int, int]:
 def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url",
             html_col: str = "html") -> DataFrame:
     """``page_id, url, text, n_blocks, n_content`` of every page's whole html
-    (null or without content: the empty string). Repeated rows stay repeated;
-    other columns are ignored."""
+    (null or without content: the empty string). Repeated rows stay repeated,
+    an empty table gives an empty one; long pages are taken whole, in time
+    linear in their length but for the few blocks that need a maximum flow;
+    other columns are ignored. Blocks of equal cost on both sides of a cut are
+    boilerplate."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
