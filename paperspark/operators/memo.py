@@ -12,32 +12,83 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql import types as T
 
 from ..session import null_join, staged
 from ..sources.tables import insert_absent, read_table, upsert
 
 
-def present_keys(keys: DataFrame, table: DataFrame, key_cols: list[str]) -> DataFrame:
-    """Distinct requested keys that the table holds (NULL parts are equal)."""
-    keys, held = keys.select(*key_cols).distinct(), table.select(*key_cols)
-    return null_join(keys, held, key_cols, "left_semi")
+# Bits of a key filter (1 MB, a literal of the plan) and the most keys it is
+# made for: at that number every eighth foreign key passes it.
+FILTER_BITS = 1 << 23
+FILTER_KEYS = 1 << 21
+# Bits of one bitmap of Spark's bitmap aggregate.
+BITMAP_BITS = 4096 * 8
 
 
-def missing_rows(rows: DataFrame, table: DataFrame, key_cols: list[str]) -> DataFrame:
-    """Rows whose key the table does not hold (anti-join)."""
-    return null_join(rows, table.select(*key_cols), key_cols, "left_anti")
+def _key_bits(key_cols: list[str], bits: int) -> list[Column]:
+    """Two bits for a key; equal keys, NULL parts among them, have the same."""
+    return [F.pmod(F.xxhash64(*key_cols, *salt), F.lit(bits)) for salt in ([], [F.lit(1)])]
+
+
+def key_filter(keys: DataFrame, key_cols: list[str]) -> Column | None:
+    """A Bloom filter of ``keys`` as a predicate on rows with ``key_cols``:
+    true for every one of the keys and for few others. None if there are more
+    than ``FILTER_KEYS``.
+
+    The bits are set by Spark's bitmap aggregate; the driver puts together
+    ``FILTER_BITS`` of them. As a plain filter it stands at the scan of a store,
+    before its rows are shuffled to meet the keys.
+    """
+    keys = keys.select(*key_cols)
+    if keys.limit(FILTER_KEYS + 1).count() > FILTER_KEYS:
+        return None
+    at = keys.select(F.explode(F.array(*_key_bits(key_cols, FILTER_BITS))).alias("_bit"))
+    part = F.floor(F.col("_bit") / BITMAP_BITS).cast("int")
+    maps = at.groupBy(part.alias("part")).agg(
+        F.bitmap_construct_agg(F.bitmap_bit_position(F.col("_bit") % BITMAP_BITS + 1)).alias("bits")).collect()
+    mask = bytearray(FILTER_BITS // 8)
+    for r in maps:
+        mask[r["part"] * (BITMAP_BITS // 8):(r["part"] + 1) * (BITMAP_BITS // 8)] = r["bits"]
+    held = F.lit(bytes(mask))
+    out = F.lit(True)
+    for bit in _key_bits(key_cols, FILTER_BITS):
+        byte = F.substring(held, F.floor(bit / 8).cast("int") + 1, F.lit(1))
+        out = out & (F.getbit(F.conv(F.hex(byte), 16, 10).cast("int"), (bit % 8).cast("int")) == 1)
+    return out
+
+
+def _probed(keys: DataFrame, table: DataFrame, key_cols: list[str], probe: bool) -> DataFrame:
+    """``table`` without most of the rows whose key is not among ``keys``."""
+    cond = key_filter(keys, key_cols) if probe else None
+    return table if cond is None else table.filter(cond)
+
+
+def present_keys(keys: DataFrame, table: DataFrame, key_cols: list[str], probe: bool = False) -> DataFrame:
+    """Distinct requested keys that the table holds (NULL parts are equal).
+    ``probe`` filters the table's scan by the keys first: for a table much
+    larger than the batch, whose keys are read once more for it."""
+    held = _probed(keys, table, key_cols, probe).select(*key_cols)
+    return null_join(keys.select(*key_cols).distinct(), held, key_cols, "left_semi")
+
+
+def missing_rows(rows: DataFrame, table: DataFrame, key_cols: list[str], probe: bool = False) -> DataFrame:
+    """Rows whose key the table does not hold (anti-join); ``probe`` as in
+    :func:`present_keys`."""
+    return null_join(rows, _probed(rows, table, key_cols, probe).select(*key_cols), key_cols, "left_anti")
 
 
 def checked_lookup(keys: DataFrame, store: DataFrame, key_cols: list[str], value_col: str,
-                   on_missing: str = "raise") -> DataFrame:
-    """Values for keys known to a separate key index.
+                   on_missing: str = "raise", probe: bool = False) -> DataFrame:
+    """Values for keys known to a separate key index; ``probe`` as in
+    :func:`present_keys`.
 
     A key without a stored value is an integrity error: ``raise`` fails the
     job on the first one, ``flag`` returns it with ``has_value = false``.
     """
-    asked, held = keys.select(*key_cols).distinct(), store.select(*key_cols, value_col)
+    asked = keys.select(*key_cols).distinct()
+    held = _probed(keys, store, key_cols, probe).select(*key_cols, value_col)
     joined = null_join(asked, held, key_cols, "left")
     if on_missing == "raise":
         msg = F.concat(F.lit("key in the index has no stored value: "), F.concat_ws(":", *key_cols))

@@ -14,6 +14,7 @@ from ..operators import context as ctx
 from ..operators import memo
 from ..operators import summaries as sm
 from ..operators import transform as tf
+from ..operators.cells import top_k_cells, write_cells
 from ..operators.knn import top_k
 from ..schemas import SUMMARY_KEY, SUMMARY_PARTITIONS, SUMMARY_SCHEMA, VECTOR_KEY, VECTOR_PARTITIONS, VECTOR_SCHEMA
 from ..session import fresh_path
@@ -278,7 +279,7 @@ def uncached_summaries(spark, sf_dir):
     path = fresh_path(spark, "summaries-memo")
     _precache(spark, sf_dir, path)
     wanted = _wanted_summaries(spark, sf_dir)
-    todo = memo.missing_rows(wanted, read_table(spark, path, SUMMARY_SCHEMA), SUMMARY_KEY)
+    todo = memo.missing_rows(wanted, read_table(spark, path, SUMMARY_SCHEMA), SUMMARY_KEY, probe=True)
     return todo.select("summarizer_name", "arxiv_id")
 
 
@@ -458,7 +459,7 @@ SELECT DISTINCT a.* FROM asked a JOIN store s USING (agent_name, model_name, mod
 def keys_present(spark, sf_dir):
     store = v.embedding_store(spark, sf_dir)
     asked = store.select(*VECTOR_KEY).unionByName(_label_keys(spark, sf_dir))
-    return memo.present_keys(asked, store, list(VECTOR_KEY))
+    return memo.present_keys(asked, store, list(VECTOR_KEY), probe=True)
 
 
 @register("store_integrity", f"""
@@ -590,6 +591,21 @@ def topk_many(spark, sf_dir):
     return res.withColumn("rank", F.col("rank").cast("bigint"))
 
 
+@register("topk_cells", _TOPK_SQL + """
+SELECT query_id, rank, agent_name, model_name, model_spec, arxiv_id, label, dist FROM (
+  SELECT *, row_number() OVER (PARTITION BY query_id
+                               ORDER BY dist, agent_name, model_name, model_spec, arxiv_id, label) AS rank
+  FROM pairs) WHERE rank <= 5
+""")
+def topk_cells(spark, sf_dir):
+    """The same search over vectors stored by cells, of which each query reads
+    only those that can hold one of its nearest."""
+    path = fresh_path(spark, "cells")
+    write_cells(v.embedding_store(spark, sf_dir), path, list(VECTOR_KEY))
+    res = top_k_cells(v.embedding_queries(spark, sf_dir), path, 5, ["query_id"], list(VECTOR_KEY))
+    return res.withColumn("rank", F.col("rank").cast("bigint"))
+
+
 @register("topk_dedupe", _TOPK_SQL + """
 SELECT query_id, rank, agent_name, model_name, model_spec, arxiv_id, label, dist FROM (
   SELECT *, row_number() OVER (PARTITION BY query_id

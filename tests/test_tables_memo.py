@@ -231,3 +231,44 @@ def test_caller_deals_texts_out_to_cores(spark):
     dealt = hash_embed(one, ["k"], "t", 8, partitions=6)
     assert dealt.rdd.getNumPartitions() == 6 and hash_embed(one, ["k"], "t", 8).rdd.getNumPartitions() == 1
     assert sorted(map(str, dealt.collect())) == sorted(map(str, hash_embed(one, ["k"], "t", 8).collect()))
+
+
+def key_rows(spark, n, start=0):
+    rows = [(f"a{i % 5}", None if i % 7 == 0 else f"p{i}", i) for i in range(start, start + n)]
+    return spark.createDataFrame(rows, "agent string, paper string, n long")
+
+
+def test_key_filter_keeps_all_keys_and_few_others(spark):
+    store, keys = key_rows(spark, 5000), key_rows(spark, 300, 100)
+    cond = memo.key_filter(keys, ["agent", "paper"])
+    passed = {r.n for r in store.filter(cond).collect()}
+    asked = {(r.agent, r.paper) for r in keys.collect()}
+    assert {r.n for r in store.collect() if (r.agent, r.paper) in asked} <= passed and len(passed) < 1300
+
+
+@pytest.mark.parametrize("bits", [1 << 23, memo.BITMAP_BITS])
+def test_probed_lookups_return_the_same_rows(spark, monkeypatch, bits):
+    """The small filter lets many foreign keys through."""
+    monkeypatch.setattr(memo, "FILTER_BITS", bits)
+    cols = ["agent", "paper"]
+    store, keys = key_rows(spark, 20_000), key_rows(spark, 9000, 15_000).unionByName(key_rows(spark, 9000, 15_000))
+    if bits < 1 << 20:
+        passed = store.filter(memo.key_filter(keys, cols)).count()
+        assert 6000 < passed < 20_000
+    show = lambda df: sorted(map(str, df.collect()))
+    assert show(memo.present_keys(keys, store, cols, probe=True)) == show(memo.present_keys(keys, store, cols))
+    assert show(memo.missing_rows(keys, store, cols, probe=True)) == show(memo.missing_rows(keys, store, cols))
+    assert show(memo.checked_lookup(keys, store, cols, "n", "flag", probe=True)) == show(
+        memo.checked_lookup(keys, store, cols, "n", "flag"))
+    assert memo.present_keys(keys.limit(0), store, cols, probe=True).collect() == []
+
+
+def test_key_filter_stands_at_the_scan(spark, tmp_path, monkeypatch):
+    path = str(tmp_path / "store")
+    key_rows(spark, 100).write.parquet(path)
+    store, keys = spark.read.parquet(path), key_rows(spark, 10)
+    plan = memo.present_keys(keys, store, ["agent", "paper"], probe=True)._jdf.queryExecution().executedPlan().toString()
+    side = plan[:plan.index("FileScan parquet")]
+    assert "getbit" in side[side.rindex("Filter"):]
+    monkeypatch.setattr(memo, "FILTER_KEYS", 5)
+    assert memo.key_filter(keys, ["agent", "paper"]) is None
