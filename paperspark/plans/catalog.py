@@ -216,6 +216,19 @@ def papers_by_ids(spark, sf_dir):
     return cs.stored_papers(spark, v.paper_store(spark, sf_dir), ["title", "abstract"], ix.selected_ids(sel))
 
 
+@register("papers_outside_range", f"""
+WITH {PAPERS_SQL}
+SELECT id, title, abstract FROM papers
+WHERE contains(category, 'src1')
+  AND created BETWEEN TIMESTAMP '1999-01-01 00:00:00' AND TIMESTAMP '1999-12-31 00:00:00'
+""")
+def papers_outside_range(spark, sf_dir):
+    """A selection that matches nothing loads nothing, not everything."""
+    years = [dt.datetime(1999, 1, 1), dt.datetime(1999, 12, 31)]
+    sel = ix.select_papers(_stored_index(spark, sf_dir), "src1", years)
+    return cs.stored_papers(spark, v.paper_store(spark, sf_dir), ["title", "abstract"], ix.selected_ids(sel))
+
+
 @register("select_counts", f"""
 WITH {PAPERS_SQL}
 SELECT count(DISTINCT (category, created)) AS n_groups, count(DISTINCT id) AS n_papers, count(*) AS n_rows

@@ -78,6 +78,18 @@ def summary_all(spark, sf_dir):
     return sm.all_summaries(spark, _built[(spark.sparkContext.applicationId, sf_dir)])
 
 
+@register("summary_stamped", f"""
+WITH {SUMMARIES_SQL}
+SELECT summarizer_name, count(*) AS n_rows, count(*) AS n_stamped FROM summaries GROUP BY summarizer_name
+""")
+def summary_stamped(spark, sf_dir):
+    """Rows per summarizer, and those stamped with whole seconds by now."""
+    stamp = F.col("timestamp")
+    good = (stamp == F.date_trunc("second", stamp)) & (stamp <= F.current_timestamp())
+    return summary_table(spark, sf_dir).groupBy("summarizer_name").agg(
+        F.count(F.lit(1)).alias("n_rows"), F.count(F.when(good, 1)).alias("n_stamped"))
+
+
 @register("by_summarizer", f"""
 WITH {SUMMARIES_SQL} SELECT * FROM summaries WHERE summarizer_name = 'quality-1'
 """)
