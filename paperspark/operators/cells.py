@@ -9,9 +9,9 @@ cells that hold k vectors together, which gives a k-th distance, and then only
 those other cells whose lower bound does not exceed it. The rows are those of
 ``knn.top_k``.
 
-Queries are never collected and a vector is not copied for every block of
-them: queries go to the cells they need, vectors of needed cells meet them
-there, in groups bounded in bytes on both sides.
+Queries are never collected: they go to blocks of the cells they need, once to
+each, and vectors of needed cells meet them there, in groups bounded in bytes
+on both sides. A query's cells travel as a list.
 """
 
 from __future__ import annotations
@@ -24,11 +24,16 @@ from pyspark.sql import types as T
 
 from ..schemas import DEFAULT_TOP_K
 from ..session import null_join, ship_package, staged
-from .knn import BLOCK_BYTES, CELL_BYTES, CELL_QUERY_BYTES, ROW_CHUNK, _final_rank, _kernel, _stack, _with_query_keys
+from .knn import (
+    BLOCK_BYTES, CELL_BYTES, CELL_QUERY_BYTES, ROW_CHUNK, _final_rank, _ranks, _rows_of, _Search, _stack,
+    _with_query_keys,
+)
 
 # Pivots are this many vectors at most, taken by the hash of their keys; their
 # matrix is on the driver and in every task.
 PIVOTS = 256
+# Queries whose cells are looked up at once: a row of distances for each.
+VISIT_ROWS = 1024
 # Bounds are widened by this share against rounding.
 SLACK = 1e-9
 
@@ -134,79 +139,116 @@ def needed_cells(D, cells: Cells, limit: float):
 
 
 def _visits(queries: DataFrame, cells, query_key: list[str], k: int, second: bool, nonfinite: str) -> DataFrame:
-    """``query_key, _qv, cell``: the cells that each query of
-    ``queries(query_key, _qv[, _limit])`` visits, in the first or second round.
+    """``query_key, _qv, _limit, cells``: the cells that each query of
+    ``queries(query_key, _qv, _limit)`` visits, in the first or second round.
     ``_limit`` is the squared k-th distance so far (NULL: fewer rows)."""
     import numpy as np
 
-    schema = T.StructType([*[queries.schema[c] for c in query_key], queries.schema["_qv"],
-                           T.StructField("cell", T.IntegerType())])
+    schema = T.StructType([*[queries.schema[c] for c in (*query_key, "_qv", "_limit")],
+                           T.StructField("cells", T.ArrayType(T.IntegerType()))])
 
     def run(batches):
         import pandas as pd
 
         held: Cells = cells.value
-        for pdf in batches:
-            Q, mask = _stack(pdf["_qv"], nonfinite)
-            if not len(held.counts):
-                Q, mask = Q[:0], mask & False
-            elif len(Q) and Q.shape[1] != held.pivots.shape[1]:
-                raise ValueError(f"vector dimension {held.pivots.shape[1]} differs from query dimension {Q.shape[1]}")
-            pdf = pdf[mask].reset_index(drop=True)
-            with np.errstate(invalid="ignore"):
-                D = _distances(Q, held.pivots) if len(Q) else np.zeros((0, 0))
-            found = []
-            for i in range(len(Q)):
-                near = nearest_cells(D[i], held, k)
-                if second:
-                    limit = pdf["_limit"].iloc[i]
-                    limit = np.inf if pd.isna(limit) else math.sqrt(limit)
-                    near = np.setdiff1d(needed_cells(D[i], held, limit), near)
-                found.append(near)
-            sizes = [len(f) for f in found]
-            out = pdf.iloc[np.repeat(np.arange(len(Q)), sizes)][[*query_key, "_qv"]].reset_index(drop=True)
-            out["cell"] = np.concatenate(found) if sum(sizes) else np.zeros(0, int)
-            yield out
-
-    return queries.mapInPandas(run, schema)
+        for whole in batches:
+            for at in range(0, len(whole), VISIT_ROWS):
+                pdf = whole.iloc[at:at + VISIT_ROWS]
+                Q, mask = _stack(pdf["_qv"], nonfinite)
+                if not len(held.counts):
+                    Q, mask = Q[:0], mask & False
+                elif len(Q) and Q.shape[1] != held.pivots.shape[1]:
+                    raise ValueError(f"vector dimension {held.pivots.shape[1]} differs from query dimension {Q.shape[1]}")
+                pdf = pdf[mask].reset_index(drop=True)
+                with np.errstate(invalid="ignore"):
+                    D = _distances(Q, held.pivots) if len(Q) else np.zeros((0, 0))
+                found = []
+                for i in range(len(Q)):
+                    near = nearest_cells(D[i], held, k)
+                    if second:
+                        limit = pdf["_limit"].iloc[i]
+                        limit = np.inf if pd.isna(limit) else math.sqrt(limit)
+                        near = np.setdiff1d(needed_cells(D[i], held, limit), near)
+                    found.append(near.astype(np.int32))
+                yield pdf.assign(cells=pd.Series(found, dtype=object))
+
+    return queries.mapInPandas(run, schema).where(F.size("cells") > 0)
+
+
+def _blocks(counts, asked, size: int):
+    """Blocks of about ``size`` vectors: per cell the first block that holds it
+    and in how many it lies (0: no query visits it), and their number. Cells
+    share a block in their order; a larger one is dealt out to several."""
+    import numpy as np
+
+    first, many = np.zeros(len(counts), int), np.zeros(len(counts), int)
+    block, room = -1, 0
+    for c in np.flatnonzero(asked):
+        if counts[c] > room:
+            many[c] = max(1, math.ceil(counts[c] / size))
+            first[c], block, room = block + 1, block + many[c], (size - counts[c]) * (many[c] == 1)
+        else:
+            first[c], many[c], room = block, 1, room - counts[c]
+    return first, many, block + 1
 
 
 def _meet(visits: DataFrame, vectors: DataFrame, cells: Cells, query_key, vector_key, k, nonfinite) -> DataFrame:
-    """Best ``k`` candidates per query and group of the cells it visits."""
+    """Best ``k`` candidates per query and block of the cells it visits.
+
+    A query goes to each block once, whatever number of its cells lies there;
+    blocks and groups of queries are bounded in bytes."""
     import numpy as np
 
-    spark = visits.sparkSession
     width = 8 * max(cells.pivots.shape[1], 1)
-    asked = {r["cell"]: r["n"] for r in visits.groupBy("cell").agg(F.count(F.lit(1)).alias("n")).collect()}
-    # Groups of a cell on either side, bounded in bytes; one row per cell.
-    parts = spark.createDataFrame(
-        [(c, max(1, math.ceil(int(cells.counts[c]) * width / CELL_BYTES)), max(1, math.ceil(n * width / CELL_QUERY_BYTES)))
-         for c, n in asked.items()], "cell int, _nv int, _nq int")
+    per_cell = visits.select(F.explode("cells").alias("c")).groupBy("c").agg(F.count(F.lit(1)).alias("n")).collect()
+    asked = np.zeros(len(cells.counts), bool)
+    asked[[r["c"] for r in per_cell]] = True
+    first, many, n_blocks = _blocks(cells.counts, asked, max(1, CELL_BYTES // width))
+    groups = max(1, math.ceil(visits.count() * width / CELL_QUERY_BYTES))
     row_chunk = max(1, min(ROW_CHUNK, BLOCK_BYTES // width))
 
-    def dealt(df, key, mine, other, own, theirs):
-        """Each row in one group of its own side and all of the other side."""
-        return (df.join(F.broadcast(parts), "cell")
-                .withColumn(own, F.pmod(F.xxhash64(*key), F.col(mine)).cast("int"))
-                .withColumn(theirs, F.explode(F.sequence(F.lit(0), F.col(other) - 1))).drop("_nv", "_nq"))
+    def of(numbers, cell):
+        return F.get(F.array(*[F.lit(int(x)) for x in numbers]).cast("array<int>"), cell)
+
+    def blocks_of(c):
+        return F.sequence(of(first, c), of(first, c) + of(many, c) - 1)
 
-    qs = dealt(visits, query_key, "_nq", "_nv", "_qb", "_vb")
-    vs = dealt(vectors.filter(F.col("cell").isin(list(asked))).select(*vector_key, "_vv", "cell"),
-               vector_key, "_nv", "_nq", "_vb", "_qb")
+    qs = visits.withColumn("_qb", F.pmod(F.xxhash64(*query_key), F.lit(groups)).cast("int")).withColumn(
+        "_vb", F.explode(F.array_distinct(F.flatten(F.transform("cells", blocks_of)))))
+    vs = (vectors.filter(F.col("cell").isin([int(c) for c in np.flatnonzero(asked)]))
+          .select(*vector_key, "_vv", "cell",
+                  (of(first, F.col("cell")) + F.pmod(F.xxhash64(*vector_key), of(many, F.col("cell")))).cast("int").alias("_vb"),
+                  F.explode(F.sequence(F.lit(0), F.lit(groups - 1))).alias("_qb")))
     schema = T.StructType([*[visits.schema[c] for c in query_key], *[vectors.schema[c] for c in vector_key],
                            T.StructField("dist", T.DoubleType())])
 
     def group(vpdf, qpdf):
+        import pandas as pd
+
         held = None
         if len(vpdf) and len(qpdf):
-            Q, mask = _stack(qpdf["_qv"], nonfinite)
-            keys = qpdf.loc[mask, query_key].reset_index(drop=True)
-            held = _kernel(vpdf, Q, keys, vector_key, "_vv", k, None, row_chunk, nonfinite)
+            Q, _ = _stack(qpdf["_qv"], nonfinite)
+            X, keys, mask = _rows_of(vpdf, vector_key, "_vv", Q.shape[1], nonfinite)
+            limit = qpdf["_limit"].astype("float64").fillna(np.inf).to_numpy()
+            search = _Search(Q, k, _ranks(keys, vector_key), None, limit)
+            cell = vpdf["cell"].to_numpy()[mask]
+            order = np.argsort(cell, kind="stable")
+            X, cell = X[order], cell[order]
+            sizes = [len(c) for c in qpdf["cells"]]
+            goes, asker = np.concatenate(list(qpdf["cells"])), np.repeat(np.arange(len(Q)), sizes)
+            by_cell = np.argsort(goes, kind="stable")
+            goes, asker = goes[by_cell], asker[by_cell]
+            for c in np.unique(cell):
+                a, b = np.searchsorted(cell, [c, c + 1])
+                p, q = np.searchsorted(goes, [c, c + 1])
+                if p < q:
+                    search.add(X[a:b], order[a:b], row_chunk, asker[p:q])
+            held = search.found(keys)
         if held is None:
-            return qpdf.iloc[0:0][query_key].assign(**{c: [] for c in vector_key}, dist=np.array([], float))
-        return _with_query_keys(held, keys)[[*query_key, *vector_key, "dist"]]
+            return pd.DataFrame()  # no rows
+        return _with_query_keys(held, qpdf[query_key])[[*query_key, *vector_key, "dist"]]
 
-    on = ["cell", "_vb", "_qb"]
+    on = ["_vb", "_qb"]
     return vs.groupBy(*on).cogroup(qs.groupBy(*on)).applyInPandas(group, schema)
 
 
@@ -219,7 +261,8 @@ def _rounds(queries: DataFrame, path: str, k: int, query_key, vector_key, query_
     vectors, cells = read_cells(spark, path)
     q = queries.select(*query_key, F.col(query_col).cast("array<double>").alias("_qv")).filter("_qv IS NOT NULL")
     sent = spark.sparkContext.broadcast(cells)
-    first = staged(_visits(q, sent, query_key, k, False, nonfinite), "first-visits")
+    asked = q.withColumn("_limit", F.lit(None).cast("double"))
+    first = staged(_visits(asked, sent, query_key, k, False, nonfinite), "first-visits")
     found = staged(_meet(first, vectors, cells, query_key, vector_key, k, nonfinite), "first-candidates")
     best = Window.partitionBy(*query_key).orderBy("dist")
     kth = (found.withColumn("_n", F.row_number().over(best)).filter(F.col("_n") == k)
@@ -249,7 +292,8 @@ def visited_share(queries: DataFrame, path: str, k: int = DEFAULT_TOP_K, query_k
     vector_key = [c for c in queries.sparkSession.read.parquet(f"{path}/vectors").columns
                   if c not in ("_vv", "cell", "radius")]
     first, second, _, cells = _rounds(queries, path, k, query_key, vector_key, query_col, nonfinite)
-    per_cell = first.unionByName(second).groupBy("cell").count().collect()
-    seen = sum(int(cells.counts[r["cell"]]) * r["count"] for r in per_cell)
+    per_cell = (first.unionByName(second).select(F.explode("cells").alias("c")).groupBy("c")
+                .agg(F.count(F.lit(1)).alias("n")).collect())
+    seen = sum(int(cells.counts[r["c"]]) * r["n"] for r in per_cell)
     n_queries = queries.filter(F.col(query_col).isNotNull()).count()
     return {"pairs": n_queries * int(cells.counts.sum()), "visited": seen}

@@ -33,15 +33,20 @@ from pyspark.sql import types as T
 from ..session import ship_package
 from ..schemas import DEFAULT_TOP_K
 
-BROADCAST_BUDGET_BYTES = 64 * 1024 * 1024
+BROADCAST_BUDGET_BYTES = 16 * 1024 * 1024
 QUERY_CHUNK = 256
-# Rows scored at once: bounds the distance block to ROW_CHUNK x QUERY_CHUNK,
-# and Arrow batches are gathered up to so many bytes before scoring.
-ROW_CHUNK = 8192
-BLOCK_BYTES = 32 * 1024 * 1024
-# Each side of a co-grouped cell holds about so many bytes of vectors.
-CELL_BYTES = 256 * 1024 * 1024
-CELL_QUERY_BYTES = 32 * 1024 * 1024
+# Rows scored at once: bounds the distance block to ROW_CHUNK x QUERY_CHUNK;
+# Arrow batches are gathered up to GATHER such blocks. A search starts with a
+# smaller block, to learn how near the k-th row is.
+ROW_CHUNK = 4096
+BLOCK_BYTES = 8 * 1024 * 1024
+GATHER = 4
+FIRST_ROWS = 256
+OUT_ROWS = 50_000
+# Each side of a co-grouped cell holds about so many bytes of vectors: a task
+# keeps some five copies of both, and the shuffle grows with their inverse.
+CELL_BYTES = 16 * 1024 * 1024
+CELL_QUERY_BYTES = 16 * 1024 * 1024
 
 
 def _stack(series, nonfinite="raise"):
@@ -78,98 +83,157 @@ def _exact(X, Q, rows, queries):
     return acc
 
 
-def _best_k(X, Q, k, groups=None, limit=None):
-    """``(query index, row index, exact distance)`` arrays of the rows of
-    ``X`` that can be among the best ``k`` of each query.
+def _ranks(keys, key_names):
+    """Place of every row in the order of the keys."""
+    import numpy as np
+
+    out = np.empty(len(keys), dtype=np.int64)
+    out[keys.sort_values(key_names, kind="mergesort").index.to_numpy()] = np.arange(len(keys))
+    return out
+
 
-    Bounds of every distance come from the expansion |x|^2 + |q|^2 - 2xq and
-    its rounding error. ``limit`` holds, per query, a distance that k rows
-    scored earlier do not exceed; farther rows are left out. With ``groups``
-    (integer group code per row) the candidates are rows of the groups whose
-    nearest row can be among the best ``k`` groups."""
+def _first_k(q, r, d, rank, k, groups=None):
+    """Of ``(query, row, distance)`` arrays the best ``k`` of each query under
+    (distance, key), with ``groups`` one row of a group; and their places."""
     import numpy as np
 
-    n = X.shape[0]
-    out_q, out_r, out_d = [], [], []
-    if n == 0 or Q.shape[0] == 0:
-        none = np.zeros(0, dtype=np.int64)
-        return none, none, np.zeros(0)
-    with np.errstate(over="ignore", invalid="ignore"):
-        xx = np.einsum("ij,ij->i", X, X)
+    order = np.lexsort((rank[r], d, q))
+    q, r, d = q[order], r[order], d[order]
     if groups is not None:
-        order = np.argsort(groups, kind="stable")
-        sorted_codes = groups[order]
-        starts = np.flatnonzero(np.r_[True, sorted_codes[1:] != sorted_codes[:-1]])
-        sizes = np.diff(np.r_[starts, n])
-    for s in range(0, Q.shape[0], QUERY_CHUNK):
-        Qc = Q[s:s + QUERY_CHUNK]
+        by_group = np.lexsort((groups[r], q))  # stable: the nearest of a group stays first
+        gq, gr = q[by_group], groups[r[by_group]]
+        first = np.r_[True, (gq[1:] != gq[:-1]) | (gr[1:] != gr[:-1])][:len(q)]
+        keep = np.sort(by_group[first])
+        q, r, d = q[keep], r[keep], d[keep]
+    new = np.flatnonzero(np.r_[True, q[1:] != q[:-1]][:len(q)])
+    place = np.arange(len(q)) - np.repeat(new, np.diff(np.r_[new, len(q)]))
+    near = place < k
+    return q[near], r[near], d[near], place[near]
+
+
+class _Search:
+    """The best ``k`` rows of each query among the rows scored so far, as two
+    arrays of ``queries x k``: row numbers (-1: none) and exact distances.
+
+    Bounds of a block's distances come from the expansion |x|^2 + |q|^2 - 2xq,
+    one matrix product, and its rounding error. ``limit`` holds a distance per
+    query that its k-th row does not exceed; only nearer rows are scored
+    exactly. What is held at once is bounded by a block of rows by
+    ``QUERY_CHUNK`` queries, also if all distances tie. ``rank`` and
+    ``groups`` are integers per row number: the order of its key, its group."""
+
+    def __init__(self, Q, k, rank, groups=None, limit=None):
+        import numpy as np
+
+        self.Q, self.k, self.rank, self.groups = Q, k, rank, groups
+        self.rows = np.full((len(Q), k), -1, dtype=np.int64)
+        self.dist = np.full((len(Q), k), np.inf)
+        self.limit = np.full(len(Q), np.inf) if limit is None else limit.astype(np.float64)
+        with np.errstate(over="ignore", invalid="ignore"):
+            self.qq = np.einsum("ij,ij->i", Q, Q)
+            self.wide = np.column_stack([-2.0 * Q, np.ones(len(Q)), self.qq])
+
+    def hold(self, q, r, d):
+        """Take in scored rows; queries as numbers."""
+        import numpy as np
+
+        asked = np.unique(q)
+        old_q, old_i = np.nonzero(self.rows[asked] >= 0)
+        old_q = asked[old_q]
+        q, r, d, place = _first_k(
+            np.r_[q, old_q], np.r_[r, self.rows[old_q, old_i]], np.r_[d, self.dist[old_q, old_i]],
+            self.rank, self.k, self.groups)
+        self.rows[q, place], self.dist[q, place] = r, d
+        full = place == self.k - 1
+        self.limit[q[full]] = np.minimum(self.limit[q[full]], d[full])
+
+    def _within(self, high, codes):
+        """A distance per query that k rows (groups) of a block do not exceed."""
+        import numpy as np
+
+        if codes is not None:
+            order = np.argsort(codes, kind="stable")
+            ordered = codes[order]
+            high = np.minimum.reduceat(high[order], np.flatnonzero(np.r_[True, ordered[1:] != ordered[:-1]]), axis=0)
+        if len(high) < self.k:
+            return np.full(high.shape[1], np.inf)
+        return np.partition(high, self.k - 1, axis=0)[self.k - 1]
+
+    def add(self, X, numbers, row_chunk=ROW_CHUNK, queries=None):
+        """Score the rows ``X``, numbered ``numbers``, for some queries (all by
+        default)."""
+        import numpy as np
+
+        if not len(X) or not len(self.Q):
+            return
+        queries = np.arange(len(self.Q)) if queries is None else queries
         with np.errstate(over="ignore", invalid="ignore"):
-            qq = np.einsum("ij,ij->i", Qc, Qc)
-            approx = xx[:, None] + qq[None, :] - 2.0 * (X @ Qc.T)
-            margin = 1e-9 * (xx[:, None] + qq[None, :]) + 1e-12
-            low, high = approx - margin, approx + margin
-        unsure = ~(np.isfinite(low) & np.isfinite(high))
-        low[unsure], high[unsure] = -np.inf, np.inf
-        if groups is None:
-            kk = min(k, n)
-            kth = np.partition(high, kk - 1, axis=0)[kk - 1]
-            if limit is not None:
-                kth = np.minimum(kth, limit[s:s + len(Qc)])
-            qi, ri = np.nonzero((low <= kth[None, :]).T)
-        else:
-            low, high = low[order], high[order]
-            nearest = np.minimum.reduceat(high, starts, axis=0)
-            kk = min(k, len(starts))
-            kth = np.partition(nearest, kk - 1, axis=0)[kk - 1]
-            keep = (low <= kth[None, :]) & (low <= np.repeat(nearest, sizes, axis=0))
-            qi, ri = np.nonzero(keep.T)
-            ri = order[ri]
-        out_q.append(qi + s)
-        out_r.append(ri)
-        out_d.append(_exact(X, Qc, ri, qi))
-    return np.concatenate(out_q), np.concatenate(out_r), np.concatenate(out_d)
-
-
-def _select(cands, key_names, k, group_name=None):
-    """Best k per query under (dist, key...), optionally one row per group."""
-    if group_name is not None:
-        cands = cands.sort_values(["_q", group_name, "dist", *key_names], kind="mergesort")
-        cands = cands.drop_duplicates(["_q", group_name], keep="first")
-    cands = cands.sort_values(["_q", "dist", *key_names], kind="mergesort")
-    return cands.groupby("_q", sort=False).head(k)
-
-
-def _kernel(vec_pdf, Q, qkey_pdf, key_names, vec_col, k, group_name=None, row_chunk=ROW_CHUNK,
-            nonfinite="raise", held=None):
+            xx = np.einsum("ij,ij->i", X, X)
+            wide = np.column_stack([X, xx, np.ones(len(X))])
+        # A few rows first: they give limits to most queries.
+        few = min(len(X), row_chunk, max(FIRST_ROWS, 4 * self.k))
+        cuts = [0, *range(few, len(X), row_chunk), len(X)]
+        for s in range(0, len(queries), QUERY_CHUNK):
+            asked = queries[s:s + QUERY_CHUNK]
+            Qt, qq = self.wide[asked].T, self.qq[asked]
+            for a, b in zip(cuts, cuts[1:]):
+                with np.errstate(over="ignore", invalid="ignore"):
+                    approx = wide[a:b] @ Qt
+                    margin = 1e-9 * (xx[a:b].max() + qq) + 1e-12
+                    sure = np.isfinite(4.0 * (xx[a:b].max() + qq.max()))
+                    if not np.isfinite(self.limit[asked]).all():
+                        high = approx + margin
+                        if not sure:
+                            high[~np.isfinite(approx)] = np.inf
+                        within = self._within(high, None if self.groups is None else self.groups[numbers[a:b]])
+                        self.limit[asked] = np.minimum(self.limit[asked], np.where(np.isnan(within), np.inf, within))
+                    near = approx <= self.limit[asked] + margin
+                    if not sure:
+                        near |= ~np.isfinite(approx)
+                ri, qi = np.nonzero(near)
+                if len(qi):
+                    self.hold(asked[qi], numbers[a:b][ri], _exact(X[a:b], self.Q[asked], ri, qi))
+
+    def found(self, keys):
+        """``keys`` of the best rows, ``_q`` (query number) and ``dist``; None
+        if there are none."""
+        import numpy as np
+
+        q, i = np.nonzero(self.rows >= 0)
+        if not len(q):
+            return None
+        return keys.iloc[self.rows[q, i]].reset_index(drop=True).assign(_q=q, dist=self.dist[q, i])
+
+
+def _rows_of(vec_pdf, key_names, vec_col, width, nonfinite):
+    """The matrix of the vectors and the keys of its rows; the mask."""
+    X, mask = _stack(vec_pdf[vec_col], nonfinite)
+    if len(X) and X.shape[1] != width:
+        raise ValueError(f"vector dimension {X.shape[1]} differs from query dimension {width}")
+    keys = vec_pdf.loc[mask, key_names].reset_index(drop=True)
+    # Plain strings: rows taken from a chunked string column stay chunked,
+    # which Spark does not send back.
+    return X, keys.astype({c: object for c in key_names if keys[c].dtype == "str"}), mask
+
+
+def _kernel(vec_pdf, Q, key_names, vec_col, k, group_name=None, row_chunk=ROW_CHUNK, nonfinite="raise", held=None):
     """Best k per query over ``vec_pdf`` and ``held`` (an earlier result; its
     column ``_q`` numbers the queries), ``row_chunk`` rows at a time."""
     import numpy as np
     import pandas as pd
 
-    for start in range(0, len(vec_pdf), row_chunk):
-        part = vec_pdf.iloc[start:start + row_chunk]
-        X, mask = _stack(part[vec_col], nonfinite)
-        if X.shape[0] and Q.shape[0] and X.shape[1] != Q.shape[1]:
-            raise ValueError(f"vector dimension {X.shape[1]} differs from query dimension {Q.shape[1]}")
-        keys = part.loc[mask, key_names].reset_index(drop=True)
-        codes = pd.factorize(keys[group_name], use_na_sentinel=False)[0] if group_name is not None else None
-        limit = None
-        if held is not None and group_name is None:
-            # The k-th distance so far, where k rows are held already.
-            limit = np.full(Q.shape[0], np.inf)
-            full = held.groupby("_q", sort=False)["dist"].agg(["size", "max"])
-            full = full[full["size"] >= k]
-            limit[full.index.to_numpy()] = full["max"].to_numpy()
-        qi, ri, di = _best_k(X, Q, k, codes, limit)
-        if not len(qi):
-            continue
-        cands = keys.iloc[ri].reset_index(drop=True)
-        cands["_q"] = qi
-        cands["dist"] = di
-        if held is not None:
-            cands = pd.concat([held, cands], ignore_index=True)
-        held = _select(cands, key_names, k, group_name)
-    return held
+    if not len(Q):
+        _stack(vec_pdf[vec_col], nonfinite)  # a vector that is refused fails all the same
+        return held
+    X, keys, _ = _rows_of(vec_pdf, key_names, vec_col, Q.shape[1], nonfinite)
+    if held is not None:
+        keys = pd.concat([keys, held[key_names]], ignore_index=True)
+    codes = pd.factorize(keys[group_name], use_na_sentinel=False)[0] if group_name is not None else None
+    search = _Search(Q, k, _ranks(keys, key_names), codes)
+    if held is not None:
+        search.hold(held["_q"].to_numpy(), np.arange(len(X), len(keys)), held["dist"].to_numpy())
+    search.add(X, np.arange(len(X)), row_chunk)
+    return search.found(keys)
 
 
 def _with_query_keys(held, qkey_pdf):
@@ -267,15 +331,17 @@ def _broadcast_scan(q, v, query_key, vector_key, k, group_col, schema, row_chunk
         for pdf in batches:
             waiting.append(pdf)
             n += len(pdf)
-            if n >= row_chunk:
-                held = _kernel(pd.concat(waiting, ignore_index=True), Q, qkey_pdf, vector_key, "_vv", k,
-                               group_col, row_chunk, nonfinite, held)
+            if n >= GATHER * row_chunk:
+                held = _kernel(pd.concat(waiting, ignore_index=True), Q, vector_key, "_vv", k, group_col,
+                               row_chunk, nonfinite, held)
                 waiting, n = [], 0
         if waiting:
-            held = _kernel(pd.concat(waiting, ignore_index=True), Q, qkey_pdf, vector_key, "_vv", k,
-                           group_col, row_chunk, nonfinite, held)
+            held = _kernel(pd.concat(waiting, ignore_index=True), Q, vector_key, "_vv", k, group_col,
+                           row_chunk, nonfinite, held)
         if held is not None:
-            yield _with_query_keys(held, qkey_pdf)
+            # Query keys beside some rows at a time.
+            for s in range(0, len(held), OUT_ROWS):
+                yield _with_query_keys(held.iloc[s:s + OUT_ROWS], qkey_pdf)
 
     return v.mapInPandas(run, schema)
 
@@ -291,15 +357,15 @@ def _cogroup_scan(q, v, query_key, vector_key, k, group_col, schema, n_q, dim, r
           .withColumn("_vb", F.explode(F.sequence(F.lit(0), F.lit(vb - 1)).cast("array<bigint>"))))
 
     def cell(vpdf, qpdf):
-        import numpy as np
+        import pandas as pd
 
         held = None
         if len(vpdf) and len(qpdf):
             Q, mask = _stack(qpdf["_qv"], nonfinite)
             qkey_pdf = qpdf.loc[mask, query_key].reset_index(drop=True)
-            held = _kernel(vpdf, Q, qkey_pdf, vector_key, "_vv", k, group_col, row_chunk, nonfinite)
+            held = _kernel(vpdf, Q, vector_key, "_vv", k, group_col, row_chunk, nonfinite)
         if held is None:
-            return qpdf.iloc[0:0][query_key].assign(**{c: [] for c in vector_key}, dist=np.array([], float))
+            return pd.DataFrame()  # no rows
         return _with_query_keys(held, qkey_pdf)[[*query_key, *vector_key, "dist"]]
 
     return (vs.groupBy("_qb", "_vb").cogroup(qs.groupBy("_qb", "_vb"))
