@@ -14,6 +14,9 @@ from ..schemas import SUMMARY_KEY, SUMMARY_PARTITIONS, SUMMARY_SCHEMA
 from ..sources.tables import create_table, read_table, upsert
 from .grouping import chunked_lists
 
+# Most lookup keys that are sent to every task.
+BROADCAST_KEYS = 50_000
+
 SUMMARY_COLS = ["summarizer_name", "full_model_name", "arxiv_id", "summary_text"]
 
 
@@ -67,8 +70,9 @@ def lookup_summaries(table: DataFrame, keys=None, values=None) -> DataFrame:
     ``keys``: None means the full key. ``values``: one tuple, a list of
     tuples, or a DataFrame with the key columns; None returns every row.
     It is a bag join: a value given twice returns its rows twice, as the
-    concatenated point lookups would. The planner broadcasts the values when
-    they are small (AQE measures them at run time), else shuffles both sides.
+    concatenated point lookups would. Values are counted per key first. Up to
+    ``BROADCAST_KEYS`` of them go to the table's scan; more are hashed in each
+    partition, so that texts are shuffled once and never sorted.
     """
     rows = table.select(*SUMMARY_COLS)
     if values is None:
@@ -85,7 +89,10 @@ def lookup_summaries(table: DataFrame, keys=None, values=None) -> DataFrame:
                                      ", ".join(f"{k} string" for k in keys))
     if len(keys) == 1 and not isinstance(values, DataFrame) and len(vals_list) == 1:
         return rows.filter(F.col(keys[0]) == F.lit(vals_list[0][0]))
-    return vals.join(rows, keys, "inner").select(*SUMMARY_COLS)
+    asked = vals.groupBy(*keys).agg(F.count(F.lit(1)).alias("_times"))
+    few = asked.limit(BROADCAST_KEYS + 1).count() <= BROADCAST_KEYS
+    found = rows.join(F.broadcast(asked) if few else asked.hint("shuffle_hash"), keys, "inner")
+    return found.select(*SUMMARY_COLS, F.explode(F.sequence(F.lit(1), F.col("_times"))).alias("_copy")).drop("_copy")
 
 
 def filter_summaries(table: DataFrame, summarizer_name: str | None = None,
@@ -102,9 +109,10 @@ def filter_summaries(table: DataFrame, summarizer_name: str | None = None,
 
 def summaries_by_summarizer(table: DataFrame, chunk: int = 10_000) -> DataFrame:
     """(summarizer_name, part, n_items, items): (arxiv_id, summary_text)
-    pairs per summarizer in paper order, in chunks of at most ``chunk``."""
+    pairs per summarizer in paper order, in chunks of at most ``chunk``.
+    ``table`` is a stored table."""
     return chunked_lists(table, ["summarizer_name"],
-                         F.struct("arxiv_id", "summary_text"), order="arxiv_id", chunk=chunk)
+                         F.struct("arxiv_id", "summary_text"), order="arxiv_id", chunk=chunk, stored=True)
 
 
 # --- Fixed values: names of the lookup queries over the summary table ------
