@@ -10,7 +10,7 @@ DEFAULT_CHUNK = 10_000
 
 
 def chunked_lists(df: DataFrame, group_cols: list[str], value, order=None,
-                  chunk: int = DEFAULT_CHUNK, out_col: str = "items") -> DataFrame:
+                  chunk: int = DEFAULT_CHUNK, out_col: str = "items", stored: bool = False) -> DataFrame:
     """``(group..., part, n_items, first_position, items)``: the values of
     each group in order, ``chunk`` to a row. Rows of one group joined in the
     order of ``part`` are the whole list; ``first_position`` is the place of
@@ -19,26 +19,31 @@ def chunked_lists(df: DataFrame, group_cols: list[str], value, order=None,
     ``order`` (default ``value``) sorts the list; equal keys are sorted by
     value. Entries are range-partitioned by group, key and a running number,
     so neither a hot group nor a hot key meets in one task; a place is the
-    entries of the group in earlier ranges plus the place in its own. The
-    input is read once (the sorted entries are staged).
+    entries of the group in earlier ranges plus the place in its own, which is
+    its place among the sorted entries of its task. The input is read once (the
+    entries are staged), unless it is ``stored`` already. Values are shuffled
+    twice, into ranges and into lists, and sorted once.
     """
     if chunk < 1:
         raise ValueError("chunk must be positive")
     value = F.col(value) if isinstance(value, str) else value
     order = value if order is None else (F.col(order) if isinstance(order, str) else order)
-    entries = staged(df.select(*group_cols, order.alias("_k"), value.alias("_v"),
-                               F.monotonically_increasing_id().alias("_n")), "list-entries")
+    entries = df.select(*group_cols, order.alias("_k"), value.alias("_v"), F.monotonically_increasing_id().alias("_n"))
+    if not stored:
+        entries = staged(entries, "list-entries")
     keys = [*group_cols, "_k", "_v", "_n"]
-    ranged = staged(entries.repartitionByRange(*keys).withColumn("_range", F.spark_partition_id()), "list-ranges")
-    counts = ranged.groupBy(*group_cols, "_range").agg(F.count(F.lit(1)).alias("_c"))
+    ranged = staged(entries.repartitionByRange(*keys).sortWithinPartitions(*keys).select(
+        *group_cols, "_v", F.spark_partition_id().alias("_range"),
+        F.monotonically_increasing_id().alias("_row")), "list-ranges")
+    counts = ranged.groupBy(*group_cols, "_range").agg(F.count(F.lit(1)).alias("_c"), F.min("_row").alias("_first"))
     by_group = Window.partitionBy(*group_cols)
-    counts = counts.select(
+    # One row per group and range, with its own size: Spark sends them to the
+    # entries if they are few.
+    counts = staged(counts.select(
         *group_cols, "_range",
-        (F.sum("_c").over(by_group.orderBy("_range")) - F.col("_c")).alias("_before"),
-        F.sum("_c").over(by_group).alias("n_items"))
-    inside = Window.partitionBy(*group_cols, "_range").orderBy("_k", "_v", "_n")
-    placed = ranged.withColumn("_row", F.row_number().over(inside) - 1)
-    joined = null_join(placed, counts, [*group_cols, "_range"]).select(
+        (F.sum("_c").over(by_group.orderBy("_range")) - F.col("_c") - F.col("_first")).alias("_before"),
+        F.sum("_c").over(by_group).alias("n_items")), "list-counts")
+    joined = null_join(ranged, counts, [*group_cols, "_range"]).select(
         *group_cols, "n_items", "_v", (F.col("_before") + F.col("_row")).alias("_p"))
     return (joined.withColumn("part", F.floor(F.col("_p") / F.lit(chunk)))
             .groupBy(*group_cols, "part", "n_items")
