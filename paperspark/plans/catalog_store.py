@@ -453,7 +453,7 @@ GROUP BY g.doc_id
 """)
 def hash_embed_q(spark, sf_dir):
     d = v.table(spark, sf_dir, "documents")
-    return hash_embed(d, ["doc_id"], "text", partitions=v.cores(spark)).select("doc_id", _vec_text().alias("vec_text"))
+    return hash_embed(d, ["doc_id"], "text", partitions=v.cores(spark, sf_dir)).select("doc_id", _vec_text().alias("vec_text"))
 
 
 def _label_keys(spark, sf_dir, agent="A0", model="openai", spec="emb-64"):
@@ -490,7 +490,7 @@ def store_integrity(spark, sf_dir):
 
 def _precache_vectors(spark, sf_dir, path):
     texts = v.document_texts(spark, sf_dir).join(_label_ids(spark, sf_dir).select("arxiv_id"), "arxiv_id", "left_semi")
-    upsert(hash_embed(texts, list(VECTOR_KEY), "text", partitions=v.cores(spark)), path, list(VECTOR_KEY),
+    upsert(hash_embed(texts, list(VECTOR_KEY), "text", partitions=v.cores(spark, sf_dir)), path, list(VECTOR_KEY),
            VECTOR_PARTITIONS, VECTOR_SCHEMA)
 
 
@@ -519,7 +519,7 @@ def merged_vectors(spark, sf_dir):
     _precache_vectors(spark, sf_dir, path)
 
     def compute(todo):
-        return hash_embed(todo, list(VECTOR_KEY), "text", partitions=v.cores(spark))
+        return hash_embed(todo, list(VECTOR_KEY), "text", partitions=v.cores(spark, sf_dir))
 
     merged = memo.memoised(v.document_texts(spark, sf_dir), list(VECTOR_KEY), compute, path,
                            VECTOR_PARTITIONS, VECTOR_SCHEMA)
@@ -769,7 +769,7 @@ def corpus_build(spark, sf_dir):
 
     paths = CorpusPaths(*(fresh_path(spark, n) for n in ("index", "summaries", "vectors", "snapshot")))
     out = build_corpus(spark, v.paper_files(spark, sf_dir), paths, "src1", RANGE, v.agents(spark, sf_dir),
-                       v.summarizer_fn, (v.MODEL_NAME, v.MODEL_SPEC), ("hash", "64"), embed_partitions=v.cores(spark))
+                       v.summarizer_fn, (v.MODEL_NAME, v.MODEL_SPEC), ("hash", "64"), embed_partitions=v.cores(spark, sf_dir))
     return out.snapshot.select("agent_name", "arxiv_id", "label", _vec_text().alias("vec_text"))
 
 
@@ -880,7 +880,8 @@ def summaries_with_assistant(spark, sf_dir):
 
     links = agent_links(v.agents(spark, sf_dir)).select("agent_name", "agent_link", "linked_class")
     out = tf.apply_agents(v.papers(spark, sf_dir), v.agents(spark, sf_dir), v.summarizer_fn, "abstract", ["id"])
-    return out.join(links, "agent_name").select(
+    # The catalogue is small (its agents are functions of the driver).
+    return out.join(F.broadcast(links), "agent_name").select(
         "agent_name", "id", "agent_link", "linked_class", "summary_text")
 
 
@@ -964,9 +965,9 @@ def corpus_incremental(spark, sf_dir):
     paths = CorpusPaths(*(fresh_path(spark, n) for n in ("index", "summaries", "vectors", "snapshot")))
     common = (v.agents(spark, sf_dir), v.summarizer_fn, (v.MODEL_NAME, v.MODEL_SPEC), ("hash", "64"))
     lines = v.paper_files(spark, sf_dir)
-    build_corpus(spark, lines, paths, "src1", RANGE, *common, embed_partitions=v.cores(spark))
+    build_corpus(spark, lines, paths, "src1", RANGE, *common, embed_partitions=v.cores(spark, sf_dir))
     wider = [dt.datetime(2024, 1, 1, 5, 0, 0), dt.datetime(2024, 1, 2, 0, 0, 0)]
-    second = build_corpus(spark, lines, paths, "src1", wider, *common, embed_partitions=v.cores(spark))
+    second = build_corpus(spark, lines, paths, "src1", wider, *common, embed_partitions=v.cores(spark, sf_dir))
     return second.summaries.select("summarizer_name", "arxiv_id", "summary_text", "cached")
 
 

@@ -167,9 +167,12 @@ def papers_of(spark: SparkSession, sf_dir: str):
     return lambda ids: stored_papers(spark, path, ["title", "abstract"], ids)
 
 
-def cores(spark: SparkSession) -> int:
-    """Tasks for array work on the test tables, which come in one split."""
-    return spark.sparkContext.defaultParallelism
+def cores(spark: SparkSession, sf_dir: str) -> int | None:
+    """Tasks for array work on documents that come in one split; None, for no
+    shuffle of their texts, if there is a split for every core."""
+    want = spark.sparkContext.defaultParallelism
+    splits = table(spark, sf_dir, "documents")._jdf.queryExecution().toRdd().getNumPartitions()
+    return want if splits < want else None
 
 
 def embedding_store(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -206,7 +209,7 @@ def document_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     from ..functions.embed import hash_embed
     from ..schemas import VECTOR_KEY
 
-    return hash_embed(document_texts(spark, sf_dir), list(VECTOR_KEY), "text", partitions=cores(spark))
+    return hash_embed(document_texts(spark, sf_dir), list(VECTOR_KEY), "text", partitions=cores(spark, sf_dir))
 
 
 def questions(spark: SparkSession, sf_dir: str) -> DataFrame:

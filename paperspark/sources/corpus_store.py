@@ -5,7 +5,8 @@ so far (path, length, modification time) and parses only what is new or has
 changed. Every refresh writes one data folder:
 
 * ``papers``: every valid line as a typed row, range-sorted by id, in small
-  row groups with a Bloom filter of their ids;
+  row groups with a Bloom filter of their ids; the last line of an id in the
+  folder is marked, so that a corpus of one folder is read without a shuffle;
 * ``index``: ``(category, created, id)`` of every indexable line, sorted by
   category and time;
 * ``rejects``: lines that are no records, and records that cannot be indexed;
@@ -23,7 +24,7 @@ from __future__ import annotations
 import re
 from typing import NamedTuple
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 from pyspark.sql import types as T
 
 from ..functions.dates import parse_version_date
@@ -34,6 +35,9 @@ from .papers import POS, check_fields, latest_per_id, read_lines, tag_lines, ver
 from .versions import new_folder, publish, read_state
 
 MAX_FOLDERS = 16
+# Column of the mark, and what a published folder that has it is listed with.
+LAST = "_last"
+MARKED = 2
 # Up to so many ids are pushed into the Parquet scan; beyond, they are joined.
 PUSHED_IDS = 2_000
 # They go in lists of so many (the session's pushdown threshold): Spark hands a
@@ -94,7 +98,9 @@ def _escaped(path: str) -> str:
 
 
 def _write_papers(rows: DataFrame, target: str) -> None:
-    (rows.repartitionByRange("id").sortWithinPartitions("id", POS).write
+    # A range holds all lines of an id in order: the window needs no shuffle.
+    next_line = F.lead(F.lit(True)).over(Window.partitionBy("id").orderBy(POS))
+    (rows.repartitionByRange("id").sortWithinPartitions("id", POS).withColumn(LAST, next_line.isNull()).write
      .option("parquet.block.size", ROW_GROUP_BYTES)
      .option("parquet.bloom.filter.enabled#id", "true")
      .option("parquet.bloom.filter.expected.ndv#id", ROW_GROUP_IDS)
@@ -178,7 +184,7 @@ def refresh(spark: SparkSession, path: str, files: str | list[str], rebuild: boo
     rejects.write.parquet(f"{top}/rejects")
     ledger.coalesce(1).write.parquet(f"{top}/files")
     live = {f: n for f, n in held.items() if f not in dirty}
-    publish(spark, path, {"version": version, "folders": {**live, folder: 1}})
+    publish(spark, path, {"version": version, "folders": {**live, folder: MARKED}})
     return Refresh(version, len(paths), removed, len(dirty))
 
 
@@ -209,8 +215,14 @@ def stored_papers(spark: SparkSession, path: str, fields: list[str] | None = Non
     """
     apply_required_conf(spark)
     fields = [f for f in check_fields(fields) if f != "id"]
-    rows = _part(spark, path, _folders(spark, path), "papers", PAPERS).select(
-        "id", *[F.col(f"`{f}`") for f in fields], POS)
+    folders = _folders(spark, path)
+    # In a single folder the marked lines are the last ones; of several, or of
+    # one written without the mark, lines are compared.
+    marked = list(folders.values()) == [MARKED]
+    rows = _part(spark, path, folders, "papers", T.StructType([*PAPERS.fields, T.StructField(LAST, T.BooleanType())]))
+    if marked:
+        rows = rows.where(LAST)
+    rows = rows.select("id", *[F.col(f"`{f}`") for f in fields], POS)
     if ids is not None:
         if not isinstance(ids, DataFrame):
             wanted = set(ids)
@@ -222,4 +234,4 @@ def stored_papers(spark: SparkSession, path: str, fields: list[str] | None = Non
             wanted = {r["id"] for r in found} if len(found) <= PUSHED_IDS else None
         wanted = None if wanted is None else sorted(i for i in wanted if i is not None)
         rows = rows.join(ids, "id", "left_semi") if wanted is None else rows.where(_any_of(wanted))
-    return latest_per_id(rows, fields)
+    return rows.drop(POS) if marked else latest_per_id(rows, fields)

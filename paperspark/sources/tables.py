@@ -98,10 +98,13 @@ def _written_leaves(spark: SparkSession, path: str, folder: str, partition_by: l
 def _write(rows: DataFrame, path: str, state: dict, partition_by: list[str], replace: bool) -> None:
     """Write rows as leaves of a new data folder and publish the table with
     them: in place of what those leaves held, or beside it."""
-    spark = rows.sparkSession
-    version = state["version"] + 1
-    folder = new_folder(version)
+    folder = new_folder(state["version"] + 1)
     rows.write.partitionBy(*partition_by, BUCKET).parquet(f"{path}/{VERSION}={folder}")
+    _publish(rows.sparkSession, path, state, folder, partition_by, replace)
+
+
+def _publish(spark: SparkSession, path: str, state: dict, folder: str, partition_by: list[str], replace: bool) -> None:
+    version = state["version"] + 1
     leaves = {k: list(v) for k, v in state["leaves"].items()}
     made = _written_leaves(spark, path, folder, partition_by)
     for leaf in made:
@@ -118,10 +121,13 @@ def _with_order(df: DataFrame, order_col: str | None) -> DataFrame:
     return df.withColumn(ORDER, F.col(order_col))
 
 
-def _check_order(inc: DataFrame, key_cols: list[str], order_col: str | None) -> None:
-    """Without an order, a batch may not hold a key twice."""
-    if order_col is None and inc.groupBy(*key_cols).count().filter("count > 1").limit(1).count():
+def _repeats(inc: DataFrame, key_cols: list[str], order_col: str | None) -> bool:
+    """Whether a batch holds a key twice, which it may not without an order.
+    Only keys are read."""
+    found = inc.groupBy(*key_cols).count().filter("count > 1").limit(1).count() > 0
+    if found and order_col is None:
         raise ValueError("the batch repeats a key; name the column that orders its rows")
+    return found
 
 
 def upsert(incoming: DataFrame, path: str, key_cols: list[str], partition_by: list[str],
@@ -138,7 +144,9 @@ def upsert(incoming: DataFrame, path: str, key_cols: list[str], partition_by: li
     ``materialized=True`` when the caller already did), so an expensive or
     non-deterministic producer (a model call) runs once. The leaves its rows
     fall into are read, merged and written anew after one shuffle by leaf;
-    no other leaf is read.
+    no other leaf is read. Keys are compared first: whole rows are sorted to
+    find the last of a key only if the batch repeats one. The first batch of a
+    table is written as its leaves at once, and published if no key repeats.
     """
     spark = incoming.sparkSession
     apply_required_conf(spark)
@@ -149,17 +157,33 @@ def upsert(incoming: DataFrame, path: str, key_cols: list[str], partition_by: li
         inc = inc.withColumn(stamp_col, F.date_trunc("second", F.current_timestamp()))
     inc = inc.select(*[F.col(f.name).cast(f.dataType) for f in schema.fields],
                      F.col(ORDER).cast("bigint").alias(ORDER))
+    bucket = _bucket(key_cols, partition_by, state["buckets"])
+    if not materialized and order_col is None and not state["leaves"]:
+        folder = new_folder(state["version"] + 1)
+        top = f"{path}/{VERSION}={folder}"
+        inc.drop(ORDER).withColumn(BUCKET, bucket).repartition(*partition_by, BUCKET).write.partitionBy(
+            *partition_by, BUCKET).parquet(top)
+        made = spark.read.schema(T.StructType([*schema.fields, T.StructField(BUCKET, T.IntegerType())])).parquet(top)
+        offered = made.count()
+        if offered:
+            _repeats(made, key_cols, order_col)
+            _publish(spark, path, state, folder, partition_by, replace=True)
+        return offered
     if not materialized:
         inc = staged(inc, "upsert-batch")
     offered = inc.count()
     if offered == 0:
         return 0
-    _check_order(inc, key_cols, order_col)
-    bucket = _bucket(key_cols, partition_by, state["buckets"])
+    repeats = _repeats(inc, key_cols, order_col)
     existing = _read(spark, path, schema, state, _leaves_of(inc.withColumn(BUCKET, bucket), partition_by))
     both = (existing.withColumn("_prio", F.lit(0)).withColumn(ORDER, F.lit(0).cast("bigint"))
             .unionByName(inc.withColumn("_prio", F.lit(1))).withColumn(BUCKET, bucket))
     leaf = [*partition_by, BUCKET]
+    if not repeats:
+        kept = null_join(existing, inc.select(*key_cols), key_cols, "left_anti")
+        rows = kept.select(*schema.names).unionByName(inc.select(*schema.names)).withColumn(BUCKET, bucket)
+        _write(rows.repartition(*leaf), path, state, partition_by, replace=True)
+        return offered
     # The shuffle by leaf also serves the aggregate, whose keys hold it.
     merged = (both.repartition(*leaf).groupBy(*leaf, *[c for c in key_cols if c not in leaf])
               .agg(F.max_by(F.struct(*value_cols), F.struct("_prio", ORDER)).alias("_v"))
@@ -185,11 +209,12 @@ def insert_absent(incoming: DataFrame, path: str, key_cols: list[str], partition
     inc = _with_order(incoming, order_col).select(*[F.col(f.name).cast(f.dataType) for f in schema.fields], ORDER)
     if not materialized:
         inc = staged(inc, "insert-batch")
-    _check_order(inc, key_cols, order_col)
     bucket = _bucket(key_cols, partition_by, state["buckets"])
-    first = (inc.groupBy(*key_cols)
-             .agg(F.min_by(F.struct(*value_cols), F.col(ORDER)).alias("_v"))
-             .select(*key_cols, *[F.col(f"_v.{c}").alias(c) for c in value_cols]))
+    first = inc.select(*schema.names)
+    if _repeats(inc, key_cols, order_col):
+        first = (inc.groupBy(*key_cols)
+                 .agg(F.min_by(F.struct(*value_cols), F.col(ORDER)).alias("_v"))
+                 .select(*key_cols, *[F.col(f"_v.{c}").alias(c) for c in value_cols]))
     leaves = _leaves_of(inc.select(*key_cols).withColumn(BUCKET, bucket), partition_by)
     stored = _read(spark, path, schema, state, leaves).select(*key_cols)
     obs = Observation("inserted")
