@@ -220,9 +220,7 @@ def stored_papers(spark: SparkSession, path: str, fields: list[str] | None = Non
     # one written without the mark, lines are compared.
     marked = list(folders.values()) == [MARKED]
     rows = _part(spark, path, folders, "papers", T.StructType([*PAPERS.fields, T.StructField(LAST, T.BooleanType())]))
-    if marked:
-        rows = rows.where(LAST)
-    rows = rows.select("id", *[F.col(f"`{f}`") for f in fields], POS)
+    rows = rows.select("id", *[F.col(f"`{f}`") for f in fields], POS, LAST)
     if ids is not None:
         if not isinstance(ids, DataFrame):
             wanted = set(ids)
@@ -234,4 +232,6 @@ def stored_papers(spark: SparkSession, path: str, fields: list[str] | None = Non
             wanted = {r["id"] for r in found} if len(found) <= PUSHED_IDS else None
         wanted = None if wanted is None else sorted(i for i in wanted if i is not None)
         rows = rows.join(ids, "id", "left_semi") if wanted is None else rows.where(_any_of(wanted))
-    return rows.drop(POS) if marked else latest_per_id(rows, fields)
+    if marked:
+        return rows.where(F.col(LAST).eqNullSafe(True)).drop(POS, LAST)
+    return latest_per_id(rows, fields)
