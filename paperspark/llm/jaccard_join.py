@@ -9,8 +9,11 @@ group pairs that remain are expanded to members and verified on whole sets.
 
 Only components are asked for, so pairs that are already connected need no
 test. A few rounds compare the groups of each posting list with one of them,
-another one each time; what then still lies in different components is
-compared exhaustively.
+another one each time. Lists with few pairs left in different components are
+then compared exhaustively. In a longer one every class is compared with one
+of the list, its pivot, and what it differs by from the pivot is its new set:
+two sets differ by what their differences differ by, so edits that two near
+copies do not share set them apart, however much they have in common.
 """
 
 from __future__ import annotations
@@ -20,7 +23,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from paperspark.llm.common import (
@@ -36,6 +39,10 @@ BUCKET_BITS = 22
 BUCKETS = 1 << BUCKET_BITS
 PARTS = 64
 ROUNDS = 2
+# A list is compared exhaustively up to so many pairs (rows outside its largest
+# component times its length); longer ones first by so many levels of pivots.
+FEW_PAIRS = 1024
+LEVELS = 2
 
 
 def shingle_set(text: str | None, n: int = SHINGLE_WORDS) -> np.ndarray:
@@ -142,7 +149,15 @@ def verified(docs: DataFrame, pairs: DataFrame, classes: DataFrame, rank, percen
     their prefixes leave a chance are compared by whole sets; the set of
     ``a`` travels once per pair, that of ``b`` once."""
     filtered = possible(pairs, classes, rank, percent)
-    pairs = filtered.where("ok").select("a", "b")
+    done = compared(docs, filtered.where("ok").select("a", "b"), percent, shingle_words)
+    return done.unionByName(filtered.where("NOT ok").withColumnRenamed("ok", "linked"))
+
+
+def compared(docs: DataFrame, pairs: DataFrame, percent: int, shingle_words: int,
+             differences: bool = False) -> DataFrame:
+    """``a, b, linked`` of ``pairs(a, b)`` by whole sets, staged. With
+    ``differences`` also ``n``, the size of the set of ``a``, digests ``own``
+    and ``pivot`` of both sets, and ``diff``, what only one of them holds."""
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -160,17 +175,27 @@ def verified(docs: DataFrame, pairs: DataFrame, classes: DataFrame, rank, percen
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            linked = []
-            for x, y in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist()):
-                x, y = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
+            linked, n, own, pivot, diff = [], [], [], [], []
+            for left, right in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist()):
+                x, y = np.frombuffer(left, np.uint64), np.frombuffer(right, np.uint64)
                 both = len(np.intersect1d(x, y, assume_unique=True))
                 linked.append(100 * both >= percent * (len(x) + len(y) - both))
+                if differences:
+                    n.append(len(x))
+                    own.append(xxhash.xxh3_128_digest(left))
+                    pivot.append(xxhash.xxh3_128_digest(right))
+                    diff.append(np.setxor1d(x, y, assume_unique=True).astype(np.int64))
+            more = [pa.array(n, pa.int64()), pa.array(own, pa.binary()), pa.array(pivot, pa.binary()),
+                    pa.array(diff, pa.list_(pa.int64()))] if differences else []
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), batch.column(1), pa.array(linked, pa.bool_())], names=["a", "b", "linked"])
+                [batch.column(0), batch.column(1), pa.array(linked, pa.bool_()), *more],
+                names=["a", "b", "linked", *["n", "own", "pivot", "diff"][:len(more)]])
 
+    schema = "a bigint, b bigint, linked boolean"
+    if differences:
+        schema += ", n bigint, own binary, pivot binary, diff array<bigint>"
     joined = left.join(right, "b").select("a", "b", "shingles", "other")
-    compared = staged(joined.mapInArrow(compare, "a bigint, b bigint, linked boolean"), "verified")
-    return compared.unionByName(filtered.where("NOT ok").withColumnRenamed("ok", "linked"))
+    return staged(joined.mapInArrow(compare, schema), "verified")
 
 
 def may_link(x: str, y: str, percent: int):
@@ -183,6 +208,32 @@ def may_link(x: str, y: str, percent: int):
             & ((100 + percent) * most >= percent * (nx + ny)))
 
 
+def may_differ(x: str, y: str, percent: int):
+    """The same for two postings of one element of differences from a pivot:
+    sets link if their differences, of sizes ``s``, differ by little enough."""
+    nx, ny, sx, sy, px, py = (F.col(f"{t}.{c}") for c in ("n", "s", "pos") for t in (x, y))
+    most = F.least(sx - px, sy - py)
+    return (100 + percent) * (sx + sy - 2 * most) <= (100 - percent) * (nx + ny)
+
+
+def difference_lists(found: DataFrame, percent: int) -> DataFrame:
+    """``token, node, n, s, pos``: postings of the prefixes of differences
+    from a pivot, rarest elements among those of the pivot first.
+
+    Sets of sizes n and m link if they differ by (n + m)(100 - P) / (100 + P)
+    at most, so by n (100 - P) / P. If the sizes of their differences add up
+    to no more, both link to the pivot. Otherwise the differences share an
+    element, and one of the first n (100 - P) / P + 1 of either."""
+    found = found.dropDuplicates(["pivot", "own", "a"]).select(
+        "pivot", "own", F.col("a").alias("node"), "n", F.size("diff").cast("long").alias("s"),
+        F.explode("diff").alias("e"))
+    counts = staged(found.groupBy("pivot", "e").agg(F.count("*").alias("c")), "counts")
+    order = Window.partitionBy("pivot", "own", "node").orderBy("c", "e")
+    placed = found.join(counts, ["pivot", "e"]).withColumn("pos", F.row_number().over(order).cast("long") - 1)
+    return staged(placed.where((percent * F.col("pos") <= (100 - percent) * F.col("n")) & (F.col("c") > 1)).select(
+        F.xxhash64("pivot", "e").alias("token"), "node", "n", "s", "pos"), "differences")
+
+
 def untested(pairs: DataFrame, tested: list[DataFrame]) -> DataFrame:
     """Distinct pairs in ascending order that no earlier round has tested."""
     pairs = pairs.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
@@ -199,18 +250,32 @@ def with_component(rows: DataFrame, comp: DataFrame | None, on: str) -> DataFram
     return rows.join(found, on, "left").withColumn("comp", F.coalesce("__c", F.col(on))).drop("__c")
 
 
-def rest_pairs(rows: DataFrame, key: str, node: str, condition) -> DataFrame:
-    """Pairs of rows of one key in different components. One side leaves out
-    the key's largest component, so a list that is nearly connected costs
+def rest_rows(rows: DataFrame, percent: int) -> DataFrame:
+    """``rows`` of the tokens that still have several components, with the
+    largest of them as ``big``, and ``pairs``, the rows outside it times all.
+    Positions of a pair add up to n (100 - P) / P at most, or neither filter
+    lets it pass; rows that no other of their token leaves a chance go."""
+    lowest = rows.groupBy("token").agg(
+        F.min("pos").alias("lowest"), F.min("comp").alias("lo"), F.max("comp").alias("hi"))
+    lowest = staged(lowest.where("lo != hi").select("token", "lowest"), "lowest")
+    rows = staged(rows.join(lowest, "token").where(
+        percent * (F.col("pos") + F.col("lowest")) <= (100 - percent) * F.col("n")).drop("lowest"), "rest")
+    sizes = rows.groupBy("token", "comp").agg(F.count("*").alias("c"))
+    largest = sizes.groupBy("token").agg(
+        F.max(F.struct("c", "comp"))["comp"].alias("big"), F.count("*").alias("k"),
+        ((F.sum("c") - F.max("c")) * F.sum("c")).alias("pairs"))
+    return staged(rows.join(staged(largest.where("k > 1").drop("k"), "largest"), "token"), "rest")
+
+
+def rest_pairs(rows: DataFrame, may, percent: int) -> DataFrame:
+    """Pairs of rows of one token in different components. One side leaves out
+    the token's largest component, so a list that is nearly connected costs
     its stragglers times its length."""
-    sizes = rows.groupBy(key, "comp").agg(F.count("*").alias("c"))
-    largest = sizes.groupBy(key).agg(F.max(F.struct("c", "comp"))["comp"].alias("big"), F.count("*").alias("k"))
-    rows = staged(rows.join(staged(largest.where("k > 1").drop("k"), "largest"), key), "rest")
     x, y = rows.where("comp != big").alias("x"), rows.alias("y")
-    return x.join(y, F.col(f"x.{key}") == F.col(f"y.{key}")).where(
+    return x.join(y, F.col("x.token") == F.col("y.token")).where(
         (F.col("x.comp") != F.col("y.comp"))
-        & ((F.col("y.comp") == F.col("y.big")) | (F.col(f"x.{node}") < F.col(f"y.{node}"))) & condition
-    ).select(F.col(f"x.{node}").alias("a"), F.col(f"y.{node}").alias("b"))
+        & ((F.col("y.comp") == F.col("y.big")) | (F.col("x.node") < F.col("y.node"))) & may("x", "y", percent)
+    ).select(F.col("x.node").alias("a"), F.col("y.node").alias("b"))
 
 
 def similar_components(docs: DataFrame, percent: int = PERCENT, shingle_words: int = SHINGLE_WORDS,
@@ -256,21 +321,37 @@ def similar_components(docs: DataFrame, percent: int = PERCENT, shingle_words: i
         done = verified(docs, untested(near, tested), classes, rank, percent, shingle_words)
         tested.append(done)
         comp = linked_components(tested)
-    # What is left: pairs of groups, expanded to members, and of members.
-    mixed_groups = with_component(crowded, comp, "rep").groupBy("gid").agg(
+    # What is left: the classes of lists in several components. Members of one
+    # group share all of its prefix, so one token stands for it.
+    mixed_groups = staged(with_component(crowded, comp, "rep").groupBy("gid").agg(
         F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo != hi").select(
-        "gid", F.lit(True).alias("mixed"))
-    rows = with_component(lists, comp, "gid").join(mixed_groups, "gid", "left").withColumn(
-        "comp", F.when(F.col("mixed"), -1 - F.col("gid")).otherwise(F.col("comp")))
-    group_pairs = rest_pairs(rows, "token", "gid", may_link("x", "y", percent)).distinct()
+        "gid", F.lit(True).alias("mixed")), "mixed")
+    inside = groups.join(mixed_groups, "gid").select(
+        "gid", "n", F.lit(0).alias("pos"), F.col("prefix")[0].alias("token"))
+    rows = with_component(lists.unionByName(inside), comp, "gid").join(mixed_groups, "gid", "left")
+    left = rows.groupBy("token").agg(
+        F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count("mixed").alias("mixed"),
+    ).where("lo != hi OR mixed > 0").select("token")
     alone = groups.where("size = 1").select("gid", F.col("gid").alias("rep"))
-    members = staged(with_component(crowded.unionByName(alone), comp, "rep"), "members")
-    m1, m2 = (members.select(F.col("gid").alias(g), F.col("rep").alias(f"rep_{g}"), F.col("comp").alias(f"comp_{g}"))
-              for g in ("a", "b"))
-    expanded = group_pairs.join(m1, "a").join(m2, "b").where("comp_a != comp_b").select(
-        F.col("rep_a").alias("a"), F.col("rep_b").alias("b"))
-    inside = rest_pairs(with_component(crowded, comp, "rep"), "gid", "rep", F.lit(True))
-    tested.append(verified(docs, untested(expanded.unionByName(inside), tested), classes, rank, percent, shingle_words))
+    members = crowded.unionByName(alone).withColumnRenamed("rep", "node")
+    rows = rows.select("token", "gid", "n", "pos").join(staged(left, "left"), "token").join(members, "gid").drop("gid")
+    may = may_link
+    for level in range(LEVELS + 1):
+        rows = rest_rows(with_component(rows, comp, "node"), percent)
+        many = rows.where(F.col("pairs") > (FEW_PAIRS if level < LEVELS else (1 << 63) - 1))
+        heads = staged(many.groupBy("token").agg(
+            F.min(F.struct(F.xxhash64("node").alias("h"), "node"))["node"].alias("b")), "heads")
+        more = bool(heads.limit(1).count())
+        few = rows.where(F.col("pairs") <= FEW_PAIRS) if more else rows
+        tested.append(verified(docs, untested(rest_pairs(few, may, percent), tested), classes, rank, percent,
+                               shingle_words))
+        if not more:
+            break
+        pairs = many.join(heads, "token").where("node != b").select(F.col("node").alias("a"), "b").distinct()
+        found = compared(docs, staged(pairs, "pivots"), percent, shingle_words, differences=True)
+        tested.append(found.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"), "linked"))
+        comp = linked_components(tested)
+        rows, may = difference_lists(found, percent), may_differ
     comp = linked_components(tested)
     rank.destroy()  # all that used it is staged
     named = with_component(classes.select("key", "rep"), comp, "rep").select("key", "comp")

@@ -526,6 +526,45 @@ def test_jaccard_components(spark, rounds):
         (len(s), find(i)) for i, s in enumerate(sets)]
 
 
+def test_jaccard_unlinked_copies(spark, monkeypatch):
+    """Near copies of one text, each with an edit of its own: every two share
+    most of their shingles, few link. The pairs compared stay in proportion."""
+    base = [f"{w}{k}" for k, w in enumerate(prose(random.Random(43), 62).split())]
+    texts = []
+    for i in range(240):  # edits at one place leave links, at two none
+        k = 3 + 5 * (i % 12)
+        texts.append(" ".join([*base[:k], f"own{i}", *base[k + 1:]]))
+    pairs, compared = [], jaccard_join.possible
+
+    def counted(found, *rest):
+        found = found.localCheckpoint()
+        pairs.append(found.count())
+        return compared(found, *rest)
+
+    monkeypatch.setattr(jaccard_join, "possible", counted)
+    monkeypatch.setattr(jaccard_join, "FEW_PAIRS", 16)
+    want = brute_force_components(texts)
+    found = jaccard_join.similar_components(documents(spark, texts), rounds=0)
+    out = {r["doc_id"]: r["component_id"] for r in found.collect()}
+    assert [out[i] for i in range(len(texts))] == want
+    assert len(set(want)) == 12
+    assert sum(pairs) < 20 * len(texts)  # of 28,680
+
+
+def brute_force_components(texts, percent=90):
+    sets = [{tuple(w[k:k + 3]) for k in range(len(w) - 2)} for w in (t.split() for t in texts)]
+    least = list(range(len(sets)))
+    links = [(i, j) for i, j in itertools.combinations(range(len(sets)), 2)
+             if 100 * len(sets[i] & sets[j]) >= percent * len(sets[i] | sets[j])]
+    while True:
+        again = list(least)
+        for i, j in links:
+            again[i] = again[j] = min(again[i], again[j])
+        if again == least:
+            return least
+        least = again
+
+
 def test_jaccard_awkward_rows(spark):
     rows = frame(spark, [(5, "a b c", "x"), (5, "a b c", "y"), (None, "a b c", "z")], "doc_id long, text string, key string")
     out = jaccard_join.similar_components(rows).collect()
