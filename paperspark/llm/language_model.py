@@ -35,9 +35,11 @@ HEAD = HEAD_CLASSES * HEAD_SIZE
 CLASSES = HEAD_CLASSES + TAIL_CLASSES
 BEGIN = HEAD + TAIL_CLASSES  # symbol before a text
 HISTORY = 3
+SYMBOLS = BEGIN + 1
 BUCKETS = 1 << 13  # at most 2^16
 ROUNDS, STEP, PRIOR = 4, 0.35, 10.0
-CHUNK = 1 << 14
+CHUNK = 1 << 12  # histories at a time
+BLOCK = 1 << 19  # tokens whose histories are compared
 PARTS = 64
 MEMO_ENTRIES = 400_000
 LN10 = float(np.log(10.0))
@@ -78,9 +80,9 @@ def hashed(k: int, *symbols: np.ndarray) -> np.ndarray:
     return (h % np.uint64(BUCKETS)).astype(np.int64)
 
 
-def histories(texts: list[np.ndarray]) -> tuple[np.ndarray, list[np.ndarray]]:
-    """Symbols of all texts in a row, and the feature buckets of each: last
-    word, last but one, third last, and the last two together."""
+def grams(texts: list[np.ndarray]) -> np.ndarray:
+    """Every token of all texts in a row as one number: the symbols before
+    it, third last, last but one and last, then its own."""
     pad = np.full(HISTORY, BEGIN, np.int64)
     flat = np.concatenate([x for t in texts for x in (pad, t)]) if texts else pad
     at = np.ones(len(flat), bool)
@@ -89,7 +91,14 @@ def histories(texts: list[np.ndarray]) -> tuple[np.ndarray, list[np.ndarray]]:
         at[starts + k] = False
     at = np.flatnonzero(at)
     p1, p2, p3 = (flat[at - k] for k in (1, 2, 3))
-    return flat[at], [hashed(1, p1), hashed(2, p2), hashed(3, p3), hashed(4, p1, p2)]
+    return ((p1 * SYMBOLS + p2) * SYMBOLS + p3) * SYMBOLS + flat[at]
+
+
+def runs(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """First places of the runs of equal values, and each place's run."""
+    new = np.ones(len(values), bool)
+    new[1:] = values[1:] != values[:-1]
+    return np.flatnonzero(new), np.cumsum(new) - 1
 
 
 @dataclass
@@ -99,6 +108,7 @@ class Model:
     head_bias: np.ndarray  # head class x place
     weight: np.ndarray = field(default_factory=lambda: np.zeros((BUCKETS, CLASSES), np.float32))
     head_weight: np.ndarray = field(default_factory=lambda: np.zeros((BUCKETS, HEAD_SIZE), np.float32))
+    head_score: np.ndarray = field(default_factory=lambda: np.zeros(HEAD))  # base score of each head word
 
     def symbols(self) -> Symbols:
         return Symbols(self.head)
@@ -108,74 +118,115 @@ def class_of(symbol: np.ndarray) -> np.ndarray:
     return np.where(symbol < HEAD, symbol // HEAD_SIZE, symbol - HEAD + HEAD_CLASSES)
 
 
-def softmax(total: np.ndarray, target: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Probabilities of each row, and the log probability of its target."""
-    total -= total.max(axis=1, keepdims=True)
-    picked = total[np.arange(len(target)), target]
-    np.exp(total, out=total)
-    z = total.sum(axis=1)
-    total /= z[:, None]
-    return total, picked - np.log(z)
-
-
-def steps(model: Model, symbol: np.ndarray, buckets: list[np.ndarray]):
-    """For both factors: rows concerned, targets, buckets, probabilities and
-    log probabilities of the targets."""
-    group = class_of(symbol)
-    total = np.repeat(model.bias[None], len(symbol), axis=0)
-    for b in buckets:
-        total += np.take(model.weight, b, axis=0)
-    yield np.arange(len(symbol)), group, buckets, *softmax(total, group)
-    rows = np.flatnonzero(symbol < HEAD)
-    place, group = symbol[rows] % HEAD_SIZE, group[rows]
-    own = [(b[rows] * 31 + group * 2053) % BUCKETS for b in buckets]
-    total = np.take(model.head_bias, group, axis=0)
-    for b in own:
-        total += np.take(model.head_weight, b, axis=0)
-    yield rows, place, own, *softmax(total, place)
+def row_max(x: np.ndarray) -> np.ndarray:
+    """The greatest value of each row, by halves: whole columns are fast."""
+    while x.shape[1] % 2 == 0:
+        half = x.shape[1] // 2
+        x = np.maximum(x[:, :half], x[:, half:])
+    return x.max(axis=1, keepdims=True)
+
+
+class Step:
+    """One factor of some histories in ascending order, ``near`` the last two
+    symbols (and the head class) and ``far`` the third last. Feature buckets
+    are those of each run of equal ``near``, and of each history: last word,
+    last but one, and the last two together; third last."""
+
+    def __init__(self, bias: np.ndarray, weight: np.ndarray, near: np.ndarray, far: np.ndarray, group=None):
+        self.starts, self.run = runs(near)
+        near = near[self.starts]
+        if group is not None:
+            group = group[self.starts]
+            near = near // HEAD_CLASSES
+        p1, p2 = near // SYMBOLS, near % SYMBOLS
+        self.near, self.far = [hashed(1, p1), hashed(2, p2), hashed(4, p1, p2)], hashed(3, far)
+        total = np.repeat(bias[None], len(near), axis=0) if group is None else np.take(bias, group, axis=0)
+        if group is not None:
+            self.near = [(b * 31 + group * 2053) % BUCKETS for b in self.near]
+            self.far = (self.far * 31 + group[self.run] * 2053) % BUCKETS
+        for b in self.near:
+            total += np.take(weight, b, axis=0)
+        total = np.take(total, self.run, axis=0)
+        total += np.take(weight, self.far, axis=0)
+        total -= row_max(total)
+        self.total = total
+
+    def chances(self) -> tuple[np.ndarray, np.ndarray]:
+        """Exponentials of each history's row, and their sums."""
+        chance = np.exp(self.total)
+        return chance, chance @ np.ones(chance.shape[1], chance.dtype)
+
+
+def steps(model: Model, gram: np.ndarray):
+    """For both factors and some histories at a time of the distinct ``gram``
+    in ascending order: the step, the grams concerned, their histories in the
+    step and their targets."""
+    symbol = gram % SYMBOLS
+    group, past = class_of(symbol), gram // SYMBOLS
+    head = np.flatnonzero(symbol < HEAD)
+    # In the head the class is part of the history, before the third last.
+    inner = (past[head] // SYMBOLS * HEAD_CLASSES + group[head]) * SYMBOLS + past[head] % SYMBOLS
+    order = np.argsort(inner, kind="stable")
+    for level, (history, rows, target) in enumerate((
+            (past, np.arange(len(gram)), group), (inner[order], head[order], symbol[head[order]] % HEAD_SIZE))):
+        starts, at = runs(history)
+        ends = np.append(starts, len(history))
+        for a in range(0, len(starts), CHUNK):
+            b = min(len(starts), a + CHUNK)
+            own = history[starts[a:b]]
+            near, far = own // SYMBOLS, own % SYMBOLS
+            step = Step(model.head_bias, model.head_weight, near, far, near % HEAD_CLASSES) if level else Step(
+                model.bias, model.weight, near, far)
+            cut = slice(ends[a], ends[b])
+            yield level, step, rows[cut], at[cut] - a, target[cut]
 
 
 def score_texts(model: Model, texts: list[np.ndarray]) -> np.ndarray:
     """Log10 probability of each text's classes and head words."""
-    symbol, buckets = histories(texts)
-    out = np.zeros(len(symbol))
-    for a in range(0, len(symbol), CHUNK):
-        part = out[a:a + CHUNK]
-        for rows, _, _, _, logs in steps(model, symbol[a:a + CHUNK], [b[a:a + CHUNK] for b in buckets]):
-            part[rows] += logs
+    gram, place = np.unique(grams(texts), return_inverse=True)
+    logs = np.zeros(len(gram))
+    for _, step, rows, at, target in steps(model, gram):
+        logs[rows] += step.total[at, target] - np.log(step.chances()[1])[at]
     ends = np.cumsum([len(t) for t in texts])
-    total = np.concatenate(([0.0], np.cumsum(out)))
+    total = np.concatenate(([0.0], np.cumsum(logs[place])))
     return (total[ends] - total[ends - [len(t) for t in texts]]) / LN10
 
 
 class Gradient:
-    """Observed and expected counts of (bucket, outcome) for both factors."""
+    """Observed and expected counts of (bucket, outcome) for both factors.
+    Tokens that share a history are one row, as often as they occur."""
 
     def __init__(self):
         self.seen = [np.zeros(BUCKETS * n, np.float32) for n in (CLASSES, HEAD_SIZE)]
         self.expected = [np.zeros((BUCKETS, n), np.float32) for n in (CLASSES, HEAD_SIZE)]
 
     def add(self, model: Model, texts: list[np.ndarray]) -> None:
-        symbol, buckets = histories(texts)
-        keys = [[], []]
-        for a in range(0, len(symbol), CHUNK):
-            found = steps(model, symbol[a:a + CHUNK], [b[a:a + CHUNK] for b in buckets])
-            for level, (_, target, own, chance, _) in enumerate(found):
-                width = chance.shape[1]
-                if not len(target):
-                    continue
-                outcomes = np.ascontiguousarray(chance.T)  # sums along rows are fast
-                for b in own:
-                    keys[level].append(b * width + target)
-                    b = b.astype(np.uint16)  # sorted by radix
-                    order = np.argsort(b, kind="stable")
-                    b = b[order]
-                    first = np.flatnonzero(np.concatenate(([True], b[1:] != b[:-1])))
-                    sums = np.add.reduceat(np.take(outcomes, order, axis=1), first, axis=1)
-                    self.expected[level][b[first]] += sums.T
-        for level, found in enumerate(keys):
+        gram, n = np.unique(grams(texts), return_counts=True)
+        seen = [[], []]
+        for level, step, rows, at, target in steps(model, gram):
+            chance, total = step.chances()
+            width = chance.shape[1]
+            count = n[rows].astype(np.float32)
+            chance *= (np.bincount(at, count, len(chance)) / total)[:, None].astype(np.float32)
+            outcomes = np.ascontiguousarray(chance.T)  # sums along rows are fast
+            self.collect(level, step.far, outcomes)
+            outcomes = np.add.reduceat(outcomes, step.starts, axis=1)
+            for b in step.near:
+                self.collect(level, b, outcomes)
+            run = step.run[at]
+            seen[level].extend((b * width + target, count) for b in [step.far[at], *(b[run] for b in step.near)])
+        for level, found in enumerate(seen):
             if found:
-                self.seen[level] += np.bincount(np.concatenate(found), minlength=len(self.seen[level])).astype(np.float32)
+                key, count = (np.concatenate(x) for x in zip(*found))
+                self.seen[level] += np.bincount(key, count, len(self.seen[level])).astype(np.float32)
+
+    def collect(self, level: int, bucket: np.ndarray, outcomes: np.ndarray) -> None:
+        bucket = bucket.astype(np.uint16)  # sorted by radix
+        order = np.argsort(bucket, kind="stable")
+        bucket = bucket[order]
+        first, _ = runs(bucket)
+        sums = np.add.reduceat(np.take(outcomes, order, axis=1), first, axis=1)
+        self.expected[level][bucket[first]] += sums.T
 
     def vector(self) -> np.ndarray:
         return np.concatenate([*self.seen, *(e.ravel() for e in self.expected)])
@@ -204,9 +255,9 @@ def gradient_sum(docs: DataFrame, model: Model) -> np.ndarray:
             texts, held = [], 0
             for text in batch.column(0).to_pylist():
                 tokens = tokens_of(text)
-                texts.append(np.array(list(map(symbols.__getitem__, tokens)), np.int64))
+                texts.append(np.fromiter(map(symbols.__getitem__, tokens), np.int64, len(tokens)))
                 held += len(tokens)
-                if held >= 16 * CHUNK:
+                if held >= BLOCK:
                     total.add(model, texts)
                     texts, held = [], 0
             if texts:
@@ -227,24 +278,25 @@ def gradient_sum(docs: DataFrame, model: Model) -> np.ndarray:
 
 class Words(Terms):
     """Lower-cased words and one end per text. With a model, each text also
-    has two facts: its token count and the log probability of its classes
-    and head words."""
+    has facts: its token count, the log probability of its classes and head
+    words, and the number and base score of its head words. These words, which
+    are half of a text and whose counts the model holds, have no postings."""
 
     def __init__(self, model: Model | None = None):
         self.words, self.model = Numbers(), model
         self.symbols = model.symbols() if model is not None else None
         self.symbol_of = np.zeros(0, np.int64)  # by word number
         self.texts: list[np.ndarray] = []
-        self.facts: list[tuple[float, float]] = []
+        self.facts: list[tuple[float, ...]] = []
         self.held = 0
 
     def add(self, text: str | None) -> np.ndarray:
         tokens = tokens_of(text)
-        numbers = np.array(list(map(self.words.__getitem__, tokens)), np.int32)
+        numbers = np.fromiter(map(self.words.__getitem__, tokens), np.int32, len(tokens))
         if self.model is not None:
             self.texts.append(numbers)
             self.held += len(tokens)
-            if self.held >= 32 * CHUNK:
+            if self.held >= BLOCK:
                 self.score()
         return numbers
 
@@ -255,9 +307,18 @@ class Words(Terms):
             self.symbol_of = np.concatenate(
                 [self.symbol_of, np.array([self.symbols[w] for w in fresh], np.int64)])
             texts = [self.symbol_of[t] for t in self.texts]
-            self.facts.extend(zip(map(float, map(len, texts)), score_texts(self.model, texts).tolist()))
+            sizes = np.array(list(map(len, texts)))
+            flat = np.concatenate(texts)
+            base = np.append(self.model.head_score, 0.0)[np.minimum(flat, len(self.model.head_score))]
+            ends = np.cumsum(sizes)
+            sums = [np.add.reduceat(x, ends - sizes) for x in (flat < HEAD, base)]  # no text is without its end
+            self.facts.extend(zip(sizes.astype(float).tolist(), score_texts(self.model, texts).tolist(),
+                                  sums[0].astype(float).tolist(), sums[1].tolist()))
         self.texts, self.held = [], 0
 
+    def posted(self, pieces: list[np.ndarray]) -> list[np.ndarray]:
+        return pieces if self.model is None else [p[self.symbol_of[p] >= HEAD] for p in pieces]
+
     def finish(self):
         if self.model is not None:
             self.score()
@@ -307,7 +368,8 @@ def first_model(counts: DataFrame) -> tuple[Model, DataFrame, int]:
         "term", F.log10((F.col("n") + 1) / F.lit(float(size["n"] + size["v"] + 1))).alias("base_score"),
         (F.col("n") > 0).cast("double").alias("n_known"),
         F.when(F.col("head"), 0.0).otherwise(F.log10((F.col("n") + 1) / total)).alias("tail_score"))
-    model = Model([r["term"].encode() for r in head], bias.astype(np.float32), share.astype(np.float32))
+    scores = np.log10((np.array([r["n"] for r in head], float) + 1) / float(size["n"] + size["v"] + 1))
+    model = Model([r["term"].encode() for r in head], bias.astype(np.float32), share.astype(np.float32), head_score=scores)
     return model, weights, int(size["n"])
 
 
@@ -333,9 +395,10 @@ def score_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     for r in range(rounds if n_train else 0):
         update(model, gradient_sum(docs.where(train & (part == r)), model))
     shared = docs.sparkSession.sparkContext.broadcast(model)
-    postings = blocks(docs, lambda: Words(shared.value), facts=["n_tokens", "class_score"])
-    sums = sums_by_document(postings, weights, ["base_score", "n_known", "tail_score"], facts=["n_tokens", "class_score"])
+    facts = ["n_tokens", "class_score", "head_known", "head_base"]
+    postings = blocks(docs, lambda: Words(shared.value), facts=facts)
+    sums = sums_by_document(postings, weights, ["base_score", "n_known", "tail_score"], facts=facts)
     return sums.select(
         "doc_id", held_out(F.col("doc_id")).alias("held_out"), F.col("n_tokens").cast("long").alias("n_tokens"),
-        F.round("n_known").cast("long").alias("n_known"), F.lit(n_train).cast("long").alias("train_tokens"),
-        "base_score", (F.col("class_score") + F.col("tail_score")).alias("score"))
+        F.round(F.col("n_known") + F.col("head_known")).cast("long").alias("n_known"), F.lit(n_train).cast("long").alias("train_tokens"),
+        (F.col("base_score") + F.col("head_base")).alias("base_score"), (F.col("class_score") + F.col("tail_score")).alias("score"))

@@ -37,6 +37,11 @@ class Terms:
     def add(self, text: str | None) -> np.ndarray:
         raise NotImplementedError
 
+    def posted(self, pieces: list[np.ndarray]) -> list[np.ndarray]:
+        """The pieces of every text that postings are made of (after
+        ``finish``)."""
+        return pieces
+
     def finish(self) -> tuple[list[str], np.ndarray, np.ndarray]:
         """Terms; for each piece the end of its part of the third array,
         which holds term numbers."""
@@ -56,6 +61,7 @@ def reduced(key: np.ndarray, value: np.ndarray) -> tuple[np.ndarray, np.ndarray]
 def block_frequencies(terms: Terms, pieces: list[np.ndarray]):
     """Sorted (term, document, count) of a block, and its terms."""
     names, ends, numbers = terms.finish()
+    pieces = terms.posted(pieces)
     n_docs = max(1, len(pieces))
     lens = np.fromiter(map(len, pieces), np.int64, len(pieces))
     piece = np.concatenate(pieces).astype(np.int64) if pieces else np.zeros(0, np.int64)
@@ -168,11 +174,12 @@ def sums_by_document(postings: DataFrame, weights: DataFrame, names: list[str],
     row; a term without a weight is an error.
 
     The join is Spark's own, so a hot term is split by adaptive execution;
-    its rows are as many as the blocks that hold it.
+    its rows are as many as the blocks that hold it. The weights of a
+    partition's terms are hashed, which spares sorting postings by term.
     """
     k = len(names)
     kind = postings.schema["ids"].dataType.elementType.simpleString()
-    joined = postings.join(weights.withColumn("known", F.lit(True)), "term", "left").select(
+    joined = postings.join(weights.withColumn("known", F.lit(True)).hint("shuffle_hash"), "term", "left").select(
         "block", "entries", "ids", "n_bytes", "facts",
         (F.col("known").isNull() & F.col("ids").isNull()).alias("missing"),
         *[F.coalesce(F.col(n).cast("double"), F.lit(0.0)).alias(f"w{i}") for i, n in enumerate(names)])

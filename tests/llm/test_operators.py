@@ -612,3 +612,84 @@ def test_digests_are_of_the_plain_turns(spark, tmp_path):
     assert out[1]["turns_sha256"] == hashlib.sha256(b"user\nq\nassistant\na\n").hexdigest()
     assert out[1]["loss_sha256"] == hashlib.sha256(b"a").hexdigest() and out[1]["loss_chars"] == 1
     assert out[-1]["loss_sha256"] == hashlib.sha256(b"</s>[INST] ok [/INST]").hexdigest()
+
+
+# --- what workers hold and repeat -----------------------------------------
+
+def test_no_worker_keeps_the_memos_of_an_encoder(spark):
+    import pyarrow as pa
+
+    rng = random.Random(3)
+    docs = documents(spark, [prose(rng, 50) for _ in range(64)]).repartition(16)
+    assert bpe.decode(bpe.encode(docs)).count() == 64
+
+    def held(batches):
+        codec = bpe.codec(bpe.TOKENIZER)
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays(
+                [pa.array([len(codec.memo) + len(codec.spaced)] * batch.num_rows, pa.int64())], names=["held"])
+
+    assert {r["held"] for r in docs.select("doc_id").mapInArrow(held, "held long").collect()} == {0}
+
+
+def small_model(seed=0):
+    m, rng = language_model, np.random.default_rng(seed)
+    shapes = (m.CLASSES,), (m.HEAD_CLASSES, m.HEAD_SIZE), (m.BUCKETS, m.CLASSES), (m.BUCKETS, m.HEAD_SIZE)
+    head = [b"\n", *(w.encode() for w in VOCABULARY[:40])]
+    return m.Model(head, *(rng.normal(size=s).astype(np.float32) for s in shapes), head_score=-np.ones(len(head)))
+
+
+def test_a_history_is_computed_once_and_counts_as_often_as_it_occurs(monkeypatch):
+    m, model, rng = language_model, small_model(), random.Random(5)
+    symbols = model.symbols()
+    texts = [np.array([symbols[t] for t in m.tokens_of(prose(rng, n))]) for n in (0, 3, 40)] * 30
+    computed = []
+
+    class Step(m.Step):
+        def __init__(self, *args):
+            super().__init__(*args)
+            computed.append(len(self.total))
+
+    monkeypatch.setattr(m, "Step", Step)
+    got = m.Gradient()
+    got.add(model, texts)
+    seen = [np.zeros((m.BUCKETS, n)) for n in (m.CLASSES, m.HEAD_SIZE)]
+    expected = [np.zeros((m.BUCKETS, n)) for n in (m.CLASSES, m.HEAD_SIZE)]
+    histories, scores = [set(), set()], []
+    for text in texts:
+        log, past = 0.0, [m.BEGIN] * 3
+        for s in text:
+            p3, p2, p1 = (np.array([p]) for p in past)
+            buckets = [int(b[0]) for b in (m.hashed(1, p1), m.hashed(2, p2), m.hashed(3, p3), m.hashed(4, p1, p2))]
+            group = int(m.class_of(np.array([s]))[0])
+            factors = [(0, buckets, model.bias, model.weight, group)]
+            histories[0].add(tuple(past))
+            if s < m.HEAD:
+                own = [(b * 31 + group * 2053) % m.BUCKETS for b in buckets]
+                factors.append((1, own, model.head_bias[group], model.head_weight, s % m.HEAD_SIZE))
+                histories[1].add((*past, group))
+            for level, own, bias, weight, target in factors:
+                total = np.exp(bias.astype(float) + sum(weight[b].astype(float) for b in own))
+                log += math.log10(total[target] / total.sum())
+                for b in own:
+                    seen[level][b, target] += 1
+                    expected[level][b] += total / total.sum()
+            past = [*past[1:], s]
+        scores.append(log)
+    assert sum(computed) == sum(map(len, histories))
+    for level in range(2):
+        assert (got.seen[level].reshape(seen[level].shape) == seen[level]).all()
+        assert np.allclose(got.expected[level], expected[level], rtol=1e-4, atol=1e-5)
+    assert np.allclose(m.score_texts(model, texts), scores, rtol=1e-5)
+
+
+def test_head_words_have_no_postings():
+    model = small_model()
+    words = language_model.Words(model)
+    texts = ["kaba zzz kaba", None, "kaba", "yyy zzz zzz"]
+    from paperspark.llm.postings import block_frequencies
+
+    names, term, doc, n = block_frequencies(words, [words.add(t) for t in texts])
+    assert {(names[t], int(d), int(k)) for t, d, k in zip(term, doc, n)} == {
+        ("zzz", 0, 1), ("yyy", 3, 1), ("zzz", 3, 2)}
+    assert [(f[0], f[2], f[3]) for f in words.facts] == [(4, 3, -3.0), (1, 1, -1.0), (2, 2, -2.0), (4, 1, -1.0)]
