@@ -23,7 +23,8 @@ from paperspark.llm.common import slices
 # The published byte-level pre-token pattern.
 PRE_TOKEN_RE = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 TOKENIZER = "byte_bpe_50k.json"
-# Entries of each memo of a worker; a full one is emptied.
+# Entries of each memo of a worker; a full one is emptied, and both are at the
+# end of a task.
 MEMO_ENTRIES = 400_000
 SLICE_CHARS = 1 << 20
 # Fragments longer than this are merged with a heap.
@@ -179,6 +180,12 @@ class BytePairCodec:
             self.special[p].to_bytes(4, "little") if k % 2 else self.encode_plain(p)
             for k, p in enumerate(parts))
 
+    def forget(self) -> None:
+        """Empty the memos: a worker that waits for its next task, or decodes
+        in it, holds the vocabulary only."""
+        self.memo.clear()
+        self.spaced.clear()
+
     def decode(self, ids: bytes) -> str:
         """The text of packed ids; bytes that form no character become the
         replacement character, as in the library."""
@@ -199,14 +206,17 @@ def encode(docs: DataFrame, name: str = TOKENIZER, id_col: str = "doc_id",
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = codec(name)
-        for batch in batches:
-            texts = batch.column(1).to_pylist()
-            for a, b in slices((len(t or "") for t in texts), SLICE_CHARS):
-                ids = [enc.encode(t or "") for t in texts[a:b]]
-                yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).slice(a, b - a), pa.array(ids, pa.binary()),
-                     pa.array([len(x) // 4 for x in ids], pa.int64())],
-                    names=["doc_id", "ids", "n_tokens"])
+        try:
+            for batch in batches:
+                texts = batch.column(1).to_pylist()
+                for a, b in slices((len(t or "") for t in texts), SLICE_CHARS):
+                    ids = [enc.encode(t or "") for t in texts[a:b]]
+                    yield pa.RecordBatch.from_arrays(
+                        [batch.column(0).slice(a, b - a), pa.array(ids, pa.binary()),
+                         pa.array([len(x) // 4 for x in ids], pa.int64())],
+                        names=["doc_id", "ids", "n_tokens"])
+        finally:
+            enc.forget()
 
     kind = docs.schema[id_col].dataType.simpleString()
     return docs.select(id_col, text_col).mapInArrow(
