@@ -42,6 +42,9 @@ CHUNK = 1 << 12  # histories at a time
 BLOCK = 1 << 19  # tokens whose histories are compared
 PARTS = 64
 MEMO_ENTRIES = 400_000
+# A word that is one of so many tokens, or of fewer, is common: there are no more
+# such words than this, and the model holds their scores.
+COMMON = 1 << 18
 LN10 = float(np.log(10.0))
 
 
@@ -108,7 +111,10 @@ class Model:
     head_bias: np.ndarray  # head class x place
     weight: np.ndarray = field(default_factory=lambda: np.zeros((BUCKETS, CLASSES), np.float32))
     head_weight: np.ndarray = field(default_factory=lambda: np.zeros((BUCKETS, HEAD_SIZE), np.float32))
-    head_score: np.ndarray = field(default_factory=lambda: np.zeros(HEAD))  # base score of each head word
+    # Frequent words, each with its place in the arrays of their scores.
+    common: dict[bytes, int] = field(default_factory=dict)
+    base_score: np.ndarray = field(default_factory=lambda: np.zeros(0))
+    tail_score: np.ndarray = field(default_factory=lambda: np.zeros(0))
 
     def symbols(self) -> Symbols:
         return Symbols(self.head)
@@ -208,11 +214,10 @@ class Gradient:
             width = chance.shape[1]
             count = n[rows].astype(np.float32)
             chance *= (np.bincount(at, count, len(chance)) / total)[:, None].astype(np.float32)
-            outcomes = np.ascontiguousarray(chance.T)  # sums along rows are fast
-            self.collect(level, step.far, outcomes)
-            outcomes = np.add.reduceat(outcomes, step.starts, axis=1)
+            self.collect(level, step.far, chance)
+            chance = np.add.reduceat(chance, step.starts, axis=0)
             for b in step.near:
-                self.collect(level, b, outcomes)
+                self.collect(level, b, chance)
             run = step.run[at]
             seen[level].extend((b * width + target, count) for b in [step.far[at], *(b[run] for b in step.near)])
         for level, found in enumerate(seen):
@@ -220,13 +225,12 @@ class Gradient:
                 key, count = (np.concatenate(x) for x in zip(*found))
                 self.seen[level] += np.bincount(key, count, len(self.seen[level])).astype(np.float32)
 
-    def collect(self, level: int, bucket: np.ndarray, outcomes: np.ndarray) -> None:
+    def collect(self, level: int, bucket: np.ndarray, chance: np.ndarray) -> None:
         bucket = bucket.astype(np.uint16)  # sorted by radix
         order = np.argsort(bucket, kind="stable")
         bucket = bucket[order]
         first, _ = runs(bucket)
-        sums = np.add.reduceat(np.take(outcomes, order, axis=1), first, axis=1)
-        self.expected[level][bucket[first]] += sums.T
+        self.expected[level][bucket[first]] += np.add.reduceat(np.take(chance, order, axis=0), first, axis=0)
 
     def vector(self) -> np.ndarray:
         return np.concatenate([*self.seen, *(e.ravel() for e in self.expected)])
@@ -279,13 +283,14 @@ def gradient_sum(docs: DataFrame, model: Model) -> np.ndarray:
 class Words(Terms):
     """Lower-cased words and one end per text. With a model, each text also
     has facts: its token count, the log probability of its classes and head
-    words, and the number and base score of its head words. These words, which
-    are half of a text and whose counts the model holds, have no postings."""
+    words, and the number, base score and tail score of its common words. These
+    words, which are most of a text, have no postings."""
 
     def __init__(self, model: Model | None = None):
         self.words, self.model = Numbers(), model
         self.symbols = model.symbols() if model is not None else None
         self.symbol_of = np.zeros(0, np.int64)  # by word number
+        self.common_of = np.zeros(0, np.int64)  # place, or the number of common words
         self.texts: list[np.ndarray] = []
         self.facts: list[tuple[float, ...]] = []
         self.held = 0
@@ -307,17 +312,20 @@ class Words(Terms):
             self.symbol_of = np.concatenate(
                 [self.symbol_of, np.array([self.symbols[w] for w in fresh], np.int64)])
             texts = [self.symbol_of[t] for t in self.texts]
+            m = self.model
+            self.common_of = np.concatenate(
+                [self.common_of, np.array([m.common.get(w, len(m.common)) for w in fresh], np.int64)])
             sizes = np.array(list(map(len, texts)))
-            flat = np.concatenate(texts)
-            base = np.append(self.model.head_score, 0.0)[np.minimum(flat, len(self.model.head_score))]
-            ends = np.cumsum(sizes)
-            sums = [np.add.reduceat(x, ends - sizes) for x in (flat < HEAD, base)]  # no text is without its end
-            self.facts.extend(zip(sizes.astype(float).tolist(), score_texts(self.model, texts).tolist(),
-                                  sums[0].astype(float).tolist(), sums[1].tolist()))
+            starts = np.cumsum(sizes) - sizes  # no text is without its end
+            place = self.common_of[np.concatenate(self.texts)]
+            values = (place < len(m.common)), *(np.append(x, 0.0)[place] for x in (m.base_score, m.tail_score))
+            sums = [np.add.reduceat(x.astype(float), starts).tolist() for x in values]
+            self.facts.extend(zip(sizes.astype(float).tolist(), score_texts(m, texts).tolist(), *sums))
         self.texts, self.held = [], 0
 
     def posted(self, pieces: list[np.ndarray]) -> list[np.ndarray]:
-        return pieces if self.model is None else [p[self.symbol_of[p] >= HEAD] for p in pieces]
+        return pieces if self.model is None else [
+            p[self.common_of[p] == len(self.model.common)] for p in pieces]
 
     def finish(self):
         if self.model is not None:
@@ -365,12 +373,16 @@ def first_model(counts: DataFrame) -> tuple[Model, DataFrame, int]:
         share = np.maximum(np.log(place / np.maximum(1.0, place.sum(axis=1, keepdims=True))), -60.0)
     total = F.element_at(F.array(*[F.lit(float(t)) for t in totals]), F.col("tail") + 1)
     weights = in_head.select(
-        "term", F.log10((F.col("n") + 1) / F.lit(float(size["n"] + size["v"] + 1))).alias("base_score"),
+        "term", "n", F.log10((F.col("n") + 1) / F.lit(float(size["n"] + size["v"] + 1))).alias("base_score"),
         (F.col("n") > 0).cast("double").alias("n_known"),
         F.when(F.col("head"), 0.0).otherwise(F.log10((F.col("n") + 1) / total)).alias("tail_score"))
-    scores = np.log10((np.array([r["n"] for r in head], float) + 1) / float(size["n"] + size["v"] + 1))
-    model = Model([r["term"].encode() for r in head], bias.astype(np.float32), share.astype(np.float32), head_score=scores)
-    return model, weights, int(size["n"])
+    common = weights.where((F.col("n") > 0) & (F.col("n") * COMMON >= F.lit(int(size["n"])))).select(
+        "term", "base_score", "tail_score").collect()
+    model = Model([r["term"].encode() for r in head], bias.astype(np.float32), share.astype(np.float32),
+                  common={r["term"].encode(): i for i, r in enumerate(common)},
+                  base_score=np.array([r["base_score"] for r in common], float),
+                  tail_score=np.array([r["tail_score"] for r in common], float))
+    return model, weights.drop("n"), int(size["n"])
 
 
 def held_out(doc_id: Column, parts: int = 7, out: int = 2) -> Column:
@@ -395,10 +407,10 @@ def score_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     for r in range(rounds if n_train else 0):
         update(model, gradient_sum(docs.where(train & (part == r)), model))
     shared = docs.sparkSession.sparkContext.broadcast(model)
-    facts = ["n_tokens", "class_score", "head_known", "head_base"]
+    facts = ["n_tokens", "class_score", "common_known", "common_base", "common_tail"]
     postings = blocks(docs, lambda: Words(shared.value), facts=facts)
     sums = sums_by_document(postings, weights, ["base_score", "n_known", "tail_score"], facts=facts)
     return sums.select(
         "doc_id", held_out(F.col("doc_id")).alias("held_out"), F.col("n_tokens").cast("long").alias("n_tokens"),
-        F.round(F.col("n_known") + F.col("head_known")).cast("long").alias("n_known"), F.lit(n_train).cast("long").alias("train_tokens"),
-        (F.col("base_score") + F.col("head_base")).alias("base_score"), (F.col("class_score") + F.col("tail_score")).alias("score"))
+        F.round(F.col("n_known") + F.col("common_known")).cast("long").alias("n_known"), F.lit(n_train).cast("long").alias("train_tokens"),
+        (F.col("base_score") + F.col("common_base")).alias("base_score"), (F.col("class_score") + F.col("common_tail") + F.col("tail_score")).alias("score"))

@@ -65,8 +65,7 @@ def block_frequencies(terms: Terms, pieces: list[np.ndarray]):
     n_docs = max(1, len(pieces))
     lens = np.fromiter(map(len, pieces), np.int64, len(pieces))
     piece = np.concatenate(pieces).astype(np.int64) if pieces else np.zeros(0, np.int64)
-    key, n = reduced(piece * n_docs + np.repeat(np.arange(len(pieces)), lens),
-                     np.ones(len(piece), np.int64))
+    key, n = np.unique(piece * n_docs + np.repeat(np.arange(len(pieces)), lens), return_counts=True)
     piece, doc = key // n_docs, key % n_docs
     if ends is not None:
         begins = np.concatenate(([0], ends[:-1]))

@@ -636,7 +636,9 @@ def small_model(seed=0):
     m, rng = language_model, np.random.default_rng(seed)
     shapes = (m.CLASSES,), (m.HEAD_CLASSES, m.HEAD_SIZE), (m.BUCKETS, m.CLASSES), (m.BUCKETS, m.HEAD_SIZE)
     head = [b"\n", *(w.encode() for w in VOCABULARY[:40])]
-    return m.Model(head, *(rng.normal(size=s).astype(np.float32) for s in shapes), head_score=-np.ones(len(head)))
+    return m.Model(head, *(rng.normal(size=s).astype(np.float32) for s in shapes),
+                   common={w: i for i, w in enumerate([*head, b"www"])}, base_score=-np.ones(len(head) + 1),
+                   tail_score=np.append(np.zeros(len(head)), -0.5))
 
 
 def test_a_history_is_computed_once_and_counts_as_often_as_it_occurs(monkeypatch):
@@ -683,13 +685,14 @@ def test_a_history_is_computed_once_and_counts_as_often_as_it_occurs(monkeypatch
     assert np.allclose(m.score_texts(model, texts), scores, rtol=1e-5)
 
 
-def test_head_words_have_no_postings():
+def test_common_words_have_no_postings():
     model = small_model()
     words = language_model.Words(model)
-    texts = ["kaba zzz kaba", None, "kaba", "yyy zzz zzz"]
+    texts = ["kaba zzz kaba", None, "kaba", "yyy zzz www zzz www"]
     from paperspark.llm.postings import block_frequencies
 
     names, term, doc, n = block_frequencies(words, [words.add(t) for t in texts])
     assert {(names[t], int(d), int(k)) for t, d, k in zip(term, doc, n)} == {
         ("zzz", 0, 1), ("yyy", 3, 1), ("zzz", 3, 2)}
-    assert [(f[0], f[2], f[3]) for f in words.facts] == [(4, 3, -3.0), (1, 1, -1.0), (2, 2, -2.0), (4, 1, -1.0)]
+    assert [(f[0], *f[2:]) for f in words.facts] == [
+        (4, 3, -3.0, 0.0), (1, 1, -1.0, 0.0), (2, 2, -2.0, 0.0), (6, 3, -3.0, -1.0)]
