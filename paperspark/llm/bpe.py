@@ -181,10 +181,11 @@ class BytePairCodec:
             for k, p in enumerate(parts))
 
     def forget(self) -> None:
-        """Empty the memos: a worker that waits for its next task, or decodes
-        in it, holds the vocabulary only."""
+        """Empty the memos and give back what batches took: a worker that
+        waits for its next task, or decodes in it, holds the vocabulary only."""
         self.memo.clear()
         self.spaced.clear()
+        pa.default_memory_pool().release_unused()
 
     def decode(self, ids: bytes) -> str:
         """The text of packed ids; bytes that form no character become the
@@ -236,6 +237,7 @@ def decode(encoded: DataFrame, name: str = TOKENIZER) -> DataFrame:
                 yield pa.RecordBatch.from_arrays(
                     [*part.columns, pa.array(texts, pa.string())],
                     names=["doc_id", "ids", "n_tokens", "decoded"])
+        enc.forget()
 
     kind = encoded.schema["doc_id"].dataType.simpleString()
     return encoded.select("doc_id", "ids", "n_tokens").mapInArrow(
