@@ -19,6 +19,7 @@ from ..session import fresh_path
 from ..sources.papers import POS
 
 BASE_TIME = "2024-01-01 00:00:00"
+LINES_PER_FILE = 5_000
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -129,9 +130,11 @@ _lock = threading.RLock()
 
 
 def paper_files(spark: SparkSession, sf_dir: str) -> str:
-    """A folder with the paper corpus as NDJSON files, written once per
-    session."""
-    return _built(spark, sf_dir, "files", lambda path: paper_lines(spark, sf_dir).select("value").write.text(path))
+    """A folder with the paper corpus as packed NDJSON files, written once per
+    session. A packed file is read by one task, so it holds few lines."""
+    return _built(spark, sf_dir, "files", lambda path: paper_lines(spark, sf_dir).select("value").write
+                  .option("compression", "gzip").option("zlib.compress.level", "BEST_SPEED")
+                  .option("maxRecordsPerFile", LINES_PER_FILE).text(path))
 
 
 def paper_store(spark: SparkSession, sf_dir: str) -> str:

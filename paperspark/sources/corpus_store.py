@@ -22,6 +22,7 @@ same files. When there are more than ``MAX_FOLDERS``, a refresh joins them.
 from __future__ import annotations
 
 import re
+from contextlib import ExitStack
 from typing import NamedTuple
 
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
@@ -30,7 +31,7 @@ from pyspark.sql import types as T
 from ..functions.dates import parse_version_date
 from ..functions.text import first_token
 from ..schemas import FIELD_TYPES, INDEX_SCHEMA, METADATA_FIELDS
-from ..session import apply_required_conf, staged
+from ..session import STORED_CODEC, apply_required_conf, shuffles_dropped, staged, staged_for
 from .papers import POS, check_fields, latest_per_id, read_lines, tag_lines, versions_created
 from .versions import new_folder, publish, read_state
 
@@ -101,6 +102,7 @@ def _write_papers(rows: DataFrame, target: str) -> None:
     # A range holds all lines of an id in order: the window needs no shuffle.
     next_line = F.lead(F.lit(True)).over(Window.partitionBy("id").orderBy(POS))
     (rows.repartitionByRange("id").sortWithinPartitions("id", POS).withColumn(LAST, next_line.isNull()).write
+     .option("compression", STORED_CODEC)
      .option("parquet.block.size", ROW_GROUP_BYTES)
      .option("parquet.bloom.filter.enabled#id", "true")
      .option("parquet.bloom.filter.expected.ndv#id", ROW_GROUP_IDS)
@@ -166,23 +168,26 @@ def refresh(spark: SparkSession, path: str, files: str | list[str], rebuild: boo
     rows, index, rejects, ledger = (survivors(name, schema, file) for name, schema, file in (
         ("papers", PAPERS, f"{POS}.file"), ("index", INDEX, "file"), ("rejects", REJECTS, "file"),
         ("files", FILES, "file")))
-    if paths:
-        # Parsed once: what follows sorts, and samples its input for that.
-        parsed = staged(tag_lines(read_lines(spark, [_escaped(p) for p in paths])), "parsed")
-        new_rows = parsed.where("_reason IS NULL").select(*PAPERS.names)
-        tagged = _indexed(new_rows)
-        rows = rows.unionByName(new_rows)
-        index = index.unionByName(tagged.where("reason IS NULL").select(*INDEX.names))
-        rejects = (rejects.unionByName(parsed.where("_reason IS NOT NULL").select(
-            "id", F.col("_line").alias("line"), F.col("_reason").alias("reason"), F.col(f"{POS}.file").alias("file")))
-            .unionByName(tagged.where("reason IS NOT NULL").select(
-                "id", F.lit(None).cast("string").alias("line"), "reason", "file")))
-        ledger = ledger.unionByName(fresh.select(*FILES.names))
-    _write_papers(rows, f"{top}/papers")
-    order = ["category", "created", "id"]
-    index.repartitionByRange(*order).sortWithinPartitions(*order).write.parquet(f"{top}/index")
-    rejects.write.parquet(f"{top}/rejects")
-    ledger.coalesce(1).write.parquet(f"{top}/files")
+    with ExitStack() as until_written:
+        if paths:
+            # Parsed once: what follows sorts, and samples its input for that.
+            parsed = until_written.enter_context(
+                staged_for(tag_lines(read_lines(spark, [_escaped(p) for p in paths])), "parsed"))
+            new_rows = parsed.where("_reason IS NULL").select(*PAPERS.names)
+            tagged = _indexed(new_rows)
+            rows = rows.unionByName(new_rows)
+            index = index.unionByName(tagged.where("reason IS NULL").select(*INDEX.names))
+            rejects = (rejects.unionByName(parsed.where("_reason IS NOT NULL").select(
+                "id", F.col("_line").alias("line"), F.col("_reason").alias("reason"), F.col(f"{POS}.file").alias("file")))
+                .unionByName(tagged.where("reason IS NOT NULL").select(
+                    "id", F.lit(None).cast("string").alias("line"), "reason", "file")))
+            ledger = ledger.unionByName(fresh.select(*FILES.names))
+        until_written.enter_context(shuffles_dropped(spark))
+        _write_papers(rows, f"{top}/papers")
+        order = ["category", "created", "id"]
+        index.repartitionByRange(*order).sortWithinPartitions(*order).write.parquet(f"{top}/index")
+        rejects.write.parquet(f"{top}/rejects")
+        ledger.coalesce(1).write.parquet(f"{top}/files")
     live = {f: n for f, n in held.items() if f not in dirty}
     publish(spark, path, {"version": version, "folders": {**live, folder: MARKED}})
     return Refresh(version, len(paths), removed, len(dirty))
