@@ -14,7 +14,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Observation, SparkSession, functions as F
 from pyspark.sql import types as T
 
-from ..session import apply_required_conf, null_join, staged
+from ..session import STORED_CODEC, apply_required_conf, null_join, shuffles_dropped, staged
 from .versions import drop_old, hadoop_path, new_folder, path_exists, publish, read_state
 
 ORDER = "_order"
@@ -99,10 +99,15 @@ def _write(rows: DataFrame, path: str, state: dict, partition_by: list[str], rep
     """Write rows as leaves of a new data folder and publish the table with
     them: in place of what those leaves held, or beside it."""
     folder = new_folder(state["version"] + 1)
-    rows.write.partitionBy(*partition_by, BUCKET).parquet(f"{path}/{VERSION}={folder}")
+    _write_leaves(rows, f"{path}/{VERSION}={folder}", partition_by)
     _publish(rows.sparkSession, path, state, folder, partition_by, replace)
 
 
+def _write_leaves(rows: DataFrame, top: str, partition_by: list[str]) -> None:
+    with shuffles_dropped(rows.sparkSession):
+        rows.write.partitionBy(*partition_by, BUCKET).option("compression", STORED_CODEC).parquet(top)
+
+
 def _publish(spark: SparkSession, path: str, state: dict, folder: str, partition_by: list[str], replace: bool) -> None:
     version = state["version"] + 1
     leaves = {k: list(v) for k, v in state["leaves"].items()}
@@ -161,8 +166,7 @@ def upsert(incoming: DataFrame, path: str, key_cols: list[str], partition_by: li
     if not materialized and order_col is None and not state["leaves"]:
         folder = new_folder(state["version"] + 1)
         top = f"{path}/{VERSION}={folder}"
-        inc.drop(ORDER).withColumn(BUCKET, bucket).repartition(*partition_by, BUCKET).write.partitionBy(
-            *partition_by, BUCKET).parquet(top)
+        _write_leaves(inc.drop(ORDER).withColumn(BUCKET, bucket).repartition(*partition_by, BUCKET), top, partition_by)
         made = spark.read.schema(T.StructType([*schema.fields, T.StructField(BUCKET, T.IntegerType())])).parquet(top)
         offered = made.count()
         if offered:

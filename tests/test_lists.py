@@ -96,6 +96,26 @@ def test_a_staged_result_leaves_no_shuffle(spark):
     assert spark.conf.get(DROP_SHUFFLES) == "false"
 
 
+def test_lists_of_a_stored_table_move_it_once(spark, tmp_path):
+    from paperspark.operators import summaries as sm
+    from paperspark.schemas import SUMMARY_SCHEMA
+    from paperspark.sources.tables import read_table
+
+    path, old = str(tmp_path / "t"), shuffle_bytes(spark)
+    rows = spark.range(20_000).select(
+        F.concat(F.lit("s"), F.col("id") % 2).alias("summarizer_name"), F.lit("m").alias("full_model_name"),
+        F.concat(F.lit("p"), "id").alias("arxiv_id"), F.sha2(F.col("id").cast("string"), 512).alias("summary_text"))
+    sm.cache_summaries(rows, path)
+    assert shuffle_bytes(spark) - old < 1 << 20
+    held = [f for _, _, fs in os.walk(path) for f in fs if f.endswith(".parquet")]
+    assert held and all(f.endswith(".zstd.parquet") for f in held)
+    before = folders(spark, "list")
+    out = sm.summaries_by_summarizer(read_table(spark, path, SUMMARY_SCHEMA), chunk=7)
+    assert plan_of(out).count("Exchange") == 1
+    assert [f.rsplit("-", 1)[0] for f in folders(spark, "list") - before] == ["list-starts"]
+    assert out.agg(F.sum(F.size("items"))).first()[0] == 20_000
+
+
 def test_parsed_lines_go_when_the_corpus_is_stored(spark, tmp_path):
     from paperspark.plans import views
     from paperspark.sources import corpus_store
